@@ -5,20 +5,36 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, langid, licenses, mixing, secrets, simhash
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op10_byte_level_bpe)}
+QUERIES = {f.__name__: f for f in (op3_secret_scans, op5_simhash_near_dedup, op6_language_id, op7_sainte_lague_mixing, op9_license_scans, op10_byte_level_bpe)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_sainte_lague_mixing": mixing.SQL, "op9_license_scans": licenses.sql()}
