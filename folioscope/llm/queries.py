@@ -5,16 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, licenses, mixing, secrets, simhash
+from . import bpe, langid, licenses, mixing, secrets, simhash, tiff, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -35,6 +43,6 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scans, op5_simhash_near_dedup, op6_language_id, op7_sainte_lague_mixing, op9_license_scans, op10_byte_level_bpe)}
+QUERIES = {f.__name__: f for f in (op2_warc_salvage, op3_secret_scans, op4_tiff_media, op5_simhash_near_dedup, op6_language_id, op7_sainte_lague_mixing, op9_license_scans, op10_byte_level_bpe)}
 
-ORACLE_SQL = {"op7_sainte_lague_mixing": mixing.SQL, "op9_license_scans": licenses.sql()}
+ORACLE_SQL = {"op2_warc_salvage": warc.SQL, "op7_sainte_lague_mixing": mixing.SQL, "op9_license_scans": licenses.sql()}
