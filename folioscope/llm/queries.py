@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hnsw, langid, licenses, mixing, secrets, simhash, tiff, warc
+from . import bpe, hnsw, langid, licenses, mixing, secrets, simhash, substrings, tiff, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -39,6 +39,10 @@ def op7_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,6 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_hnsw_neighbours, op2_warc_salvage, op3_secret_scans, op4_tiff_media, op5_simhash_near_dedup, op6_language_id, op7_sainte_lague_mixing, op9_license_scans, op10_byte_level_bpe)}
+QUERIES = {f.__name__: f for f in (op1_hnsw_neighbours, op2_warc_salvage, op3_secret_scans, op4_tiff_media, op5_simhash_near_dedup, op6_language_id, op7_sainte_lague_mixing, op8_substring_dedup, op9_license_scans, op10_byte_level_bpe)}
 
 ORACLE_SQL = {"op2_warc_salvage": warc.SQL, "op7_sainte_lague_mixing": mixing.SQL, "op9_license_scans": licenses.sql()}
