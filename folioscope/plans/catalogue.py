@@ -1,8 +1,6 @@
-"""The registered queries and their SQL, gathered from the modules of this folder."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-from . import bibliometry
-
-QUERIES = {**bibliometry.QUERIES}
-ORACLE_SQL = {**bibliometry.ORACLE_SQL}
+from . import analysis, bibliometry, impact, records  # noqa: F401  each registers its queries
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
