@@ -152,7 +152,7 @@ def display_names(items: Column, limit: int = 8) -> Column:
 
 def keyword_terms(text: Column, stopwords: Sequence[str] = KEYWORD_STOPWORDS, separators: str = r"\|") -> Column:
     """Keywords of delimited text: trimmed, without stopwords (any case), distinct (by case), in order."""
-    items = F.transform(F.split(F.coalesce(text, F.lit("")), separators), F.trim)
+    items = F.transform(F.split(F.coalesce(text, F.lit("")), separators), lambda x: F.trim(x))
     return F.array_distinct(F.filter(items, lambda x: (x != "") & ~F.lower(x).isin(*stopwords)))
 
 

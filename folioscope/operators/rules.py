@@ -55,7 +55,7 @@ def _covered(found: Column, negatives: Column, table: Mapping[str, list[str]]) -
     return hit
 
 
-def screen(docs: DataFrame, positive: Mapping[str, str] = POSITIVE, ai: Mapping[str, str] = AI_SIGNALS, negative: Mapping[str, str] = NEGATIVE, years: tuple[int, int] | None = YEARS, strong: list[str] = STRONG, positive_override: Mapping[str, list[str]] = POSITIVE_OVERRIDE, negative_override: Mapping[str, list[str]] = NEGATIVE_OVERRIDE) -> DataFrame:
+def screen(docs: DataFrame, positive: Mapping[str, str] = POSITIVE, ai: Mapping[str, str] = AI_SIGNALS, negative: Mapping[str, str] = NEGATIVE, years: tuple[int, int] | None = YEARS, strong: list[str] = STRONG, positive_override: Mapping[str, list[str]] = POSITIVE_OVERRIDE, negative_override: Mapping[str, list[str]] = NEGATIVE_OVERRIDE, offtopic: str | None = OFFTOPIC_TITLE) -> DataFrame:
     """Add decision, reason, positive_rules and negative_rules to docs (title, abstract, publication_year).
 
     The first that holds decides: retracted, missing or poor abstract, off-topic title, year out of
@@ -74,7 +74,7 @@ def screen(docs: DataFrame, positive: Mapping[str, str] = POSITIVE, ai: Mapping[
         (T.any_match(title, RETRACTED), "exclude", F.lit("retracted")),
         (F.length(T.clean_html(raw)) < MIN_ABSTRACT, "exclude", F.lit("missing_abstract")),
         (T.any_match(raw, LOW_QUALITY), "exclude", F.lit("low_quality_abstract")),
-        (T.any_match(title, OFFTOPIC_TITLE), "exclude", F.lit("hard_offtopic_title")),
+        (T.any_match(title, offtopic) if offtopic else F.lit(False), "exclude", F.lit("hard_offtopic_title")),
         (outside, "exclude", F.lit("year_out_of_range")),
         (has & ~F.col("_ai") & strong_hit, "needs_review", F.lit("no_ai_signal")),
         (has & ~F.col("_ai"), "exclude", F.lit("no_ai_signal")),

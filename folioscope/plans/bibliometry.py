@@ -111,7 +111,7 @@ def keyword_graph_edges(t: Tables) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS term, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) AS p FROM conversations)
-    SELECT lower(term) AS lower, arg_min(term, (conv_id, turn, p)) AS label FROM w GROUP BY 1""")
+    SELECT lower(term) AS lower, CASE lower(term) WHEN 'ai' THEN 'Artificial Intelligence' WHEN 'llm' THEN 'Large Language Models' WHEN 'llms' THEN 'Large Language Models' WHEN 'nlp' THEN 'Natural Language Processing' WHEN 'chatgpt' THEN 'ChatGPT' ELSE arg_min(term, (conv_id, turn, p)) END AS label FROM w GROUP BY 1""")
 def canonical_casing(t: Tables) -> DataFrame:
     words = t.conversations.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("p", "term"))
     return B.canonical_casing(words, "term", "conv_id", "turn", "p")

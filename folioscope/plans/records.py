@@ -198,7 +198,7 @@ def ladder_sql() -> str:
 
 def screened(t: Tables) -> DataFrame:
     d = t.records().withColumn("publication_year", F.lit(None).cast("int"))
-    return rules.screen(d, D_POS, D_AI, D_NEG, None, ["license"], {"contact": ["token"]}, {"license": ["reserved"]})
+    return rules.screen(d, D_POS, D_AI, D_NEG, None, ["license"], {"contact": ["token"]}, {"license": ["reserved"]}, None)
 
 
 @query(ladder_sql())

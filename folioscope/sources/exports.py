@@ -81,7 +81,7 @@ def bibtex_records(texts: DataFrame) -> DataFrame:
 
 
 def _values(record: Column, tag: str) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(record, F.lit(rf"(?m)^{tag} *- +(.*)$"), F.lit(1)), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(record, F.lit(rf"(?m)^{tag} *- +(.*)$"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _joined(record: Column, *tags: str) -> Column:

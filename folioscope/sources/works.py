@@ -98,7 +98,7 @@ ARTICLES = "id string, source string, doi string, title string, abstractText str
 def articles(df: DataFrame) -> DataFrame:
     """Articles of a life-science index (schema ARTICLES); keywordList is JSON of a string, a list or an object with a list."""
     raw = F.coalesce(F.from_json("keywordList", "array<string>"), F.from_json("keywordList", "keyword array<string>")["keyword"], F.split(F.regexp_replace("keywordList", '^"|"$', ""), ";"))
-    words = F.slice(F.array_distinct(F.filter(F.transform(raw, F.trim), lambda x: x.isNotNull() & (x != ""))), 1, 8)
+    words = F.slice(F.array_distinct(F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))), 1, 8)
     doi = T.norm_doi(F.col("doi"))
     uid = F.when(doi != "", F.concat(F.lit("doi:"), doi)).when(F.col("id").isNotNull(), F.concat_ws(":", "source", "id")).otherwise(F.substring(F.lower("title"), 1, 80))
     flat = df.select(

@@ -9,26 +9,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def timed(events: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark, which needs a time with a zone; a batch as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, size: str, late: str = "10 minutes") -> DataFrame:
     """hour (the window's start), event_type, n and total."""
-    d = events.withWatermark("ts", late) if events.isStreaming else events
-    g = d.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    g = timed(events, late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return g.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, size: str, step: str, late: str = "10 minutes") -> DataFrame:
-    d = events.withWatermark("ts", late) if events.isStreaming else events
-    return d.groupBy(F.window("ts", size, step).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n")
+    return timed(events, late).groupBy(F.window("ts", size, step).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n")
 
 
 def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
-    d = events.withWatermark("ts", late) if events.isStreaming else events
-    return d.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def first_seen(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     """One row for each key: in a stream, within the watermark's reach."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    return timed(events, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
 def append_new(stream: DataFrame, path: str, key: str, checkpoint: str):
