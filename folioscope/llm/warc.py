@@ -27,6 +27,7 @@ from .common import durable, shared_dir
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER_BYTES = (1 << 24) - 1
+REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -79,7 +80,9 @@ def _record_at(data: bytes, at: int) -> tuple[Found, bool]:
         if not colon:
             return Found(at, at, None, None, "bad header line"), False
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
-    length = headers.get("content-length", "")
+    if absent := [h for h in REQUIRED if h not in headers]:
+        return Found(at, at, None, None, f"no {absent[0]}"), False
+    length = headers["content-length"]
     if not re.fullmatch(r"[0-9]{1,18}", length):
         return Found(at, at, None, None, "bad content length"), False
     body = stop + 4
@@ -160,7 +163,7 @@ def salvage(data: bytes) -> Iterator[Found]:
                 held_at = at
             held += text
             found = list(records(held))
-            if len(found) == 1 and found[0].reason == "truncated" and len(text) >= MEMBER_BYTES:
+            if len(found) == 1 and found[0].headers is None and len(text) >= MEMBER_BYTES:
                 at = end
                 continue
             for f in found:
