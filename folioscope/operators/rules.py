@@ -40,7 +40,7 @@ OFFTOPIC_TITLE = r"(?iU)\b(?:cardiology|orthodontic|dental|dentist|surgery|surgi
 OFFTOPIC_TOPIC = r"(?iU)\b(?:healthcare|medical|dental|orthodontic|manufacturing|traffic|power forecasting|service interactions|food|finance|market forecasting|patient|clinical|educational technology and pedagogy|technology-enhanced education studies|arabic language education studies|innovations in education and learning technologies)\b"
 RETRACTED = r"(?iU)\bretracted\b|\[retracted\]|\bretraction\b"
 LOW_QUALITY = r"(?iU)(?:https?://|download link|conference proceedings|lsdexception|unhidewhenused|semihidden|<w:)"
-STRONG = ["research_writing", "research_workflow", "integrity_governance"]
+STRONG = ["research_writing", "integrity_governance", "scholarly_publishing"]
 POSITIVE_OVERRIDE = {"research_writing": ["medical"], "scholarly_publishing": ["medical"]}
 NEGATIVE_OVERRIDE = {"research_workflow": ["medical"], "integrity_governance": ["industrial"], "evidence_synthesis": ["medical"], "ai_literacy": ["medical", "language_learning"]}
 YEARS, MIN_ABSTRACT, MIN_EMBED, THRESHOLD, FLOOR, CAP, STRONG_RELEVANCE = (2020, 2026), 50, 150, 0.25, 30, 200, 0.48
@@ -60,7 +60,8 @@ def screen(docs: DataFrame, positive: Mapping[str, str] = POSITIVE, ai: Mapping[
 
     The first that holds decides: retracted, missing or poor abstract, off-topic title, year out of
     range (a null year is none), no AI signal, no scope signal, negatives without positives,
-    inclusion, positives that override the negatives, negatives that override, else review.
+    inclusion, positives that override the negatives, negatives that override, else review.  The
+    reason of an inclusion is empty, and so are the rules of what is excluded before the scope.
     """
     title = F.coalesce(F.col("title"), F.lit(""))
     raw = F.coalesce(F.col("abstract"), F.lit(""))
@@ -80,16 +81,18 @@ def screen(docs: DataFrame, positive: Mapping[str, str] = POSITIVE, ai: Mapping[
         (has & ~F.col("_ai"), "exclude", F.lit("no_ai_signal")),
         (~has & ~against, "exclude", F.lit("no_scope_signal")),
         (~has, "exclude", F.concat(F.lit("hard_negative:"), F.array_join("_neg", "|"))),
-        (~against, "include", F.concat(F.lit("positive:"), F.array_join("_pos", "|"))),
-        (_covered(F.col("_pos"), F.col("_neg"), positive_override), "include", F.concat(F.lit("positive_override:"), F.array_join("_pos", "|"))),
-        (_covered(F.col("_pos"), F.col("_neg"), negative_override), "exclude", F.concat(F.lit("negative_override:"), F.array_join("_neg", "|"))),
+        (~against, "include", F.lit("")),
+        (_covered(F.col("_pos"), F.col("_neg"), positive_override), "include", F.lit("")),
+        (_covered(F.col("_pos"), F.col("_neg"), negative_override), "exclude", F.concat(F.lit("hard_negative:"), F.array_join("_neg", "|"))),
     ]
     review = F.concat(F.lit("positive:"), F.array_join("_pos", "|"), F.lit("|negative:"), F.array_join("_neg", "|"))
     decision, reason = F.lit("needs_review"), review
     for test, verdict, why in reversed(ladder):
         decision, reason = F.when(test, verdict).otherwise(decision), F.when(test, why).otherwise(reason)
     d = d.withColumn("decision", decision).withColumn("reason", reason)
-    return d.withColumn("positive_rules", F.array_join("_pos", ",")).withColumn("negative_rules", F.array_join("_neg", ",")).drop("_pos", "_neg", "_ai")
+    early = F.col("reason").isin("retracted", "missing_abstract", "low_quality_abstract", "hard_offtopic_title", "year_out_of_range")
+    named = lambda c: F.when(early, "").otherwise(F.array_join(c, ","))
+    return d.withColumn("positive_rules", named("_pos")).withColumn("negative_rules", named("_neg")).drop("_pos", "_neg", "_ai")
 
 
 def screened_corpus(screened: DataFrame) -> DataFrame:
@@ -112,8 +115,8 @@ def exclusion_reason(manual: Column, abstract_ok: Column, title_offtopic: Column
 
 
 def veto(offtopic: Column, title_hits: Column, relevance_index: Column) -> Column:
-    """Off-topic records go unless a title hit or a high index shows a strong scope."""
-    return offtopic & ~((F.coalesce(title_hits, F.lit(0)) > 0) | (F.coalesce(relevance_index, F.lit(0.0)) >= STRONG_RELEVANCE))
+    """Off-topic records go unless title hits (labels, not empty) or a high index show a strong scope."""
+    return offtopic & ~((F.coalesce(title_hits, F.lit("")) != "") | (F.coalesce(relevance_index, F.lit(0.0)) >= STRONG_RELEVANCE))
 
 
 def audit(docs: DataFrame, text: str, flags: Mapping[str, str]) -> DataFrame:

@@ -189,11 +189,12 @@ def ladder_sql() -> str:
             WHEN regexp_matches(abstract, '(?i)(?:https?://|download link|conference proceedings|lsdexception|unhidewhenused|semihidden|<w:)') THEN ['exclude', 'low_quality_abstract']
             WHEN len(pos) > 0 AND NOT ai AND list_contains(pos, 'license') THEN ['needs_review', 'no_ai_signal'] WHEN len(pos) > 0 AND NOT ai THEN ['exclude', 'no_ai_signal']
             WHEN len(pos) = 0 AND len(neg) = 0 THEN ['exclude', 'no_scope_signal'] WHEN len(pos) = 0 THEN ['exclude', 'hard_negative:' || array_to_string(neg, '|')]
-            WHEN len(neg) = 0 THEN ['include', 'positive:' || array_to_string(pos, '|')]
-            WHEN list_contains(pos, 'contact') AND NOT list_contains(neg, 'reserved') THEN ['include', 'positive_override:' || array_to_string(pos, '|')]
-            WHEN list_contains(pos, 'license') AND NOT list_contains(neg, 'token') THEN ['exclude', 'negative_override:' || array_to_string(neg, '|')]
+            WHEN len(neg) = 0 THEN ['include', '']
+            WHEN list_contains(pos, 'contact') AND NOT list_contains(neg, 'reserved') THEN ['include', '']
+            WHEN list_contains(pos, 'license') AND NOT list_contains(neg, 'token') THEN ['exclude', 'hard_negative:' || array_to_string(neg, '|')]
             ELSE ['needs_review', 'positive:' || array_to_string(pos, '|') || '|negative:' || array_to_string(neg, '|')] END AS r FROM m)
-        SELECT id, r[1] AS decision, r[2] AS reason, array_to_string(pos, ',') AS positive_rules, array_to_string(neg, ',') AS negative_rules FROM d"""
+        SELECT id, r[1] AS decision, r[2] AS reason, CASE WHEN r[2] IN ('retracted', 'missing_abstract', 'low_quality_abstract') THEN '' ELSE array_to_string(pos, ',') END AS positive_rules,
+            CASE WHEN r[2] IN ('retracted', 'missing_abstract', 'low_quality_abstract') THEN '' ELSE array_to_string(neg, ',') END AS negative_rules FROM d"""
 
 
 def screened(t: Tables) -> DataFrame:
@@ -231,7 +232,7 @@ def relevance_rank_floor_cap(t: Tables) -> DataFrame:
 
 @query(f"WITH {SCORED} SELECT doc_id, lang <> 'en' AND NOT (source = 'src1' OR relevance >= 0.48) AS vetoed FROM scored")
 def veto(t: Tables) -> DataFrame:
-    return scored(t).select("doc_id", rules.veto(F.col("lang") != "en", F.when(F.col("source") == "src1", 1).otherwise(0), F.col("relevance")).alias("vetoed"))
+    return scored(t).select("doc_id", rules.veto(F.col("lang") != "en", F.when(F.col("source") == "src1", "label").otherwise(""), F.col("relevance")).alias("vetoed"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS flag, count(*) FILTER (regexp_matches(text, '{p}')) AS n, round_even(100.0 * count(*) FILTER (regexp_matches(text, '{p}')) / count(*), 2) AS pct FROM documents" for k, p in DEMO.items()))

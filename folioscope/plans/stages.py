@@ -16,12 +16,12 @@ Frames = dict[str, DataFrame]
 
 
 def clean(tables: Frames) -> Frames:
-    """corpus to corpus_clean: one record of each DOI and title, years in range, no retractions, off-topic vetoed."""
-    d = tables["corpus"]
-    d = D.dedup_records(D.with_optional(d, {"scope_positive_title_count": "int", "relevance_index": "double", "primary_topic": "string"}), T.blank_to_null(F.col("doi")), T.title_key(F.col("title")), "ingest_order")
+    """corpus to corpus_clean: one record of each DOI and title, years in range, no retractions, off-topic topics vetoed."""
+    d = tables["corpus"].withColumn("title", T.clean_html(F.col("title"))).withColumn("abstract", T.clean_html(F.col("abstract")))
+    d = D.dedup_records(D.with_optional(d, {"scope_positive_title_hits": "string", "relevance_index": "double", "primary_topic": "string"}), T.blank_to_null(F.col("doi")), T.title_key(F.col("title")), "ingest_order")
     d = d.where(F.col("publication_year").between(*rules.YEARS)).where(~T.any_match(F.col("title"), rules.RETRACTED))
-    off = T.any_match(F.col("title"), rules.OFFTOPIC_TITLE) | T.any_match(F.col("primary_topic"), rules.OFFTOPIC_TOPIC)
-    return {"corpus_clean": d.where(~rules.veto(off, F.col("scope_positive_title_count"), F.col("relevance_index")))}
+    off = T.any_match(F.col("primary_topic"), rules.OFFTOPIC_TOPIC)
+    return {"corpus_clean": d.where(~rules.veto(off, F.col("scope_positive_title_hits"), F.col("relevance_index")))}
 
 
 def indicators(tables: Frames) -> Frames:

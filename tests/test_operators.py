@@ -19,16 +19,16 @@ LONG = "This abstract says enough about the study and about its results to count
         ("A study", LONG, 2019, "exclude", "year_out_of_range"),
         ("A study", LONG, None, "exclude", "no_scope_signal"),
         ("Research integrity", LONG, 2024, "needs_review", "no_ai_signal"),
-        ("AI literacy", LONG.replace("AI", ""), 2024, "include", "positive:ai_literacy"),
+        ("AI literacy", LONG.replace("AI", ""), 2024, "include", ""),
         ("Algorithmic literacy", LONG, 2024, "exclude", "no_ai_signal"),
         ("Nursing care", LONG, 2024, "exclude", "hard_negative:medical"),
-        ("INTEGRIDADE ACADÊMICA e inteligência artificial", LONG, 2024, "include", "positive:integrity_governance"),
-        ("AI in scientific writing for nursing", LONG, 2024, "include", "positive_override:research_writing|scholarly_publishing"),
-        ("AI and research integrity in business", LONG, 2024, "exclude", "negative_override:industrial"),
+        ("INTEGRIDADE ACADÊMICA e inteligência artificial", LONG, 2024, "include", ""),
+        ("AI in scientific writing for nursing", LONG, 2024, "include", ""),
+        ("AI and research integrity in business", LONG, 2024, "exclude", "hard_negative:industrial"),
         ("AI and research integrity in nursing", LONG, 2024, "needs_review", "positive:integrity_governance|negative:medical"),
         ("The paper mill industry and AI", LONG, 2024, "exclude", "no_scope_signal"),
-        ("The paper mill fraud and AI", LONG, 2024, "include", "positive:integrity_governance"),
-        ("An AI peer reviewer", LONG, 2024, "include", "positive:research_workflow"),
+        ("The paper mill fraud and AI", LONG, 2024, "include", ""),
+        ("An AI peer reviewer", LONG, 2024, "include", ""),
     ],
 )
 def test_ladder(spark, title, abstract, year, decision, reason):
