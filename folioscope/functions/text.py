@@ -251,6 +251,13 @@ def month_name(date: Column, names: Sequence[str]) -> Column:
     return F.concat(F.dayofmonth(date), F.lit(" de "), F.element_at(F.array(*map(F.lit, names)), F.month(date)), F.lit(" de "), F.year(date))
 
 
+def axis_lines(text: Column) -> Column:
+    """axis, mean and min of lines such as 'Axis E: mean=0.76 min=0.68 [..]', negative numbers too."""
+    lines = F.regexp_extract_all(text, F.lit(r"(Axis \w: *mean=-?[\d.]+ +min=-?[\d.]+)"), F.lit(1))
+    number = lambda x, name: F.regexp_extract(x, rf"{name}=(-?\d+(?:\.\d+)?)", 1).try_cast("double")
+    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"Axis (\w)", 1).alias("axis"), number(x, "mean").alias("mean"), number(x, "min").alias("min")))
+
+
 #: Portuguese months.
 MONTHS = "janeiro fevereiro março abril maio junho julho agosto setembro outubro novembro dezembro".split()
 #: Cluster phrases spelled on their own and acronyms in them.

@@ -183,3 +183,11 @@ def code_dimension_lookup(t: Tables) -> DataFrame:
 @query("SELECT s_name AS name, list_aggregate(list_transform(string_split(replace(lower(s_name), '#', ' # '), ' '), lambda w: CASE WHEN w = '' THEN '' ELSE upper(w[1]) || w[2:] END), 'string_agg', ' ') AS spaced FROM supplier")
 def label_title_case(t: Tables) -> DataFrame:
     return t.supplier.select(F.col("s_name").alias("name"), T.title_case(F.replace("s_name", F.lit("#"), F.lit(" # "))).alias("spaced"))
+
+
+@query()
+def keyword_communities(t: Tables) -> DataFrame:
+    from ..operators.graph import communities
+
+    edges = B.pairs(t.keywords(), F.col("kws"), 4)
+    return communities(edges.orderBy(F.desc("weight"), "source", "target").limit(200))

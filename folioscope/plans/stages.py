@@ -10,11 +10,48 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import biblio as B
 from ..operators import dedup as D
+from ..operators import rank as R
 from ..operators import rules
+from ..operators import vectors as V
 
 Frames = dict[str, DataFrame]
 
 
+def lexical_features(d: DataFrame) -> DataFrame:
+    """Add rule hits and counts, category, alignment and off-topic flags to canonical records."""
+    text = lambda *cs: F.concat_ws(" ", *(F.coalesce(F.col(c), F.lit("")) for c in cs))
+    heading = text("title", "primary_topic", "keyword_terms")
+    body = text("title", "primary_topic", "keyword_terms", "topic_terms", "abstract")
+    hits = {"scope_positive": (body, rules.POSITIVE), "scope_positive_title": (heading, rules.POSITIVE), "scope_negative": (body, rules.NEGATIVE), "ai_signal": (body, rules.AI_SIGNALS)}
+    for name, (where, table) in hits.items():
+        d = d.withColumn(f"{name}_hits", T.pipe_join(T.matching_labels(where, table))).withColumn(f"{name}_count", T.count_labels(F.col(f"{name}_hits")))
+    d = d.withColumn("category", T.first_label(body, rules.POSITIVE, "other_relevant")).withColumn("core_alignment", F.col("scope_positive_count") > 0)
+    d = d.withColumn("title_offtopic", T.any_match(F.col("title"), rules.OFFTOPIC_TITLE)).withColumn("offtopic_topic", T.any_match(F.col("primary_topic"), rules.OFFTOPIC_TOPIC))
+    return d.withColumn("abstract_ok", F.length(F.coalesce("abstract", F.lit(""))) >= rules.MIN_ABSTRACT)
+
+
+def fetch(tables: Frames) -> Frames:
+    """sources (canonical, with ingest_order, and similarities where there are any) to corpus and fetch_exclusions.
+
+    Each excluded record has a reason; of the others those that pass the threshold stay, within
+    the floor and the cap, and manual records with an abstract always do.
+    """
+    d = D.with_optional(tables["sources"], {"semantic_positive": "double", "semantic_negative": "double", "semantic_margin": "double"})
+    d = lexical_features(d)
+    manual = F.col("data_source").isin(*rules.MANUAL_SOURCES)
+    d = d.withColumn("relevance_index", rules.relevance(F.col("semantic_positive"), F.col("semantic_negative"), F.col("semantic_margin"), F.col("scope_positive_count"), F.col("scope_positive_title_count"), F.col("ai_signal_count"), F.coalesce("matched_search_term_count", F.lit(0)), F.col("abstract_ok"), F.col("scope_negative_count"), F.col("offtopic_topic")))
+    d = d.withColumn("fetch_exclusion_reason", rules.exclusion_reason(manual, F.col("abstract_ok"), F.col("title_offtopic"), F.col("core_alignment")))
+    order = [F.desc("relevance_index"), F.desc("matched_search_term_count"), F.desc("scope_positive_count"), F.desc("cited_by_count"), F.asc("ingest_order")]
+    ranked = R.keep_ranked(d.where("fetch_exclusion_reason = ''"), "relevance_index", order, rules.THRESHOLD, rules.FLOOR, rules.CAP)
+    kept = ranked.where("keep").select("ingest_order", F.col("rank").alias("fetch_keep_rank"))
+    d = d.join(kept, "ingest_order", "left")
+    stays = F.col("fetch_keep_rank").isNotNull() | (manual & F.col("abstract_ok"))
+    reason = F.when(stays, "keep").when(F.col("fetch_exclusion_reason") == "", "low_relevance").otherwise(F.col("fetch_exclusion_reason"))
+    d = d.withColumn("fetch_exclusion_reason", reason)
+    corpus, excluded = D.split(d, F.col("fetch_exclusion_reason") == "keep")
+    return {"corpus": corpus.drop("core_alignment", "title_offtopic", "offtopic_topic", "abstract_ok"), "fetch_exclusions": excluded}
+
+
 def clean(tables: Frames) -> Frames:
     """corpus to corpus_clean: one record of each DOI and title, years in range, no retractions, off-topic topics vetoed."""
     d = tables["corpus"].withColumn("title", T.clean_html(F.col("title"))).withColumn("abstract", T.clean_html(F.col("abstract")))
@@ -41,12 +78,30 @@ def indicators(tables: Frames) -> Frames:
     }
 
 
+def embed(tables: Frames) -> Frames:
+    """corpus_clean and embeddings (id, vector) to corpus_clustered and embedding_exclusions."""
+    good, bad = D.split(tables["corpus_clean"], (F.length("abstract") >= rules.MIN_EMBED) & ~T.any_match(F.col("abstract"), rules.LOW_QUALITY))
+    found, _, _ = V.kmeans(good.join(tables["embeddings"], "id"), "vector")
+    return {"corpus_clustered": V.pca2(found, "vector"), "embedding_exclusions": bad.withColumn("abs_len", F.length("abstract"))}
+
+
+def axes(tables: Frames) -> Frames:
+    """corpus_clustered and poles (axis, pole, name, vector) to axis_scores with a column for each axis, and its z-score."""
+    d = tables["corpus_clustered"]
+    names = [r[0] for r in tables["poles"].select("axis").distinct().orderBy("axis").limit(100).collect()]  # the columns to make
+    for name in names:
+        d = V.project(d, "vector", V.axis(tables["poles"].where(F.col("axis") == name)), f"axis_{name}", centered=True)
+    stats = d.agg(*(F.avg(f"axis_{n}").alias(f"_m_{n}") for n in names), *(F.stddev_pop(f"axis_{n}").alias(f"_s_{n}") for n in names))
+    d = d.crossJoin(F.broadcast(stats))
+    return {"axis_scores": d.select("id", "title", "publication_year", "cluster", *(f"axis_{n}" for n in names), *(((F.col(f"axis_{n}") - F.col(f"_m_{n}")) / F.col(f"_s_{n}")).alias(f"axis_{n}_z") for n in names))}
+
+
 def screening(tables: Frames) -> Frames:
     decided = rules.screen(tables["corpus_clean"])
     return {"screening_decisions": decided, "corpus_paper": rules.screened_corpus(decided)}
 
 
-STAGES: dict[str, Callable[[Frames], Frames]] = {"clean": clean, "indicators": indicators, "screening": screening}
+STAGES: dict[str, Callable[[Frames], Frames]] = {"fetch": fetch, "clean": clean, "indicators": indicators, "embed": embed, "axes": axes, "screening": screening}
 
 
 def resolve(names: Sequence[str] | None = None, start: str | None = None, exclude: Sequence[str] = ()) -> list[str]:

@@ -76,3 +76,8 @@ def test_context_and_entities(spark):
     got = one(spark, T.context(F.col("s"), "c+", 2), s="abccd")
     assert got["position"] == 3 and got["context"] == "abcc"
     assert one(spark, T.unescape(F.col("s")), s="&amp;lt; &lt;b&gt;") == "&lt; <b>"
+
+
+def test_axis_lines(spark):
+    got = one(spark, T.axis_lines(F.col("s")), s="Axis E: mean=0.758 min=-0.1 [PASS]\nAxis N: mean=1 min=0.5")
+    assert [tuple(x) for x in got] == [("E", 0.758, -0.1), ("N", 1.0, 0.5)]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import biblio, dedup, rank, rules, sampling, stats, vectors
+from folioscope.operators import biblio, claims, dedup, graph, rank, rules, sampling, stats, vectors
 
 LONG = "This abstract says enough about the study and about its results to count as one. "
 
@@ -176,3 +176,18 @@ def test_encode_missing(spark):
     empty = spark.createDataFrame([], "key string, vector array<float>")
     enc = lambda xs: [[float(len(x)), 1.0] for x in xs]
     assert vectors.encode_missing(texts, empty, enc).count() == 2
+
+
+def test_verdicts(spark):
+    row = (0.1, [-0.1, 0.0, 0.3], [0.1, 0.2, -0.01], 1.5, 80.0, 70.0, 5.0, 9.0, 4.9, "integrity_governance", 35.0, 60.0, 49.9, 0.19, 85.0, 50.0, 31.0)
+    got = {r["claim"]: r["verdict"] for r in claims.verdicts(spark.createDataFrame([row], claims.METRICS)).collect()}
+    assert got == {"C1": "confirmed", "C2": "confirmed", "C3": "confirmed", "C4": "confirmed", "C5": "confirmed", "C6": "partial", "C7": "not_confirmed", "C8": "confirmed", "C9": "confirmed", "Q1": "not_confirmed"}
+    none = spark.createDataFrame([tuple([None] * len(row))], claims.METRICS)
+    assert {r["verdict"] for r in claims.verdicts(none).collect()} == {"not_confirmed"}
+
+
+def test_communities(spark):
+    edges = [("a", "b", 5), ("b", "c", 5), ("a", "c", 5), ("x", "y", 6), ("y", "z", 6), ("c", "x", 1)]
+    got = {r["node"]: r["community"] for r in graph.communities(spark.createDataFrame(edges, "source string, target string, weight long")).collect()}
+    assert got == {"a": 0, "b": 0, "c": 0, "x": 1, "y": 1, "z": 1}
+    assert graph.communities(spark.createDataFrame([], "source string, target string, weight long")).count() == 0

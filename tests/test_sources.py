@@ -1,9 +1,12 @@
 import json
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from folioscope.plans import stages
-from folioscope.sources import cache, exports, works
+from folioscope.sources import cache, exchange, exports, works
 from folioscope.streaming import events
 
 
@@ -109,11 +112,11 @@ def test_paged_source(spark):
 def test_stages(spark):
     rows = [("p1", "10.1/a", "AI in scientific writing", 2021, "A; B", "J one", 4, "ai|x", "BR|US", 1), ("p2", "10.1/a", "Copy", 2021, "A", "J one", 1, "x", "BR", 2), ("p3", None, "Old", 2010, "C", "J", 1, "y", "US", 3), ("p4", None, "Retracted: z", 2022, "C", "J", 1, "y", "US", 4)]
     corpus = spark.createDataFrame(rows, "id string, doi string, title string, publication_year int, authors string, journal string, cited_by_count bigint, keyword_terms string, countries string, ingest_order int").withColumn("abstract", F.lit("x" * 80)).withColumn("is_in_doaj", F.lit(True))
-    got = stages.run(spark, {"corpus": corpus})
+    got = stages.run(spark, {"corpus": corpus}, ["clean", "indicators", "screening"])
     assert [r["id"] for r in got["corpus_clean"].collect()] == ["p1"]
     assert {r["author"] for r in got["top_authors"].collect()} == {"A", "B"}
     assert got["corpus_paper"].count() == 1
-    assert stages.resolve(start="indicators", exclude=["screening"]) == ["indicators"]
+    assert stages.resolve(start="indicators", exclude=["embed", "axes", "screening"]) == ["indicators"]
 
 
 def test_stream(spark, sf_dir, tmp_path):
@@ -130,3 +133,35 @@ def test_stream(spark, sf_dir, tmp_path):
     assert events.sessions(source, "1 hour").agg(F.sum("n")).first()[0] == source.count()
     assert events.sliding(source, "2 hours", "1 hour").agg(F.sum("n")).first()[0] == 2 * source.count()
     assert events.first_seen(source, "user_id").count() == source.select("user_id").distinct().count()
+
+
+def test_fetch_embed_axes(spark):
+    good = "AI supports research integrity and peer review automation in journals. " * 3
+    rows = [(i, f"w{i}", f"10.1/{i}", f"AI and research integrity {i}", good, 2021, 5, "openalex") for i in range(6)]
+    rows += [(10, "m", "", "Handpicked", "x" * 60, 2021, 0, "ris_manual"), (11, "n", "", "Nothing", "", 2021, 0, "openalex"), (12, "o", "", "Tourism and AI", good, 2021, 0, "openalex"), (13, "p", "", "Plain", "y" * 60, 2021, 0, "openalex")]
+    src = spark.createDataFrame(rows, "ingest_order int, id string, doi string, title string, abstract string, publication_year int, cited_by_count bigint, data_source string")
+    src = src.join(works.canonical(src, "x").select("id", *(c for c in works.CANONICAL if c not in src.columns)), "id")
+    out = stages.fetch({"sources": src})
+    reasons = {r["id"]: r["fetch_exclusion_reason"] for r in out["fetch_exclusions"].collect()}
+    assert reasons == {"n": "no_abstract", "o": "offtopic_title", "p": "weak_domain_alignment"}
+    assert {r["id"] for r in out["corpus"].collect()} == {f"w{i}" for i in range(6)} | {"m"}
+    vectors = spark.createDataFrame([(f"w{i}", [float(i % 2), 1.0, float(i)]) for i in range(6)], "id string, vector array<double>")
+    poles = spark.createDataFrame([("e", "high", "a", [1.0, 0.0, 0.0]), ("e", "low", "b", [0.0, 1.0, 0.0])], "axis string, pole string, name string, vector array<double>")
+    got = stages.run(spark, {"corpus": out["corpus"], "embeddings": vectors, "poles": poles}, ["clean", "embed", "axes"])
+    scores = got["axis_scores"].collect()
+    assert len(scores) == 6 and abs(sum(r["axis_e_z"] for r in scores)) < 1e-9
+    assert [r["id"] for r in got["embedding_exclusions"].collect()] == ["m"]
+
+
+def test_exchange(spark, tmp_path):
+    np.save(tmp_path / "m.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
+    v = exchange.npy(spark, str(tmp_path / "m.npy"))
+    d = spark.createDataFrame([(0, "a"), (1, "b|c"), (2, None)], "n int, s string")
+    joined = exchange.numbered(d, v, "n")
+    assert {r["n"]: r["vector"] for r in joined.collect()}[2] == [4.0, 5.0]
+    with pytest.raises(ValueError, match="2 rows but 3 vectors"):
+        exchange.numbered(d.where("n < 2"), v, "n")
+    assert exchange.markdown(d, "n").first()["text"] == "| n | s |\n|-|-|\n| 0 | a |\n| 1 | b\\|c |\n| 2 |  |"
+    assert json.loads(exchange.summary({"t": d.orderBy("n").limit(1)}).first()["t"]) == [{"n": 0, "s": "a"}]
+    exchange.to_csv(joined, f"{tmp_path}/csv", "n")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 3
