@@ -26,6 +26,8 @@ from .common import durable, parallelism
 LINKS, BUILD_BEAM, BEAM = 16, 64, 96
 #: Points of a shard at most, as the mean: a graph of so many takes about 30 MB with 64 components.
 SHARD_POINTS = 32_768
+#: Shards are smaller only down to this, to occupy the cores.
+LEAST_POINTS = 2_048
 BLOCK = 256
 
 
@@ -218,7 +220,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, links: int = LINKS,
     points = first.groupBy("point").agg(F.min_by("embedding", "r").alias("embedding"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
     points = durable(points)
     asked = durable(rows.where(F.col("vec_id") % every == 0).select("point", F.col("vec_id").alias("query_id")))
-    shards = max(2 * parallelism(spark), -(-points.count() // shard_points))
+    # Every shard meets every query, so a large cluster doesn't get more shards than the points are worth.
+    n = points.count()
+    shards = max(1, -(-n // shard_points), min(2 * parallelism(spark), -(-n // LEAST_POINTS)))
     shard = F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int")
     questions = points.join(asked.select("point").distinct(), "point", "left_semi").select("point", "embedding", F.lit(None).cast("array<bigint>").alias("ids"))
     stream = points.select(shard.alias("shard"), F.lit(0).alias("kind"), "point", "embedding", "ids").union(questions.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "point", "embedding", "ids"))
