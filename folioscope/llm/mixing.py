@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import WORD, durable
 
 WEIGHTS, SHARE, LIMIT = (3, 1, 2), 1.5, 2
-BLOCK, SHARD_WORDS, SEED = 64, 1 << 22, "mix"
+BLOCK, SHARD_WORDS, SEED = 64, 1 << 18, "mix"
 
 
 def words(text: Column) -> Column:
