@@ -7,12 +7,13 @@ A passage recurs if a window of `window` words does.  The steps, each over the w
    are seeds, and those are all that is counted.
 2. Windows with a recurring seed are hashed; equal ones confirm a recurring window, and the least
    position owns it.  Runs of owned windows are passages.
-3. Passages go to the documents that share a seed with them.  A task takes documents with their
-   passages a few megabytes at a time, compiles the passages' phrases into an Aho-Corasick
-   automaton over words, streams the documents through it, and verifies each occurrence.
+3. Documents with a recurring seed are dealt into shards, and each shard gets the passages that
+   any of its windows belongs to.  A task compiles its passages' phrases into an Aho-Corasick
+   automaton over words, streams its documents through it, and verifies each occurrence.
 
 Text classes, positions and seeds are tables throughout.  No step pairs the occurrences of a
-window: each is held against its one owner.
+window or of a seed: each is held against its one owner.  Shards are of documents, so a passage
+that very many share goes to every shard once, and none has more than its part of the documents.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -33,7 +34,7 @@ from .common import durable, stored
 WINDOW, PHRASE = 20, 8
 #: Bits of a position that count words within a text; the rest number the texts.
 START_BITS = 27
-#: Bytes of documents and passages for which one automaton is built.
+#: Bytes of passages for which one automaton is built.
 SHARD_BYTES = 4_000_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -124,40 +125,47 @@ def _windows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for no, text, known in zip(*(batch.column(i) for i in range(3)), strict=True):
-                hashes = word_hashes(text.as_py().split())
-                at, grams = seeds(hashes, window)
-                start = np.nonzero(np.isin(grams[at], known.values.to_numpy().view(np.uint64)))[0]
-                if len(start):
-                    high, low = run_hashes(hashes, window)[start], run_hashes(hashes, window, 1)[start]
-                    position = (no.as_py() << START_BITS) + start
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(high)), pa.array((low >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(position)], ["high", "low", "position"])
+            for begin in range(0, batch.num_rows, 1000):
+                part = batch.slice(begin, 1000)
+                out: list[tuple] = []
+                for no, text, known in zip(*(part.column(i) for i in range(3)), strict=True):
+                    hashes = word_hashes(text.as_py().split())
+                    at, grams = seeds(hashes, window)
+                    known = np.sort(known.values.to_numpy().view(np.uint64))
+                    places = np.unique(at)
+                    recurs = np.zeros(len(grams), dtype=bool)
+                    recurs[places] = known[np.minimum(np.searchsorted(known, grams[places]), len(known) - 1)] == grams[places]
+                    start = np.nonzero(recurs[at])[0]
+                    out.append((run_hashes(hashes, window)[start], run_hashes(hashes, window, 1)[start] >> np.uint64(32), (no.as_py() << START_BITS) + start))
+                high, low, position = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(high)), pa.array(low.astype(np.uint32).view(np.int32)), pa.array(position.astype(np.int64))], ["high", "low", "position"])
 
     return run
 
 
 def _passages(window: int):
-    """Runs of owned windows: position, words and seeds."""
+    """The words of runs of owned windows, each given by its first start and its last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for no, text, starts in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for no, text, runs in zip(*(batch.column(i) for i in range(3)), strict=True):
                 words = text.as_py().split()
-                at, grams = seeds(word_hashes(words), window)
-                own = np.sort(starts.values.to_numpy())
-                for part in np.split(own, np.nonzero(np.diff(own) > 1)[0] + 1):
-                    a, b = int(part[0]), int(part[-1])
-                    out.append(((no.as_py() << START_BITS) + a, b" ".join(words[a : b + window]), _signed(np.unique(grams[np.unique(at[a : b + 1])]))))
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            columns = zip(*out, strict=True) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["position", "words", "seeds"])
+                for r in runs.as_py():
+                    out.append(((no.as_py() << START_BITS) + r["first"], b" ".join(words[r["first"] : r["last"] + window])))
+            columns = zip(*out, strict=True) if out else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary()), strict=True)], ["position", "words"])
 
     return run
 
 
 class Automaton:
-    """Finds the windows of some passages in texts; words are letters of its alphabet."""
+    """Finds the windows of some passages in texts.
+
+    A word is three letters, digits of its number to the base 128 from an alphabet for each place:
+    nodes of the automaton keep few children, which it searches in turn, and a match can only
+    begin at a word.
+    """
 
     def __init__(self, passages: dict[int, bytes], window: int = WINDOW) -> None:
         self.window, self.block = window, (window + 1) // 2
@@ -166,10 +174,15 @@ class Automaton:
         self.trie = ahocorasick.Automaton()
         for position, text in passages.items():
             words = text.split()
-            letters = self.spell(words, learn=True)
+            for w in words:
+                if w not in self.letters:
+                    # Beyond 2 to the 21st words share letters; verification tells them apart.
+                    n = len(self.letters)
+                    self.letters[w] = chr(256 + (n >> 14 & 127)) + chr(512 + (n >> 7 & 127)) + chr(768 + (n & 127))
+            letters = self.spell(words)
             # Any window holds one of these blocks whole.
             for k in range(0, len(words) - self.block + 1, self.block):
-                self.trie.add_word(letters[k : k + self.block], True)
+                self.trie.add_word(letters[3 * k : 3 * (k + self.block)], True)
             hashes = word_hashes(words)
             high.append(run_hashes(hashes, window))
             low.append(run_hashes(hashes, window, 1))
@@ -182,63 +195,62 @@ class Automaton:
         self.low = np.concatenate(low or empty)[order] >> np.uint64(32)
         self.where = np.concatenate(where or [np.zeros(0, np.int64)])[order]
 
-    def spell(self, words: list[bytes], learn: bool = False) -> str:
-        if learn:
-            for w in words:
-                if w not in self.letters:
-                    # Beyond the code points words share letters; verification tells them apart.
-                    n = 1 + len(self.letters) % 1_000_000
-                    self.letters[w] = chr(n if n < 0xD800 else n + 0x800)
+    def spell(self, words: list[bytes]) -> str:
         get = self.letters.get
-        return "".join([get(w, "\0") for w in words])
+        return "".join([get(w, "\0\0\0") for w in words])
 
     def covered(self, words: list[bytes], position: int) -> np.ndarray:
         """Which words windows cover that the passages own at another position; `position` is the text's own."""
-        out = np.zeros(len(words) + 1, np.int64)
-        ends = np.fromiter((e for e, _ in self.trie.iter(self.spell(words))), dtype=np.int64) if self.trie.kind == ahocorasick.AHOCORASICK else np.zeros(0, np.int64)
-        if not len(ends):
-            return out[:-1].astype(bool)
-        # A block of a window starts within its first window - block + 1 words.
-        starts = np.unique((ends - self.block + 1)[:, None] - np.arange(self.window - self.block + 1)[None])
-        starts = starts[(starts >= 0) & (starts <= len(words) - self.window)]
+        n, w, b = len(words), self.window, self.block
+        none = np.zeros(n, dtype=bool)
+        if n < w or self.trie.kind != ahocorasick.AHOCORASICK:
+            return none
+        at = np.fromiter((e for e, _ in self.trie.iter(self.spell(words))), dtype=np.int64)
+        if not len(at):
+            return none
+        at = (at + 1) // 3 - b
+        # The windows that hold a block found whole start at most window - block words before it.
+        steps = np.zeros(n + 1, np.int64)
+        np.add.at(steps, np.maximum(at - (w - b), 0), 1)
+        np.add.at(steps, at + 1, -1)
+        starts = np.nonzero(np.cumsum(steps[: n - w + 1]) > 0)[0]
         hashes = word_hashes(words)
-        high, low = run_hashes(hashes, self.window)[starts], run_hashes(hashes, self.window, 1)[starts] >> np.uint64(32)
-        at = np.minimum(np.searchsorted(self.high, high), len(self.high) - 1)
-        hit = (self.high[at] == high) & (self.low[at] == low) & (self.where[at] != position + starts)
-        starts = starts[hit]
-        out[starts] += 1
-        out[starts + self.window] -= 1
-        return np.cumsum(out[:-1]) > 0
+        high, low = run_hashes(hashes, w)[starts], run_hashes(hashes, w, 1)[starts] >> np.uint64(32)
+        place = np.minimum(np.searchsorted(self.high, high), len(self.high) - 1)
+        hit = (self.high[place] == high) & (self.low[place] == low) & (self.where[place] != position + starts)
+        ends = np.zeros(n + 1, np.int64)
+        ends[starts[hit]] += 1
+        ends[starts[hit] + w] -= 1
+        return np.cumsum(ends[:-1]) > 0
 
 
 def _stream(window: int):
-    def flush(held: list[tuple[int, bytes]], passages: dict[int, bytes]) -> pa.RecordBatch:
-        automaton, out = Automaton(passages, window), []
-        for no, text in held:
-            words = text.split()
-            gone = automaton.covered(words, no << START_BITS)
-            if n := int(gone.sum()):
-                out.append((no, n, hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest()))
-        columns = zip(*out, strict=True) if out else [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["no", "n_removed", "kept"])
+    """n_removed and kept of each document of a shard; rows of kind 0 are passages and come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
-        passages: dict[int, bytes] = {}
-        size = 0
+        shard, passages, size = None, {}, 0
+        automata: list[Automaton] = []
         for batch in batches:
-            for no, text, shared in zip(*(batch.column(i) for i in range(3)), strict=True):
-                held.append((no.as_py(), text.as_py()))
-                size += len(held[-1][1])
-                for p in shared.as_py():
-                    if p["position"] not in passages:
-                        passages[p["position"]] = p["words"]
-                        size += 4 * len(p["words"])
-                if size >= SHARD_BYTES:
-                    yield flush(held, passages)
-                    held, passages, size = [], {}, 0
-        if held:
-            yield flush(held, passages)
+            out = []
+            for of, kind, key, text in zip(*(batch.column(i) for i in range(4)), strict=True):
+                if of.as_py() != shard:
+                    shard, passages, automata, size = of.as_py(), {}, [], 0
+                if kind.as_py() == 0:
+                    passages[key.as_py()] = text.as_py()
+                    size += len(passages[key.as_py()])
+                if passages and (kind.as_py() or size >= SHARD_BYTES):
+                    automata.append(Automaton(passages, window))
+                    passages, size = {}, 0
+                if kind.as_py() == 0 or not automata:
+                    continue
+                words = text.as_py().split()
+                gone = np.zeros(len(words), dtype=bool)
+                for automaton in automata:
+                    gone |= automaton.covered(words, key.as_py() << START_BITS)
+                if n := int(gone.sum()):
+                    out.append((key.as_py(), n, hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest()))
+            columns = zip(*out, strict=True) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["no", "n_removed", "kept"])
 
     return run
 
@@ -258,6 +270,10 @@ def _numbered(classes: DataFrame) -> DataFrame:
     return rows.withColumn("no", offset + F.col("m").bitwiseAND((1 << 33) - 1)).drop("m")
 
 
+def shard_of(no: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(no), F.lit(shards)).cast("int")
+
+
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and kept_sha256 (of the words kept, joined by one space).
 
@@ -276,20 +292,36 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if classes.where("digest <> other").isEmpty():
             break
     classes = durable(_numbered(classes.drop("other")).select("tag", "no", F.col("doc_id").alias("first")))
-    named = survey.select("tag", F.explode("seeds").alias("seed"))
-    counted = named.select("seed", "tag", F.lit(0).alias("again")).union(survey.select(F.explode("again").alias("seed"), "tag", F.lit(1).alias("again")))
-    recurring = counted.groupBy("seed").agg(F.min("tag").alias("a"), F.max("tag").alias("b"), F.max("again").alias("c")).where("a <> b or c = 1").select("seed")
-    shared = named.join(recurring, "seed").groupBy("tag").agg(F.collect_set("seed").alias("seeds")).join(classes, "tag")
+    _release(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A seed that a text has twice counts under the complement of the text's tag too; that tag is no text's row below.
+    both = F.concat(F.transform("seeds", lambda x: F.struct(x.alias("seed"), F.col("tag").alias("tag"))), F.transform("again", lambda x: F.struct(x.alias("seed"), F.bitwise_not("tag").alias("tag"))))
+    # Stated here, as a join would state it on one side only, and its exchange could not serve both.
+    named = survey.select(F.explode(both).alias("s")).select("s.seed", "s.tag").where("seed is not null and tag is not null").repartition(parts, "seed")
+    recurring = named.groupBy("seed").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a <> b").select("seed")
+    shared = durable(named.join(recurring, "seed").groupBy("tag").agg(F.collect_set("seed").alias("seeds")).join(classes, "tag"))
+    _release(spark)
     texts = keyed.join(shared, "tag").where(F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["tag"])
     texts = stored(texts.select("no", F.col("text").cast("binary").alias("text"), "seeds"), "recurring")
     _release(spark)
-    owned = texts.mapInArrow(_windows(window), "high long, low int, position long").groupBy("high", "low").agg(F.min("position").alias("position"), F.count("*").alias("n")).where("n > 1")
-    owned = owned.groupBy(F.shiftright("position", START_BITS).alias("no")).agg(F.collect_list(F.col("position").bitwiseAND((1 << START_BITS) - 1)).alias("starts"))
-    passages = stored(texts.select("no", "text").join(owned, "no").mapInArrow(_passages(window), "position long, words binary, seeds array<bigint>"), "passages")
+    mask = (1 << START_BITS) - 1
+    windows = texts.mapInArrow(_windows(window), "high long, low int, position long").where("high is not null and low is not null").repartition(parts, "high", "low")
+    owned = windows.groupBy("high", "low").agg(F.min("position").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Runs of consecutive owned starts are passages, named by their first position.
+    line = Window.partitionBy("of").orderBy("owner")
+    owned = owned.withColumn("of", F.shiftright("owner", START_BITS)).withColumn("island", F.col("owner") - F.row_number().over(line))
+    owned = owned.withColumn("passage", F.min("owner").over(Window.partitionBy("of", "island")))
+    hits = windows.select("high", "low", shard_of(F.shiftright("position", START_BITS), parts).alias("shard")).join(owned.select("high", "low", "owner", "passage"), ["high", "low"])
+    hits = durable(hits.groupBy("shard", "passage").agg(F.max("owner").alias("last")))
+    _release(spark)
+    # The last owner that a shard meets may be short of the run's end; the longest over shards is whole, as the owner's own shard meets all.
+    runs = hits.groupBy("passage").agg(F.max("last").alias("last"))
+    runs = runs.groupBy(F.shiftright("passage", START_BITS).alias("no")).agg(F.collect_list(F.struct(F.col("passage").bitwiseAND(mask).alias("first"), F.col("last").bitwiseAND(mask).alias("last"))).alias("runs"))
+    passages = stored(texts.select("no", "text").join(runs, "no").mapInArrow(_passages(window), "position long, words binary"), "passages")
     _release(spark)
-    routes = texts.select("no", F.explode("seeds").alias("seed")).join(passages.select("position", F.explode("seeds").alias("seed")), "seed").select("no", "position").distinct()
-    routes = routes.join(passages.select("position", "words"), "position").groupBy("no").agg(F.collect_list(F.struct("position", "words")).alias("passages"))
-    cut = durable(texts.select("no", "text").join(routes, "no").mapInArrow(_stream(window), "no long, n_removed long, kept string"))
+    sent = hits.select("shard", F.col("passage").alias("position")).join(passages, "position").select("shard", F.lit(0).alias("kind"), "position", "words")
+    stream = sent.union(texts.select(shard_of(F.col("no"), parts), F.lit(1), "no", "text")).repartitionById(parts, "shard").sortWithinPartitions("shard", "kind")
+    cut = durable(stream.mapInArrow(_stream(window), "no long, n_removed long, kept string"))
     _release(spark)
     results = classes.join(cut, "no", "left").drop("no")
     out = survey.select("doc_id", "tag", "n_words", "whole").join(results, "tag")
