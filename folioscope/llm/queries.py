@@ -53,4 +53,4 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_hnsw_neighbours, op2_warc_salvage, op3_secret_scans, op4_tiff_media, op5_simhash_near_dedup, op6_language_id, op7_sainte_lague_mixing, op8_substring_dedup, op9_license_scans, op10_byte_level_bpe)}
 
-ORACLE_SQL = {"op2_warc_salvage": warc.SQL, "op7_sainte_lague_mixing": mixing.SQL, "op9_license_scans": licenses.sql()}
+ORACLE_SQL = {"op2_warc_salvage": warc.SQL, "op8_substring_dedup": substrings.SQL, "op7_sainte_lague_mixing": mixing.SQL, "op9_license_scans": licenses.sql()}

@@ -329,3 +329,15 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     removed = F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     kept = F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("kept", "whole"))
     return out.select("doc_id", "n_words", removed.cast("long").alias("n_removed"), kept.alias("kept_sha256"))
+
+
+SQL = rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW} + 2)) AS i FROM d),
+    k AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW} - 1], ' ') AS k FROM p),
+    r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM k),
+    g AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS i FROM r WHERE n > 1),
+    w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+    s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM w ANTI JOIN g USING (doc_id, i) GROUP BY 1)
+    SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN s USING (doc_id)"""
