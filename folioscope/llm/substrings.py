@@ -301,7 +301,9 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     recurring = named.groupBy("seed").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a <> b").select("seed")
     shared = durable(named.join(recurring, "seed").groupBy("tag").agg(F.collect_set("seed").alias("seeds")).join(classes, "tag"))
     _release(spark)
-    texts = keyed.join(shared, "tag").where(F.col("doc_id").eqNullSafe(F.col("first"))).dropDuplicates(["tag"])
+    texts = keyed.join(shared, "tag").where(F.col("doc_id").eqNullSafe(F.col("first")))
+    if not survey.groupBy("tag", "doc_id").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["tag"])
     texts = stored(texts.select("no", F.col("text").cast("binary").alias("text"), "seeds"), "recurring")
     _release(spark)
     mask = (1 << START_BITS) - 1
