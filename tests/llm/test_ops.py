@@ -159,6 +159,42 @@ def test_simhash_awkward(awkward, empty):
     assert 3 not in ids and 4 not in ids and ids.count(1) == 1
 
 
+def brute_groups(texts):
+    sets = []
+    for text in texts:
+        w = text.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    roots = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and roots[i] != roots[j]:
+                low, high = sorted((roots[i], roots[j]))
+                roots = [low if r == high else r for r in roots]
+    return roots
+
+
+@pytest.mark.parametrize("bucket", [1, 8, 64])
+def test_near_groups_brute(spark, bucket):
+    rng = random.Random(bucket)
+    line = [f"common{i}" for i in range(12)]
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 6, 30, 120, 300]))]
+        for _ in range(10):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 60))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words + line * rng.randint(0, 1)))
+            base = words if rng.random() < 0.5 else base
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    brute = brute_groups(texts)
+    assert 12 < len(set(brute)) < 110
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs, 5, bucket).collect()}
+    assert [groups[i] for i in range(len(texts))] == brute
+    if bucket == 64:
+        assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(brute)
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (7, 7)], "src long, dst long")
     roots = {r["node"]: r["root"] for r in components(edges).collect()}
