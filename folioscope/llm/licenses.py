@@ -92,25 +92,27 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules:
 
     sentence_ids holds the identifiers in the order of the text, joined by spaces, and licenses
     the distinct licenses that rules found, sorted and joined by `|`; both are empty where there
-    are none.  A text is read by line and by paragraph (license texts may be wrapped), and the
-    reading with more known sentences counts, by line if equal.  Needs doc_id and text; other
+    are none.  A text is read by paragraph (license texts may be wrapped), and what is no known
+    sentence so is read by line, so that a text may hold licenses in either layout.  Needs doc_id and text; other
     columns are ignored.  A null text has no sentences; a null doc_id stays null; equal rows give
     equal rows; an empty table gives none.
     """
     known = sentence_map(SENTENCES if sentences is None else sentences)
-    longest = max(map(len, known), default=0)
+    shortest = min(map(len, known), default=0)
     names = F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair))
+    # A normal form is never longer than its sentence.
+    identifier = lambda s: F.when(F.length(s) >= shortest, F.element_at(names, normalised(s)))
 
-    def identifiers(cut: str) -> Column:
-        # Signs between words make a sentence longer than its normal form, but not four times.
-        parts = F.filter(F.split("text", cut), lambda s: F.length(s).between(3, 4 * longest))
-        return F.filter(F.transform(parts, lambda s: F.element_at(names, normalised(s))), lambda x: x.isNotNull())
+    def identifiers(part: Column) -> Column:
+        """Of a sentence by paragraph, or else of its lines: cuts by line are those by paragraph and line ends."""
+        lines = F.filter(F.transform(F.split(part, r"[\r\n]+"), identifier), lambda x: x.isNotNull())
+        whole = identifier(part)
+        return F.when(whole.isNotNull(), F.array(whole)).when(part.rlike(r"[\r\n]"), lines).otherwise(F.array().cast("array<string>"))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if not known:
         return rows.select("doc_id", F.lit(0).cast("long").alias("n_sentences"), F.lit("").alias("sentence_ids"), F.lit("").alias("licenses"))
-    rows = rows.select("doc_id", identifiers(BY_LINE).alias("a"), identifiers(BY_PARAGRAPH).alias("b"))
-    rows = rows.select("doc_id", F.when(F.size("a") >= F.size("b"), F.col("a")).otherwise(F.col("b")).alias("ids"))
+    rows = rows.select("doc_id", F.flatten(F.transform(F.split("text", BY_PARAGRAPH), identifiers)).alias("ids"))
     claimed = F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
     for name, rule in RULES if rules is None else rules:
         claimed = F.regexp_replace(claimed, _pattern(rule), f"[{name}]")
@@ -119,7 +121,10 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules:
 
 
 def sql() -> str:
-    """The same scan of documents for DuckDB."""
+    """The scan of documents for DuckDB, which takes the reading (by line or paragraph) with more known sentences.
+
+    It gives the same rows where no text has sentences that only the other reading knows.
+    """
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     known = sentence_map(SENTENCES)
     names = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in sorted(known.items())) + "}"

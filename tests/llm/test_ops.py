@@ -352,6 +352,16 @@ def test_licenses_equal_sql(spark, sf_dir):
     assert sorted(map(tuple, licenses.scan(docs).collect())) == sorted(c.execute(licenses.sql()).fetchall())
 
 
+def test_licenses_in_both_layouts(spark):
+    gpl = [licenses.SENTENCES[k][0] + "." for k in ("GP", "GW", "GS")]
+    wrapped = " ".join(gpl).replace(" of the ", "\n of the ").replace(" but ", "\n but ").replace(" a copy ", "\n a copy ")
+    mixed = f"{wrapped}\n\nint a;\nLicensed under CC BY-NC 4.0\nint b;"
+    box = "*" * 9000 + " Released under CC0 1.0 " + "*" * 9000
+    docs = spark.createDataFrame([(1, mixed), (2, box), (3, f"x\n{box}\ny"), (4, wrapped), (5, "MIT License\n\nAll rights reserved")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in licenses.scan(docs).collect()}
+    assert got == {1: ("GP GW GS CN", "CC-BY-NC-4.0|GPL-3.0"), 2: ("C0", "CC0-1.0"), 3: ("C0", "CC0-1.0"), 4: ("GP GW GS", "GPL-3.0"), 5: ("M0 UN", "MIT|Proprietary")}
+
+
 def test_license_rules(spark, awkward, empty):
     mit = " ".join(licenses.SENTENCES[k][0] + ("." if not licenses.SENTENCES[k][0].endswith(":") else "\n\n") for k in ("M0", "M1", "M2", "W1"))
     wrapped = mit.replace(" of ", "\nof ")
