@@ -46,7 +46,7 @@ SCHEMA = "doc_id long, rule string, start long, end long, candidate_sha256 strin
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """start, end and rule of candidates that don't overlap; earlier and then longer ones first."""
+    """start, end and rule of all candidates, which may overlap; earlier and then longer ones first."""
     lower = text.lower()
     found = [(m.start(m.lastindex), -m.end(m.lastindex), name) for name, needles, pattern in RULES if any(n in lower for n in needles) for m in pattern.finditer(text)]
     if "-----begin" in lower:
@@ -56,13 +56,10 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 break  # nor has any later one an end
             close = text.find("-----", stop + len(END))
             found.append((m.start(), -(close + 5 if 0 <= close <= stop + 80 else stop + len(END)), "private_key"))
-    out: list[tuple[int, int, str]] = []
-    last = 0
+    spans: dict[tuple[int, int], str] = {}
     for start, stop, name in sorted(found):
-        if start >= last:
-            out.append((start, -stop, name))
-            last = -stop
-    return out
+        spans.setdefault((start, -stop), name)
+    return [(*span, name) for span, name in spans.items()]
 
 
 def _kind(c: str) -> int:
@@ -72,19 +69,18 @@ def _kind(c: str) -> int:
 def features(value: str, path: str, before: str, after: str) -> list[float]:
     """The forest's inputs, in the order of FEATURES."""
     n = len(value)
-    head = value[:4096]  # of a longer value, as of a key block, transitions are those of its start
-    kinds = [_kind(c) for c in head]
-    counts = np.unique(list(head), return_counts=True)[1] / max(1, len(head))
+    kinds = [_kind(c) for c in value]
+    counts = np.unique(list(value), return_counts=True)[1] / max(1, len(value))
     steps = list(zip(kinds, kinds[1:], strict=False))
     moves = [0] * 16
     for a, b in steps:
         moves[4 * a + b] += 1
     share = [m / max(1, len(steps)) for m in moves]
-    codes = [ord(c) for c in head]
+    codes = [ord(c) for c in value]
     near = sum(abs(a - b) <= 1 for a, b in zip(codes, codes[1:], strict=False)) / max(1, n - 1)
-    pairs = [head[i : i + 2] for i in range(len(head) - 1)]
+    pairs = [value[i : i + 2] for i in range(len(value) - 1)]
     vowels = sum(p[0] in "aeiou" and p[1] in string.ascii_lowercase and p[1] not in "aeiou" for p in (x.lower() for x in pairs)) / max(1, len(pairs))
-    lower = head.lower()
+    lower = value.lower()
     covered = np.zeros(len(lower), dtype=bool)
     for word in DICTIONARY:
         at = lower.find(word) if len(word) > 2 else -1
@@ -232,12 +228,15 @@ def train_forest(findings: list[tuple[str, str, str, str, bool]] | DataFrame | N
 
 
 def judge(forest: Forest, text: str, path: str) -> list[tuple[int, int, str, float]]:
-    """start, end, rule and score of each candidate of a text."""
-    found = candidates(text)
-    if not found:
-        return []
-    x = np.array([features(text[a:b], path, text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT]) for a, b, _ in found])
-    return [(*f, float(s)) for f, s in zip(found, forest.scores(x), strict=True)]
+    """start, end, rule and score of each candidate of a text, but for those within a confirmed one."""
+    out: list[tuple[int, int, str, float]] = []
+    last = 0
+    for a, b, rule in candidates(text):
+        if b > last:
+            score = float(forest.scores(np.array([features(text[a:b], path, text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT])]))[0])
+            out.append((a, b, rule, score))
+            last = b if score >= forest.threshold else last
+    return out
 
 
 def _rows(docs: DataFrame, path: str) -> list[Column]:
@@ -246,7 +245,7 @@ def _rows(docs: DataFrame, path: str) -> list[Column]:
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, path: str = "source") -> DataFrame:
-    """One row per candidate: doc_id, rule, start, end (characters), candidate_sha256, score, is_secret.
+    """One row per candidate that isn't within a confirmed one: doc_id, rule, start, end (characters), candidate_sha256, score, is_secret.
 
     Needs doc_id and text; the column `path` counts as empty where it is missing or null, others
     are ignored.  A null or empty text has no candidates.  A null doc_id stays null; equal rows
@@ -282,8 +281,9 @@ def redact(docs: DataFrame, forest: Forest | None = None, path: str = "source")
             hits = [h for h in judge(sent.value, text, where) if h[3] >= sent.value.threshold]
             parts, last = [], 0
             for a, b, rule, _ in hits:
-                parts += [text[last:a], f"[REDACTED:{rule}]"]
-                last = b
+                if a >= last:
+                    parts += [text[last:a], f"[REDACTED:{rule}]"]
+                last = b  # of secrets that overlap in part, the first one's mark stands for all
             out.append("".join([*parts, text[last:]]) if hits else None)
         return pd.Series(out, dtype=object)
 

@@ -336,6 +336,35 @@ def test_secrets_awkward(spark, awkward, empty):
     assert kept.columns == awkward.columns and sorted(map(str, kept.collect())) == sorted(map(str, awkward.collect()))
 
 
+class SureOf:
+    """In place of a forest: confirms candidates by their length."""
+
+    threshold = 0.5
+
+    def __init__(self, lengths):
+        self.lengths = lengths
+
+    def scores(self, x):
+        return np.array([float(round(np.expm1(row[0])) in self.lengths) for row in x])
+
+
+def test_overlapping_secrets(spark):
+    key = "ghp_" + "aB3" * 12
+    text = f"set token=${{TOKEN:-{key}}} here"
+    docs = spark.createDataFrame([(1, text, "en", "src1", len(text))], DOCS)
+    inner = SureOf({40})
+    assert [(r["rule"], r["is_secret"]) for r in secrets.scan(docs, inner).collect()] == [("assignment", False), ("code_host_token", True)]
+    assert secrets.redact(docs, inner).first()["text"] == "set token=${TOKEN:-[REDACTED:code_host_token]} here"
+    both = SureOf({40, 50})
+    assert [(r["rule"], r["is_secret"]) for r in secrets.scan(docs, both).collect()] == [("assignment", True)]
+    assert secrets.redact(docs, both).first()["text"] == "set token=[REDACTED:assignment] here"
+
+
+def test_features_see_the_whole_value():
+    a, b = ("a" * 4096 + tail * 4096 for tail in "a0")
+    assert secrets.features(a, "", "", "") != secrets.features(b, "", "", "")
+
+
 def test_labelled_findings_from_a_table(spark):
     d = spark.createDataFrame(secrets.generated_findings(300), "value string, path string, before string, after string, is_secret boolean")
     forest = secrets.train_forest(d.union(spark.createDataFrame([(None, None, None, None, None)], d.schema)))
