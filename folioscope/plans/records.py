@@ -269,6 +269,15 @@ def inverted_index_rebuild(t: Tables) -> DataFrame:
     return index.select("doc_id", rebuild_abstract(F.col("inverted")).alias("rebuilt"))
 
 
+@query()
+def inverted_index_rebuild_whole(t: Tables) -> DataFrame:
+    """As inverted_index_rebuild, over all words of each text."""
+    from ..sources.works import rebuild_abstract
+
+    index = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w")).groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("inverted"))
+    return index.select("doc_id", rebuild_abstract(F.col("inverted")).alias("rebuilt"))
+
+
 @query("""SELECT conv_id, turn, array_to_string(list_distinct(list_filter(list_transform(string_split(role || ';' || left(text, 12) || '; ' || role, ';'), lambda x: regexp_replace(regexp_replace(x, '\\s+', ' ', 'g'), '^[ ,;{}]+|[ ,;{}]+$', '', 'g')), lambda x: x <> '')), '') <> '' AS any_author,
     CAST(len(list_distinct(list_filter(list_transform(string_split(role || ';' || left(text, 12) || '; ' || role, ';'), lambda x: regexp_replace(regexp_replace(x, '\\s+', ' ', 'g'), '^[ ,;{}]+|[ ,;{}]+$', '', 'g')), lambda x: x <> ''))) AS INTEGER) AS n_authors FROM conversations""")
 def plain_authors(t: Tables) -> DataFrame:

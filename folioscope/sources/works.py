@@ -56,8 +56,8 @@ def canonical(df: DataFrame, source: str) -> DataFrame:
 def rebuild_abstract(inverted: Column) -> Column:
     """Text of a map from word to positions; of words at one position, the last by name stays."""
     pairs = F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    ordered = F.array_sort(pairs)
-    keep = F.filter(ordered, lambda x, i: (i == F.size(ordered) - 1) | (F.try_element_at(ordered, i + 2)["p"] != x["p"]))
+    last = lambda o: F.filter(o, lambda x, i: (i == F.size(o) - 1) | (F.try_element_at(o, i + 2)["p"] != x["p"]))
+    keep = F.transform(F.array(F.array_sort(pairs)), last)[0]  # as a variable, the order is made once and not for each word
     return F.array_join(F.transform(keep, lambda x: x["w"]), " ")
 
 

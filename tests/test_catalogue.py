@@ -45,3 +45,11 @@ def test_entry(spark):
 
 def test_oracles_have_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_inverted_index_over_whole_texts(spark, sf_dir, tmp_path):
+    far = " ".join(["again"] + [f"w{i}" for i in range(5000)] + ["again", "", "end\nline"])
+    docs = spark.createDataFrame([(10**9, far)], "doc_id long, text string")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    rebuilt = {r["doc_id"]: r["rebuilt"] for r in catalogue.QUERIES["inverted_index_rebuild_whole"](spark, str(tmp_path)).collect()}
+    assert rebuilt == {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
