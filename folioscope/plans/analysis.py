@@ -281,6 +281,12 @@ def token_counts(t: Tables) -> DataFrame:
     return TP.token_counts(d, "text", "lang").withColumnRenamed("group", "grp")
 
 
+@query()
+def token_counts_all(t: Tables) -> DataFrame:
+    """As token_counts, over all documents; word ends are Unicode's, so that no token is cut at an accent."""
+    return TP.token_counts(t.documents, "text", "lang", pattern=r"(?U)\b[a-z]{4,}\b").withColumnRenamed("group", "grp")
+
+
 @query("WITH s AS (SELECT source, count(*) AS size FROM documents GROUP BY 1), q AS (SELECT *, 130.0 * size / sum(size) OVER () AS q FROM s), r AS (SELECT *, row_number() OVER (ORDER BY CAST(q AS DOUBLE) - floor(CAST(q AS DOUBLE)) DESC, source) AS k, 130 - sum(floor(CAST(q AS DOUBLE))) OVER () AS rest FROM q) SELECT source, size, CAST(floor(CAST(q AS DOUBLE)) + CASE WHEN k <= rest THEN 1 ELSE 0 END AS BIGINT) AS quota FROM r")
 def hamilton_allocation(t: Tables) -> DataFrame:
     return S.hamilton(t.documents.groupBy("source").agg(F.count("*").alias("size")), "size", 130, "source")

@@ -2,11 +2,14 @@
 
 import math
 import os
+import re
+from collections import Counter
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from folioscope.operators.topics import STOPWORDS
 from folioscope.plans import catalogue
 
 
@@ -53,3 +56,34 @@ def test_inverted_index_over_whole_texts(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(docs).write.parquet(f"{tmp_path}/documents.parquet")
     rebuilt = {r["doc_id"]: r["rebuilt"] for r in catalogue.QUERIES["inverted_index_rebuild_whole"](spark, str(tmp_path)).collect()}
     assert rebuilt == {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+
+
+ACCENTED = [(10**9, "  ÉCOLE \u00a0 d'été: Über-Größe\nle français à l'école", "fr", "src1"), (10**9 + 1, "Niñez y educación, SEÑAL\nniñez señal educación", "es", "src2")]
+
+
+@pytest.fixture
+def accented(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs.union(spark.createDataFrame(ACCENTED, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
+    assert sum(not r["text"].isascii() for r in rows) > len(ACCENTED)
+    return str(tmp_path), rows
+
+
+def test_titles_of_all_documents(spark, accented):
+    path, rows = accented
+    brute = {}
+    for r in rows:
+        low = r["text"].split("\n")[0].lower()
+        spaced = lambda x: re.sub(r"\s+", " ", x).strip(" ")
+        brute[r["doc_id"]] = (low.strip(" "), spaced(low), spaced(re.sub(r"[^\w\s]", " ", low)))
+    assert {r["id"]: (r["key"], r["spaced"], r["plain"]) for r in catalogue.QUERIES["norm_title_all"](spark, path).collect()} == brute
+
+
+def test_tokens_of_all_documents(spark, accented):
+    path, rows = accented
+    counts = {}
+    for r in rows:
+        counts.setdefault(r["lang"], Counter()).update(w for w in re.findall(r"\b[a-z]{4,}\b", r["text"].lower()) if w not in STOPWORDS)
+    brute = {(g, w, n, k + 1) for g, c in counts.items() for k, (w, n) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:15])}
+    assert {(r["grp"], r["token"], r["n"], r["rank"]) for r in catalogue.QUERIES["token_counts_all"](spark, path).collect()} == brute
