@@ -7,6 +7,8 @@ stays in the JVM.  Each reader returns the columns of EXPORT.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,14 +34,24 @@ def _texts(spark: SparkSession, path: str) -> DataFrame:
     return d.select(name.alias("source_file"), F.regexp_replace(F.regexp_replace("value", "^﻿", ""), r"\r\n?", "\n").alias("text"))
 
 
+def _decoded(spark: SparkSession, path: str, encodings: Sequence[str]) -> list[tuple[str | list[str], str]]:
+    """Paths and their encoding: files with any line that isn't UTF-8 have the last of the encodings."""
+    lines = spark.read.text(path)
+    other = {r[0] for r in lines.where(~F.is_valid_utf8("value")).select(F.input_file_name()).distinct().collect()} if len(encodings) > 1 else set()
+    files = set(lines.inputFiles()) if other else set()
+    if not other or other == files:
+        return [(path, encodings[-1] if other else encodings[0])]
+    plain = lambda urls: [unquote(u) for u in sorted(urls)]
+    return [(plain(files - other), encodings[0]), (plain(other), encodings[-1])]
+
+
 def _columns(spark: SparkSession, path: str, separator: str, encodings: Sequence[str]) -> DataFrame:
-    """A table with lower-case headers; the first encoding that decodes a sample without replacement signs counts."""
-    for encoding in encodings:
-        d = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).option("multiLine", separator == ",").option("escape", '"').option("mode", "PERMISSIVE" if separator == "," else "DROPMALFORMED").csv(path)
-        head = d.limit(1000).agg(F.count_if(F.exists(F.array(*(F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in d.columns)), lambda x: F.instr(x, "�") > 0))).first()[0] if d.columns else 0
-        if not head:
-            break
-    return d.toDF(*(c.strip().lstrip("﻿").lower() for c in d.columns)).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    """A table with lower-case headers; each file is read in the encoding that all of its lines have."""
+    parts = []
+    for paths, encoding in _decoded(spark, path, encodings):
+        d = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).option("multiLine", separator == ",").option("escape", '"').option("mode", "PERMISSIVE" if separator == "," else "DROPMALFORMED").csv(paths)
+        parts.append(d.toDF(*(c.strip().lstrip("\ufeff").lower() for c in d.columns)).withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def _first(d: DataFrame, *names: str) -> Column:

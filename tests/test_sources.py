@@ -165,3 +165,13 @@ def test_exchange(spark, tmp_path):
     assert json.loads(exchange.summary({"t": d.orderBy("n").limit(1)}).first()["t"]) == [{"n": 0, "s": "a"}]
     exchange.to_csv(joined, f"{tmp_path}/csv", "n")
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 3
+
+
+def test_encoding_of_each_file(spark, tmp_path):
+    head = "Title,Abstract,DOI,Year,Source title\n"
+    late = head + "".join(f"plain {i},a,,2020,Rev\n" for i in range(1500)) + "educação,é,,2021,Rev\n"
+    (tmp_path / "late 1.csv").write_bytes(late.encode("latin-1"))
+    (tmp_path / "utf 8.csv").write_bytes((head + "señal \ufffd,ü,,2022,Rev\n").encode())
+    rows = exports.scopus_csv(spark, str(tmp_path)).collect()
+    assert len(rows) == 1502
+    assert {(r["title"], r["abstract"]) for r in rows if r["year"] > 2020} == {("educação", "é"), ("señal \ufffd", "ü")}
