@@ -3,8 +3,15 @@
 A text is the mean of the embeddings of its words' hashed subwords, and a linear softmax over
 that mean gives the language.  Both layers are trained together by stochastic gradient descent in
 numpy, on a bounded sample of labelled rows.  A temperature fitted on rows set aside calibrates
-the probabilities, and the rejection threshold is the level that loses at most a stated part of
-the right answers among those rows, but no more than 0.4.
+the probabilities.
+
+The softmax has one class more than there are languages, for text of none of them: its passages
+are scrambled ones of the sample, and subwords that no row of a language has speak for it.  A text's
+score is the probability of its best language, so that class takes from it.  The rejection
+threshold is the level that loses a stated part of the right answers among rows set aside; few
+words tell less than many, so short, middling and long texts have one each.  The weight of unseen
+subwords is that under which strangers fall farthest below these levels: scrambled passages, and those
+of each of a few languages under a model that hasn't learnt it.
 
 Both layers are linear, so their product gives each subword one score per language, and each
 distinct word is scored once for the texts that hold it.
@@ -20,18 +27,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LETTER = regex.compile(r"\p{L}")
 ORDERS = (1, 2, 3, 4)
 #: Words above this many characters are cut into pieces of it before subwords are taken.
 PIECE = 48
-#: Labelled rows of each language, and languages, that the model is fitted on at most; the most frequent languages win.
-ROWS, LANGUAGES = 400, 200
+#: Labelled rows that the model is fitted on at most: of each language, and of all together (but one of each language at least).
+ROWS, SAMPLE = 400, 40_000
 SNIPPETS = ((4, 3), (3, 12), (2, 60), (2, 200))
-#: Distinct words remembered before the memory is emptied, and characters of texts taken at a time.
-MEMO_WORDS, CHUNK = 300_000, 4_000_000
+#: Scores of distinct words remembered before the memory is emptied, and characters of texts taken at a time.
+MEMO_SCORES, CHUNK = 2_000_000, 1_000_000
+#: Part of the right answers that may be lost; languages left out in turn to make strangers.
+LOSE, FOLDS = 0.001, 4
+#: Weights of unseen subwords that are tried.
+UNSEEN = (0.0, 25.0, 50.0, 100.0, 200.0, 400.0)
+#: Words from which on a text is middling, and long.
+LENGTHS = (8, 40)
 
 
 def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,14 +79,15 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 @dataclasses.dataclass
 class Model:
     languages: list[str]
-    scores: np.ndarray  # buckets x languages: embeddings times weights
+    scores: np.ndarray  # buckets x classes (the languages, then none of them): embeddings times weights
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
+    thresholds: tuple[float, ...] = (0.0, 0.0, 0.0)
 
     def __post_init__(self) -> None:
         self._memo: dict[str, int] = {}
-        self._sums = np.zeros((1024, len(self.languages)))
+        self._most = max(10_000, MEMO_SCORES // max(1, len(self.bias)))
+        self._sums = np.zeros((1024, len(self.bias)))
         self._sizes = np.zeros(1024)
 
     def __getstate__(self) -> dict:
@@ -88,14 +102,15 @@ class Model:
         at = len(self._memo)
         need = at + len(new)
         if need > len(self._sizes):
-            self._sums = np.concatenate([self._sums, np.zeros((need, len(self.languages)))])
-            self._sizes = np.concatenate([self._sizes, np.zeros(need)])
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
+            more = max(need, 2 * len(self._sizes)) - len(self._sizes)
+            self._sums = np.concatenate([self._sums, np.zeros((more, len(self.bias)))])
+            self._sizes = np.concatenate([self._sizes, np.zeros(more)])
+        for start in range(0, len(new), 5_000):
+            part = new[start : start + 5_000]
             bucket, owner = subwords(part, len(self.scores))
             place = slice(at + start, at + start + len(part))
             self._sizes[place] = np.bincount(owner, minlength=len(part))
-            for k in range(len(self.languages)):
+            for k in range(len(self.bias)):
                 self._sums[place, k] = np.bincount(owner, weights=self.scores[bucket, k], minlength=len(part))
         self._memo.update((w, at + k) for k, w in enumerate(new))
 
@@ -112,7 +127,7 @@ class Model:
                     break
             distinct = set().union(*split)
             new = distinct - self._memo.keys()
-            if new and len(self._memo) > MEMO_WORDS:
+            if new and len(self._memo) > self._most:
                 self._memo.clear()
                 new = distinct
             self._learn(new)
@@ -123,14 +138,22 @@ class Model:
             start += len(split)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """The language and its calibrated probability; und and 0 for a text without letters."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[bool]]:
+        """The language, its calibrated probability and whether it is rejected; und, 0 and True for a text without letters."""
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        p = softmax(self.logits(texts) / self.temperature)
+            return ["und"] * len(texts), np.zeros(len(texts)), [True] * len(texts)
+        p = softmax(self.logits(texts) / self.temperature)[:, : len(self.languages)]
         best = p.argmax(axis=1)
         known = [bool(t) and LETTER.search(t) is not None for t in texts]
-        return [self.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, p.max(axis=1), 0.0)
+        scores = np.where(known, p.max(axis=1), 0.0)
+        rejected = [not k or s < self.thresholds[_length(t)] for t, k, s in zip(texts, known, scores.tolist(), strict=True)]
+        return [self.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], scores, rejected
+
+
+def _length(text: str) -> int:
+    """0 for a short text, 1 for a middling one, 2 for a long one."""
+    words = len(text.split(None, LENGTHS[-1]))
+    return sum(words >= n for n in LENGTHS)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -147,20 +170,22 @@ def snippets(text: str, rng: np.random.Generator) -> Iterator[str]:
             yield " ".join(words[start : start + length])
 
 
-def fit(texts: list[str], labels: list[str], held: np.ndarray, buckets: int = 1 << 15, size: int = 16, epochs: int = 4, rate: float = 0.8, lose: float = 0.001, seed: int = 7) -> Model:
-    """Train on the texts not held, calibrate and set the threshold on those held."""
-    languages = sorted(set(labels))
-    if not languages:
-        return Model([], np.zeros((1, 0)), np.zeros(0))
-    rng = np.random.default_rng(seed)
-    number = {x: k for k, x in enumerate(languages)}
-    y = np.array([number[x] for x in labels])
-    embeddings, weights, bias = rng.uniform(-1 / size, 1 / size, (buckets, size)), np.zeros((len(languages), size)), np.zeros(len(languages))
-    bags = [np.unique(subwords(t.lower().split(), buckets)[0], return_counts=True) for t in texts]
-    train = np.array([k for k in range(len(texts)) if not held[k] and len(bags[k][0])], dtype=np.int64)
-    steps, done = max(1, epochs * len(train)), 0
+def scrambled(text: str, rng: np.random.Generator) -> str:
+    """Text of no language: the letters of a passage in any order, or words of letters drawn at will."""
+    if rng.random() < 0.5:
+        letters = np.array(list(text))
+        rng.shuffle(letters)
+        return "".join(letters)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    return " ".join("".join(rng.choice(letters, int(rng.integers(3, 16)))) for _ in text.split())
+
+
+def _descend(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rows: np.ndarray, classes: int, buckets: int, size: int, epochs: int, rate: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Scores (buckets x classes) and biases after gradient descent over the rows."""
+    embeddings, weights, bias = rng.uniform(-1 / size, 1 / size, (buckets, size)), np.zeros((classes, size)), np.zeros(classes)
+    steps, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
-        for k in rng.permutation(train):
+        for k in rng.permutation(rows):
             ids, counts = bags[k]
             share = counts / counts.sum()
             hidden = share @ embeddings[ids]
@@ -172,16 +197,73 @@ def fit(texts: list[str], labels: list[str], held: np.ndarray, buckets: int = 1
             bias -= 0.1 * step * error
             embeddings[ids] -= step * np.outer(share, back) * len(ids) ** 0.5
             done += 1
-    model = Model(languages, (embeddings @ weights.T).astype(np.float32), bias)
+    return (embeddings @ weights.T).astype(np.float32), bias
+
+
+def fit(texts: list[str], labels: list[str], held: np.ndarray, buckets: int | None = None, size: int = 16, epochs: int = 4, rate: float = 0.8, lose: float = LOSE, folds: int = FOLDS, seed: int = 7) -> Model:
+    """Train on the texts not held, calibrate and set the thresholds on those held and on strangers."""
+    languages = sorted(set(labels))
+    if not languages:
+        return Model([], np.zeros((1, 0)), np.zeros(0))
+    rng = np.random.default_rng(seed)
+    number = {x: k for k, x in enumerate(languages)}
+    none = len(languages)
+    if buckets is None:  # few enough share a bucket that unseen subwords show; the scores of many languages take less room
+        buckets = 1 << max(15, min(18, int(np.log2((1 << 22) / (none + 1)))))
+    every = max(2, min(8, none))  # about as many scrambled passages as a language has
+    odd = [k for k in range(len(texts)) if texts[k].split() and k % every == 0]
+    texts, held = texts + [scrambled(texts[k], rng) for k in odd], np.concatenate([held, held[odd]])
+    y = np.array([number[x] for x in labels] + [none] * len(odd))
+    bags = [np.unique(subwords(t.lower().split(), buckets)[0], return_counts=True) for t in texts]
+    train = np.array([k for k in range(len(texts)) if not held[k] and len(bags[k][0])], dtype=np.int64)
+    model = Model(languages, *_descend(bags, y, train, none + 1, buckets, size, epochs, rate, rng))
     check = np.array([k for k in range(len(texts)) if held[k] and LETTER.search(texts[k])], dtype=np.int64)
-    if len(check):
-        raw, truth = model.logits([texts[k] for k in check]), y[check]
-        loss = lambda t: -np.log(np.maximum(softmax(raw / t)[np.arange(len(check)), truth], 1e-12)).mean()
-        model.temperature = float(min(np.geomspace(0.05, 20, 121), key=loss))
-        p = softmax(raw / model.temperature)
-        right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
-        if len(right):
-            model.threshold = float(min(0.4, right[int(lose * len(right))]))
+
+    def unseen(rows: np.ndarray) -> np.ndarray:
+        seen = np.zeros(buckets, dtype=bool)
+        for k in rows[y[rows] != none]:
+            seen[bags[k][0]] = True
+        return ~seen
+
+    def new_share(rows: np.ndarray, new: np.ndarray) -> np.ndarray:
+        return np.array([bags[k][1][new[bags[k][0]]].sum() / max(1, bags[k][1].sum()) for k in rows])
+
+    if not len(check):
+        return model
+    raw, truth, new = model.logits([texts[k] for k in check]), y[check], unseen(train)
+    loss = lambda t: -np.log(np.maximum(softmax(raw / t)[np.arange(len(check)), truth], 1e-12)).mean()
+    model.temperature = float(min(np.geomspace(0.05, 20, 121), key=loss))
+    sizes = np.array([_length(texts[k]) for k in check])
+    groups = [(raw, new_share(check, new), truth == none, sizes, np.zeros(0, np.int64))]
+    for out in range(0, none if none > 1 else 0, -(-none // folds)):
+        # Two epochs on a third of the rows tell how sure a model is of a language that it hasn't met.
+        others = train[y[train] != out]
+        apart = Model(languages, *_descend(bags, y, others[rng.random(len(others)) < 1 / 3], none + 1, buckets, size, 2, rate, rng))
+        met = check[truth == out]
+        if len(met):
+            groups.append((apart.logits([texts[k] for k in met]), new_share(met, unseen(others)), np.ones(len(met), dtype=bool), sizes[truth == out], np.array([out])))
+
+    def levels(weight: float) -> tuple[float, tuple[float, ...]]:
+        """By how much, in the mean, strangers fall below the thresholds if unseen subwords have this weight; the thresholds."""
+        sure, right, strange, length = [], [], [], []
+        for k, (logits, share, strangers, words, gone) in enumerate(groups):
+            at = logits.copy()
+            at[:, none] += weight * share
+            p = np.delete(softmax(at / model.temperature)[:, :none], gone, axis=1)
+            sure.append(p.max(axis=1))
+            right.append(p.argmax(axis=1) == truth if k == 0 else np.zeros(len(p), dtype=bool))
+            strange.append(strangers)
+            length.append(words)
+        sure, right, strange, length = (np.concatenate(x) for x in (sure, right, strange, length))
+        cuts = []
+        for k in range(len(LENGTHS) + 1):
+            good = np.sort(sure[right & ~strange & (length == k)])
+            cuts.append(float(good[int(lose * len(good))]) if len(good) else 0.0)  # what scores below it is rejected
+        return float((np.array(cuts)[length] - sure)[strange].mean()) if strange.any() else 0.0, tuple(cuts)
+
+    weight = max(UNSEEN, key=lambda w: (levels(w)[0], -w))
+    model.scores[new, none] += weight
+    model.thresholds = levels(weight)[1]
     return model
 
 
@@ -189,20 +271,34 @@ def crc_mod(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def train(docs: DataFrame, rows: int = ROWS, languages: int = LANGUAGES) -> Model:
-    """Fit on at most `rows` rows for each of at most `languages` languages, those of the smallest hashes.
+def train(docs: DataFrame, rows: int = ROWS, sample: int = SAMPLE) -> Model:
+    """Fit on at most `rows` rows for each language, and at most `sample` in all but one for each.
 
-    Only rows with text and lang whose crc32(doc_id) mod 4 is not 2 are used.  The executors send
-    passages of bounded length, drawn from anywhere in the whole texts, not the texts.
+    Every language of the labelled rows is learnt.  Only rows with text and lang whose
+    crc32(doc_id) mod 4 is not 2 are used.  The rows are those of the smallest digests of doc_id
+    and text, equal rows once, so the bound holds for ids that repeat or are missing.  An
+    approximate count of each language's digests first gives a level of the digest below which
+    about twice `rows` lie; only such digests leave the executors, and so no task gathers a
+    language.  The texts stay there: passages of bounded length, drawn from anywhere in the whole
+    texts of the chosen rows, are sent.
     """
+    spark = docs.sparkSession
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    labelled = labelled.where("text is not null and lang is not null").where(crc_mod(F.col("doc_id")) != 2).withColumn("h", F.xxhash64("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    cuts = labelled.select("lang", "h").withColumn("r", rank).where(F.col("r") <= rows).groupBy("lang").agg(F.max("h").alias("cut"), F.count("*").alias("n"))
-    cuts = cuts.orderBy(F.desc("n"), "lang").limit(languages).collect()  # a row for each language, bounded
-    chosen = F.lit(False)
-    for c in cuts:
-        chosen = chosen | ((F.col("lang") == c["lang"]) & (F.col("h") <= c["cut"]))
+    labelled = labelled.where("text is not null and lang is not null").where(crc_mod(F.col("doc_id")) != 2)
+    labelled = labelled.select("text", "lang", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text").alias("h"))
+    counts = dict(labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect())  # a row for each language
+    if not counts:
+        return fit([], [], np.zeros(0, dtype=bool))
+    rows = max(1, min(rows, sample // len(counts)))
+    whole = 1 << 64
+    levels = [(lang, min(whole, whole * (2 * rows + 64) // max(1, n)) - (1 << 63) - 1) for lang, n in counts.items()]
+    levels = spark.createDataFrame([(lang, min(x, (1 << 63) - 1)) for lang, x in levels], "lang string, level long")
+    near = labelled.select("lang", "h").join(F.broadcast(levels), "lang").where("h <= level").select("lang", "h").distinct().collect()  # about 2 x rows for each language
+    chosen: dict[str, list[int]] = {}
+    for r in near:
+        chosen.setdefault(r["lang"], []).append(r["h"])
+    chosen = {lang: sorted(hs)[:rows] for lang, hs in chosen.items()}
+    wanted = spark.createDataFrame([(lang, h) for lang, hs in chosen.items() for h in hs], "lang string, h long")  # `sample` rows at most, or one a language
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,23 +307,23 @@ def train(docs: DataFrame, rows: int = ROWS, languages: int = LANGUAGES) -> Mode
                 out += [(h, lang, s) for s in snippets(text, np.random.default_rng(h & 0x7FFFFFFF))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.string(), pa.string()), strict=True)], ["h", "lang", "passage"])
 
-    passages = labelled.where(chosen).select("h", "text", "lang").mapInArrow(cut, "h long, lang string, passage string")
-    found = sorted((r["h"], r["lang"], r["passage"]) for r in passages.collect())  # rows x languages x 11 passages at most
+    passages = labelled.join(F.broadcast(wanted), ["lang", "h"]).select("h", "text", "lang").mapInArrow(cut, "h long, lang string, passage string").distinct()
+    found = sorted((r["h"], r["lang"], r["passage"]) for r in passages.collect())  # 11 passages for each row at most
     held = np.array([(h & 0xFFFF) % 5 == 0 for h, _, _ in found], dtype=bool)
     return fit([p for _, _, p in found], [lang for _, lang, _ in found], held)
 
 
-def predicted(docs: DataFrame, model: Model) -> Column:
-    """A struct (lang_pred, score, rejected) for the column text."""
+def predicted(docs: DataFrame, model: Model, text: Column) -> Column:
+    """A struct (lang_pred, score, rejected) for the column `text` of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pd.Series) -> pd.DataFrame:
         values = [t if isinstance(t, str) else None for t in texts]
-        languages, scores = sent.value.predict(values)
-        return pd.DataFrame({"lang_pred": languages, "score": scores, "rejected": [x == "und" or s < sent.value.threshold for x, s in zip(languages, scores, strict=True)]})
+        languages, scores, rejected = sent.value.predict(values)
+        return pd.DataFrame({"lang_pred": languages, "score": scores, "rejected": rejected})
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, "lang_pred string, score double, rejected boolean")(F.col("text").cast("string"))
+    return F.pandas_udf(run, "lang_pred string, score double, rejected boolean")(text.cast("string"))
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -239,11 +335,17 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     answers; an empty table gives no rows.
     """
     model = train(docs) if model is None else model
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("p", predicted(docs, model))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), predicted(docs, model, F.col("text")).alias("p"))
     return rows.select("doc_id", (crc_mod(F.col("doc_id")) == 2).alias("held_out"), "p.lang_pred", "p.score", "p.rejected")
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents whose language isn't rejected, columns unchanged."""
+    """The documents whose language isn't rejected, all columns unchanged whatever their names.
+
+    Needs text, and doc_id and lang where no model is given.  Null, empty and white texts and
+    those without letters are rejected, and so is every text where nothing is labelled.  Texts are
+    judged whole; equal rows stay or go together; an empty table gives no rows.
+    """
     model = train(docs) if model is None else model
-    return docs.withColumn("_p", predicted(docs, model)).where("not _p.rejected").drop("_p")
+    rows = docs.select(F.struct("*").alias("d"))
+    return rows.select("d", predicted(docs, model, F.col("d.text")).alias("p")).where("not p.rejected").select("d.*")

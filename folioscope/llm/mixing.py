@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable
+from .common import WORD, durable, stored
 
 WEIGHTS, SHARE, LIMIT = (3, 1, 2), 1.5, 2
 BLOCK, SHARD_WORDS, SEED = 64, 1 << 18, "mix"
@@ -70,10 +70,12 @@ def apportion(parties: DataFrame, votes: str, seats: str, within: list[str], ord
 def _pieces(docs: DataFrame, key: Column, block: int, shard_words: int, seed: str) -> DataFrame:
     """A row for each document and block of its shard that it reaches into.
 
-    doc_id, source, key, size, source_size, target, number, shard, start; at and n, the
-    place of the piece in the document and its words; times, how often the mix takes it.
+    row, doc_id, source, key, size, source_size, target, number, shard, start; at and n, the
+    place of the piece in the document and its words; times, how often the mix takes it.  `row`
+    tells equal rows apart; it is fixed by the checkpoint, and equal rows may swap theirs.
     """
-    sizes = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), key.alias("key")))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), key.alias("key"))
+    sizes = durable(sizes.withColumn("row", F.monotonically_increasing_id()))
     sources = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     sources = sources.withColumn("blocks", F.floor(F.sum("target").over(Window.partitionBy()) / block + 0.5).cast("long"))
     sources = apportion(sources, "target", "blocks", [], ["number"]).withColumnRenamed("won", "quota")
@@ -81,7 +83,7 @@ def _pieces(docs: DataFrame, key: Column, block: int, shard_words: int, seed: st
     mixed = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", "s.number", "s.shards")
     mixed = mixed.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), "doc_id")))
     mixed = mixed.withColumn("shard", F.conv(F.substring("h", 1, 7), 16, 10).cast("long") % F.col("shards"))
-    line = Window.partitionBy("number", "shard").orderBy("h", F.asc_nulls_first("doc_id"), "size", "key").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("number", "shard").orderBy("h", F.asc_nulls_first("doc_id"), "size", "key", "row").rowsBetween(Window.unboundedPreceding, 0)
     placed = durable(mixed.withColumn("start", F.sum("size").over(line) - F.col("size")).drop("h", "shards"))
     shards = placed.groupBy("number", "shard").agg(F.sum("size").alias("shard_size"))
     shards = shards.join(sources.select("number", "quota"), "number")
@@ -100,7 +102,7 @@ def _pieces(docs: DataFrame, key: Column, block: int, shard_words: int, seed: st
     return pieces.withColumn("times", F.coalesce("rounds", F.lit(0)) + F.coalesce("drawn", F.lit(0)))
 
 
-PLACE = ["doc_id", "source", "key", "size", "source_size", "target", "number", "shard", "start"]
+PLACE = ["row", "doc_id", "source", "key", "size", "source_size", "target", "number", "shard", "start"]
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: str = SEED) -> DataFrame:
@@ -120,27 +122,38 @@ def mix_texts(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORD
 
     The first pass has the blocks taken at least once, the second those taken twice.  A pass over
     a whole document leaves its text as it is; one over a part joins the words taken by spaces and
-    sets n_chars, where there is such a column.
+    sets n_chars, where there is such a column.  Needs doc_id, text and source; all columns are
+    kept, whatever their names.  A null or empty text is never taken; a null source is one of its
+    own; a null doc_id is a document like any other; each of several rows with equal doc_id,
+    source and text is taken by itself, with its own other columns.  An empty table gives no rows.
     """
     key = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    plans = _plans(docs, key, block, shard_words, seed)
+    named = docs.select(F.struct("*").alias("d"), key.alias("k"))
+    if not plans.groupBy("doc_id", "source", "key").count().where("count > 1").isEmpty():
+        # Equal texts need a name each; only then are the rows written once more, which fixes it.
+        named = stored(named.withColumn("k", F.concat_ws(":", "k", F.monotonically_increasing_id())), "mix-rows")
+        plans = _plans(named.select("d.doc_id", "d.source", "d.text", "k"), F.col("k"), block, shard_words, seed)
+    p = plans.alias("p")
+    same = (F.col("k") == F.col("p.key")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("p.source"))
+    rows = named.join(p, same).select("d", F.col("p.size").alias("size"), F.col("p.parts").alias("parts"), F.explode(F.sequence(F.lit(1), F.lit(LIMIT))).alias("pass"))
+    rows = rows.withColumn("parts", F.filter("parts", lambda x: x["times"] >= F.col("pass"))).where(F.size("parts") > 0)
+    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    found = F.regexp_extract_all("d.text", F.lit(WORD), F.lit(0))
+    rows = rows.select("d", "parts", F.when(taken < F.col("size"), found).alias("words"))
+    cut = F.array_join(F.flatten(F.transform("parts", lambda x: F.slice(F.col("words"), (x["at"] + 1).cast("int"), x["n"].cast("int")))), " ")
+    rows = rows.select("d", F.when(F.col("words").isNull(), F.col("d.text")).otherwise(cut).alias("t"))
+    changed = {"text": F.col("t").alias("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("t").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return rows.select(*(changed[c] if c in changed else F.col("d").getField(c).alias(c) for c in docs.columns))
+
+
+def _plans(docs: DataFrame, key: Column, block: int, shard_words: int, seed: str) -> DataFrame:
+    """doc_id, source, key, size and parts (at, n, times) of each document that the mix takes any of."""
     pieces = _pieces(docs, key, block, shard_words, seed).where("n > 0 and times > 0")
     parts = pieces.groupBy(*PLACE).agg(F.array_sort(F.collect_list(F.struct("at", "n", "times"))).alias("parts"))
-    plans = durable(parts.groupBy("doc_id", "source", "key").agg(F.collect_list(F.struct("size", "parts")).alias("_plans")))
-    if not plans.where(F.size("_plans") > 1).isEmpty():
-        docs = docs.withColumn("_k", key).dropDuplicates(["doc_id", "source", "_k"]).drop("_k")
-    d, p = docs.withColumn("_key", key).alias("d"), plans.alias("p")
-    same = (F.col("d._key") == F.col("p.key")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source"))
-    rows = d.join(p, same).select(*(F.col(f"d.{c}") for c in docs.columns), F.explode("p._plans").alias("_plan"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(LIMIT))).alias("_pass"))
-    rows = rows.withColumn("_parts", F.filter("_plan.parts", lambda x: x["times"] >= F.col("_pass"))).where(F.size("_parts") > 0)
-    taken = F.aggregate("_parts", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("_parts", lambda x: F.slice(F.col("_words"), (x["at"] + 1).cast("int"), x["n"].cast("int")))), " ")
-    rows = rows.withColumn("_words", F.when(taken < F.col("_plan.size"), found))
-    rows = rows.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return durable(parts.select("doc_id", "source", "key", "size", "parts"))
 
 
 SQL = rf"""

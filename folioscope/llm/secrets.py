@@ -1,10 +1,12 @@
 """Secret scans: rules propose candidates, a random forest removes the false positives.
 
 The forest sees a candidate's length, its character transitions, how much of it dictionary words
-cover, its path and its neighbouring words.  It is trained from labelled findings; where none are
-given, from `generated_findings`, which makes random credentials in the forms that the rules look
-for and the placeholders, template variables, checksums and word-made values that they mistake
-for them.
+cover, its path and its neighbouring words.  It is trained from labelled findings.  The dictionary
+is the commonest words of all documents, beside fixed words of placeholders.  Where no labelled
+findings are given, they are planted: passages of a bounded sample of the documents get a line
+with a credential of one of the forms that the rules look for, or with what they mistake for one
+(placeholders, template variables, checksums, words, names of settings), the rules run over them,
+and a finding is a secret if it overlaps a planted credential.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import re
 import string
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,10 +32,10 @@ RULES = [
     ("chat_token", ("xoxb-", "xoxp-", "xoxa-"), re.compile(r"(?<![A-Za-z0-9])(xox[abp]-[A-Za-z0-9-]{10,})")),
     ("api_secret", ("sk-", "sk_live", "rk_live"), re.compile(r"(?<![A-Za-z0-9])((?:sk-|[sr]k_live_)[A-Za-z0-9_-]{16,})")),
     ("web_token", ("eyj",), re.compile(r"(?<![A-Za-z0-9])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
-    ("url_password", ("://",), re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:([^\s/@]{4,200})@")),
-    ("assignment", ("token", "secret", "passw", "pwd", "key", "credential"), re.compile(r"(?i)(?<![a-z0-9])(?:[a-z0-9]{1,30}[_-]){0,4}(?:token|secret|passwor[dt]|passwd|pwd|api_?-?key|access_?-?key|private_?-?key|credentials?)[\"']?\s{0,8}(?:=|:=|:)\s{0,8}[\"'`]?([^\s\"'`,;]{8,})")),
+    ("url_password", ("://",), re.compile(r"(?<=[a-z0-9+.-])://[^\s:/@]+:([^\s/@]{4,})@")),
+    ("assignment", ("token", "secret", "passw", "pwd", "key", "credential"), re.compile(r"(?i)(?<![a-z0-9])(?:token|secret|passwor[dt]|passwd|pwd|api_?-?key|access_?-?key|private_?-?key|credentials?)[\"']?\s*(?:=|:=|:)\s*[\"'`]?([^\s\"'`,;]{8,})")),
 ]
-BEGIN, END = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----"), "-----END"
+BEGIN, END, CLOSE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"), "-----END", re.compile(r"-----END[A-Z0-9 ]*(?:-----)?")
 
 #: Fixed words: parts of values that people type, of sample paths, and of passages about samples or checksums.
 DICTIONARY = "password secret token example sample test testing dummy placeholder change changeme default your here insert replace value key access admin user guest login client server service account database config local host public private super master root hello world welcome qwerty letmein the and for with this that from enter real fake mock demo temp none null true false string name".split()
@@ -40,7 +43,10 @@ SAMPLE_PATHS = "test tests example examples sample samples fixture fixtures mock
 SAMPLE_WORDS = "example sample placeholder dummy fake your replace insert e.g. like template default here demo".split()
 HASH_WORDS = "sha1 sha256 md5 checksum digest hash commit etag uuid integrity revision".split()
 CRED_WORDS = "token secret password passwd pwd key credential credentials auth login bearer".split()
-CONTEXT = 60
+#: Words on each side that are a candidate's neighbours.
+NEAR = 4
+#: Commonest words of the corpus in the dictionary, letters of a word at least, and documents that findings are planted in, each at most.
+DICTIONARY_WORDS, WORD_LETTERS, PLANTED = 20_000, 4, 1_500
 
 SCHEMA = "doc_id long, rule string, start long, end long, candidate_sha256 string, score double, is_secret boolean"
 
@@ -54,8 +60,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             stop = text.find(END, m.end())
             if stop < 0:
                 break  # nor has any later one an end
-            close = text.find("-----", stop + len(END))
-            found.append((m.start(), -(close + 5 if 0 <= close <= stop + 80 else stop + len(END)), "private_key"))
+            found.append((m.start(), -CLOSE.match(text, stop).end(), "private_key"))
     spans: dict[tuple[int, int], str] = {}
     for start, stop, name in sorted(found):
         spans.setdefault((start, -stop), name)
@@ -66,7 +71,45 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def features(value: str, path: str, before: str, after: str) -> list[float]:
+class Dictionary:
+    """Tells which characters of a value words of at least WORD_LETTERS letters cover."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = sorted({w for w in [*words, *DICTIONARY] if len(w) >= WORD_LETTERS})
+        self.trie = ahocorasick.Automaton()
+        for w in self.words:
+            self.trie.add_word(w, len(w))
+        self.trie.make_automaton()
+
+    def __reduce__(self) -> tuple:
+        return Dictionary, (self.words,)
+
+    def covered(self, lower: str) -> float:
+        steps = np.zeros(len(lower) + 1, dtype=np.int64)
+        for end, size in self.trie.iter(lower):
+            steps[end + 1 - size] += 1
+            steps[end + 1] -= 1
+        return float((np.cumsum(steps[:-1]) > 0).mean()) if lower else 0.0
+
+
+def corpus_words(docs: DataFrame, most: int = DICTIONARY_WORDS) -> list[str]:
+    """The commonest words (runs of letters, lower case) of all whole texts; the driver gets `most` of them."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(rf"\p{{L}}{{{WORD_LETTERS},}}"), F.lit(0))).alias("word"))
+    return [r["word"] for r in words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def neighbours(text: str, start: int, end: int) -> tuple[str, str]:
+    """NEAR words before and after a span, joined by spaces."""
+    size = 64
+    while len(before := text[max(0, start - size) : start].split()) <= NEAR and size < start:
+        size *= 2
+    size = 64
+    while len(after := text[end : end + size].split()) <= NEAR and size < len(text) - end:
+        size *= 2
+    return " ".join(before[-NEAR:]), " ".join(after[:NEAR])
+
+
+def features(value: str, path: str, before: str, after: str, dictionary: Dictionary | None = None) -> list[float]:
     """The forest's inputs, in the order of FEATURES."""
     n = len(value)
     kinds = [_kind(c) for c in value]
@@ -81,20 +124,14 @@ def features(value: str, path: str, before: str, after: str) -> list[float]:
     pairs = [value[i : i + 2] for i in range(len(value) - 1)]
     vowels = sum(p[0] in "aeiou" and p[1] in string.ascii_lowercase and p[1] not in "aeiou" for p in (x.lower() for x in pairs)) / max(1, len(pairs))
     lower = value.lower()
-    covered = np.zeros(len(lower), dtype=bool)
-    for word in DICTIONARY:
-        at = lower.find(word) if len(word) > 2 else -1
-        while at >= 0:
-            covered[at : at + len(word)] = True
-            at = lower.find(word, at + 1)
     names = set(re.findall(r"[a-z]+", path.lower()))
-    left, right = re.findall(r"[^\s=:\"'`()<>,;]+", before.lower())[-4:], re.findall(r"[^\s=:\"'`()<>,;]+", after.lower())[:4]
+    left, right = re.findall(r"[^\s=:\"'`()<>,;]+", before.lower())[-NEAR:], re.findall(r"[^\s=:\"'`()<>,;]+", after.lower())[:NEAR]
     around = left + right
     has = lambda words: float(any(w in x for x in around for w in words))
     return [
         math.log1p(n), float(-(counts * np.log2(counts)).sum()) if n else 0.0, len(set(pairs)) / max(1, len(pairs)), near, vowels,
         *(kinds.count(k) / max(1, len(kinds)) for k in range(4)), *(share[k] for k in (1, 2, 4, 6, 8, 9)), sum(a == b for a, b in steps) / max(1, len(steps)),
-        float(covered.mean()) if n else 0.0, float(bool(re.search(r"[$%{}<>*]|x{4}|\.{3}|^\(", lower))), float(all(c in "0123456789abcdef" for c in lower)),
+        (dictionary or Dictionary([])).covered(lower), float(bool(re.search(r"[$%{}<>*]|x{4}|\.{3}|^\(", lower))), float(all(c in "0123456789abcdef" for c in lower)),
         float(bool(names & set(SAMPLE_PATHS))), has(SAMPLE_WORDS), has(HASH_WORDS), float(any(w in x for x in left for w in CRED_WORDS)),
     ]
 
@@ -102,57 +139,88 @@ def features(value: str, path: str, before: str, after: str) -> list[float]:
 FEATURES = "length entropy distinct_pairs near_codes vowel_pairs lower upper digit other lower_upper lower_digit upper_lower upper_digit digit_lower digit_upper same_kind dictionary template hex sample_path sample_words hash_words credential_words".split()
 
 
-def generated_findings(n: int = 3600, seed: int = 11) -> list[tuple[str, str, str, str, bool]]:
-    """value, path, words before and after, and whether it is a secret; half of them are."""
-    rng = np.random.default_rng(seed)
+def _line(rng: np.random.Generator, secret: bool) -> tuple[str, str, bool]:
+    """A line with a credential or with what is mistaken for one, the value in it, and whether its path is one of samples."""
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     draw = lambda chars, k: "".join(rng.choice(list(chars), k))
-    hexa, base = "0123456789abcdef", string.ascii_letters + string.digits
-    prose = "the of and report value in as a to with service data line and then note build".split()
-    syllables = "er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
-    names = ["token", "api_key", "secret", "password", "access_key", "client_secret", "db_password", "auth_token"]
-    made = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(2, 6))))
-    words = lambda k: " ".join(made() if rng.random() < 0.5 else pick(prose) for _ in range(k))
+    hexa, base, capitals = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
+    name = pick(["token", "api_key", "secret", "password", "access_key", "client_secret", "db_password", "auth_token"])
+    given = lambda value: f"{name}{pick(['=', ': ', ' = '])}{pick(QUOTES)}".replace("~", value)
+    if secret:
+        value = pick([
+            lambda: draw(hexa, pick([16, 18, 20, 24, 32, 40, 40, 48, 64])), lambda: draw(base, int(rng.integers(16, 64))), *[lambda: "AKIA" + draw(capitals, 16)] * 3, lambda: "ghp_" + draw(base, 36), lambda: "sk-" + draw(base, 40),
+            lambda: "xoxb-" + draw(string.digits, 11) + "-" + draw(base, 24), lambda: "eyJ" + draw(base, 20) + "." + draw(base, 40) + "." + draw(base, 43), lambda: draw(base + "!#%&+-_", int(rng.integers(10, 24))),
+            lambda: "-----BEGIN PRIVATE KEY-----\n" + draw(base + "+/", 400) + "\n-----END PRIVATE KEY-----",
+        ])()
+        known = value[:4] in ("AKIA", "ghp_", "xoxb") or value[:3] in ("sk-", "eyJ", "---")
+        url = f"postgres://{pick(['app', 'root', 'svc'])}:~@db/main".replace("~", value)
+        return (value if known and rng.random() < 0.4 else url if not known and rng.random() < 0.1 else given(value)), value, rng.random() < 0.1
+    samples = rng.random() < 0.3
+    made = "".join(pick(SYLLABLES) for _ in range(int(rng.integers(5, 12))))
+    kind = int(rng.integers(0, 9))
+    if kind == 0:
+        value = "".join(pick(["_", "-", ""]) + pick(DICTIONARY) for _ in range(int(rng.integers(2, 5)))).strip("_-").ljust(8, "1")
+    elif kind == 1:
+        value = pick(["x", "X", "*", "0", "a", "1"]) * int(rng.integers(8, 41))
+    elif kind == 2:
+        value = pick(["${%s}", "<%s>", "{{%s}}", "%%%s%%", "$(%s)"]) % (pick(DICTIONARY) + "_" + name)
+    elif kind == 3:
+        value = (hexa * 4)[: int(rng.integers(8, 40))] if rng.random() < 0.5 else ("abcdefghijklmnopqrstuvwxyz" * 2)[: int(rng.integers(8, 40))]
+    elif kind == 4:
+        value = draw(hexa, pick([32, 40, 64]))
+        return f"{pick(HASH_WORDS)} {pick(HASH_WORDS)} {given(value)}", value, samples
+    elif kind == 5:
+        value = pick(["os.environ", "config.get", "settings.value", "process.env.", "self.read"]) + pick(["(", ".", "["]) + name
+    elif kind == 6:
+        value = draw(base, 24)
+        return f"{pick(SAMPLE_WORDS)} {pick(SAMPLE_WORDS)} {given(value)}", value, True
+    elif kind == 7:
+        value = "AKIA" + "".join(pick(["EXAMPLE", "SAMPLE", "FAKE", "TEST", "DUMMY"]) for _ in range(4))[:16].ljust(16, "X")
+    else:
+        value = made + pick([".", "!", ""])
+    return given(value), value, samples
+
+
+QUOTES = ['"~"', "'~'", "~ "]
+#: Common pairs and triples of letters that made-up words are put together from.
+SYLLABLES = "er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
+
+
+def planted_findings(passages: list[tuple[str, str]], seed: int = 11) -> list[tuple[str, str, str, str, bool]]:
+    """value, path, words before and after, and is_secret of what the rules find of a line planted in each passage (text, path)."""
+    rng = np.random.default_rng(seed)
     out = []
-    for k in range(n):
-        secret = k % 2 == 0
-        before, after = f"{words(4)} {pick(names)} {pick(['=', ': ', ' = '])}\"", f'" {words(4)}'
-        path = f"{pick(['src', 'lib', 'app', 'conf', 'data'])}{int(rng.integers(0, 30))}/{made()}"
-        if secret:
-            value = pick([
-                lambda: draw(hexa, pick([16, 18, 20, 24, 32, 40, 40, 48, 64])), lambda: draw(base, int(rng.integers(16, 64))), *[lambda: "AKIA" + draw(string.ascii_uppercase + string.digits, 16)] * 3,
-                lambda: "ghp_" + draw(base, 36), lambda: "sk-" + draw(base, 40), lambda: "xoxb-" + draw(string.digits, 11) + "-" + draw(base, 24),
-                lambda: "eyJ" + draw(base, 20) + "." + draw(base, 40) + "." + draw(base, 43), lambda: draw(base + "!#%&+-_/", int(rng.integers(10, 24))),
-                lambda: "-----BEGIN PRIVATE KEY-----\n" + draw(base + "+/", 400) + "\n-----END PRIVATE KEY-----",
-            ])()
-            if rng.random() < 0.1:
-                path = f"{pick(SAMPLE_PATHS)}/{made()}"
-        else:
-            kind = int(rng.integers(0, 8))
-            if kind == 0:
-                value = "".join(pick(["_", "-", ""]) + pick(DICTIONARY) for _ in range(int(rng.integers(2, 5)))).strip("_-").ljust(8, "1")
-            elif kind == 1:
-                value = pick(["x", "X", "*", "0", "a", "1"]) * int(rng.integers(8, 41))
-            elif kind == 2:
-                value = pick(["${%s}", "<%s>", "{{ %s }}", "%%%s%%", "$(%s)"]) % (pick(DICTIONARY) + "_" + pick(names))
-            elif kind == 3:
-                value = (hexa + "0123456789abcdef" * 3)[: int(rng.integers(8, 40))] if rng.random() < 0.5 else ("abcdefghijklmnopqrstuvwxyz" * 2)[: int(rng.integers(8, 40))]
-            elif kind == 4:
-                value, before = draw(hexa, pick([32, 40, 64])), f"{words(3)} {pick(HASH_WORDS)} {pick(HASH_WORDS)}: "
-            elif kind == 5:
-                value = pick(["os.environ", "config.get", "settings.value", "process.env.", "self.read"]) + pick(["(", ".", "["]) + pick(names)
-            elif kind == 6:
-                value, before = draw(base, 24), f"{pick(SAMPLE_WORDS)} {pick(SAMPLE_WORDS)} {pick(names)} = "
-                path = f"{pick(SAMPLE_PATHS)}/{made()}"
-            else:
-                value = made() + made() + made() + pick([".", ",", "", "!"])
-                value = value.ljust(8, "e")
-            if rng.random() < 0.3:
-                path = f"{pick(SAMPLE_PATHS)}/{made()}"
-        out.append((value, path, before, after, secret))
+    for k, (passage, path) in enumerate(passages):
+        line, value, samples = _line(rng, k % 2 == 0)
+        words = passage.split()
+        at = int(rng.integers(0, len(words) + 1))
+        text = " ".join([*words[:at], line, *words[at:]])
+        start = text.index(line, len(" ".join(words[:at]))) + line.index(value)
+        where = f"{SAMPLE_PATHS[int(rng.integers(len(SAMPLE_PATHS)))]}/{path}" if samples else path
+        for a, b, _ in candidates(text):
+            if a < start + len(value) and b > start:
+                out.append((text[a:b], where, *neighbours(text, a, b), k % 2 == 0))
     return out
 
 
+def sampled_passages(docs: DataFrame, path: str = "source", held: bool = False, rows: int = PLANTED, words: int = 24) -> list[tuple[str, str]]:
+    """Passages of `words` words, from anywhere in the texts of at most `rows` documents, and their paths.
+
+    The documents are those of the smallest digests below a level that about twice `rows` reach;
+    with `held`, of those whose crc32(doc_id) mod 4 is 2, else of the others.
+    """
+    given = F.col(path).cast("string") if path in docs.columns else F.lit("")
+    ours = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    rows_of = docs.where(ours if held else ~ours).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(given, F.lit("")).alias("path"), F.col("doc_id"))
+    rows_of = rows_of.where("text <> ''").withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
+    n = rows_of.agg(F.approx_count_distinct("h")).first()[0]
+    level = min((1 << 63) - 1, (1 << 64) * (2 * rows + 64) // max(1, n) - (1 << 63))
+    cut = F.split(F.trim("text"), r"\s+")
+    start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.size("w") - words + 1)).cast("int") + 1
+    some = rows_of.where(F.col("h") <= level).withColumn("w", cut).select("h", F.array_join(F.slice("w", start, words), " ").alias("passage"), "path").distinct()
+    return [(r["passage"], r["path"]) for r in some.orderBy("h", "passage", "path").limit(rows).collect()]
+
+
 @dataclasses.dataclass
 class Forest:
     """Trees as flat arrays: feature (-1 at a leaf), cut, children and the leaf's share of secrets."""
@@ -164,6 +232,7 @@ class Forest:
     value: np.ndarray
     roots: np.ndarray
     threshold: float = 0.5
+    dictionary: Dictionary = dataclasses.field(default_factory=lambda: Dictionary([]))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
@@ -217,14 +286,22 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 10, l
     return Forest(np.array(feature, dtype=np.int64), np.array(cut), np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), np.array(value), np.array(roots))
 
 
-def train_forest(findings: list[tuple[str, str, str, str, bool]] | DataFrame | None = None, limit: int = 20_000) -> Forest:
+def train_forest(findings: list[tuple[str, str, str, str, bool]] | DataFrame, dictionary: Dictionary | None = None, limit: int = 20_000) -> Forest:
     """Fit on labelled findings (value, path, before, after, is_secret), of a DataFrame at most `limit` rows."""
     if isinstance(findings, DataFrame):
         rows = findings.select("value", "path", "before", "after", "is_secret").where("value is not null and is_secret is not null")
         findings = [tuple(r) for r in rows.orderBy(F.xxhash64("value", "path", "before", "after"), "value").limit(limit).collect()]
-    findings = findings or generated_findings()
-    x = np.array([features(v, p or "", b or "", a or "") for v, p, b, a, _ in findings])
-    return fit_forest(x, np.array([bool(f[4]) for f in findings], dtype=np.float64))
+    dictionary = dictionary or Dictionary([])
+    x = np.array([features(v, p or "", b or "", a or "", dictionary) for v, p, b, a, _ in findings])
+    return dataclasses.replace(fit_forest(x, np.array([bool(f[4]) for f in findings], dtype=np.float64)), dictionary=dictionary)
+
+
+def trained_on(docs: DataFrame, path: str = "source") -> Forest:
+    """The forest for docs: their words for a dictionary, findings planted in passages of PLANTED documents, twice in each."""
+    passages = sampled_passages(docs, path) or [("", "")]
+    while len(passages) < PLANTED:
+        passages = passages * 2
+    return train_forest(planted_findings(passages, 11) + planted_findings(passages, 12), Dictionary(corpus_words(docs)))
 
 
 def judge(forest: Forest, text: str, path: str) -> list[tuple[int, int, str, float]]:
@@ -233,17 +310,12 @@ def judge(forest: Forest, text: str, path: str) -> list[tuple[int, int, str, flo
     last = 0
     for a, b, rule in candidates(text):
         if b > last:
-            score = float(forest.scores(np.array([features(text[a:b], path, text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT])]))[0])
+            score = float(forest.scores(np.array([features(text[a:b], path, *neighbours(text, a, b), forest.dictionary)]))[0])
             out.append((a, b, rule, score))
             last = b if score >= forest.threshold else last
     return out
 
 
-def _rows(docs: DataFrame, path: str) -> list[Column]:
-    given = F.col(path).cast("string") if path in docs.columns else F.lit("")
-    return [F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(given, F.lit("")).alias("path")]
-
-
 def scan(docs: DataFrame, forest: Forest | None = None, path: str = "source") -> DataFrame:
     """One row per candidate that isn't within a confirmed one: doc_id, rule, start, end (characters), candidate_sha256, score, is_secret.
 
@@ -251,7 +323,8 @@ def scan(docs: DataFrame, forest: Forest | None = None, path: str = "source") ->
     are ignored.  A null or empty text has no candidates.  A null doc_id stays null; equal rows
     give equal findings each.  An empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(forest or train_forest())
+    sent = docs.sparkSession.sparkContext.broadcast(forest or trained_on(docs, path))
+    given = F.col(path).cast("string") if path in docs.columns else F.lit("")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = sent.value
@@ -265,15 +338,19 @@ def scan(docs: DataFrame, forest: Forest | None = None, path: str = "source") ->
             columns = zip(*out, strict=True) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], "doc_id rule start end candidate_sha256 score is_secret".split())
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_rows(docs, path)).mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(given, F.lit("")).alias("path"))
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, path: str = "source") -> DataFrame:
     """docs with each confirmed secret replaced by [REDACTED:rule]; n_chars follows where it is there.
 
-    Texts without secrets, and all rows, stay as they are.
+    Needs text; the column `path` counts as empty where it is missing or null.  All rows stay, and
+    all columns but text and n_chars unchanged, whatever their names.  Texts without secrets stay
+    as they are, null and empty ones too; texts are scanned whole; equal rows give equal rows; an
+    empty table gives none.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(forest or train_forest())
+    sent = docs.sparkSession.sparkContext.broadcast(forest or trained_on(docs, path))
 
     def run(texts: pd.Series, paths: pd.Series) -> pd.Series:
         out: list[str | None] = []
@@ -288,8 +365,10 @@ def redact(docs: DataFrame, forest: Forest | None = None, path: str = "source")
         return pd.Series(out, dtype=object)
 
     run.__annotations__ = {"texts": pd.Series, "paths": pd.Series, "return": pd.Series}
-    clean = docs.withColumn("_clean", F.pandas_udf(run, "string")(*_rows(docs, path)))
-    changed = {"text": F.coalesce("_clean", "text")}
+    given = F.col("d").getField(path).cast("string") if path in docs.columns else F.lit("")
+    rows = docs.select(F.struct("*").alias("d"))
+    rows = rows.select("d", F.pandas_udf(run, "string")(F.coalesce(F.col("d.text").cast("string"), F.lit("")), F.coalesce(given, F.lit(""))).alias("t"))
+    changed = {"text": F.coalesce("t", F.col("d.text"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_clean").isNull(), F.col("n_chars")).otherwise(F.length("_clean").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+        changed["n_chars"] = F.when(F.col("t").isNull(), F.col("d.n_chars")).otherwise(F.length("t").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*(changed.get(c, F.col("d").getField(c)).alias(c) for c in docs.columns))

@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import durable, stored
+from .common import durable
 from .components import components
 
 SEED = 42
@@ -59,7 +59,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 def near_pairs(prints: DataFrame, bucket: int = 64) -> DataFrame:
     """Edges (src, dst) that connect all fingerprints of column fp within two bits of each other.
 
-    Only the links' closure is promised: members of buckets over `bucket` get a star of links.
+    Only the links' closure is promised: buckets of over `bucket` fingerprints leave the half-segment
+    variants, and their members get a star of links from whole-fingerprint variants.  Both ways are
+    exact, so `bucket` bounds work and changes no component.
     """
     # A key holds 32 bits of the half with one of them cleared, 5 of the wildcard's place, 1 of the half.
     half = F.col("half")
@@ -94,161 +96,3 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bucket: int = 64) -> D
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = durable(rooted.join(groups, "root").select("fp", "component_id"))
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's shingles, sorted; words are those of `fingerprint`."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, dtype="<i8")
-    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
-    return np.unique(np.fromiter((xxh64_intdigest(p, SEED) for p in parts), dtype="<u8").view("<i8"))
-
-
-def _set_id(hashes: np.ndarray) -> int:
-    return xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
-
-
-def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, sid (of equal sets) and s, the set of shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                sets = [shingle_set(text.as_py() or b"", shingle) for text in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_set_id(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "sid", "s"])
-
-    pairs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text"))
-    return pairs.mapInArrow(run, "doc_id long, sid long, s array<long>")
-
-
-def common_shingles(docs: DataFrame, shingle: int = 5, texts: int = 8192, most: int = 1 << 18) -> np.ndarray:
-    """Shingles that at least three of about `texts` sampled sets hold, the commonest `most` of them."""
-    share = max(1, docs.count() // texts)
-    some = shingle_sets(docs.where(F.pmod(F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))), F.lit(share)) == 0), shingle)
-    counts = some.dropDuplicates(["sid"]).select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
-    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(most).collect()], dtype="<i8"))
-
-
-def shingle_heads(docs: DataFrame, common: np.ndarray, shingle: int = 5) -> DataFrame:
-    """doc_id, sid, n (size of the set) and head: its first n - ceil(0.8 n) + 1 shingles, the common ones put last.
-
-    Sets of Jaccard similarity 0.8 share ceil(0.8 n) shingles at least, so their heads meet under any one order.
-    """
-
-    def head(s: np.ndarray) -> np.ndarray:
-        late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), dtype=bool)
-        return np.concatenate([s[~late], s[late]])[: len(s) - (4 * len(s) + 4) // 5 + 1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part, ids, sizes, heads = batch.slice(start, 500), [], [], []
-                for text in part.column(1):
-                    s = shingle_set(text.as_py() or b"", shingle)
-                    ids.append(_set_id(s))
-                    sizes.append(len(s))
-                    heads.append(head(s))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], ["doc_id", "sid", "n", "head"])
-
-    pairs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text"))
-    return pairs.mapInArrow(run, "doc_id long, sid long, n int, head array<long>")
-
-
-def _may_link(shared: str) -> str:
-    """Whether sets a and b can reach 0.8: `shared` bounds what their heads share, and one's tail bounds the rest."""
-    tail = "greatest(a.n - a.p, b.n - b.p)"
-    return f"5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) and 9 * ({shared} + {tail}) >= 4 * (a.n + b.n)"
-
-
-def jaccard_links(docs: DataFrame, sets: DataFrame, shingle: int = 5, bucket: int = 64) -> DataFrame:
-    """Edges (src, dst) of sids that connect all sets whose Jaccard similarity is 0.8 or more; every edge has it.
-
-    Sets (sid, least, n, head) that share a shingle of their heads are candidates.  A shingle of over `bucket`
-    heads first pairs its members with one of them, another for each shingle; then those pairs of its members
-    that no links join yet are candidates too.
-    """
-    # A window counts a shingle's sets, so that the shingles are dealt out once.
-    keyed = sets.select("sid", "n", F.explode("head").alias("key")).withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
-    members = durable(keyed.select("key", "sid", "n", F.expr("n - (4 * n + 4) div 5 + 1").cast("int").alias("p"), "m"))
-    hot = members.where(F.col("m") > bucket)
-    # Of each set, how many shingles of its head are in large buckets: what pairs may share unseen.
-    heat = hot.groupBy("sid").agg(F.count("*").cast("int").alias("hot"))
-    about = durable(members.select("sid", "n", "p").distinct().join(heat, "sid", "left").fillna(0, ["hot"]))
-
-    few = members.where(F.col("m") <= bucket).select("key", "sid", "n", "p")
-    pairs = few.alias("a").join(few.alias("b"), "key").where("a.sid < b.sid and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)")
-    pairs = pairs.groupBy(F.col("a.sid").alias("src"), F.col("b.sid").alias("dst")).agg(F.count("*").alias("c"))
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        a, b = about.withColumnRenamed("sid", "src").alias("a"), about.withColumnRenamed("sid", "dst").alias("b")
-        return pairs.join(a, "src").join(b, "dst").where(_may_link("c + least(a.hot, b.hot)")).select("src", "dst")
-
-    none = F.lit(0).cast("long").alias("c")
-    hubs = hot.groupBy("key").agg(F.min_by("sid", F.xxhash64("key", "sid")).alias("hub"))
-    stars = hot.join(hubs, "key").where("sid <> hub").select(F.least("hub", "sid").alias("src"), F.greatest("hub", "sid").alias("dst")).distinct().select("src", "dst", none)
-    first = durable(possible(pairs.unionByName(stars)).distinct())
-
-    # The texts are dealt out once, for the sets of all candidates, later ones (of large buckets) too.
-    ids = durable(first.select(F.explode(F.array("src", "dst")).alias("sid")).union(hot.select("sid")).distinct())
-    least = sets.join(ids, "sid", "left_semi").where("least is not null").select(F.col("least").alias("doc_id")).distinct()
-    some = docs.withColumn("doc_id", docs["doc_id"].cast("long")).select("doc_id", "text")
-    # The least doc_id finds a set's text; other texts under that id, or under none, are told by their sid.
-    some = some.join(least, "doc_id", "left_semi").union(some.where("doc_id is null"))
-    held = durable(shingle_sets(some, shingle).select("sid", "s").join(ids, "sid", "left_semi").dropDuplicates(["sid"]))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(held.select(F.col("sid").alias("src"), F.col("s").alias("x")), "src").join(held.select(F.col("sid").alias("dst"), F.col("s").alias("y")), "dst")
-        both = both.select("src", "dst", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
-        return durable(both.where("9 * both >= 4 * n").select("src", "dst"))
-
-    links = verified(first)
-    if hot.isEmpty():
-        return links
-    ranked = durable(hot.select("key", "sid", "n", "p", F.row_number().over(Window.partitionBy("sid").orderBy("key")).alias("at")))
-
-    def apart(links: DataFrame) -> DataFrame:
-        """Members, with their roots, of the large buckets that links don't join in one component."""
-        roots = components(links).withColumnRenamed("node", "sid")
-        rooted = ranked.join(roots, "sid", "left").select("key", "sid", "n", "p", "at", F.coalesce("root", "sid").alias("root"))
-        keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        return durable(rooted.join(keys, "key"))
-
-    # Other members in turn are what a bucket's are paired with, so that few pairs are left in the end.
-    for turn in range(1, 3):
-        rooted = apart(links)
-        hubs = rooted.groupBy("key").agg(F.min_by(F.struct("sid", "root"), F.xxhash64("key", "sid", F.lit(turn))).alias("hub"))
-        stars = rooted.join(hubs, "key").where("root <> hub.root").select(F.least("hub.sid", "sid").alias("src"), F.greatest("hub.sid", "sid").alias("dst")).distinct()
-        links = durable(links.union(verified(possible(stars.select("src", "dst", none)))))
-    # Pairs seen in small buckets were candidates above; others share nothing but hot shingles, of which
-    # the last has all the others before it in both heads.
-    rooted = apart(links)
-    rest = rooted.alias("a").join(rooted.alias("b"), "key").where("a.root <> b.root and a.sid < b.sid").where(_may_link("least(a.at, b.at)"))
-    return links.union(verified(rest.select(F.col("a.sid").alias("src"), F.col("b.sid").alias("dst")).distinct()))
-
-
-def near_groups(docs: DataFrame, shingle: int = 5, bucket: int = 64) -> DataFrame:
-    """doc_id and component_id, the smallest non-null doc_id that links of Jaccard similarity 0.8 or more reach."""
-    heads = stored(shingle_heads(docs, common_shingles(docs, shingle), shingle), "shingle-heads")
-    sets = stored(heads.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("head").alias("head")), "shingle-sets")
-    roots = components(jaccard_links(docs, sets, shingle, bucket)).withColumnRenamed("node", "sid")
-    rooted = durable(sets.select("sid", "least").join(roots, "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root")))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return heads.select("doc_id", "sid").join(rooted.join(groups, "root").select("sid", "component_id"), "sid").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The documents with the smallest doc_id of their near-duplicate group, columns unchanged.
-
-    Texts are linked where the sets of their shingles have Jaccard similarity 0.8 or more, which every link is verified to have.
-    Of rows that repeat a doc_id in one group any one stays; rows whose whole group lacks a doc_id all stay.
-    """
-    groups = durable(near_groups(docs, shingle))
-    heads = durable(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = docs.join(heads, "doc_id").select(docs["*"])
-    if not heads.where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    if not groups.where("component_id is null").isEmpty():
-        kept = kept.unionByName(docs.where("doc_id is null"))
-    return kept
