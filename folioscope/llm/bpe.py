@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Pre-tokens of more bytes aren't remembered; the memory of shorter ones is emptied when full;
 #: characters whose pre-tokens are held at a time.
 MEMO_BYTES, MEMO_ENTRIES, CHUNK = 64, 1_000_000, 4_000_000
@@ -281,6 +283,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: boo
     each of several equal rows gives its own row.  An empty table gives no rows.  `keep_ids`
     adds the column ids (array<int>).
     """
+    small_batches(docs.sparkSession)
     file = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,11 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
         if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")
@@ -44,5 +46,17 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20, rows: int = 2_000) -> None:
+    """From now on Arrow batches of this session are of at most so many bytes and rows, where they may be larger.
+
+    A task holds a batch in the JVM, on its way and in Python at once, and texts may be long: the
+    default of 64 MB takes several times that of an executor's memory for each task.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", size), ("spark.sql.execution.arrow.maxRecordsPerBatch", rows)):
+        now = spark.conf.get(key)
+        if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)

@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 LETTER = regex.compile(r"\p{L}")
 ORDERS = (1, 2, 3, 4)
 #: Words above this many characters are cut into pieces of it before subwords are taken.
@@ -315,6 +317,7 @@ def train(docs: DataFrame, rows: int = ROWS, sample: int = SAMPLE) -> Model:
 
 def predicted(docs: DataFrame, model: Model, text: Column) -> Column:
     """A struct (lang_pred, score, rejected) for the column `text` of docs."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: name, substrings of the lower-case text of which one must be there, pattern; its last group is the candidate.
 RULES = [
     ("aws_key", ("akia", "asia"), re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])")),
@@ -323,6 +325,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, path: str = "source") ->
     are ignored.  A null or empty text has no candidates.  A null doc_id stays null; equal rows
     give equal findings each.  An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(forest or trained_on(docs, path))
     given = F.col(path).cast("string") if path in docs.columns else F.lit("")
 
@@ -350,6 +353,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, path: str = "source")
     as they are, null and empty ones too; texts are scanned whole; equal rows give equal rows; an
     empty table gives none.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(forest or trained_on(docs, path))
 
     def run(texts: pd.Series, paths: pd.Series) -> pd.Series:

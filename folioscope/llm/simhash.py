@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import durable
+from .common import durable, small_batches
 from .components import components
 
 SEED = 42
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             prints = [fingerprint(text.as_py() or b"", shingle) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     pairs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text"))
     return pairs.mapInArrow(run, "doc_id long, fp long")
 

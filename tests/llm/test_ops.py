@@ -712,11 +712,56 @@ def test_search_finds_nearly_all(spark):
     assert hnsw.search(d.where("false")).count() == 0
 
 
-def test_graph_recall_alone():
-    x = np.random.default_rng(4).standard_normal((3000, 24)).astype(np.float32)
-    found = hnsw.Graph(x).nearest(x[:100], 10, 64)
-    exact = np.argsort(-(x[:100] @ x.T), axis=1)[:, :10]
-    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found, exact, strict=True)]) >= 0.9
+def recall(x, found, queries, k):
+    exact = np.argsort(-(x[:queries] @ x.T), axis=1)[:, :k]
+    return np.mean([len(set(a) & set(b)) / k for a, b in zip(found, exact, strict=True)])
+
+
+@pytest.mark.parametrize("n", [3000, hnsw.SHARD_POINTS])
+def test_graph_recall_alone(n):
+    rng = np.random.default_rng(4)
+    plain = rng.standard_normal((n, 64))
+    clusters = rng.standard_normal((40, 64))[rng.integers(0, 40, n)] + 0.7 * rng.standard_normal((n, 64))
+    for x in (plain, clusters / np.linalg.norm(clusters, axis=1, keepdims=True)):
+        assert recall(x, hnsw.Graph(x).nearest(x[:200], 20), 200, 20) >= 0.9
+
+
+def found_recall(spark, x, **more):
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hnsw.search(d, **more).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, len(x), 20):
+        order = np.argsort(-(x @ x[q]), kind="stable")
+        hits += len(got[q] & {int(i) for i in order if i != q and i in set(order[:21].tolist())})
+    return hits / (20 * len(got))
+
+
+def test_recall_over_many_cells(spark):
+    rng = np.random.default_rng(6)
+    clusters = rng.standard_normal((30, 32))[rng.integers(0, 30, 6000)] + 0.5 * rng.standard_normal((6000, 32))
+    assert found_recall(spark, clusters, shard_points=300) >= 0.9
+    assert found_recall(spark, rng.standard_normal((3000, 32)), shard_points=300) >= 0.9  # no cells to speak of: most are visited
+    uneven = np.concatenate([rng.standard_normal((2000, 16)), 1e20 * rng.standard_normal((3, 16)), 1e-9 * rng.standard_normal((50, 16))])
+    assert found_recall(spark, uneven) >= 0.9
+
+
+def test_queries_are_routed():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((50, 32))[rng.integers(0, 50, 20_000)] * 3 + 0.3 * rng.standard_normal((20_000, 32))
+    cells = hnsw.Cells()
+    for r in np.unique(hnsw.norm_ranges(x)):
+        part = x[hnsw.norm_ranges(x) == r]
+        cells.add((32, int(r)), part, 40, 20, hnsw.COVER)
+    assert np.mean([len(v) for v in cells.of_queries(x[:500])]) <= cells.n / 4
+    assert (cells.of_points(x, hnsw.norm_ranges(x)) >= 0).all()
+
+
+def test_id_on_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.1]), (2, [0.1, 3.0]), (2, [0.5, 0.5]), (3, [-1.0, -1.0])]
+    got = sorted(map(tuple, hnsw.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == [(0, 1, 2, 3.0), (0, 2, 1, 2.0), (0, 3, 3, -1.0)]
 
 
 # substrings
