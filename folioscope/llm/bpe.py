@@ -215,7 +215,10 @@ class Codec:
             self.memo.clear()
         new = list(tokens - self.memo.keys())
         pieces = [t.encode("utf-8", "surrogatepass") for t in new]
-        short = [k for k, piece in enumerate(pieces) if 0 < len(piece) <= MEMO_BYTES]
+        # A pre-token that is a token itself is that one, whether or not merges lead to it.
+        whole = [self.ranks.get(piece) for piece in pieces]
+        self.memo.update((t, np.uint32(rank).astype("<u4").tobytes()) for t, rank in zip(new, whole, strict=True) if rank is not None)
+        short = [k for k, piece in enumerate(pieces) if whole[k] is None and 0 < len(piece) <= MEMO_BYTES]
         for start in range(0, len(short), 50_000):
             part = short[start : start + 50_000]
             for k, packed in zip(part, self.merge_all([pieces[k] for k in part]), strict=True):

@@ -5,8 +5,9 @@ sentence become its identifier.  A document's identifiers, in their order, are t
 against license rules, each an ordered sequence of identifiers with optional parts; rules are
 tried in their order and a stretch that one has claimed is closed to later ones.
 
-The tables of sentences and rules are constants of this module, or given by the caller and then
-of at most LIMIT sentences; they are part of the plan, and nothing is shuffled.
+The tables of sentences and rules are constants of this module, or given by the caller.  Up to
+LIMIT sentences are part of the plan, and nothing is shuffled; more of them are a table of their
+own that the texts' sentences are joined to.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: License sentences that may be part of a plan.
+from .common import stored
+
+#: License sentences that may be part of a plan; a larger table is joined.
 LIMIT = 1_000
 
 #: License sentences as they are published, by identifier.
@@ -78,8 +81,6 @@ def _plain(sentence: str) -> str:
 
 def sentence_map(sentences: dict[str, list[str]]) -> dict[str, str]:
     """Identifier by normalised sentence; of a published sentence with a stop inside, the first part stands for it."""
-    if sum(map(len, sentences.values())) > LIMIT:
-        raise ValueError(f"over {LIMIT} license sentences, which become part of the plan")
     return {_plain(text): name for name, texts in sorted(sentences.items(), reverse=True) for text in texts}
 
 
@@ -99,6 +100,8 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules:
     """
     known = sentence_map(SENTENCES if sentences is None else sentences)
     shortest = min(map(len, known), default=0)
+    if len(known) > LIMIT:
+        return _matched(_joined(docs, known, shortest), rules)
     names = F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair))
     # A normal form is never longer than its sentence.
     identifier = lambda s: F.when(F.length(s) >= shortest, F.element_at(names, normalised(s)))
@@ -109,10 +112,18 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules:
         whole = identifier(part)
         return F.when(whole.isNotNull(), F.array(whole)).when(part.rlike(r"[\r\n]"), lines).otherwise(F.array().cast("array<string>"))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = _texts(docs)
     if not known:
         return rows.select("doc_id", F.lit(0).cast("long").alias("n_sentences"), F.lit("").alias("sentence_ids"), F.lit("").alias("licenses"))
-    rows = rows.select("doc_id", F.flatten(F.transform(F.split("text", BY_PARAGRAPH), identifiers)).alias("ids"))
+    return _matched(rows.select("doc_id", F.flatten(F.transform(F.split("text", BY_PARAGRAPH), identifiers)).alias("ids")), rules)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def _matched(rows: DataFrame, rules: list[tuple[str, str]] | None) -> DataFrame:
+    """The scan's columns for rows of doc_id and ids."""
     claimed = F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
     for name, rule in RULES if rules is None else rules:
         claimed = F.regexp_replace(claimed, _pattern(rule), f"[{name}]")
@@ -120,6 +131,24 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", " ").alias("sentence_ids"), F.array_join(found, "|").alias("licenses"))
 
 
+def _joined(docs: DataFrame, known: dict[str, str], shortest: int) -> DataFrame:
+    """doc_id and ids by a join: distinct sentences and lines of at least the shortest length meet the table, and the known ones their texts."""
+    spark = docs.sparkSession
+    names = spark.createDataFrame(sorted(known.items()), "normal string, name string")
+    # Fixed by writing, as the numbers tell rows apart.
+    rows = stored(_texts(docs).withColumn("no", F.monotonically_increasing_id()), "license-texts")
+    parts = rows.select("no", F.posexplode(F.split("text", BY_PARAGRAPH)).alias("at", "part")).where(F.length("part") >= shortest)
+    lines = parts.where(F.col("part").rlike(r"[\r\n]")).select("no", "at", F.posexplode(F.split("part", r"[\r\n]+")).alias("line", "s"))
+    tried = parts.select("no", "at", F.lit(-1).alias("line"), "part").union(lines.where(F.length("s") >= shortest)).toDF("no", "at", "line", "s")
+    hits = tried.withColumn("normal", normalised(F.col("s"))).join(names, "normal").select("no", "at", "line", "name")
+    found = hits.groupBy("no").agg(F.array_sort(F.collect_list(F.struct("at", "line", "name"))).alias("hits"))
+    # A known sentence stands for its lines.
+    whole = F.transform(F.filter("hits", lambda h: h["line"] < 0), lambda h: h["at"])
+    ids = F.transform(F.filter("hits", lambda h: (h["line"] < 0) | ~F.array_contains(F.col("whole"), h["at"])), lambda h: h["name"])
+    found = found.withColumn("whole", whole).select("no", ids.alias("ids"))
+    return rows.select("no", "doc_id").join(found, "no", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+
+
 def sql() -> str:
     """The scan of documents for DuckDB, which takes the reading (by line or paragraph) with more known sentences.
 

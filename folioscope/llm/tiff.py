@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 
 #: Fixed values of the TIFF 6.0 format: tags, compression schemes and field sizes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
@@ -26,8 +26,8 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES = 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
-#: How documents are stored: samples a row, rows a strip, rows a page, and the scheme.
-ROW, STRIP_ROWS, PAGE_ROWS = 192, 4096, 1 << 17
+#: How documents are stored: samples a row, rows a strip and a page, rows and columns of a tile at most.
+ROW, STRIP_ROWS, PAGE_ROWS, TILE = 192, 256, 512, (128, 96)
 
 PAGES = "page int, width int, height int, samples int, bits int, compression int, predictor int, pixels binary, error string"
 
@@ -284,19 +284,41 @@ def read(data: bytes) -> Iterator[Page]:
         yield page
 
 
-def pages(media: DataFrame, key: str, column: str) -> DataFrame:
-    """One row per page of the TIFF files in binary `column`: key, page fields, pixels or an error.  A null file has no pages."""
-    kind = media.schema[key].dataType.simpleString()
+def pages(media: DataFrame, key: str, column: str, *carried: str) -> DataFrame:
+    """One row per page of the TIFF files in binary `column`: key, `carried` columns, page fields, pixels or an error.
+
+    Rows of a file follow each other in the order of its directories.  A null file has no pages;
+    an empty one, or one that is no TIFF, has a row with an error, as has a page that can't be
+    decoded, however long it is; a null key stays null; equal rows give equal rows; an empty table
+    gives none.  Other columns are ignored, whatever their names.
+    """
+    names = [key, *carried]
+    kinds = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in names)
+    fields = ["page", "width", "height", "samples", "bits", "compression", "predictor"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at: list[int] = []
+            held: list[Page] = []
+            size = 0
+
+            def rows(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                numbers = [pa.array(x, pa.int32()) for x in zip(*((p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor) for p in held), strict=True)]
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in range(len(names))), *numbers, pa.array([p.pixels for p in held], pa.binary()), pa.array([p.error for p in held], pa.string())], [*names, *fields, "pixels", "error"])
+
             for k in range(batch.num_rows):
-                data = batch.column(1)[k].as_py()
+                data = batch.column(len(names))[k].as_py()
                 for p in read(data) if data is not None else ():
-                    numbers = (p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *(pa.array([x], pa.int32()) for x in numbers), pa.array([p.pixels], pa.binary()), pa.array([p.error], pa.string())], [key, "page", "width", "height", "samples", "bits", "compression", "predictor", "pixels", "error"])
+                    at.append(k)
+                    held.append(p)
+                    size += len(p.pixels or b"")
+                    if size >= 1 << 22 or len(held) == 500:
+                        yield rows()
+                        at, held, size = [], [], 0
+            if held:
+                yield rows()
 
-    return media.select(key, column).mapInArrow(run, f"`{key}` {kind}, {PAGES}")
+    return media.select(*names, column).mapInArrow(run, f"{kinds}, {PAGES}")
 
 
 def as_pages(text: bytes) -> tuple[list[np.ndarray], int]:
@@ -306,55 +328,89 @@ def as_pages(text: bytes) -> tuple[list[np.ndarray], int]:
     return [rows[y : y + PAGE_ROWS] for y in range(0, len(rows), PAGE_ROWS)], size
 
 
+def store(text: bytes) -> bytes:
+    """The text as a TIFF.  A checksum of the text picks its form, so equal texts have equal media.
+
+    One text in 16 is packed by LZW and one by PackBits, the others are deflated; half have tiles
+    instead of strips, and all but those of PackBits the predictor.
+    """
+    kept, _ = as_pages(text)
+    pick = zlib.crc32(text)
+    scheme = {0: LZW, 1: PACKBITS}.get(pick & 15, DEFLATE)
+    tile = (min(TILE[0], -(-len(kept[0]) // 16) * 16), TILE[1]) if pick & 16 else None
+    return write(kept, scheme, 1 if scheme == PACKBITS else 2, tile=tile)
+
+
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media, each whole text as a deflated TIFF with predictor; written to the shared folder and read back."""
+    """no, doc_id, n_bytes and media, each whole text as a TIFF; written to the shared folder and read back.
+
+    `no` numbers the rows, so that equal ones are told apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                texts = [t.as_py() or b"" for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array([write(as_pages(t)[0]) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+                texts = [t.as_py() or b"" for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(map(len, texts), pa.int64()), pa.array([store(t) for t in texts], pa.binary())], ["no", "doc_id", "n_bytes", "media"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return stored(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "tiff", "uncompressed")
+    rows = rows.select(F.monotonically_increasing_id().alias("no"), "doc_id", "text")
+    return stored(rows.mapInArrow(run, "no long, doc_id long, n_bytes long, media binary"), "tiff", "uncompressed")
 
 
-def feature(pixels: list[np.ndarray]) -> str:
-    """Pages, rows, mean and deviation of the samples, and their shares in eight ranges, in ten-thousandths."""
-    counts = sum((np.bincount(p, minlength=256) for p in pixels), np.zeros(256, np.int64))
+def feature(counts: np.ndarray, n_pages: int) -> str:
+    """Pages, rows, mean and deviation of the samples, and their shares in eight ranges, in ten-thousandths; from a count of each sample."""
     n, values = counts.sum(), np.arange(256)
     mean = (counts * values).sum() / n
     deviation = np.sqrt((counts * (values - mean) ** 2).sum() / n)
     shares = counts.reshape(8, 32).sum(axis=1) * 10_000 // n
-    return f"{len(pixels)}:{n // ROW}:{mean:.3f}:{deviation:.3f}:" + ",".join(map(str, shares.tolist()))
+    return f"{n_pages}:{n // ROW}:{mean:.3f}:{deviation:.3f}:" + ",".join(map(str, shares.tolist()))
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each file from those of its pages, which follow each other."""
+    names = "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature".split()
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    now, head, digest, size, tail, counts, n = None, (), hashlib.sha256(), 0, b"", np.zeros(256, np.int64), 0
+    out: list[tuple] = []
+
+    def end() -> None:
+        doc_id, n_bytes, media_bytes, media_sha = head
+        out.append((doc_id, n_bytes, size, digest.hexdigest(), zlib.crc32(tail), media_bytes, media_sha, feature(counts, n)))
+
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in ("no", "doc_id", "n_bytes", "media_bytes", "media_sha256", "error")), strict=True)
+        for (no, *about, error), pixels in zip(keys, batch.column("pixels"), strict=True):
+            if error:
+                raise ValueError(f"stored media can't be read: {error}")
+            if no != now:
+                if now is not None:
+                    end()
+                now, head, digest, size, tail, counts, n = no, about, hashlib.sha256(), 0, b"", np.zeros(256, np.int64), 0
+            data = pixels.as_py()
+            digest.update(data)
+            size, tail, n = size + len(data), (tail + data[-16:])[-16:], n + 1
+            counts = counts + np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+        if len(out) >= 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            out = []
+    if now is not None:
+        end()
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
 def text_round_trip(docs: DataFrame) -> DataFrame:
-    """Store every whole text as TIFF, read it back and return sizes, digests and a feature of what was read.
+    """Store every whole text as TIFF, read its pages back and return sizes, digests and a feature of what was read.
 
     doc_id, n_bytes (unpadded), payload_bytes, payload_sha256, tail_crc32 (of the last 16 bytes),
     media_bytes, media_sha256 and feature.  Needs doc_id and text; other columns are ignored.  A
     null text counts as empty, and an empty one is a row of spaces.  A null doc_id stays null;
-    equal texts give equal values; an empty table gives no rows.
+    equal texts give equal values, and each of several equal rows its own; an empty table gives no rows.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for media in batch.column(2):
-                data = media.as_py()
-                digest, size, tail, parts = hashlib.sha256(), 0, b"", []
-                for p in read(data):
-                    if p.error:
-                        raise ValueError(f"stored media can't be read: {p.error}")
-                    digest.update(p.pixels)
-                    size += len(p.pixels)
-                    tail = (tail + p.pixels[-16:])[-16:]
-                    parts.append(np.frombuffer(p.pixels, np.uint8))
-                out.append((size, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature(parts)))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature".split())
-
-    return store_texts(docs).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    media = store_texts(docs)
+    media = media.select("no", "doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    read_back = pages(media, "no", "media", "doc_id", "n_bytes", "media_bytes", "media_sha256")
+    return read_back.mapInArrow(_folded, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
