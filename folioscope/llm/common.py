@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,5 +60,31 @@ def small_batches(spark: SparkSession, size: int = 8 << 20, rows: int = 2_000) -
             spark.conf.set(key, str(most))
 
 
+#: Bits of a Bloom filter, at most; so many are 8 MB.  A full filter holds nothing back, and joins behind it are exact.
+FILTER_BITS = 1 << 26
+
+
+def filter_bits(n: int) -> int:
+    """Bits for n values."""
+    return min(FILTER_BITS, max(1 << 10, 1 << (n * 16).bit_length()))
+
+
+def bit_filter(values: DataFrame, spots: list[Column], bits: int) -> np.ndarray:
+    """The words of a Bloom filter with the bits `spots` of each row set; bits / 64 words come to the driver at most."""
+    words = values.select(F.explode(F.array(*spots)).alias("bit")).groupBy(F.expr("bit div 64").alias("word"))
+    table = words.agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("set")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[table.column("word").to_numpy()] = table.column("set").to_numpy().view(np.uint64)
+    return out
+
+
+def in_filter(words: np.ndarray, *spots: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(spots[0]), dtype=bool)
+    for x in spots:
+        at = x.astype(np.uint64)
+        hit &= (words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return hit
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)

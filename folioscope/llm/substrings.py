@@ -7,35 +7,38 @@ A passage recurs if a window of `window` words does.  The steps, each over the w
    are seeds, and those are all that is counted.
 2. Windows with a recurring seed are hashed; equal ones confirm a recurring window, and the least
    position owns it.  Runs of owned windows are passages.
-3. Documents with a recurring seed are dealt into shards, and each shard gets the passages that
-   any of its windows belongs to.  A task compiles its passages' phrases into an Aho-Corasick
-   automaton over words, streams its documents through it, and verifies each occurrence.
+3. Documents with a recurring seed are dealt into shards of bounded bytes, and each shard gets the
+   passages around the seeds that its documents have.  A task compiles a shard's passages into an
+   Aho-Corasick automaton over words, streams the shard's documents through it, and drops it.
+   Nothing but the automata says where windows recur; occurrences are verified where they are found.
 
 Text classes, positions and seeds are tables throughout.  No step pairs the occurrences of a
-window or of a seed: each is held against its one owner.  Shards are of documents, so a passage
-that very many share goes to every shard once, and none has more than its part of the documents.
+window or of a seed: shards and passages meet by their seeds, at most HEAVY of either for a seed;
+where a seed has more of both, they meet by single windows.  Passages of over SHARD_BYTES in a
+shard are cut into chunks with an automaton each, which meet all documents of the shard.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import durable, stored
+from .common import bit_filter, durable, filter_bits, in_filter, parallelism, small_batches, stored
 
 WINDOW, PHRASE = 20, 8
-#: Bits of a position that count words within a text; the rest number the texts.
-START_BITS = 27
-#: Bytes of passages for which one automaton is built.
-SHARD_BYTES = 4_000_000
+#: Bits of a position that count words within a text, of which no string has more; the rest number the texts.
+START_BITS = 30
+#: Bytes of texts in a shard, and of passages in an automaton.
+TEXT_BYTES, SHARD_BYTES = 2 << 20, 4 << 20
+#: Passages and shards that may meet by one seed, the fewer of them; windows of a passage at most.
+HEAVY, LONGEST = 64, 1 << 15
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -95,66 +98,67 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def _survey(window: int):
+def _survey(window: int, shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                out: list[list] = [[] for _ in range(5)]
-                for text in part.column(2):
-                    text = text.as_py()
-                    words = text.split()
-                    at, grams = seeds(word_hashes(words), window)
-                    found, counts = np.unique(grams[np.unique(at)], return_counts=True)
-                    for column, value in zip(out, (hashlib.sha256(text).hexdigest(), len(words), hashlib.sha256(b" ".join(words)).hexdigest(), _signed(found), _signed(found[counts > 1])), strict=True):
-                        column.append(value)
-                longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.string(), longs, longs), strict=True))], ["doc_id", "tag", "digest", "n_words", "whole", "seeds", "again"])
+            out: list[list] = [[] for _ in range(5)]
+            for text in batch.column(2):
+                text = text.as_py()
+                words = text.split()
+                at, grams = seeds(word_hashes(words), window)
+                found, counts = np.unique(grams[np.unique(at)] >> np.uint64(shift), return_counts=True)
+                for column, value in zip(out, (hashlib.sha256(text).hexdigest(), len(words), hashlib.sha256(b" ".join(words)).hexdigest(), _signed(found), _signed(found[counts > 1])), strict=True):
+                    column.append(value)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.string(), longs, longs), strict=True))], ["doc_id", "tag", "digest", "n_words", "whole", "seeds", "again"])
 
     return run
 
 
-def _windows(window: int):
-    """96-bit hashes and positions of the windows whose seed recurs."""
+def _windows(window: int, shift: int):
+    """96-bit hashes, positions and seeds of the windows whose seed is known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1000):
-                part = batch.slice(begin, 1000)
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
                 out: list[tuple] = []
                 for no, text, known in zip(*(part.column(i) for i in range(3)), strict=True):
                     hashes = word_hashes(text.as_py().split())
                     at, grams = seeds(hashes, window)
+                    grams = grams >> np.uint64(shift)
                     known = np.sort(known.values.to_numpy().view(np.uint64))
                     places = np.unique(at)
                     recurs = np.zeros(len(grams), dtype=bool)
                     recurs[places] = known[np.minimum(np.searchsorted(known, grams[places]), len(known) - 1)] == grams[places]
                     start = np.nonzero(recurs[at])[0]
-                    out.append((run_hashes(hashes, window)[start], run_hashes(hashes, window, 1)[start] >> np.uint64(32), (no.as_py() << START_BITS) + start))
-                high, low, position = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(high)), pa.array(low.astype(np.uint32).view(np.int32)), pa.array(position.astype(np.int64))], ["high", "low", "position"])
+                    out.append((run_hashes(hashes, window)[start], run_hashes(hashes, window, 1)[start] >> np.uint64(32), (no.as_py() << START_BITS) + start, grams[at[start]]))
+                high, low, position, seed = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(high)), pa.array(low.astype(np.uint32).view(np.int32)), pa.array(position.astype(np.int64)), pa.array(_signed(seed))], ["high", "low", "position", "seed"])
 
     return run
 
 
-def _passages(window: int):
-    """The words of runs of owned windows, each given by its first start and its last."""
+def _passages(window: int, longest: int):
+    """The words of runs of owned windows, merged where they meet; each run is given by its first start and its last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for no, text, runs in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for shard, no, text, runs in zip(*(batch.column(i) for i in range(4)), strict=True):
                 words = text.as_py().split()
-                for r in runs.as_py():
-                    out.append(((no.as_py() << START_BITS) + r["first"], b" ".join(words[r["first"] : r["last"] + window])))
-            columns = zip(*out, strict=True) if out else [[]] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary()), strict=True)], ["position", "words"])
+                merged: list[list[int]] = []
+                for first, last in sorted((r["first"], r["last"]) for r in runs.as_py()):
+                    if merged and first <= merged[-1][1] + 1:
+                        merged[-1][1] = max(merged[-1][1], last)
+                    else:
+                        merged.append([first, last])
+                for first, last in merged:
+                    for a in range(first, last + 1, longest):
+                        b = min(last, a + longest - 1)
+                        out.append((shard.as_py(), (no.as_py() << START_BITS) + a, b" ".join(words[a : b + window])))
+            columns = zip(*out, strict=True) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "position", "words"])
 
     return run
 
@@ -224,37 +228,58 @@ class Automaton:
         return np.cumsum(ends[:-1]) > 0
 
 
-def _stream(window: int):
-    """n_removed and kept of each document of a shard; rows of kind 0 are passages and come first."""
+def _kept(words: list[bytes], gone: np.ndarray) -> str:
+    return hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest()
+
+
+def _stream(window: int, whole: bool):
+    """What goes of each document of a shard: n_removed and kept if it met all passages at once (`whole`), else the spans.
+
+    Rows of kind 0 are passages and come first in a chunk of a shard, which has an automaton.
+    """
+    spans_of = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, passages, size = None, {}, 0
-        automata: list[Automaton] = []
+        now, passages, automaton = None, {}, None
         for batch in batches:
             out = []
-            for of, kind, key, text in zip(*(batch.column(i) for i in range(4)), strict=True):
-                if of.as_py() != shard:
-                    shard, passages, automata, size = of.as_py(), {}, [], 0
-                if kind.as_py() == 0:
-                    passages[key.as_py()] = text.as_py()
-                    size += len(passages[key.as_py()])
-                if passages and (kind.as_py() or size >= SHARD_BYTES):
-                    automata.append(Automaton(passages, window))
-                    passages, size = {}, 0
-                if kind.as_py() == 0 or not automata:
+            for shard, chunk, kind, key, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if (shard, chunk) != now:
+                    now, passages, automaton = (shard, chunk), {}, None
+                if kind == 0:
+                    passages[key] = text.as_py()
+                    continue
+                if passages:
+                    automaton, passages = Automaton(passages, window), {}
+                if automaton is None:
                     continue
                 words = text.as_py().split()
-                gone = np.zeros(len(words), dtype=bool)
-                for automaton in automata:
-                    gone |= automaton.covered(words, key.as_py() << START_BITS)
+                gone = automaton.covered(words, key << START_BITS)
                 if n := int(gone.sum()):
-                    out.append((key.as_py(), n, hashlib.sha256(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])).hexdigest()))
-            columns = zip(*out, strict=True) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["no", "n_removed", "kept"])
+                    edges = np.nonzero(np.diff(np.concatenate([[False], gone, [False]])))[0]
+                    out.append((key, n, _kept(words, gone)) if whole else (key, edges))
+            kinds = (pa.int64(), pa.int64(), pa.string()) if whole else (pa.int64(), spans_of)
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["no", "n_removed", "kept"] if whole else ["no", "spans"])
 
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n_removed and kept of documents (no, text) whose spans (lists of edges) came from several automata."""
+    for batch in batches:
+        out = []
+        for no, text, lists in zip(*(batch.column(i) for i in range(3)), strict=True):
+            words = text.as_py().split()
+            gone = np.zeros(len(words), dtype=bool)
+            for edges in lists.as_py():
+                for a, b in zip(edges[::2], edges[1::2], strict=True):
+                    gone[a:b] = True
+            out.append((no.as_py(), int(gone.sum()), _kept(words, gone)))
+        columns = zip(*out, strict=True) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["no", "n_removed", "kept"])
+
+
 def _numbered(classes: DataFrame) -> DataFrame:
     """Dense numbers, in the order of doc_id (null last) and digest."""
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest")]
@@ -266,12 +291,96 @@ def _numbered(classes: DataFrame) -> DataFrame:
     for p in range(max(counts, default=-1) + 1):
         total += counts.get(p, 0)
         offsets.append(total)
+    if total > 1 << (63 - START_BITS):
+        raise ValueError(f"{total} distinct texts; positions number {1 << (63 - START_BITS)} at most")
     offset = F.element_at(F.array(*(F.lit(x).cast("long") for x in offsets)), part.cast("int") + 1)
     return rows.withColumn("no", offset + F.col("m").bitwiseAND((1 << 33) - 1)).drop("m")
 
 
 def shard_of(no: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(no), F.lit(shards)).cast("int")
+    return F.pmod(F.xxhash64(no), F.lit(shards))
+
+
+def _spots(x: Column, bits: int) -> list[Column]:
+    """Two bits of a hash, as `_in` finds them."""
+    return [F.pmod(x, F.lit(bits)), F.pmod(F.shiftright(x, 13), F.lit(bits))]
+
+
+def _in(words: np.ndarray, x: np.ndarray) -> np.ndarray:
+    bits = 64 * len(words)
+    return in_filter(words, x % bits, (x >> 13) % bits)
+
+
+def _surveyed(rows: DataFrame, window: int, shift: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with a tag for each text, their survey, and the classes of equal texts (tag, doc_id, digest)."""
+    for salt in range(8):
+        keyed = rows.withColumn("tag", F.xxhash64(F.lit(salt), "text"))
+        survey = stored(keyed.select("doc_id", "tag", F.col("text").cast("binary").alias("text")).mapInArrow(_survey(window, shift), "doc_id long, tag long, digest string, n_words long, whole string, seeds array<bigint>, again array<bigint>"), "survey")
+        classes = durable(survey.groupBy("tag").agg(F.min("doc_id").alias("doc_id"), F.min("digest").alias("digest"), F.max("digest").alias("other")))
+        if classes.where("digest <> other").isEmpty():
+            return keyed, survey, classes.drop("other")
+    raise RuntimeError("unequal texts share a 64-bit hash under each of eight salts")
+
+
+def _recurring_texts(keyed: DataFrame, survey: DataFrame, classes: DataFrame) -> DataFrame:
+    """no, text and seeds of one text for each class that has seeds which recur, those seeds."""
+    spark = keyed.sparkSession
+    # A seed that a text has twice counts under the complement of the text's tag too; that tag is no text's row below.
+    both = F.concat(F.transform("seeds", lambda x: F.struct(x.alias("seed"), F.col("tag").alias("tag"))), F.transform("again", lambda x: F.struct(x.alias("seed"), F.bitwise_not("tag").alias("tag"))))
+    named = survey.select(F.explode(both).alias("s")).select("s.seed", "s.tag")
+    recurring = stored(named.groupBy("seed").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a <> b").select("seed"), "seeds")
+    # Most seeds recur nowhere: a filter of bounded size holds them back before the exact join.
+    bits = filter_bits(recurring.count())
+    sent = spark.sparkContext.broadcast(bit_filter(recurring, _spots(F.col("seed"), bits), bits))
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            hit = _in(sent.value, flat)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)[hit]), pa.array(flat[hit])], ["tag", "seed"])
+
+    shared = survey.select("tag", "seeds").mapInArrow(maybe, "tag long, seed long").join(recurring, "seed").groupBy("tag").agg(F.collect_set("seed").alias("seeds"))
+    shared = stored(shared.join(classes, "tag"), "shared")
+    tag_bits = filter_bits(shared.count())
+    tags = spark.sparkContext.broadcast(bit_filter(shared, _spots(F.col("tag"), tag_bits), tag_bits))
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_in(tags.value, batch.column(1).to_numpy())))
+
+    some = keyed.select("doc_id", "tag", F.col("text").cast("binary").alias("text")).mapInArrow(picked, "doc_id long, tag long, text binary")
+    texts = some.join(shared, "tag").where(F.col("doc_id").eqNullSafe(F.col("first")))
+    if not survey.groupBy("tag", "doc_id").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["tag"])
+    return stored(texts.select("no", "text", "seeds"), "recurring")
+
+
+def _owned(windows: DataFrame) -> DataFrame:
+    """The owner (least position) and seed of each window that recurs; partial aggregates meet, whatever recurs how often."""
+    return windows.groupBy("high", "low").agg(F.min("position").alias("owner"), F.min("seed").alias("seed"), F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+def _routed(texts: DataFrame, window: int, shift: int, shards: int) -> DataFrame:
+    """shard, no and runs (first, last) of the owned windows around the seeds that a shard's documents have."""
+    mask = (1 << START_BITS) - 1
+    schema = "high long, low int, position long, seed long"
+    owned = _owned(texts.mapInArrow(_windows(window, shift), schema)).select(F.shiftright("owner", START_BITS).alias("no"), F.col("owner").bitwiseAND(mask).alias("start"), "seed")
+    island = F.col("start") - F.row_number().over(Window.partitionBy("no", "seed").orderBy("start"))
+    runs = stored(owned.withColumn("island", island).groupBy("no", "seed", "island").agg(F.min("start").alias("first"), F.max("start").alias("last")).drop("island"), "runs")
+    has = stored(texts.select(shard_of(F.col("no"), shards).alias("shard"), F.explode("seeds").alias("seed")).distinct(), "has")
+    heavy = runs.groupBy("seed").count().where(f"count > {HEAVY}").select("seed").join(has.groupBy("seed").count().where(f"count > {HEAVY}").select("seed"), "seed")
+    heavy = durable(heavy)
+    if heavy.isEmpty():
+        routed = runs.join(has, "seed").select("shard", "no", "first", "last")
+    else:
+        routed = runs.join(heavy, "seed", "left_anti").join(has, "seed").select("shard", "no", "first", "last")
+        own = texts.select("no", F.explode("seeds").alias("seed")).join(heavy, "seed").groupBy("no").agg(F.collect_list("seed").alias("seeds"))
+        windows = texts.select("no", "text").join(own, "no").mapInArrow(_windows(window, shift), schema)
+        met = windows.select("high", "low", shard_of(F.shiftright("position", START_BITS), shards).alias("shard")).join(_owned(windows).select("high", "low", "owner"), ["high", "low"])
+        start = F.col("owner").bitwiseAND(mask)
+        routed = routed.union(met.select("shard", "owner").distinct().select("shard", F.shiftright("owner", START_BITS), start, start))
+    return routed.groupBy("shard", "no").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -284,47 +393,32 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    for salt in range(8):
-        keyed = rows.withColumn("tag", F.xxhash64(F.lit(salt), "text"))
-        survey = stored(keyed.select("doc_id", "tag", F.col("text").cast("binary").alias("text")).mapInArrow(_survey(window), "doc_id long, tag long, digest string, n_words long, whole string, seeds array<bigint>, again array<bigint>"), "survey")
-        classes = durable(survey.groupBy("tag").agg(F.min("doc_id").alias("doc_id"), F.min("digest").alias("digest"), F.max("digest").alias("other")))
-        if classes.where("digest <> other").isEmpty():
-            break
-    classes = durable(_numbered(classes.drop("other")).select("tag", "no", F.col("doc_id").alias("first")))
-    _release(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A seed that a text has twice counts under the complement of the text's tag too; that tag is no text's row below.
-    both = F.concat(F.transform("seeds", lambda x: F.struct(x.alias("seed"), F.col("tag").alias("tag"))), F.transform("again", lambda x: F.struct(x.alias("seed"), F.bitwise_not("tag").alias("tag"))))
-    # Stated here, as a join would state it on one side only, and its exchange could not serve both.
-    named = survey.select(F.explode(both).alias("s")).select("s.seed", "s.tag").where("seed is not null and tag is not null").repartition(parts, "seed")
-    recurring = named.groupBy("seed").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a <> b").select("seed")
-    shared = durable(named.join(recurring, "seed").groupBy("tag").agg(F.collect_set("seed").alias("seeds")).join(classes, "tag"))
-    _release(spark)
-    texts = keyed.join(shared, "tag").where(F.col("doc_id").eqNullSafe(F.col("first")))
-    if not survey.groupBy("tag", "doc_id").count().where("count > 1").isEmpty():
-        texts = texts.dropDuplicates(["tag"])
-    texts = stored(texts.select("no", F.col("text").cast("binary").alias("text"), "seeds"), "recurring")
-    _release(spark)
-    mask = (1 << START_BITS) - 1
-    windows = texts.mapInArrow(_windows(window), "high long, low int, position long").where("high is not null and low is not null").repartition(parts, "high", "low")
-    owned = windows.groupBy("high", "low").agg(F.min("position").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # Runs of consecutive owned starts are passages, named by their first position.
-    line = Window.partitionBy("of").orderBy("owner")
-    owned = owned.withColumn("of", F.shiftright("owner", START_BITS)).withColumn("island", F.col("owner") - F.row_number().over(line))
-    owned = owned.withColumn("passage", F.min("owner").over(Window.partitionBy("of", "island")))
-    hits = windows.select("high", "low", shard_of(F.shiftright("position", START_BITS), parts).alias("shard")).join(owned.select("high", "low", "owner", "passage"), ["high", "low"])
-    hits = durable(hits.groupBy("shard", "passage").agg(F.max("owner").alias("last")))
-    _release(spark)
-    # The last owner that a shard meets may be short of the run's end; the longest over shards is whole, as the owner's own shard meets all.
-    runs = hits.groupBy("passage").agg(F.max("last").alias("last"))
-    runs = runs.groupBy(F.shiftright("passage", START_BITS).alias("no")).agg(F.collect_list(F.struct(F.col("passage").bitwiseAND(mask).alias("first"), F.col("last").bitwiseAND(mask).alias("last"))).alias("runs"))
-    passages = stored(texts.select("no", "text").join(runs, "no").mapInArrow(_passages(window), "position long, words binary"), "passages")
-    _release(spark)
-    sent = hits.select("shard", F.col("passage").alias("position")).join(passages, "position").select("shard", F.lit(0).alias("kind"), "position", "words")
-    stream = sent.union(texts.select(shard_of(F.col("no"), parts), F.lit(1), "no", "text")).repartitionById(parts, "shard").sortWithinPartitions("shard", "kind")
-    cut = durable(stream.mapInArrow(_stream(window), "no long, n_removed long, kept string"))
-    _release(spark)
+    # Enough bits of a seed that few differ from all of theirs and yet meet; equal ones always do.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shift = 64 - min(62, max(32, int(size).bit_length() + 6))
+    keyed, survey, classes = _surveyed(rows, window, shift)
+    classes = durable(_numbered(classes).select("tag", "no", F.col("doc_id").alias("first")))
+    texts = _recurring_texts(keyed, survey, classes)
+    held = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(2 * parallelism(spark), -(-held // TEXT_BYTES))
+    routed = _routed(texts, window, shift, shards)
+    passages = stored(routed.join(texts.select("no", "text"), "no").select("shard", "no", "text", "runs").mapInArrow(_passages(window, LONGEST), "shard long, position long, words binary"), "passages")
+    large = durable(passages.groupBy("shard").agg(F.expr(f"sum(octet_length(words)) div {SHARD_BYTES} + 1").alias("chunks")).where("chunks > 1"))
+    several = not large.isEmpty()
+    sent = passages.select("shard", "position", "words").withColumn("chunks", F.lit(1).cast("long"))
+    streamed = texts.select(shard_of(F.col("no"), shards).alias("shard"), "no", "text").withColumn("chunks", F.lit(1).cast("long"))
+    if several:
+        sent, streamed = (x.drop("chunks").join(large, "shard", "left").fillna(1, ["chunks"]) for x in (sent, streamed))
+    stream = sent.select("shard", F.pmod(F.xxhash64("position"), "chunks").alias("chunk"), F.lit(0).alias("kind"), F.col("position").alias("key"), F.col("words").alias("text"))
+    stream = stream.union(streamed.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)), F.lit(1), "no", "text"))
+    stream = stream.repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", "kind")
+    if several:
+        spans = stream.mapInArrow(_stream(window, False), "no long, spans array<bigint>").groupBy("no").agg(F.collect_list("spans").alias("lists"))
+        cut = durable(texts.select("no", "text").join(spans, "no").mapInArrow(_cut, "no long, n_removed long, kept string"))
+    else:
+        cut = durable(stream.mapInArrow(_stream(window, True), "no long, n_removed long, kept string"))
     results = classes.join(cut, "no", "left").drop("no")
     out = survey.select("doc_id", "tag", "n_words", "whole").join(results, "tag")
     copy = ~F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("n_words") >= window)

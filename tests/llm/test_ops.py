@@ -850,8 +850,10 @@ def brute_dedup(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("window", [20, 5])
-def test_substrings_brute(spark, window):
+@pytest.mark.parametrize(("window", "heavy", "shard_bytes", "text_bytes"), [(20, 64, 4 << 20, 2 << 20), (5, 64, 4 << 20, 2 << 20), (5, 1, 4 << 20, 200), (5, 64, 300, 2 << 20), (20, 1, 300, 1000)])
+def test_substrings_brute(spark, window, heavy, shard_bytes, text_bytes, monkeypatch):
+    for name, value in (("HEAVY", heavy), ("SHARD_BYTES", shard_bytes), ("TEXT_BYTES", text_bytes), ("LONGEST", 7 if heavy == 1 else 1 << 15)):
+        monkeypatch.setattr(substrings, name, value)
     rng = random.Random(3)
     base = [f"w{rng.randint(0, 6)}" for _ in range(300)]
     rows = []
