@@ -182,24 +182,46 @@ def scrambled(text: str, rng: np.random.Generator) -> str:
     return " ".join("".join(rng.choice(letters, int(rng.integers(3, 16)))) for _ in text.split())
 
 
-def _descend(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rows: np.ndarray, classes: int, buckets: int, size: int, epochs: int, rate: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+class Bags:
+    """The distinct buckets of each of many passages and how often it has them, in three flat arrays."""
+
+    def __init__(self, texts: list[str], buckets: int, part: int = 256) -> None:
+        ids, counts, sizes = [], [], []
+        for start in range(0, len(texts), part):
+            words = [t.lower().split() for t in texts[start : start + part]]
+            found, owner = subwords([w for ws in words for w in ws], buckets)
+            whose = np.repeat(np.arange(len(words)), [len(ws) for ws in words])
+            keys, n = np.unique(whose[owner] * buckets + found, return_counts=True)
+            ids.append((keys % buckets).astype(np.int32))
+            counts.append(n.astype(np.int32))
+            sizes.append(np.bincount(keys // buckets, minlength=len(words)))
+        self.ids = np.concatenate(ids or [np.zeros(0, np.int32)])
+        self.counts = np.concatenate(counts or [np.zeros(0, np.int32)])
+        self.ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes or [np.zeros(0, np.int64)]))]).tolist()
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.ends[k], self.ends[k + 1])
+        return self.ids[part], self.counts[part]
+
+
+def _descend(bags: Bags, y: np.ndarray, rows: np.ndarray, classes: int, buckets: int, size: int, epochs: int, rate: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Scores (buckets x classes) and biases after gradient descent over the rows."""
-    embeddings, weights, bias = rng.uniform(-1 / size, 1 / size, (buckets, size)), np.zeros((classes, size)), np.zeros(classes)
+    embeddings, weights, bias = rng.uniform(-1 / size, 1 / size, (buckets, size)).astype(np.float32), np.zeros((classes, size), np.float32), np.zeros(classes, np.float32)
     steps, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         for k in rng.permutation(rows):
             ids, counts = bags[k]
-            share = counts / counts.sum()
+            share = (counts / counts.sum()).astype(np.float32)
             hidden = share @ embeddings[ids]
             error = softmax(weights @ hidden + bias)
             error[y[k]] -= 1
-            step = rate * (1 - done / steps)
+            step = np.float32(rate * (1 - done / steps))
             back = error @ weights
             weights -= step * np.outer(error, hidden)
-            bias -= 0.1 * step * error
-            embeddings[ids] -= step * np.outer(share, back) * len(ids) ** 0.5
+            bias -= np.float32(0.1) * step * error
+            embeddings[ids] -= np.outer(share * (step * np.float32(len(ids) ** 0.5)), back)
             done += 1
-    return (embeddings @ weights.T).astype(np.float32), bias
+    return embeddings @ weights.T, bias.astype(np.float64)
 
 
 def fit(texts: list[str], labels: list[str], held: np.ndarray, buckets: int | None = None, size: int = 16, epochs: int = 4, rate: float = 0.8, lose: float = LOSE, folds: int = FOLDS, seed: int = 7) -> Model:
@@ -216,7 +238,7 @@ def fit(texts: list[str], labels: list[str], held: np.ndarray, buckets: int | No
     odd = [k for k in range(len(texts)) if texts[k].split() and k % every == 0]
     texts, held = texts + [scrambled(texts[k], rng) for k in odd], np.concatenate([held, held[odd]])
     y = np.array([number[x] for x in labels] + [none] * len(odd))
-    bags = [np.unique(subwords(t.lower().split(), buckets)[0], return_counts=True) for t in texts]
+    bags = Bags(texts, buckets)
     train = np.array([k for k in range(len(texts)) if not held[k] and len(bags[k][0])], dtype=np.int64)
     model = Model(languages, *_descend(bags, y, train, none + 1, buckets, size, epochs, rate, rng))
     check = np.array([k for k in range(len(texts)) if held[k] and LETTER.search(texts[k])], dtype=np.int64)

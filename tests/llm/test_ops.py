@@ -310,8 +310,8 @@ def model(spark):
     return langid.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), rows=80)
 
 
-def test_held_out_accuracy(spark, model, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def test_held_out_accuracy(spark, model):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identify(docs, model).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.97 * len(rows)
     assert all(0 <= r["score"] <= 1 for r in rows)
