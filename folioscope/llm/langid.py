@@ -8,10 +8,11 @@ the probabilities.
 The softmax has one class more than there are languages, for text of none of them: its passages
 are scrambled ones of the sample, and subwords that no row of a language has speak for it.  A text's
 score is the probability of its best language, so that class takes from it.  The rejection
-threshold is the level that loses a stated part of the right answers among rows set aside; few
-words tell less than many, so short, middling and long texts have one each.  The weight of unseen
-subwords is that under which strangers fall farthest below these levels: scrambled passages, and those
-of each of a few languages under a model that hasn't learnt it.
+threshold is the level that loses a stated part of the right answers among rows set aside, or,
+where most strangers stay below that, half way to them in log-odds; few words tell less than many,
+so short, middling and long texts have one each.  Strangers are scrambled passages, and those of
+each of a few languages under a model that hasn't learnt it.  The weight of unseen subwords is
+that under which strangers fall farthest below these levels.
 
 Both layers are linear, so their product gives each subword one score per language, and each
 distinct word is scored once for the texts that hold it.
@@ -43,6 +44,8 @@ SNIPPETS = ((4, 3), (3, 12), (2, 60), (2, 200))
 MEMO_SCORES, CHUNK = 2_000_000, 1_000_000
 #: Part of the right answers that may be lost; languages left out in turn to make strangers.
 LOSE, FOLDS = 0.001, 4
+#: The part of the strangers that a threshold is held against.
+OTHERS = 0.95
 #: Weights of unseen subwords that are tried.
 UNSEEN = (0.0, 25.0, 50.0, 100.0, 200.0, 400.0)
 #: Words from which on a text is middling, and long.
@@ -281,8 +284,11 @@ def fit(texts: list[str], labels: list[str], held: np.ndarray, buckets: int | No
         sure, right, strange, length = (np.concatenate(x) for x in (sure, right, strange, length))
         cuts = []
         for k in range(len(LENGTHS) + 1):
-            good = np.sort(sure[right & ~strange & (length == k)])
-            cuts.append(float(good[int(lose * len(good))]) if len(good) else 0.0)  # what scores below it is rejected
+            good, odd_ones = (np.sort(np.log(x / (1 - x))) for x in (np.clip(sure[some & (length == k)], 1e-12, 1 - 1e-12) for some in (right & ~strange, strange)))
+            cut = good[int(lose * len(good))] if len(good) else -np.inf
+            if len(odd_ones) and (far := odd_ones[min(len(odd_ones) - 1, int(OTHERS * len(odd_ones)))]) < cut:
+                cut = (cut + far) / 2
+            cuts.append(float(1 / (1 + np.exp(-cut))))  # what scores below it is rejected
         return float((np.array(cuts)[length] - sure)[strange].mean()) if strange.any() else 0.0, tuple(cuts)
 
     weight = max(UNSEEN, key=lambda w: (levels(w)[0], -w))
