@@ -48,18 +48,59 @@ def seed(spark: SparkSession, candidates: list[str], source: str) -> DataFrame |
     return spark.read.parquet(path).where(F.col("data_source") == source) if path else None
 
 
-def look_up(keys: DataFrame, key: str, known: DataFrame, fetch: Callable[[list[str]], Mapping[str, int]], batch: int = 50, tasks: int = 4) -> DataFrame:
-    """known (key, n) with the rest of the keys fetched in batches by at most `tasks` tasks; keys without an answer are remembered as zero."""
+def look_up(keys: DataFrame, key: str, known: DataFrame, fetch: Callable[[list[str]], Mapping[str, object]], batch: int = 50, tasks: int = 4) -> DataFrame:
+    """known (key and what is known of it) with the rest of the keys fetched in batches by at most `tasks` tasks.
+
+    `fetch` gives a value, or a tuple of them, for each key that it finds; others are remembered
+    with zeros and empty texts, so that no key is asked for twice.
+    """
     wanted = keys.select(F.col(key).cast("string").alias("key")).where("key <> ''").distinct().join(known, "key", "left_anti")
+    fields = [f for f in known.schema if f.name != "key"]
+    empty = tuple("" if f.dataType.typeName() == "string" else 0 for f in fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for s in range(0, len(b), batch):
                 part = b["key"].iloc[s : s + batch].tolist()
-                answers = fetch(part)
-                yield pd.DataFrame({"key": part, "n": [int(answers.get(k, 0)) for k in part]})
+                found = fetch(part)
+                rows = [found.get(k, empty) for k in part]
+                rows = [r if isinstance(r, tuple) else (r,) for r in rows]
+                yield pd.DataFrame({"key": part} | {f.name: [r[i] for r in rows] for i, f in enumerate(fields)})
+
+    schema = ", ".join(["key string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)])
+    return known.unionByName(wanted.repartition(tasks).mapInPandas(run, schema))
+
+
+def works_by_doi(get: Callable[[dict], tuple[int, Mapping]]) -> Callable[[list[str]], Mapping[str, object]]:
+    """For look_up in batches of 50: citations and countries of works by DOI."""
+
+    def fetch(dois: list[str]) -> Mapping[str, object]:
+        status, payload = get({"filter": "doi:" + "|".join(dois), "select": "doi,cited_by_count,authorships", "per-page": min(len(dois), 200)})
+        if status >= 400:
+            raise RuntimeError(f"status {status} for a batch of {len(dois)} DOIs")
+        out = {}
+        for r in payload.get("results", []):
+            doi = (r.get("doi") or "").strip().lower().removeprefix("https://doi.org/")
+            codes = {i["country_code"] for a in r.get("authorships") or [] for i in a.get("institutions") or [] if i.get("country_code")}
+            if doi:
+                out[doi] = (int(r.get("cited_by_count") or 0), "|".join(sorted(codes)))
+        return out
+
+    return fetch
+
+
+def citations_by_pmid(get: Callable[[dict], tuple[int, Mapping]]) -> Callable[[list[str]], Mapping[str, object]]:
+    """For look_up in batches of 25: citations of articles by PubMed id."""
+
+    def fetch(pmids: list[str]) -> Mapping[str, object]:
+        query = "(" + " OR ".join(f"EXT_ID:{p}" for p in pmids) + ") AND SRC:MED"
+        status, payload = get({"query": query, "format": "json", "resultType": "lite", "pageSize": len(pmids)})
+        if status >= 400:
+            raise RuntimeError(f"status {status} for a batch of {len(pmids)} ids")
+        found = (payload.get("resultList") or {}).get("result", [])
+        return {str(r.get("pmid", "")).strip(): int(r.get("citedByCount") or 0) for r in (found if isinstance(found, list) else [found]) if str(r.get("pmid", "")).strip()}
 
-    return known.unionByName(wanted.repartition(tasks).mapInPandas(run, "key string, n long"))
+    return fetch
 
 
 def backfill(records: DataFrame, first: DataFrame, second: DataFrame, most: int, order: str = "id") -> DataFrame:

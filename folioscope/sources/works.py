@@ -1,14 +1,9 @@
-"""Flatteners from landed API records to the canonical schema, and the paged reader behind them."""
+"""Flatteners from landed API records to the canonical schema."""
 
 from __future__ import annotations
 
-import json
-import time
-from collections.abc import Callable, Iterator, Mapping
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import text as T
 
@@ -18,13 +13,21 @@ CANONICAL = {
     "keyword_terms": "string", "topic_terms": "string", "open_access": "string", "data_source": "string", "matched_search_terms": "string", "matched_search_term_count": "int",
 }
 
-#: Country names whose code isn't their first two letters, as affiliations spell them.
-COUNTRY_NAMES = {
-    "united states": "US", "usa": "US", "united kingdom": "GB", "uk": "GB", "china": "CN", "south korea": "KR", "korea": "KR", "spain": "ES", "germany": "DE",
-    "brazil": "BR", "portugal": "PT", "mexico": "MX", "chile": "CL", "australia": "AU", "austria": "AT", "switzerland": "CH", "sweden": "SE", "denmark": "DK", "poland": "PL",
-    "ireland": "IE", "israel": "IL", "japan": "JP", "malaysia": "MY", "pakistan": "PK", "south africa": "ZA", "saudi arabia": "SA", "turkey": "TR", "ukraine": "UA",
-    "united arab emirates": "AE", "viet nam": "VN", "vietnam": "VN", "hong kong": "HK", "taiwan": "TW", "russia": "RU", "russian federation": "RU", "colombia": "CO", "iran": "IR",
+#: Codes of country names as an abstract index spells them; others count by their first two letters.
+COUNTRY_CODES = {
+    "United States": "US", "United Kingdom": "GB", "China": "CN",
+    "Germany": "DE", "Australia": "AU", "Canada": "CA", "France": "FR",
+    "Spain": "ES", "Italy": "IT", "Netherlands": "NL", "Brazil": "BR",
+    "India": "IN", "Japan": "JP", "South Korea": "KR", "Portugal": "PT",
+    "Turkey": "TR", "Sweden": "SE", "Switzerland": "CH", "Poland": "PL",
+    "Norway": "NO", "Ireland": "IE", "New Zealand": "NZ", "Belgium": "BE",
+    "Taiwan": "TW", "Malaysia": "MY", "Indonesia": "ID", "Saudi Arabia": "SA",
+    "United Arab Emirates": "AE", "Iran": "IR", "Pakistan": "PK",
+    "South Africa": "ZA", "Mexico": "MX", "Argentina": "AR", "Colombia": "CO",
+    "Chile": "CL", "Egypt": "EG", "Nigeria": "NG",
 }
+#: Types of an abstract index; others are articles.
+ENTRY_TYPES = {"Article": "article", "Article in Press": "article", "Review": "review", "Conference Paper": "article", "Conference Review": "review", "Short Survey": "review"}
 
 
 def canonical(df: DataFrame, source: str) -> DataFrame:
@@ -61,33 +64,35 @@ def rebuild_abstract(inverted: Column) -> Column:
     return F.array_join(F.transform(keep, lambda x: x["w"]), " ")
 
 
-WORKS = "id string, doi string, title string, publication_year int, type string, cited_by_count bigint, abstract_inverted_index map<string, array<int>>, authorships array<struct<author: struct<display_name: string>, institutions: array<struct<display_name: string, country_code: string>>>>, primary_location struct<source: struct<display_name: string, is_in_doaj: boolean>>, primary_topic struct<display_name: string>, keywords array<struct<display_name: string, score: double>>, topics array<struct<display_name: string>>, open_access struct<is_oa: boolean>"
+WORKS = "id string, doi string, title string, publication_year int, type string, cited_by_count bigint, abstract_inverted_index map<string, array<int>>, authorships array<struct<author: struct<display_name: string>, institutions: array<struct<display_name: string, country_code: string>>>>, primary_location struct<source: struct<display_name: string, is_in_doaj: boolean>>, keywords array<struct<display_name: string, score: double>>, topics array<struct<display_name: string>>, open_access struct<is_oa: boolean>"
 
 
 def works(df: DataFrame) -> DataFrame:
     """Works with nested authorships, locations and an inverted abstract (schema WORKS)."""
     codes = F.flatten(F.transform("authorships", lambda a: F.transform(a["institutions"], lambda i: i["country_code"])))
-    names = T.display_names(F.transform("authorships", lambda a: a["author"]), 1000)
+    names = F.array_distinct(F.filter(F.transform("authorships", lambda a: a["author"]["display_name"]), lambda x: x != ""))
     flat = df.select(
         "id", T.norm_doi(F.col("doi")).alias("doi"), "title", rebuild_abstract(F.col("abstract_inverted_index")).alias("abstract"), "publication_year", "type", F.col("primary_location.source.display_name").alias("journal"),
-        F.array_join(names, "; ").alias("authors"), F.to_json("authorships").alias("authorships"), T.pipe_join(codes).alias("countries"), F.col("primary_topic.display_name").alias("primary_topic"),
-        F.coalesce("primary_location.source.is_in_doaj", F.lit(False)).alias("is_in_doaj"), "cited_by_count", F.array_join(T.display_names(F.col("keywords")), " | ").alias("keyword_terms"), F.array_join(T.display_names(F.col("topics")), " | ").alias("topic_terms"), "open_access",
+        F.array_join(names, "; ").alias("authors"), F.to_json("authorships").alias("authorships"), T.pipe_join(codes).alias("countries"), F.try_element_at("topics", F.lit(1))["display_name"].alias("primary_topic"),
+        F.coalesce("primary_location.source.is_in_doaj", F.lit(False)).alias("is_in_doaj"), "cited_by_count", F.array_join(T.display_names(F.col("keywords")), " | ").alias("keyword_terms"), F.array_join(T.display_names(F.col("topics"), 3), " | ").alias("topic_terms"), "open_access",
     )
     return canonical(flat, "openalex")
 
 
-PAPERS = "paperId string, title string, abstract string, year int, citationCount bigint, publicationTypes array<string>, journal struct<name: string>, venue string, externalIds struct<DOI: string>, authors array<struct<name: string>>, s2FieldsOfStudy array<struct<category: string>>, isOpenAccess boolean"
-PAPER_TYPES = {"JournalArticle": "article", "Review": "review", "Conference": "article", "MetaAnalysis": "review"}
+PAPERS = "paperId string, title string, abstract string, year int, citationCount bigint, publicationTypes array<string>, journal struct<name: string>, venue string, externalIds struct<DOI: string>, authors array<struct<name: string>>, fieldsOfStudy array<string>, s2FieldsOfStudy array<struct<category: string>>, openAccessPdf struct<url: string>"
+#: Types of a citation-graph API, of which the first known one counts; without one it is an article.
+PAPER_TYPES = {"JournalArticle": "article", "Article": "article", "Review": "review", "Conference": "article"}
 
 
 def graph_papers(df: DataFrame) -> DataFrame:
     """Papers of a citation-graph API (schema PAPERS): the first mapped type, journal or venue, three categories."""
     kinds = F.filter(F.transform("publicationTypes", lambda x: T.lookup(x, PAPER_TYPES)), lambda x: x.isNotNull())
-    fields = F.slice(F.array_distinct(F.filter(F.transform("s2FieldsOfStudy", lambda x: x["category"]), lambda x: x.isNotNull())), 1, 3)
+    fields = F.slice(F.array_distinct(F.filter(F.transform("s2FieldsOfStudy", lambda x: x["category"]), lambda x: x != "")), 1, 3)
+    words = F.filter("fieldsOfStudy", lambda x: x != "")
     flat = df.select(
         F.concat(F.lit("s2:"), "paperId").alias("id"), T.bare_doi(F.col("externalIds.DOI")).alias("doi"), "title", "abstract", F.col("year").alias("publication_year"), F.coalesce(F.try_element_at(kinds, F.lit(1)), F.lit("article")).alias("type"),
-        F.coalesce(T.blank_to_null(F.col("journal.name")), F.col("venue")).alias("journal"), F.array_join(F.transform("authors", lambda a: a["name"]), "; ").alias("authors"), F.try_element_at(fields, F.lit(1)).alias("primary_topic"), F.col("citationCount").alias("cited_by_count"),
-        F.array_join(fields, " | ").alias("topic_terms"), F.to_json(F.struct(F.col("isOpenAccess").alias("is_oa"))).alias("open_access"),
+        F.coalesce(T.blank_to_null(F.col("journal.name")), F.col("venue")).alias("journal"), F.array_join(F.transform("authors", lambda a: a["name"]), "; ").alias("authors"), F.try_element_at("s2FieldsOfStudy", F.lit(1))["category"].alias("primary_topic"), F.col("citationCount").alias("cited_by_count"),
+        F.array_join(words, " | ").alias("keyword_terms"), F.array_join(fields, " | ").alias("topic_terms"), F.to_json(F.struct(F.col("openAccessPdf").isNotNull().alias("is_oa"))).alias("open_access"),
     )
     return canonical(flat, "semantic_scholar")
 
@@ -97,29 +102,31 @@ ARTICLES = "id string, source string, doi string, title string, abstractText str
 
 def articles(df: DataFrame) -> DataFrame:
     """Articles of a life-science index (schema ARTICLES); keywordList is JSON of a string, a list or an object with a list."""
-    raw = F.coalesce(F.from_json("keywordList", "array<string>"), F.from_json("keywordList", "keyword array<string>")["keyword"], F.split(F.regexp_replace("keywordList", '^"|"$', ""), ";"))
+    raw = F.coalesce(F.from_json("keywordList", "array<string>"), F.from_json("keywordList", "keyword array<string>")["keyword"], F.array(F.coalesce(F.from_json("keywordList", "keyword string")["keyword"], F.regexp_replace("keywordList", '^"|"$', ""))))
     words = F.slice(F.array_distinct(F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))), 1, 8)
     doi = T.norm_doi(F.col("doi"))
-    uid = F.when(doi != "", F.concat(F.lit("doi:"), doi)).when(F.col("id").isNotNull(), F.concat_ws(":", "source", "id")).otherwise(F.substring(F.lower("title"), 1, 80))
+    number = F.trim(F.coalesce("id", F.lit("")))
+    uid = F.when(doi != "", F.concat(F.lit("europepmc:doi:"), doi)).when(number != "", F.concat_ws(":", F.lit("europepmc"), F.lower(F.coalesce(F.nullif("source", F.lit("")), F.lit("epmc"))), number)).otherwise(F.concat(F.lit("europepmc:title:"), F.left(F.trim(F.lower(F.coalesce("title", F.lit("")))), F.lit(80))))
     flat = df.select(
         uid.alias("id"), doi.alias("doi"), "title", F.col("abstractText").alias("abstract"), F.col("pubYear").alias("publication_year"), F.when(F.lower("pubType").contains("review"), "review").otherwise("article").alias("type"), F.col("journalTitle").alias("journal"),
-        F.col("authorString").alias("authors"), F.col("citedByCount").alias("cited_by_count"), F.array_join(words, " | ").alias("keyword_terms"), F.to_json(F.struct((F.col("isOpenAccess") == "Y").alias("is_oa"))).alias("open_access"),
+        F.col("authorString").alias("authors"), F.col("citedByCount").alias("cited_by_count"), F.array_join(words, " | ").alias("keyword_terms"), F.to_json(F.struct((F.upper(F.coalesce("isOpenAccess", F.lit("N"))) == "Y").alias("is_oa"))).alias("open_access"),
     )
     return canonical(flat, "europe_pmc")
 
 
-ENTRIES = "eid string, doi string, title string, description string, coverDate string, subtypeDescription string, publicationName string, creator string, citedby_count string, authkeywords string, affiliation array<struct<affiliation_country: string>>, openaccessFlag boolean"
+ENTRIES = "eid string, doi string, title string, description string, coverDate string, subtypeDescription string, publicationName string, creator string, citedby_count string, authkeywords string, affiliation array<struct<affiliation_country: string>>"
 
 
 def entries(df: DataFrame) -> DataFrame:
     """Entries of an abstract index (schema ENTRIES): its id, else DOI, else title; country names as codes."""
-    code = lambda x: F.coalesce(T.lookup(F.lower(F.trim(x)), COUNTRY_NAMES), F.upper(F.left(F.trim(x), F.lit(2))))
+    code = lambda x: F.coalesce(T.lookup(x, COUNTRY_CODES), F.upper(F.left(x, F.lit(2))))
     names = F.filter(F.transform("affiliation", lambda a: a["affiliation_country"]), lambda x: x.isNotNull() & (x != ""))
+    words = F.filter(F.transform(F.split(F.regexp_replace("authkeywords", r" \| |; ", "|"), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     doi = T.norm_doi(F.col("doi"))
+    uid = F.when(F.coalesce("eid", F.lit("")) != "", F.concat(F.lit("scopus:"), "eid")).when(doi != "", F.concat(F.lit("scopus:doi:"), doi)).otherwise(F.concat(F.lit("scopus:title:"), F.trim(F.lower(F.left(F.coalesce("title", F.lit("")), F.lit(60))))))
     flat = df.select(
-        F.coalesce(T.blank_to_null(F.col("eid")), F.when(doi != "", doi), F.substring(F.lower("title"), 1, 60)).alias("id"), doi.alias("doi"), "title", F.col("description").alias("abstract"), T.year_prefix(F.col("coverDate")).alias("publication_year"),
-        F.when(F.lower("subtypeDescription").contains("review"), "review").otherwise("article").alias("type"), F.col("publicationName").alias("journal"), F.col("creator").alias("authors"), T.pipe_join(F.transform(names, code)).alias("countries"), F.col("citedby_count").alias("cited_by_count"),
-        F.regexp_replace("authkeywords", r"\s*[|;]\s*", " | ").alias("keyword_terms"), F.to_json(F.struct(F.col("openaccessFlag").alias("is_oa"))).alias("open_access"),
+        uid.alias("id"), doi.alias("doi"), "title", F.col("description").alias("abstract"), T.year_prefix(F.col("coverDate")).alias("publication_year"), F.coalesce(T.lookup(F.col("subtypeDescription"), ENTRY_TYPES), F.lit("article")).alias("type"),
+        F.col("publicationName").alias("journal"), F.col("creator").alias("authors"), T.pipe_join(F.transform(names, code)).alias("countries"), F.col("citedby_count").alias("cited_by_count"), F.array_join(F.slice(words, 1, 8), " | ").alias("keyword_terms"),
     )
     return canonical(flat, "scopus")
 
@@ -128,66 +135,4 @@ def merge_pages(pages: DataFrame, key: str, term: str, order: str) -> DataFrame:
     """Records found by several searches once, as last seen, with all their terms."""
     fields = [c for c in pages.columns if c not in (key, term, order)]
     g = pages.groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("r"), F.array_sort(F.collect_set(term)).alias("_t"))
-    return g.select(key, "r.*", F.array_join("_t", " | ").alias("matched_search_terms"), F.size("_t").alias("matched_search_term_count"))
-
-
-Fetch = Callable[[str, str | int | None], tuple[list[Mapping], str | int | None]]
-
-
-class PagedSource(DataSource):
-    """Rows term, position and record (JSON) of a paged search; format name paged_search.
-
-    Options: terms (JSON list, one partition each), fetcher (module:function), most.  The function
-    takes a term and a cursor (None first) and returns records and the next cursor (None last); it
-    raises Busy to be asked again after a pause.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_search"
-
-    def schema(self) -> str:
-        return "term string, position long, record string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return PagedReader(self.options)
-
-
-class Busy(Exception):
-    """The service asks to come back later."""
-
-
-class PagedReader(DataSourceReader):
-    def __init__(self, options: Mapping[str, str]) -> None:
-        self.terms = json.loads(options["terms"])
-        self.fetcher = options["fetcher"]
-        self.most = int(options.get("most", "100000"))
-        self.pauses = [float(x) for x in options.get("pauses", "10,20,40,60").split(",")]
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(t) for t in self.terms]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        from importlib import import_module
-
-        module, _, name = self.fetcher.partition(":")
-        fetch: Fetch = getattr(import_module(module), name)
-        cursor, n = None, 0
-        while n < self.most:
-            for pause in [*self.pauses, None]:
-                try:
-                    found, cursor = fetch(partition.value, cursor)
-                    break
-                except Busy:
-                    if pause is None:
-                        return
-                    time.sleep(pause)
-            for record in found[: self.most - n]:
-                yield (partition.value, n, json.dumps(record))
-                n += 1
-            if cursor is None or not found:
-                return
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(PagedSource)
+    return g.select(key, "r.*", F.array_join("_t", "|").alias("matched_search_terms"), F.size("_t").alias("matched_search_term_count"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.plans import stages
-from folioscope.sources import cache, exchange, exports, works
+from folioscope.sources import cache, exchange, exports, paging, works
 from folioscope.streaming import events
 
 
@@ -66,9 +66,23 @@ def test_flatteners(spark):
     p = works.graph_papers(landed(spark, works.PAPERS, {"paperId": "x", "title": "T", "publicationTypes": ["Odd", "Review"], "venue": "V", "s2FieldsOfStudy": [{"category": "CS"}, {"category": "CS"}, {"category": "Med"}]})).first()
     assert (p["id"], p["type"], p["journal"], p["topic_terms"]) == ("s2:x", "review", "V", "CS | Med")
     a = works.articles(landed(spark, works.ARTICLES, {"id": "7", "source": "MED", "title": "T", "pubType": "Review; x", "keywordList": '{"keyword": ["a", "b", "a"]}'})).first()
-    assert (a["id"], a["type"], a["keyword_terms"], a["cited_by_count"]) == ("MED:7", "review", "a | b", 0)
+    assert (a["id"], a["type"], a["keyword_terms"], a["cited_by_count"]) == ("europepmc:med:7", "review", "a | b", 0)
+    a = works.articles(landed(spark, works.ARTICLES, {"doi": "https://doi.org/10.1/Q", "title": "T", "keywordList": "one; two"})).first()
+    assert (a["id"], a["doi"], a["keyword_terms"]) == ("europepmc:doi:10.1/q", "10.1/q", "one; two")
     e = works.entries(landed(spark, works.ENTRIES, {"title": "T", "coverDate": "2020-03-01", "affiliation": [{"affiliation_country": "South Korea"}, {"affiliation_country": "Norway"}], "authkeywords": "x; y | z"})).first()
-    assert (e["id"], e["publication_year"], e["countries"], e["keyword_terms"]) == ("t", 2020, "KR|NO", "x | y | z")
+    assert (e["id"], e["publication_year"], e["countries"], e["keyword_terms"]) == ("scopus:title:t", 2020, "KR|NO", "x | y | z")
+    kinds = {k: works.entries(landed(spark, works.ENTRIES, {"eid": "2-s2", "title": "T", "subtypeDescription": k})).first() for k in ("Short Survey", "Conference Review", "Conference Paper", "Letter")}
+    assert [r["type"] for r in kinds.values()] == ["review", "review", "article", "article"] and kinds["Letter"]["id"] == "scopus:2-s2"
+    p = works.graph_papers(landed(spark, works.PAPERS, {"paperId": "y", "publicationTypes": ["MetaAnalysis"], "fieldsOfStudy": ["CS", "Med"], "openAccessPdf": {"url": "u"}})).first()
+    assert (p["type"], p["keyword_terms"], p["open_access"]) == ("article", "CS | Med", '{"is_oa":true}')
+    w = works.works(landed(spark, works.WORKS, {"id": "W2", "topics": [{"display_name": x} for x in "abcd"]})).first()
+    assert (w["primary_topic"], w["topic_terms"]) == ("a", "a | b | c")
+
+
+@pytest.mark.parametrize(("name", "code"), [("United States", "US"), ("United Kingdom", "GB"), ("China", "CN"), ("Germany", "DE"), ("Australia", "AU"), ("Canada", "CA"), ("France", "FR"), ("Spain", "ES"), ("Italy", "IT"), ("Netherlands", "NL"), ("Brazil", "BR"), ("India", "IN"), ("Japan", "JP"), ("South Korea", "KR"), ("Portugal", "PT"), ("Turkey", "TR"), ("Sweden", "SE"), ("Switzerland", "CH"), ("Poland", "PL"), ("Norway", "NO"), ("Ireland", "IE"), ("New Zealand", "NZ"), ("Belgium", "BE"), ("Taiwan", "TW"), ("Malaysia", "MY"), ("Indonesia", "ID"), ("Saudi Arabia", "SA"), ("United Arab Emirates", "AE"), ("Iran", "IR"), ("Pakistan", "PK"), ("South Africa", "ZA"), ("Mexico", "MX"), ("Argentina", "AR"), ("Colombia", "CO"), ("Chile", "CL"), ("Egypt", "EG"), ("Nigeria", "NG"), ("Austria", "AU"), ("Peru", "PE")])
+def test_country_codes(spark, name, code):
+    e = works.entries(landed(spark, works.ENTRIES, {"title": "T", "affiliation": [{"affiliation_country": name}, {"affiliation_country": name}, {}]}))
+    assert e.first()["countries"] == code
 
 
 def test_cache_and_lookup(spark, tmp_path):
@@ -101,12 +115,126 @@ def fetch(term, cursor):
     return [{"term": term, "page": page}], page + 1 if page < 2 else None
 
 
+def busy(term, cursor):
+    raise paging.Busy("status 429")
+
+
+def nothing(term, cursor):
+    return [], None
+
+
+def search(spark, fetcher, **options):
+    paging.register(spark)
+    reader = spark.read.format("paged_search").option("terms", '["a", "b"]').option("fetcher", f"tests.test_sources:{fetcher}")
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    return reader.load()
+
+
 def test_paged_source(spark):
-    works.register(spark)
-    d = spark.read.format("paged_search").option("terms", '["a", "b"]').option("fetcher", "tests.test_sources:fetch").load()
-    assert d.count() == 6
+    d = search(spark, "fetch")
+    assert d.count() == 6 and search(spark, "fetch", most=2).count() == 4
     m = works.merge_pages(d.select(F.get_json_object("record", "$.page").alias("id"), "term", "position", "record"), "id", "term", "position")
-    assert {r["matched_search_terms"] for r in m.collect()} == {"a | b"}
+    assert {r["matched_search_terms"] for r in m.collect()} == {"a|b"}
+    assert search(spark, "nothing").count() == 0
+    with pytest.raises(Exception, match="stayed busy"):
+        search(spark, "busy", pauses="0,0").count()
+    with pytest.raises(Exception, match="nothing found for the first term"):
+        search(spark, "nothing", first_must_find="true").count()
+
+
+def all_pages(fetch):
+    out, cursor = [], None
+    while True:
+        found, cursor = fetch("q", cursor)
+        out += found
+        if cursor is None:
+            return out
+
+
+def test_cursor_pages():
+    asked = []
+
+    def get(p):
+        asked.append((p["cursor"], p["per-page"], p["search"], p["filter"], p["select"]))
+        return 200, {"results": [{"n": len(asked)}] if len(asked) < 3 else [], "meta": {"next_cursor": f"c{len(asked)}"}}
+
+    assert all_pages(paging.cursor_pages(get, "id", "year:2021")) == [{"n": 1}, {"n": 2}]
+    assert asked == [(c, 200, "q", "year:2021", "id") for c in ("*", "c1", "c2")]
+    with pytest.raises(paging.Busy):
+        paging.cursor_pages(lambda p: (429, {}), "id")("q", None)
+    with pytest.raises(paging.Refused):
+        paging.cursor_pages(lambda p: (404, {}), "id")("q", None)
+
+
+def test_offset_pages():
+    def service(n, asked):
+        def get(p):
+            asked.append(p["offset"])
+            assert (p["limit"], p["year"]) == (100, "2020-2026")
+            return 200, {"data": [{"n": i} for i in range(p["offset"], min(n, p["offset"] + 100))]}
+
+        return get
+
+    for n, offsets in ((0, [0]), (99, [0]), (100, [0, 100]), (250, [0, 100, 200]), (900, [0, 100, 200, 300, 400])):
+        asked = []
+        assert len(all_pages(paging.offset_pages(service(n, asked), "title", (2020, 2026)))) == min(n, 500)
+        assert asked == offsets
+
+
+def test_numbered_pages():
+    def service(n, asked):
+        def get(p):
+            asked.append(p["page"])
+            found = [{"n": i} for i in range((p["page"] - 1) * 100, min(n, p["page"] * 100))]
+            return 200, {"hitCount": str(n), "resultList": {"result": found[0] if len(found) == 1 else found}}
+
+        return get
+
+    for n, pages in ((0, [1]), (1, [1]), (100, [1]), (101, [1, 2]), (140, [1, 2]), (900, [1, 2])):
+        asked = []
+        assert len(all_pages(paging.numbered_pages(service(n, asked)))) == min(n, 150)
+        assert asked == pages
+
+
+def test_sized_pages():
+    def service(n, limit, asked):
+        def get(p):
+            asked.append((p["start"], p["count"]))
+            if p["count"] > limit:
+                return 400, {"service-error": {"status": {"statusText": paging.TOO_LARGE + "."}}}
+            return 200, {"search-results": {"entry": [{"n": i} for i in range(p["start"], min(n, p["start"] + p["count"]))], "opensearch:totalResults": str(n)}}
+
+        return get
+
+    asked = []
+    assert len(all_pages(paging.sized_pages(service(120, 200, asked), "eid"))) == 120 and asked == [(0, 200)]
+    asked = []
+    assert len(all_pages(paging.sized_pages(service(60, 25, asked), "eid"))) == 60
+    assert asked == [(0, 200), (0, 25), (25, 25), (50, 25)]
+    asked = []
+    assert len(all_pages(paging.sized_pages(service(900, 25, asked), "eid"))) == 150
+    for status, error in ((400, paging.Refused), (401, paging.Refused), (403, paging.Refused), (429, paging.Refused), (503, paging.Busy)):
+        with pytest.raises(error):
+            paging.sized_pages(lambda p, s=status: (s, {}), "eid")("q", None)
+    with pytest.raises(paging.Refused, match="no entitlement"):
+        paging.sized_pages(lambda p: (200, {"search-results": {"entry": [{"error": "no entitlement"}]}}), "eid")("q", None)
+
+
+def test_lookups_of_works_and_articles(spark):
+    def by_doi(p):
+        return 200, {"results": [{"doi": "https://doi.org/10.1/A", "cited_by_count": 4, "authorships": [{"institutions": [{"country_code": "US"}, {"country_code": "BR"}]}, {"institutions": None}]}]}
+
+    known = spark.createDataFrame([("10.1/z", 7, "DE")], "key string, cited_by_count long, countries string")
+    keys = spark.createDataFrame([("10.1/a",), ("10.1/b",), ("10.1/z",), ("",)], "doi string")
+    got = {r["key"]: (r["cited_by_count"], r["countries"]) for r in cache.look_up(keys, "doi", known, cache.works_by_doi(by_doi)).collect()}
+    assert got == {"10.1/a": (4, "BR|US"), "10.1/b": (0, ""), "10.1/z": (7, "DE")}
+    asked = []
+    fetch = cache.citations_by_pmid(lambda p: asked.append(p) or (200, {"resultList": {"result": {"pmid": "11", "citedByCount": "3"}}}))
+    assert fetch(["11", "12"]) == {"11": 3}
+    assert asked[0]["query"] == "(EXT_ID:11 OR EXT_ID:12) AND SRC:MED" and asked[0]["pageSize"] == 2
+    with pytest.raises(RuntimeError, match="status 500"):
+        cache.works_by_doi(lambda p: (500, {}))(["x"])
 
 
 def test_stages(spark):
