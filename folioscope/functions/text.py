@@ -56,6 +56,15 @@ KEYWORD_STOPWORDS = [
     "context", "field", "process", "relevance", "history", "politics", "sociology", "philosophy",
 ]
 
+#: What marks a keyword as noise; fragments, tokens and lone words that name no cluster.
+CLUSTER_NOISE = r"(?i)conflict|publication of this article|to influence the work reported in this paper|https?://|<w:"
+CLUSTER_STOPLIST = [
+    "artificial intelligence", "machine learning", "deep learning", "large language model", "large language models", "generative ai", "systematic review", "literature review", "scoping review", "narrative review",
+    "sensitivity specificity", "pooled sensitivity", "area curve", "curve auc", "pubmed embase", "future directions", "chatgpt", "humans",
+]
+CLUSTER_BAD_TOKENS = ["review", "reviews", "study", "studies", "article", "articles", "paper", "papers"]
+LONE_WORDS = ["artificial", "intelligence", "machine", "learning", "deep", "language", "large", "model", "models", "humans", "review", "research", "systematic", "literature"]
+
 #: Country codes to repair.
 COUNTRY_FIXES = {"LE": "LB"}
 NULLS = ["", "nan", "none", "null", "[]"]

@@ -5,6 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from folioscope import __main__ as cli
 from folioscope.plans import stages
 from folioscope.sources import cache, exchange, exports, paging, works
 from folioscope.streaming import events
@@ -244,7 +245,7 @@ def test_stages(spark):
     assert [r["id"] for r in got["corpus_clean"].collect()] == ["p1"]
     assert {r["author"] for r in got["top_authors"].collect()} == {"A", "B"}
     assert got["corpus_paper"].count() == 1
-    assert stages.resolve(start="indicators", exclude=["embed", "axes", "screening"]) == ["indicators"]
+    assert stages.resolve(start="indicators", exclude=["embed", "axes", "screening"]) == ["indicators", "analyses", "statistics", "validation", "summary"]
 
 
 def test_stream(spark, sf_dir, tmp_path):
@@ -281,6 +282,63 @@ def test_fetch_embed_axes(spark):
     assert [r["id"] for r in got["embedding_exclusions"].collect()] == ["m"]
 
 
+def test_enrich(spark):
+    rows = [("a", "https://doi.org/10.1/A", "T a", 0, "", "openalex"), ("b", "10.1/b", "T b", 5, None, "openalex"), ("c", "", "A Title: one", 0, "DE", "pubmed_manual"), ("d", None, "A title one", 0, "nan", "openalex"), ("e", "10.1/e", "T e", 0, "FR", "pubmed_manual")]
+    clean = spark.createDataFrame(rows, "id string, doi string, title string, cited_by_count long, countries string, data_source string")
+    tables = {
+        "corpus_clean": clean, "corpus_clustered": clean.limit(1), "doi_lookups": spark.createDataFrame([("10.1/a", 9, "BR"), ("10.1/b", 7, "US"), ("10.1/e", 0, "IT")], "key string, cited_by_count long, countries string"),
+        "pmid_lookups": spark.createDataFrame([("11", 4)], "key string, cited_by_count long"), "pmid_map": spark.createDataFrame([("a title one", "11"), ("t e", "11")], "key string, pmid string"),
+    }
+    out = stages.enrich(tables)
+    assert {r["id"]: (r["cited_by_count"], r["countries"]) for r in out["corpus_clean"].collect()} == {"a": (9, "BR"), "b": (5, "US"), "c": (4, "DE"), "d": (0, ""), "e": (0, "FR")}
+    assert out["corpus_clean"].columns == clean.columns and out["corpus_clustered"].first()["cited_by_count"] == 9
+    bare = stages.enrich({"corpus_clean": clean})["corpus_clean"]
+    assert sorted(r["cited_by_count"] for r in bare.collect()) == [0, 0, 0, 0, 5]
+
+
+@pytest.fixture
+def run_dir(spark, tmp_path):
+    words = ["peer review automation", "scholarly writing support", "citation analysis tools"]
+    good = "AI supports research integrity and peer review automation in journals. " * 3
+    rows = [(i, f"w{i}", f"10.1/{i}", f"AI and research integrity in {words[i % 3]} {i}", f"{good} {words[i % 3]} {i}", 2020 + i % 5, (i * 7) % 23, "openalex", f"J {i % 4}", f"A{i % 5}; B{i % 3}", "BR|US" if i % 2 else "", f"{words[i % 3]}|ethics") for i in range(36)]
+    src = spark.createDataFrame(rows, "ingest_order int, id string, doi string, title string, abstract string, publication_year int, cited_by_count bigint, data_source string, journal string, authors string, countries string, keyword_terms string")
+    src = src.join(works.canonical(src, "x").select("id", *(c for c in works.CANONICAL if c not in src.columns)), "id")
+    src.write.parquet(f"{tmp_path}/input/sources")
+    spark.createDataFrame([(f"w{i}", [float(i % 3 == 0), float(i % 3 == 1), float(i % 3 == 2) + i / 90]) for i in range(36)], "id string, vector array<double>").write.parquet(f"{tmp_path}/input/embeddings")
+    poles = [("e", "high", "a", [1.0, 0.0, 0.0]), ("e", "low", "b", [0.0, 1.0, 0.0]), ("n", "high", "a", [0.0, 0.0, 1.0]), ("n", "low", "b", [0.0, 1.0, 0.0])]
+    spark.createDataFrame(poles, "axis string, pole string, name string, vector array<double>").write.parquet(f"{tmp_path}/input/poles")
+    return str(tmp_path)
+
+
+def test_command_line(spark, run_dir):
+    assert cli.main(["--run-dir", run_dir, "--exclude", "screening", "--exclude", "summary"]) == [s for s in stages.STAGES if s not in ("screening", "summary")]
+    assert cli.main(["--run-dir", run_dir, "--start-from", "summary"]) == ["summary", "screening"]
+    for stage, tables in stages.MAKES.items():
+        for table in tables:
+            assert cache.exists(spark, f"{run_dir}/{stage}/{table}") or (stage, table) == ("enrich", "corpus_clustered"), (stage, table)
+    read = lambda stage, table: spark.read.parquet(f"{run_dir}/{stage}/{table}")
+    scores = read("analyses", "axis_scores_enriched").toPandas()
+    assert len(scores) == 36 and scores.cluster_label.str.len().min() > 3 and scores.cluster_description.str.startswith(stages.FOCUS).all()
+    years = read("analyses", "temporal_profile").toPandas().set_index("year")
+    by_year = scores.groupby("publication_year").axis_e.agg(["count", "mean"])
+    assert years.n.sort_index().tolist() == by_year["count"].tolist() and np.allclose(years.mean_e.sort_index(), by_year["mean"])
+    share = read("analyses", "cluster_share_by_year").toPandas()
+    assert np.allclose(share.groupby("year").pct.sum(), 100, atol=0.05)
+    tests = {r["axis"]: r for r in read("statistics", "axis_tests").collect()}
+    assert set(tests) == {"e", "n"}
+    ranks = scores[["cited_by_count", "axis_e"]].rank().corr().iloc[0, 1]
+    assert tests["e"]["rho_all"] == pytest.approx(ranks) and tests["e"]["mean"] == pytest.approx(scores.axis_e.mean())
+    assert read("statistics", "axis_quartiles").groupBy("axis").agg(F.sum("n").alias("n")).toPandas().n.tolist() == [36, 36]
+    sample = read("validation", "validation_sample").toPandas()
+    assert sample.groupby(["cluster", "third"]).size().max() <= 2 and sample.form_id.is_unique
+    report = {k: json.loads(v) for k, v in read("summary", "report_summary").first().asDict().items()}
+    assert report["corpus"][0]["n_articles"] == 36 and sum(c["n"] for c in report["clusters"]) == 36 and report["top_paper"][0]["cited_by_count"] == scores.cited_by_count.max()
+    with pytest.raises(SystemExit):
+        cli.main(["--run-dir", run_dir, "--start-from", "nothing"])
+    with pytest.raises(SystemExit):
+        cli.main(["--run-dir", run_dir, "fetch", "--start-from", "summary"])
+
+
 def test_exchange(spark, tmp_path):
     np.save(tmp_path / "m.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
     v = exchange.npy(spark, str(tmp_path / "m.npy"))
