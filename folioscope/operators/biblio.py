@@ -81,13 +81,22 @@ def canonical_casing(terms: DataFrame, key: str = "term", *order: str) -> DataFr
     return terms.groupBy(F.lower(key).alias("lower")).agg(first.alias("_first")).select("lower", F.coalesce(T.canonical_keyword(F.col("lower")), F.col("_first")).alias("label"))
 
 
-def zipf(frequency: DataFrame, least: int = 5) -> DataFrame:
-    """alpha, r2, intercept and counts of a log-log fit of frequency (freq, term) over terms seen at least twice; a null fit with fewer than `least`."""
-    ranked = frequency.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("freq"), "term")))
-    core = F.col("freq") >= 2
-    x, y = F.when(core, F.ln("rank")), F.when(core, F.ln("freq"))
-    fit = ranked.select(x.alias("x"), y.alias("y"), "freq", "rank").agg(F.count("y").alias("core"), F.count("*").alias("terms"), F.regr_slope("y", "x").alias("s"), F.regr_intercept("y", "x").alias("i"), F.regr_r2("y", "x").alias("r"), F.count_if(F.col("freq") == 1).alias("hapax"), F.sum(F.when(F.col("rank") <= 10, F.col("freq"))).alias("top"), F.sum("freq").alias("all"))
+def zipf(frequency: DataFrame, least: int = 5, step: int = 10_000) -> DataFrame:
+    """alpha, r2, intercept and counts of a log-log fit of frequency (freq, term) over terms seen at least twice; a null fit with fewer than `least`.
+
+    Terms of one frequency have ranks that follow each other, so only the distinct frequencies are
+    ordered, and ranks are counted out from them, `step` at a time.
+    """
+    by = frequency.groupBy("freq").agg(F.count("*").alias("n"))
+    ordered = by.withColumn("_last", F.sum("n").over(Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_first", F.col("_last") - F.col("n") + 1)
+    core = ordered.where("freq >= 2").select("freq", "_last", F.explode(F.sequence("_first", "_last", F.lit(step).cast("long"))).alias("_a"))
+    ranks = core.select("freq", F.explode(F.sequence("_a", F.least("_last", F.col("_a") + (step - 1)))).alias("rank"))
+    x, y = F.ln("rank"), F.ln("freq")
+    fit = ranks.select(x.alias("x"), y.alias("y")).agg(F.count("*").alias("core"), F.regr_slope("y", "x").alias("s"), F.regr_intercept("y", "x").alias("i"), F.regr_r2("y", "x").alias("r"))
+    taken = F.greatest(F.lit(0), F.least("n", 10 - F.col("_first") + 1))
+    whole = ordered.agg(F.sum("n").alias("terms"), F.coalesce(F.sum(F.when(F.col("freq") == 1, F.col("n"))), F.lit(0)).alias("hapax"), F.sum(taken * F.col("freq")).alias("top"), F.sum(F.col("n") * F.col("freq")).alias("all"))
     some = lambda c: F.when(F.col("core") >= least, c)
+    fit = fit.crossJoin(F.broadcast(whole))
     return fit.select("core", "terms", some(-F.col("s")).alias("alpha"), some(F.col("i")).alias("intercept"), some(F.col("r")).alias("r2"), (100.0 * F.col("hapax") / F.col("terms")).alias("hapax_pct"), (100.0 * F.col("top") / F.col("all")).alias("top10_share"))
 
 

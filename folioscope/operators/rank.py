@@ -27,36 +27,87 @@ def average_rank(value: Column, within: Sequence[Column | str] = ()) -> Column:
     return F.rank().over(order) + (F.count(value).over(Window.partitionBy(*within, value)) - 1) / 2
 
 
-def percentile_rank(value: Column, within: Sequence[Column | str] = ()) -> Column:
-    return average_rank(value, within) / F.count(value).over(Window.partitionBy(*within))
+def by_value(df: DataFrame, value: str, within: Sequence[str], descending: bool = False) -> DataFrame:
+    """within, value, n (rows with it), before (rows ahead of them), total (rows) and, for sums, sum_before and sum_all.
+
+    Rows are counted by distinct value before anything is ordered, so windows over few groups hold
+    a row for each value, not the rows.
+    """
+    counts = df.groupBy(*within, value).agg(F.count("*").alias("n"), F.sum(value).alias("_s"))
+    part = Window.partitionBy(*within)
+    order = part.orderBy(F.desc_nulls_last(value) if descending else F.asc_nulls_first(value)).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("total", F.sum("n").over(part))
+    some = F.coalesce("_s", F.lit(0))
+    return counts.withColumn("sum_before", F.sum(some).over(order) - some).withColumn("sum_all", F.sum(some).over(part)).drop("_s")
+
+
+def positions(df: DataFrame, value: str, tie: Sequence[Column], within: Sequence[str] = ()) -> DataFrame:
+    """Add _rn, the place from 1 in rising order of value and then of tie, and total, sum_before and sum_all as by_value has them."""
+    by = by_value(df, value, within).select(*(F.col(c).alias(f"_w_{c}") for c in within), F.col(value).alias("_v"), "before", "total", "sum_before", "sum_all")
+    same = F.col(value).eqNullSafe(F.col("_v"))
+    for c in within:
+        same &= F.col(c).eqNullSafe(F.col(f"_w_{c}"))
+    place = F.row_number().over(Window.partitionBy(*within, value).orderBy(*tie))
+    d = df.withColumn("_place", place).join(by, same)
+    return d.withColumn("_rn", F.col("before") + F.col("_place")).drop("_v", "before", *(f"_w_{c}" for c in within))
+
+
+def percentile_ranks(df: DataFrame, value: str, out: str, within: Sequence[str] = ()) -> DataFrame:
+    """Add out: the average rank of the value, ties at their mean, as a part of all rows of the group."""
+    by = by_value(df, value, within).select(*(F.col(c).alias(f"_w_{c}") for c in within), F.col(value).alias("_v"), ((F.col("before") + (F.col("n") + 1) / 2) / F.col("total")).alias(out))
+    same = F.col(value).eqNullSafe(F.col("_v"))
+    for c in within:
+        same &= F.col(c).eqNullSafe(F.col(f"_w_{c}"))
+    return df.join(by, same).select(*df.columns, out)
+
+
+def position_bins(df: DataFrame, value: str, tie: Sequence[Column], q: int, out: str, within: Sequence[str] = ()) -> DataFrame:
+    """Add out: 1 to q of equal sizes by position in rising order of value and then of tie."""
+    d = positions(df, value, tie, within)
+    return d.withColumn(out, F.when(F.col("total") == 1, 1).otherwise(F.greatest(F.lit(1), F.ceil((F.col("_rn") - 1) * q / (F.col("total") - 1)).cast("int")))).select(*df.columns, out)
 
 
-def rank_bins(order: Sequence[Column], q: int, within: Sequence[str] = ()) -> Column:
-    """1 to q of equal sizes by position, as quantile bins of the row number."""
-    rn = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*within))
-    # A row is in the first bin k whose edge 1 + (n - 1) k / q reaches its number.
-    return F.when(n == 1, 1).otherwise(F.greatest(F.lit(1), F.ceil((rn - 1) * q / (n - 1)).cast("int")))
+def rescaled(df: DataFrame, value: str, out: str, within: Sequence[str], low: float = 1.0, high: float = 5.0) -> DataFrame:
+    """Add out: from low to high by the extremes of the value in each group, which are aggregated and joined; the middle where all are equal."""
+    ends = df.groupBy(*(F.col(c).alias(f"_w_{c}") for c in within)).agg(F.min(value).alias("_least"), F.max(value).alias("_most"))
+    same = F.lit(True)
+    for c in within:
+        same &= F.col(c).eqNullSafe(F.col(f"_w_{c}"))
+    scaled = F.when(F.col("_most") == F.col("_least"), F.lit((low + high) / 2)).otherwise(low + (high - low) * (F.col(value) - F.col("_least")) / (F.col("_most") - F.col("_least")))
+    return df.join(ends, same).withColumn(out, scaled).select(*df.columns, out)
 
 
-def top_share(df: DataFrame, value: str, fraction: float, order: Sequence[Column], within: Sequence[str] = ()) -> DataFrame:
+def top_parts(df: DataFrame, value: str, fractions: dict[str, float], within: Sequence[str] = ()) -> DataFrame:
+    """within and, for each named fraction of all rows (half to even, at least one), {name}_n and {name}_sum of the largest; n and sum of all.
+
+    Rows of equal values can stand for each other, so no order among them is needed.
+    """
+    d = by_value(df, value, within, descending=True)
+    out = [F.sum("n").alias("n"), F.max("sum_all").alias("sum")]
+    for name, fraction in fractions.items():
+        top = F.greatest(F.lit(1), F.bround(F.col("total") * F.lit(fraction)).cast("long"))
+        taken = F.greatest(F.lit(0), F.least(F.col("n"), top - F.col("before")))
+        out += [F.sum(taken).alias(f"{name}_n"), F.sum(taken * F.coalesce(F.col(value), F.lit(0))).alias(f"{name}_sum")]
+    return d.groupBy(*within).agg(*out)
+
+
+def top_shares(df: DataFrame, value: str, fractions: dict[str, float], within: Sequence[str] = ()) -> DataFrame:
+    """For each named fraction the per cent of the sum that the largest rows hold."""
+    d = top_parts(df, value, fractions, within)
+    return d.select(*within, *(F.when(F.col("sum") > 0, 100.0 * F.col(f"{name}_sum") / F.col("sum")).otherwise(0.0).alias(name) for name in fractions))
+
+
+def top_share(df: DataFrame, value: str, fraction: float, within: Sequence[str] = ()) -> DataFrame:
     """share: per cent of the sum that the largest rows hold, fraction of all rows half to even, at least one."""
-    part = Window.partitionBy(*within)
-    d = df.withColumn("_rn", F.row_number().over(part.orderBy(F.desc(value), *order))).withColumn("_n", F.count(F.lit(1)).over(part))
-    top = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction)).cast("int"))
-    total = F.sum(value)
-    share = F.when(total > 0, 100.0 * F.sum(F.when(F.col("_rn") <= top, F.col(value)).otherwise(0)) / total).otherwise(0.0)
-    return d.groupBy(*within).agg(share.alias("share"))
+    return top_shares(df, value, {"share": fraction}, within)
 
 
 def lorenz(df: DataFrame, value: str, order: Sequence[Column], within: Sequence[str] = ()) -> DataFrame:
     """x and y, per cent of rows and of the sum, in rising order of the value."""
-    part = Window.partitionBy(*within)
-    rising = part.orderBy(F.asc(value), *order)
-    n, total = F.count(F.lit(1)).over(part), F.sum(value).over(part)
-    x = F.when(n > 1, 100.0 * (F.row_number().over(rising) - 1) / (n - 1)).otherwise(0.0)
-    y = F.when(total > 0, 100.0 * F.sum(value).over(rising.rowsBetween(Window.unboundedPreceding, 0)) / total).otherwise(0.0)
-    return df.withColumn("x", x).withColumn("y", y)
+    d = positions(df, value, order, within)
+    x = F.when(F.col("total") > 1, 100.0 * (F.col("_rn") - 1) / (F.col("total") - 1)).otherwise(0.0)
+    y = F.when(F.col("sum_all") > 0, 100.0 * (F.col("sum_before") + F.col("_place") * F.coalesce(F.col(value), F.lit(0))) / F.col("sum_all")).otherwise(0.0)
+    return d.withColumn("x", x).withColumn("y", y).select(*df.columns, "x", "y")
 
 
 def zscore(value: Column, within: Sequence[str] = ()) -> Column:
@@ -75,12 +126,12 @@ def keep_ranked(df: DataFrame, score: str, order: Sequence[Column], threshold: f
     """Add rank and keep: scores over the threshold, but at least `floor` rows and at most `cap`.
 
     The rank needs one order over all rows, so only the first `cap` are ranked, by a top-k that
-    each task cuts to size; others have none.
+    each task cuts to size; others have none.  `order` begins with the score, largest first, so
+    rows over the threshold are all among those, or fill them: nothing else need be counted.
     """
-    passing = df.agg(F.count_if(F.col(score) >= threshold).alias("_base"))
     top = df.orderBy(*order).limit(cap).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    kept = top.crossJoin(F.broadcast(passing)).withColumn("keep", F.col("rank") <= F.least(F.lit(cap), F.greatest(F.lit(floor), F.col("_base"))))
-    return kept.drop("_base")
+    passing = F.count_if(F.col(score) >= threshold).over(Window.partitionBy())
+    return top.withColumn("keep", F.col("rank") <= F.greatest(F.lit(floor), passing))
 
 
 def bands(value: Column, cuts: Sequence[tuple[float, float, str]]) -> Column:

@@ -65,18 +65,22 @@ def screen(docs: DataFrame, positive: Mapping[str, str] = POSITIVE, ai: Mapping[
     """
     title = F.coalesce(F.col("title"), F.lit(""))
     raw = F.coalesce(F.col("abstract"), F.lit(""))
-    body = F.concat_ws(" ", title, T.clean_html(raw))
-    d = docs.withColumn("_pos", T.matching_labels(body, positive)).withColumn("_neg", T.matching_labels(body, negative)).withColumn("_ai", F.size(T.matching_labels(body, ai)) > 0)
-    has, against = F.size("_pos") > 0, F.size("_neg") > 0
     year = F.col("publication_year")
     outside = F.coalesce(~year.between(*years), F.lit(False)) if years else F.lit(False)
+    # Cleaned once, as a column of its own; labels only of what no early rung has settled.
+    d = docs.withColumn("_plain", T.clean_html(raw))
+    early = F.when(T.any_match(title, RETRACTED), "retracted").when(F.length("_plain") < MIN_ABSTRACT, "missing_abstract").when(T.any_match(raw, LOW_QUALITY), "low_quality_abstract")
+    early = early.when(T.any_match(title, offtopic) if offtopic else F.lit(False), "hard_offtopic_title").when(outside, "year_out_of_range")
+    d = d.withColumn("_early", early).withColumn("_body", F.when(F.col("_early").isNull(), F.concat_ws(" ", title, "_plain")))
+    labels = lambda table: F.when(F.col("_body").isNotNull(), T.matching_labels(F.col("_body"), table)).otherwise(F.array().cast("array<string>"))
+    d = d.withColumn("_pos", labels(positive)).withColumn("_neg", labels(negative))
+    has, against = F.size("_pos") > 0, F.size("_neg") > 0
+    # Signals matter only where there is a scope.
+    any_ai = F.coalesce(*(F.when(T.any_match(F.col("_body"), p), True) for p in ai.values()), F.lit(False))
+    d = d.withColumn("_ai", F.when(has, any_ai).otherwise(False))
     strong_hit = F.arrays_overlap("_pos", F.array(*map(F.lit, strong)))
     ladder = [
-        (T.any_match(title, RETRACTED), "exclude", F.lit("retracted")),
-        (F.length(T.clean_html(raw)) < MIN_ABSTRACT, "exclude", F.lit("missing_abstract")),
-        (T.any_match(raw, LOW_QUALITY), "exclude", F.lit("low_quality_abstract")),
-        (T.any_match(title, offtopic) if offtopic else F.lit(False), "exclude", F.lit("hard_offtopic_title")),
-        (outside, "exclude", F.lit("year_out_of_range")),
+        (F.col("_early").isNotNull(), "exclude", F.col("_early")),
         (has & ~F.col("_ai") & strong_hit, "needs_review", F.lit("no_ai_signal")),
         (has & ~F.col("_ai"), "exclude", F.lit("no_ai_signal")),
         (~has & ~against, "exclude", F.lit("no_scope_signal")),
@@ -86,13 +90,12 @@ def screen(docs: DataFrame, positive: Mapping[str, str] = POSITIVE, ai: Mapping[
         (_covered(F.col("_pos"), F.col("_neg"), negative_override), "exclude", F.concat(F.lit("hard_negative:"), F.array_join("_neg", "|"))),
     ]
     review = F.concat(F.lit("positive:"), F.array_join("_pos", "|"), F.lit("|negative:"), F.array_join("_neg", "|"))
-    decision, reason = F.lit("needs_review"), review
-    for test, verdict, why in reversed(ladder):
-        decision, reason = F.when(test, verdict).otherwise(decision), F.when(test, why).otherwise(reason)
-    d = d.withColumn("decision", decision).withColumn("reason", reason)
-    early = F.col("reason").isin("retracted", "missing_abstract", "low_quality_abstract", "hard_offtopic_title", "year_out_of_range")
-    named = lambda c: F.when(early, "").otherwise(F.array_join(c, ","))
-    return d.withColumn("positive_rules", named("_pos")).withColumn("negative_rules", named("_neg")).drop("_pos", "_neg", "_ai")
+    rung = lambda verdict, why: F.struct(F.lit(verdict).alias("decision"), why.alias("reason"))
+    verdict = rung("needs_review", review)
+    for test, decision, why in reversed(ladder):
+        verdict = F.when(test, rung(decision, why)).otherwise(verdict)
+    d = d.withColumn("_verdict", verdict)
+    return d.select(*docs.columns, "_verdict.decision", "_verdict.reason", F.array_join("_pos", ",").alias("positive_rules"), F.array_join("_neg", ",").alias("negative_rules"))
 
 
 def screened_corpus(screened: DataFrame) -> DataFrame:

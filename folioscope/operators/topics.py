@@ -20,22 +20,28 @@ def tokens(docs: DataFrame, text: str, group: str, pattern: str = r"[a-zA-Z][a-z
 
 
 def ngrams(words, sizes: Sequence[int] = (2, 3)):
-    """Runs of words joined by spaces; fewer words than a size give none."""
-
-    def runs(n: int):
-        last = F.size(words) - n + 1
-        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*map(runs, sizes))
+    """Runs of words joined by spaces; fewer words than a size give none.  Each size grows from the one before by one word."""
+    none = F.array().cast("array<string>")
+    out, runs = [], words
+    for n in range(2, max(sizes) + 1):
+        longer = F.zip_with(runs, F.slice(words, n, F.greatest(F.size(words), F.lit(1))), lambda run, word: F.concat(run, F.lit(" "), word))
+        # The lists end together but for the words that have no run's start; their rests are null.
+        runs = F.filter(longer, lambda x: x.isNotNull())
+        if n in sizes:
+            out.append(F.coalesce(runs, none))
+    return F.concat(*out)
 
 
 def class_tfidf(docs: DataFrame, text: str, group: str, max_share: float = 0.8, sizes: Sequence[int] = (2, 3)) -> DataFrame:
-    """group, phrase, tf, df and score: each group is one document; phrases in over max_share of the groups go; idf = ln((1 + n) / (1 + df)) + 1."""
+    """group, phrase, tf, df and score: each group is one document; phrases in over max_share of the groups go; idf = ln((1 + n) / (1 + df)) + 1.
+
+    The texts are read and cut once: a phrase's groups, of which there are few, meet in a list whose size is df.
+    """
     t = tokens(docs.where(F.col(group).isNotNull()), text, group)
     tf = t.select("group", F.explode(ngrams(F.col("words"), sizes)).alias("phrase")).groupBy("group", "phrase").agg(F.count("*").alias("tf"))
     n = docs.where(F.col(group).isNotNull()).agg(F.count_distinct(group).alias("_n"))
-    df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
-    d = tf.join(df, "phrase").crossJoin(F.broadcast(n)).where(F.col("df") <= F.col("_n") * max_share)
+    lists = tf.groupBy("phrase").agg(F.collect_list(F.struct("group", "tf")).alias("g")).crossJoin(F.broadcast(n)).where(F.size("g") <= F.col("_n") * max_share)
+    d = lists.select("phrase", F.size("g").cast("long").alias("df"), "_n", F.explode("g").alias("g")).select("g.group", "phrase", "g.tf", "df", "_n")
     return d.withColumn("score", F.col("tf") * (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1)).drop("_n")
 
 

@@ -23,7 +23,7 @@ def zscore(t: Tables) -> DataFrame:
 
 @query(f"SELECT {LINES}, round(1 + 4 * (l_tax - min(l_tax) OVER p) / (max(l_tax) OVER p - min(l_tax) OVER p), 6) AS likert FROM lineitem WINDOW p AS (PARTITION BY l_returnflag)")
 def rescale_likert(t: Tables) -> DataFrame:
-    return t.lineitem.select("l_orderkey", "l_linenumber", r6(R.rescale(F.col("l_tax"), within=["l_returnflag"])).alias("likert"))
+    return R.rescaled(t.lineitem.select("l_orderkey", "l_linenumber", "l_tax", "l_returnflag"), "l_tax", "likert", ["l_returnflag"]).select("l_orderkey", "l_linenumber", r6("likert").alias("likert"))
 
 
 AXES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

@@ -90,19 +90,17 @@ def top_sql(fraction: float) -> str:
 @query(f"""WITH {PAPERS}, r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY cit DESC, id) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM papers)
     SELECT o_orderpriority AS cluster, {top_sql(0.1)} AS top10, {top_sql(0.2)} AS top20 FROM r GROUP BY 1""")
 def concentration_top_share(t: Tables) -> DataFrame:
-    p = t.papers().select(F.col("o_orderpriority").alias("cluster"), "cit", "id")
-    a, b = (R.top_share(p, "cit", f, [F.asc("id")], ["cluster"]).withColumnRenamed("share", n) for f, n in ((0.1, "top10"), (0.2, "top20")))
-    return a.join(b, "cluster").select("cluster", r6("top10").alias("top10"), r6("top20").alias("top20"))
+    shares = R.top_shares(t.papers().select(F.col("o_orderpriority").alias("cluster"), "cit"), "cit", {"top10": 0.1, "top20": 0.2}, ["cluster"])
+    return shares.select("cluster", r6("top10").alias("top10"), r6("top20").alias("top20"))
 
 
 @query(f"""WITH {PAPERS}, r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY cit DESC, id) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM papers)
     SELECT o_orderpriority AS cluster, round(avg(cit), 6) AS mean_all, round(avg(cit) FILTER (rn > greatest(1, round_even(n * 0.1, 0))), 6) AS mean_rest,
            round(avg(cit) FILTER (rn > greatest(1, round_even(n * 0.1, 0))) / avg(cit), 6) AS ratio FROM r GROUP BY 1""")
 def mean_without_top_decile(t: Tables) -> DataFrame:
-    part = Window.partitionBy("o_orderpriority")
-    d = t.papers().withColumn("rn", F.row_number().over(part.orderBy(F.desc("cit"), "id"))).withColumn("n", F.count("*").over(part))
-    rest = F.avg(F.when(F.col("rn") > F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(0.1))), F.col("cit")))
-    return d.groupBy(F.col("o_orderpriority").alias("cluster")).agg(r6(F.avg("cit")).alias("mean_all"), r6(rest).alias("mean_rest"), r6(rest / F.avg("cit")).alias("ratio"))
+    d = R.top_parts(t.papers().select(F.col("o_orderpriority").alias("cluster"), "cit"), "cit", {"top": 0.1}, ["cluster"])
+    mean, rest = F.col("sum") / F.col("n"), (F.col("sum") - F.col("top_sum")) / F.nullif(F.col("n") - F.col("top_n"), F.lit(0))
+    return d.select("cluster", r6(mean).alias("mean_all"), r6(rest).alias("mean_rest"), r6(rest / mean).alias("ratio"))
 
 
 @query(f"""WITH {PAPERS}, r AS (SELECT id, year, row_number() OVER o AS rn, count(*) OVER (PARTITION BY year) AS n, sum(cit) OVER (o ROWS UNBOUNDED PRECEDING) AS s, sum(cit) OVER (PARTITION BY year) AS total FROM papers WINDOW o AS (PARTITION BY year ORDER BY cit, id))
@@ -214,12 +212,12 @@ def box_summaries(t: Tables) -> DataFrame:
 @query(f"""WITH {PAPERS}, r AS (SELECT id, year, row_number() OVER (PARTITION BY year ORDER BY cit, id) AS rn, count(*) OVER (PARTITION BY year) AS n FROM papers)
     SELECT id, CAST(CASE WHEN n = 1 THEN 1 ELSE greatest(1, CAST(ceil((rn - 1) * 5 / (n - 1)) AS INTEGER)) END AS INTEGER) AS q FROM r""")
 def quintile_rank_first(t: Tables) -> DataFrame:
-    return t.papers().select("id", R.rank_bins([F.asc("cit"), F.asc("id")], 5, ["year"]).alias("q"))
+    return R.position_bins(t.papers().select("id", "cit", "year"), "cit", [F.asc("id")], 5, "q", ["year"]).select("id", "q")
 
 
 @query(f"WITH {PAPERS} SELECT id, round((rank() OVER (PARTITION BY year ORDER BY cit) + (count(*) OVER (PARTITION BY year, cit) - 1) / 2.0) / count(*) OVER (PARTITION BY year), 6) AS pct FROM papers")
 def pct_rank_within_year(t: Tables) -> DataFrame:
-    return t.papers().select("id", r6(R.percentile_rank(F.col("cit"), ["year"])).alias("pct"))
+    return R.percentile_ranks(t.papers().select("id", "cit", "year"), "cit", "pct", ["year"]).select("id", r6("pct").alias("pct"))
 
 
 @query(f"""WITH {PAPERS} SELECT id, {BAND_SQL} AS band, CASE WHEN c_acctbal / 1000 < -0.10 THEN 'strong_negative' WHEN c_acctbal < 0 THEN 'negative' WHEN c_acctbal / 1000 < 0.10 THEN 'positive' ELSE 'strong_positive' END AS zone,

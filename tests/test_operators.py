@@ -105,7 +105,7 @@ def test_quantile_bins_and_shares(spark):
     assert sorted(r["q"] for r in rank.quantile_bins(d, "x", 4, "q").collect()) == [1, 1, 1, 2, 3, 3, 4, 4]
     tied = spark.createDataFrame([(1.0,)] * 5, "x double")
     assert {r["q"] for r in rank.quantile_bins(tied, "x", 4, "q").collect()} == {1}
-    share = lambda rows, f: rank.top_share(spark.createDataFrame([(i, float(v)) for i, v in enumerate(rows)], "i int, v double"), "v", f, [F.asc("i")]).first()["share"]
+    share = lambda rows, f: rank.top_share(spark.createDataFrame([(i, float(v)) for i, v in enumerate(rows)], "i int, v double"), "v", f).first()["share"]
     assert share([1.0, 1, 1, 1, 6], 0.1) == 60.0
     assert share([10.0, 5] + [0.0] * 22 + [5], 0.1) == 75.0  # 2.5 rounds to 2
     assert share([0.0, 0], 0.1) == 0.0
