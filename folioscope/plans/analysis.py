@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import rank as R
 from ..operators import sampling as S
 from ..operators import stats
@@ -216,7 +217,12 @@ def prototype_cross_dot(t: Tables) -> DataFrame:
     return d.select("vec_id", F.explode(F.arrays_zip("names", "sims")).alias("z")).select("vec_id", F.col("z.names").alias("name"), r6("z.sims").alias("sim"))
 
 
-@query()
+@query(f"""WITH {PROJECTION}, qx AS (SELECT vec_id AS name, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM q, range(1, 65) t(i)), w AS (SELECT label, i, sum(x) AS s, count(*) AS n FROM qx GROUP BY 1, 2),
+    v AS (SELECT o.name, o.i, sum(CASE WHEN w.label = 1 THEN 1 ELSE -1 END * CASE WHEN w.label = o.label THEN (w.s - o.x) / (w.n - 1) ELSE w.s / w.n END) AS d FROM qx o JOIN w USING (i) GROUP BY 1, 2),
+    va AS (SELECT name, i, d / sqrt(sum(d * d) OVER (PARTITION BY name)) AS a FROM v), sc AS (SELECT name, vec_id, sum(e.v * va.a) AS score FROM e JOIN va USING (i) GROUP BY 1, 2),
+    r AS (SELECT name, rank() OVER (PARTITION BY name ORDER BY s.score) + (count(*) OVER (PARTITION BY name, s.score) - 1) / 2.0 AS a, rank() OVER (PARTITION BY name ORDER BY sc.score) + (count(*) OVER (PARTITION BY name, sc.score) - 1) / 2.0 AS b FROM sc JOIN s USING (vec_id)),
+    rho AS (SELECT name, corr(a, b) AS rho FROM r GROUP BY 1)
+    SELECT CAST(name AS VARCHAR) AS left_out, round(rho, 6) AS rho, CASE WHEN rho > 0.70 THEN 'PASS' WHEN rho > 0.60 THEN 'MARGINAL' ELSE 'FAIL' END AS band FROM rho""")
 def loo_stability(t: Tables) -> DataFrame:
     variants = V.leave_one_out(poles(t)).withColumn("center", F.lit(0.0))
     base = V.axis(poles(t))
@@ -269,9 +275,23 @@ def ctfidf_topics(t: Tables) -> DataFrame:
     return s.withColumn("k", k).where("k <= 10").select("grp", "phrase", "tf", "df", r6("score").alias("score"))
 
 
-@query()
+_TITLE = "array_to_string(list_transform(string_split(p, ' '), lambda w: array_to_string(list_transform(string_split(w, '-'), lambda v: CASE WHEN v = '' THEN '' ELSE upper(v[1]) || v[2:] END), '-')), ' ')"
+for _a, _b in T.PHRASE_ACRONYMS.items():
+    _TITLE = f"regexp_replace({_TITLE}, '\\b{_a}\\b', '{_b}', 'g')"
+_LABEL = "CASE " + " ".join(f"WHEN p = '{a}' THEN '{b}'" for a, b in T.PHRASES.items()) + f" ELSE {_TITLE} END"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT source AS grp, {_WORDS} AS w FROM documents), p AS (SELECT grp, unnest({_GRAMS}) AS phrase FROM d), tf AS (SELECT grp, phrase, count(*) AS tf FROM p GROUP BY 1, 2), df AS (SELECT phrase, count(*) AS df FROM tf GROUP BY 1),
+    s AS (SELECT grp, phrase, tf * (ln((1 + n) / (1 + df)) + 1) AS score FROM tf JOIN df USING (phrase), (SELECT count(DISTINCT source) AS n FROM documents) WHERE df <= n * 0.8 AND length(phrase) >= 4 AND NOT regexp_matches(phrase, ' using | based on | et al|this ')),
+    r AS (SELECT grp, phrase, row_number() OVER (PARTITION BY grp ORDER BY score DESC, phrase) AS k FROM s QUALIFY k <= 30),
+    g(grp, k, kept, seen) AS (SELECT DISTINCT grp, 0::BIGINT, []::VARCHAR[], []::VARCHAR[] FROM r UNION ALL
+        SELECT g.grp, r.k, CASE WHEN skip THEN kept ELSE list_append(kept, phrase) END, CASE WHEN skip THEN seen ELSE list_distinct(list_concat(seen, tokens)) END
+        FROM g JOIN (SELECT *, list_distinct(string_split(phrase, ' ')) AS tokens FROM r) r ON r.grp = g.grp AND r.k = g.k + 1,
+        LATERAL (SELECT len(list_intersect(tokens, seen)) AS shared), LATERAL (SELECT list_contains(kept, phrase) OR len(kept) >= 5 OR (len(kept) > 0 AND (shared = len(tokens) OR shared >= greatest(2, len(tokens) - 1))) AS skip)),
+    l AS (SELECT grp, arg_max(kept, k) AS kept FROM g GROUP BY 1)
+    SELECT grp, array_to_string(list_transform(kept, lambda p: {_LABEL}), ' | ') AS phrases FROM l""")
 def topic_phrases(t: Tables) -> DataFrame:
-    return TP.topics(t.documents, "text", "source")
+    return TP.topics(t.documents, "text", "source").select(F.col("group").alias("grp"), F.array_join("phrases", " | ").alias("phrases"))
 
 
 @query(f"""WITH d AS (SELECT lang AS grp, list_filter(regexp_extract_all(lower(text), '\\b[a-z]{{4,}}\\b'), lambda w: NOT list_contains([{", ".join(f"'{w}'" for w in TP.STOPWORDS)}], w)) AS w FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
@@ -315,7 +335,10 @@ def tercile_sample(t: Tables) -> DataFrame:
     return S.cell_sample(d, ["lang", "tercile"], "doc_id", 12, 130).select("doc_id", "tercile")
 
 
-@query()
+@query("""WITH s AS (SELECT lang, source, count(*) AS size FROM documents GROUP BY 1, 2), q AS (SELECT *, CAST(120.0 AS DOUBLE) * size / sum(size) OVER () AS q FROM s),
+    h AS (SELECT lang, source, floor(q) + CASE WHEN row_number() OVER (ORDER BY q - floor(q) DESC, lang, source) <= 120 - sum(floor(q)) OVER () THEN 1 ELSE 0 END AS quota FROM q),
+    r AS (SELECT doc_id, lang, source, sha256('42:' || doc_id) AS o, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('42:' || doc_id), doc_id) AS rn FROM documents)
+    SELECT doc_id, lang, source FROM r JOIN h USING (lang, source) ORDER BY CASE WHEN rn = 1 THEN 0 WHEN rn <= quota THEN 1 ELSE 2 END, o, doc_id LIMIT 120""")
 def one_per_cell_sample(t: Tables) -> DataFrame:
     return S.one_per_cell(t.documents.select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", 120)
 
@@ -325,8 +348,14 @@ def row_ids(t: Tables) -> DataFrame:
     return S.row_ids(t.documents.select("doc_id"), "doc_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAPERS}, y AS (SELECT year, count(*) AS n FROM papers GROUP BY 1), months AS (SELECT CAST(year AS VARCHAR) AS name, n FROM y),
+    g(l, least, step) AS (SELECT list({{'name': CAST(year AS VARCHAR), 'n': n}} ORDER BY year), max(n) * 9 // 10, 0 FROM y UNION ALL
+        SELECT list_concat(list_concat(l[1:a - 1], [{{'name': l[a].name || '+' || l[a + 1].name, 'n': l[a].n + l[a + 1].n}}]), l[a + 2:]), least, step + 1
+        FROM g, LATERAL (SELECT list_transform(l, lambda x: x.n) AS ns), LATERAL (SELECT list_position(ns, list_min(ns)) AS k),
+        LATERAL (SELECT CASE WHEN k = 1 THEN 1 WHEN k = len(l) THEN k - 1 WHEN ns[k - 1] <= ns[k + 1] THEN k - 1 ELSE k END AS a) WHERE len(l) > 1 AND list_min(ns) < least),
+    e AS (SELECT unnest(arg_max(l, step)) AS x FROM g)
+    SELECT CAST(unnest(string_split(x.name, '+')) AS VARCHAR) AS stratum, x.name AS merged FROM e""")
 def merged_strata(t: Tables) -> DataFrame:
-    sizes = [tuple(r) for r in t.papers().groupBy("year").count().orderBy("year").limit(1000).collect()]  # a row for each year
-    names = S.merge_small([(str(y), n) for y, n in sizes], max(n for _, n in sizes) // 2 if sizes else 0)
+    sizes = [tuple(r) for r in t.papers().groupBy("year").count().orderBy("year").collect()]  # a row for each year
+    names = S.merge_small([(str(y), n) for y, n in sizes], max(n for _, n in sizes) * 9 // 10 if sizes else 0)
     return t.spark.createDataFrame(sorted(names.items()) or [], "stratum string, merged string")

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import analysis, bibliometry, impact, records  # noqa: F401  each registers its queries
+from . import analysis, bibliometry, impact, landing, records  # noqa: F401  each registers its queries
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

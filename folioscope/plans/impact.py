@@ -51,7 +51,9 @@ def category_by_year(t: Tables) -> DataFrame:
 
 @query(f"WITH {PAPERS} SELECT year, o_orderpriority AS kind, count(*) AS n FROM papers GROUP BY 1, 2")
 def crosstab(t: Tables) -> DataFrame:
-    kinds = [r[0] for r in t.papers().select("o_orderpriority").distinct().orderBy("o_orderpriority").limit(1000).collect()]  # columns of the table
+    kinds = [r[0] for r in t.papers().select("o_orderpriority").distinct().orderBy("o_orderpriority").limit(1001).collect()]  # columns of the table
+    if len(kinds) > 1000:
+        raise ValueError("over 1000 kinds, which would be columns of the table")
     wide = t.papers().groupBy("year").pivot("o_orderpriority", kinds).count()
     return wide.unpivot(["year"], kinds, "kind", "n").where("n is not null")
 

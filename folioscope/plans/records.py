@@ -304,7 +304,7 @@ def string_toolkit(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.substring("html", 1, 80).alias("head"), F.length("html").alias("size"), T.slug(F.col("url")).alias("slug"), F.sha2("html", 256).alias("sha"), T.year_anywhere(F.col("url")).alias("year"), T.context(F.col("html"), "<p", 20)["position"].alias("at"))
 
 
-@query()
+@query(r"""SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS title FROM pages""")
 def unescape_entities(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.unescape(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("title"))
 
