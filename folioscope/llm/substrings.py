@@ -174,8 +174,8 @@ class Automaton:
     def __init__(self, passages: dict[int, bytes], window: int = WINDOW) -> None:
         self.window, self.block = window, (window + 1) // 2
         self.letters: dict[bytes, str] = {}
-        high, low, where = [], [], []
         self.trie = ahocorasick.Automaton()
+        sizes, positions, hashes = [], [], []
         for position, text in passages.items():
             words = text.split()
             for w in words:
@@ -187,17 +187,20 @@ class Automaton:
             # Any window holds one of these blocks whole.
             for k in range(0, len(words) - self.block + 1, self.block):
                 self.trie.add_word(letters[3 * k : 3 * (k + self.block)], True)
-            hashes = word_hashes(words)
-            high.append(run_hashes(hashes, window))
-            low.append(run_hashes(hashes, window, 1))
-            where.append(position + np.arange(len(high[-1])))
+            sizes.append(len(words))
+            positions.append(position)
+            hashes += map(xxh64_intdigest, words)
         self.trie.make_automaton()
-        empty = [np.zeros(0, np.uint64)]
-        self.high = np.concatenate(high or empty)
-        order = np.argsort(self.high, kind="stable")
-        self.high = self.high[order]
-        self.low = np.concatenate(low or empty)[order] >> np.uint64(32)
-        self.where = np.concatenate(where or [np.zeros(0, np.int64)])[order]
+        # All passages' windows are hashed at once, but for those that reach into the next passage.
+        sizes, hashes = np.array(sizes, dtype=np.int64), np.array(hashes, dtype=np.uint64)
+        each = np.maximum(sizes - window + 1, 0)
+        inner = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        at = np.repeat(np.cumsum(sizes) - sizes, each) + inner
+        high = run_hashes(hashes, window)[at]
+        order = np.argsort(high, kind="stable")
+        self.high = high[order]
+        self.low = run_hashes(hashes, window, 1)[at][order] >> np.uint64(32)
+        self.where = (np.repeat(np.array(positions, dtype=np.int64), each) + inner)[order]
 
     def spell(self, words: list[bytes]) -> str:
         get = self.letters.get
@@ -207,7 +210,7 @@ class Automaton:
         """Which words windows cover that the passages own at another position; `position` is the text's own."""
         n, w, b = len(words), self.window, self.block
         none = np.zeros(n, dtype=bool)
-        if n < w or self.trie.kind != ahocorasick.AHOCORASICK:
+        if n < w or not len(self.high):
             return none
         at = np.fromiter((e for e, _ in self.trie.iter(self.spell(words))), dtype=np.int64)
         if not len(at):
