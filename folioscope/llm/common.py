@@ -60,6 +60,22 @@ def small_batches(spark: SparkSession, size: int = 8 << 20, rows: int = 2_000) -
             spark.conf.set(key, str(most))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str, most: int = 1 << 62) -> DataFrame:
+    """Add a column of dense numbers from 0 in the order given: ranges are sorted apart, and their sizes come to the driver."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = durable(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
+    part = F.shiftright(name, 33)
+    counts = dict(rows.groupBy(part.cast("int").alias("p")).count().collect())  # a row for each partition
+    offsets, total = [0], 0
+    for p in range(max(counts, default=-1) + 1):
+        total += counts.get(p, 0)
+        offsets.append(total)
+    if total > most:
+        raise ValueError(f"{total} rows; {most} can be numbered")
+    offset = F.element_at(F.lit(offsets), part.cast("int") + 1)
+    return rows.withColumn(name, offset + F.col(name).bitwiseAND((1 << 33) - 1))
+
+
 #: Bits of a Bloom filter, at most; so many are 8 MB.  A full filter holds nothing back, and joins behind it are exact.
 FILTER_BITS = 1 << 26
 

@@ -6,9 +6,10 @@ dealt among its shards in the same way, by their sizes; within a shard whole rou
 block and a seeded order picks the rest.  Shards hold about `shard_words` words, so a hot source
 has more of them and no group grows with it.
 
-The quotients aren't all listed.  With V votes, K blocks and n parties the last quotient that
-wins lies where V / quotient is within n / 2 of K, so a party's seats are known but for a window
-of about n v / V + 2 places: below it every place wins, and only the window is ranked.
+The quotients aren't all listed.  A level is searched for instead, above which about as many
+quotients lie as there are blocks: how many those are is a sum over the parties, from partial
+aggregates.  Only the few quotients between the last two levels are ranked.  Neither sources nor
+the shards of a source ever meet in one task.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, stored
+from .common import WORD, durable, numbered, stored
 
 WEIGHTS, SHARE, LIMIT = (3, 1, 2), 1.5, 2
 BLOCK, SHARD_WORDS, SEED = 64, 1 << 18, "mix"
@@ -26,45 +27,80 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0))
 
 
-def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
-    """Add number, weight and target to sources (source, source_size).
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> tuple[DataFrame, float]:
+    """sources (source, source_size) with number, weight and target; and the sum of the targets.
 
-    Numbers and weights follow the code points of the names, null last.  Targets share
-    `share` times all words by weight; those above `limit` times their size stop there and the
-    excess is shared again, which is the level at which min(limit, level x weight) adds up.
-    The windows have no partition: there is one row for each source.
+    Numbers and weights follow the code points of the names, null last.  Targets share `share`
+    times all words by weight; those above `limit` times their size stop there and the excess is
+    shared again until none is above.
     """
-    every = Window.partitionBy()
-    sources = sources.withColumn("number", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))))
+    sources = numbered(sources, [F.asc_nulls_last("source")], "number").withColumn("number", (F.col("number") + 1).cast("int"))
     sources = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("number") - 1) % len(weights) + 1).cast("double"))
-    sources = sources.withColumn("cap", F.col("source_size") * limit)
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "number")
-    left = F.sum("source_size").over(every) * share - (F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap"))
-    level = left / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    sources = sources.withColumn("level", level)
-    level = F.max(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("level"))).over(every)
-    target = F.least(F.col("cap").cast("double"), F.coalesce(level * F.col("weight"), F.col("cap").cast("double")))
-    return sources.select("source", "source_size", "number", "weight", target.alias("target"))
-
-
-def apportion(parties: DataFrame, votes: str, seats: str, within: list[str], order: list[str]) -> DataFrame:
+    sources = durable(sources.withColumn("cap", F.col("source_size") * limit))
+    total, weight = sources.agg(F.sum("source_size"), F.sum("weight")).first()
+    whole = float(total or 0) * share
+    level, capped = (whole / weight if weight else None), 0
+    while level is not None:
+        full = F.col("cap") <= F.lit(level) * F.col("weight")
+        n, caps, rest = sources.agg(F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == capped:
+            break
+        capped, level = n, (whole - float(caps)) / rest if rest else None
+    cap = F.col("cap").cast("double")
+    target = cap if level is None else F.least(cap, F.lit(level) * F.col("weight"))
+    return sources.select("source", "source_size", "number", "weight", target.alias("target")), float(total or 0) * limit if level is None else whole
+
+
+def _places(votes: Column, level: Column) -> Column:
+    """How many quotients votes / (2 q + 1) reach a level, exactly as they compare in double precision."""
+    n = F.floor((votes / level + 1) / 2)
+    more = F.when(votes / (2 * n + 1) >= level, 1).otherwise(0)
+    less = F.when((n > 0) & (votes / (2 * n - 1) < level), 1).otherwise(0)
+    return F.when(votes > 0, n + more - less).otherwise(0).cast("long")
+
+
+def apportion(parties: DataFrame, votes: str, seats: str, within: list[str], order: list[str], ranked: int = 4096, cuts: int = 24) -> DataFrame:
     """Add won (long): each party's part of the whole number `seats`, the same for all of a group.
 
-    A tie of quotients goes to the first by `order`.  Parties without votes win nothing.
+    A tie of quotients goes to the first by `order`.  Parties without votes win nothing.  With V
+    votes, K seats and n parties the last quotient that wins lies between V / (2 K + n) and
+    V / (2 K - n); levels between, `cuts` at a time, narrow that until at most `ranked` quotients
+    of a group are left, or such as are equal; they are ranked.
     """
-    group = Window.partitionBy(*within)
-    voted = parties.withColumn("_v", F.col(votes).cast("double"))
-    voted = voted.withColumn("_all", F.sum("_v").over(group)).withColumn("_half", F.sum(F.when(F.col("_v") > 0, 1).otherwise(0)).over(group) / 2)
-    part = F.when(F.col("_all") > 0, F.col("_v") / F.col("_all")).otherwise(0.0)
-    low = F.greatest(F.lit(0), F.ceil(part * (F.col(seats) - F.col("_half")) - 0.5) - 1)
-    high = F.floor(part * (F.col(seats) + F.col("_half")) + 0.5) + 1
-    voted = voted.withColumn("_low", F.when(F.col("_v") > 0, low).otherwise(0).cast("long")).withColumn("_high", F.when(F.col("_v") > 0, high).otherwise(-1).cast("long"))
-    voted = voted.withColumn("_open", F.col(seats) - F.sum("_low").over(group))
+    voted = durable(parties.withColumn("_v", F.col(votes).cast("double")))
+
+    def met(levels: DataFrame) -> DataFrame:
+        """Parties with the levels of their group, one row for each."""
+        return voted.join(levels, within) if within else voted.crossJoin(F.broadcast(levels))
+
+    some = voted.where("_v > 0").groupBy(*within).agg(F.sum("_v").alias("_all"), F.count("*").alias("_n"), F.max("_v").alias("_top"), F.max(seats).alias("_k"))
+    spare = 2 * F.col("_k") - F.col("_n")
+    top = F.col("_top") * (1 + 1e-9)
+    high = F.when(spare > 0, F.least(top, F.col("_all") / spare * (1 + 1e-9))).otherwise(top)
+    levels = some.select(*within, "_k", (F.col("_all") / (2 * F.col("_k") + F.col("_n")) * (1 - 1e-9)).alias("_lo"), high.alias("_hi"))
+    place = lambda level: F.sum(_places(F.col("_v"), level))
+    levels = durable(met(levels).groupBy(*within, "_k", "_lo", "_hi").agg(place(F.col("_lo")).alias("_at_lo"), place(F.col("_hi")).alias("_at_hi")))
+    for _ in range(40):
+        wide = (F.col("_at_lo") - F.col("_at_hi") > ranked) & (F.col("_lo") * (1 + 1e-15) < F.col("_hi"))
+        if levels.where(wide).isEmpty():
+            break
+        cut = lambda j: F.col("_lo") * F.pow(F.col("_hi") / F.col("_lo"), F.lit(j / (cuts + 1)))
+        counted = met(levels).groupBy(*within, "_k", "_lo", "_hi", "_at_lo", "_at_hi").agg(*(place(cut(j)).alias(f"_s{j}") for j in range(1, cuts + 1)))
+        points = F.array(*(F.struct(cut(j).alias("l"), F.col(f"_s{j}").alias("s")) for j in range(1, cuts + 1)))
+        ends = F.struct(F.col("_lo").alias("l"), F.col("_at_lo").alias("s")), F.struct(F.col("_hi").alias("l"), F.col("_at_hi").alias("s"))
+        below = F.array_max(F.concat(F.array(ends[0]), F.filter(points, lambda p: p["s"] >= F.col("_k"))))
+        above = F.array_min(F.concat(F.array(ends[1]), F.filter(points, lambda p: p["s"] <= F.col("_k"))))
+        levels = counted.select(*within, "_k", below.alias("_b"), above.alias("_a"))
+        levels = durable(levels.select(*within, "_k", F.col("_b.l").alias("_lo"), F.col("_a.l").alias("_hi"), F.col("_b.s").alias("_at_lo"), F.col("_a.s").alias("_at_hi")))
     key = [*within, *order]
-    places = voted.where("_high >= _low").select(*key, "_v", "_open", F.explode(F.sequence("_low", "_high")).alias("_q"))
+    # One level that has just the seats is both ends; then nothing is open.
+    held = met(levels).withColumn("_low", _places(F.col("_v"), F.col("_hi"))).withColumn("_high", F.greatest(F.col("_low"), _places(F.col("_v"), F.col("_lo")))).withColumn("_open", F.col("_k") - F.col("_at_hi"))
+    places = held.where("_high > _low").select(*key, "_v", "_open", F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_q"))
     rank = F.row_number().over(Window.partitionBy(*within).orderBy(F.desc(F.col("_v") / (2 * F.col("_q") + 1)), *order))
-    won = places.withColumn("_rank", rank).where("_rank <= _open").groupBy(*key).agg(F.count("*").alias("_more"))
-    return voted.join(won, key, "left").withColumn("won", F.col("_low") + F.coalesce("_more", F.lit(0))).select(*parties.columns, "won")
+    more = places.withColumn("_rank", rank).where("_rank <= _open").groupBy(*key).agg(F.count("*").alias("_more"))
+    low = held.select(*key, "_low")
+    won = voted.join(low, key, "left").join(more, key, "left")
+    return won.select(*parties.columns, (F.coalesce("_low", F.lit(0)) + F.coalesce("_more", F.lit(0))).cast("long").alias("won"))
 
 
 def _pieces(docs: DataFrame, key: Column, block: int, shard_words: int, seed: str) -> DataFrame:
@@ -76,8 +112,8 @@ def _pieces(docs: DataFrame, key: Column, block: int, shard_words: int, seed: st
     """
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text").cast("string")).alias("size"), key.alias("key"))
     sizes = durable(sizes.withColumn("row", F.monotonically_increasing_id()))
-    sources = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
-    sources = sources.withColumn("blocks", F.floor(F.sum("target").over(Window.partitionBy()) / block + 0.5).cast("long"))
+    sources, whole = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    sources = sources.withColumn("blocks", F.lit(int(whole / block + 0.5)).cast("long"))
     sources = apportion(sources, "target", "blocks", [], ["number"]).withColumnRenamed("won", "quota")
     sources = durable(sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).drop("blocks", "weight"))
     mixed = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_size", "s.target", "s.number", "s.shards")

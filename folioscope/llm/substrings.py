@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import bit_filter, durable, filter_bits, in_filter, parallelism, small_batches, stored
+from .common import bit_filter, durable, filter_bits, in_filter, numbered, parallelism, small_batches, stored
 
 WINDOW, PHRASE = 20, 8
 #: Bits of a position that count words within a text, of which no string has more; the rest number the texts.
@@ -283,23 +283,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["no", "n_removed", "kept"])
 
 
-def _numbered(classes: DataFrame) -> DataFrame:
-    """Dense numbers, in the order of doc_id (null last) and digest."""
-    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest")]
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = durable(classes.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id()))
-    part = F.shiftright("m", 33)
-    counts = dict(rows.groupBy(part.cast("int").alias("p")).count().collect())  # a row for each partition
-    offsets, total = [0], 0
-    for p in range(max(counts, default=-1) + 1):
-        total += counts.get(p, 0)
-        offsets.append(total)
-    if total > 1 << (63 - START_BITS):
-        raise ValueError(f"{total} distinct texts; positions number {1 << (63 - START_BITS)} at most")
-    offset = F.element_at(F.array(*(F.lit(x).cast("long") for x in offsets)), part.cast("int") + 1)
-    return rows.withColumn("no", offset + F.col("m").bitwiseAND((1 << 33) - 1)).drop("m")
-
-
 def shard_of(no: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(no), F.lit(shards))
 
@@ -402,7 +385,9 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shift = 64 - min(62, max(32, int(size).bit_length() + 6))
     keyed, survey, classes = _surveyed(rows, window, shift)
-    classes = durable(_numbered(classes).select("tag", "no", F.col("doc_id").alias("first")))
+    # In the order of doc_id (null last) and digest.
+    numbers = numbered(classes, [F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest")], "no", 1 << (63 - START_BITS))
+    classes = durable(numbers.select("tag", "no", F.col("doc_id").alias("first")))
     texts = _recurring_texts(keyed, survey, classes)
     held = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(2 * parallelism(spark), -(-held // TEXT_BYTES))

@@ -272,6 +272,22 @@ def test_apportion_is_sainte_lague(spark):
             assert [r["won"] for r in mixing.apportion(d, "v", "s", [], ["i"]).orderBy("i").collect()] == won
 
 
+def test_level_search(spark):
+    """Many parties in groups, with ties, and so few ranked quotients that levels must be searched for."""
+    rng, rows, want = random.Random(4), [], {}
+    for g, n, seats in ((0, 300, 5000), (1, 200, 37), (2, 40, 0), (3, 50, 50), (4, 30, 1000)):
+        votes = [1000 if g == 4 else rng.choice([0, 5, rng.randint(1, 10**5)]) for _ in range(n)]
+        won = [0] * n
+        for _ in range(seats):
+            k = max((i for i in range(n) if votes[i]), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))
+            won[k] += 1
+        rows += [(g, i, v, seats) for i, v in enumerate(votes)]
+        want |= {(g, i): w for i, w in enumerate(won)}
+    d = spark.createDataFrame(rows, "g int, i int, v long, s long")
+    for ranked in (1, 4096):
+        assert {(r["g"], r["i"]): r["won"] for r in mixing.apportion(d, "v", "s", ["g"], ["i"], ranked, 6).collect()} == want
+
+
 @pytest.mark.parametrize("shard_words", [300, 1 << 22])
 def test_mix_bounds(spark, shard_words):
     rng = random.Random(2)
