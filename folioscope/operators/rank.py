@@ -21,12 +21,6 @@ def quantile_bins(df: DataFrame, value: str, q: int, out: str, within: Sequence[
     return joined.withColumn(out, F.when(F.col(value).isNotNull(), bins)).drop("_edges")
 
 
-def average_rank(value: Column, within: Sequence[Column | str] = ()) -> Column:
-    """Rank from 1 with ties at their mean."""
-    order = Window.partitionBy(*within).orderBy(value)
-    return F.rank().over(order) + (F.count(value).over(Window.partitionBy(*within, value)) - 1) / 2
-
-
 def by_value(df: DataFrame, value: str, within: Sequence[str], descending: bool = False) -> DataFrame:
     """within, value, n (rows with it), before (rows ahead of them), total (rows) and, for sums, sum_before and sum_all.
 
@@ -52,13 +46,18 @@ def positions(df: DataFrame, value: str, tie: Sequence[Column], within: Sequence
     return d.withColumn("_rn", F.col("before") + F.col("_place")).drop("_v", "before", *(f"_w_{c}" for c in within))
 
 
-def percentile_ranks(df: DataFrame, value: str, out: str, within: Sequence[str] = ()) -> DataFrame:
-    """Add out: the average rank of the value, ties at their mean, as a part of all rows of the group."""
-    by = by_value(df, value, within).select(*(F.col(c).alias(f"_w_{c}") for c in within), F.col(value).alias("_v"), ((F.col("before") + (F.col("n") + 1) / 2) / F.col("total")).alias(out))
+def average_ranks(df: DataFrame, value: str, out: str, within: Sequence[str] = ()) -> DataFrame:
+    """Add out: the rank of the value from 1, ties at their mean; and total, the rows of the group."""
+    by = by_value(df, value, within).select(*(F.col(c).alias(f"_w_{c}") for c in within), F.col(value).alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias(out), "total")
     same = F.col(value).eqNullSafe(F.col("_v"))
     for c in within:
         same &= F.col(c).eqNullSafe(F.col(f"_w_{c}"))
-    return df.join(by, same).select(*df.columns, out)
+    return df.join(by, same).select(*df.columns, out, "total")
+
+
+def percentile_ranks(df: DataFrame, value: str, out: str, within: Sequence[str] = ()) -> DataFrame:
+    """Add out: the average rank of the value as a part of all rows of the group."""
+    return average_ranks(df, value, out, within).withColumn(out, F.col(out) / F.col("total")).drop("total")
 
 
 def position_bins(df: DataFrame, value: str, tie: Sequence[Column], q: int, out: str, within: Sequence[str] = ()) -> DataFrame:

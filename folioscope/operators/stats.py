@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rank import average_rank
 
 
 def normal_tail(z: float) -> float:
@@ -187,7 +186,3 @@ def bootstrap(df: DataFrame, columns: Sequence[str], statistic: Callable[[pd.Dat
 
     values = spark.range(rounds).mapInPandas(run, "value double").where(~F.isnan("value"))
     return values.agg(F.avg("value").alias("mean"), F.expr("percentile(value, 0.025)").alias("low"), F.expr("percentile(value, 0.975)").alias("high"))
-
-
-def average_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
-    return df.withColumn(out, average_rank(F.col(column)))

@@ -102,6 +102,7 @@ def kmeans(df: DataFrame, vector: str, k: int = 5, most: int = 9, seed: int = 42
     data = with_features(df, vector).cache()
     n = data.count()
     if n < 3:
+        data.unpersist()
         return df.withColumn("cluster", F.lit(0)), 1, None
     judge = ClusteringEvaluator(featuresCol="_features", predictionCol="cluster", metricName="silhouette", distanceMeasure="cosine")
 
@@ -110,6 +111,7 @@ def kmeans(df: DataFrame, vector: str, k: int = 5, most: int = 9, seed: int = 42
         return judge.evaluate(found), k, found
 
     score, k, found = max((run(c) for c in ([min(k, most, n - 1)] if k else range(2, min(most, n - 1) + 1))), key=lambda r: r[0])
+    data.unpersist()  # the result reads its source anew
     return found.drop("_features"), k, score
 
 

@@ -228,7 +228,7 @@ def loo_stability(t: Tables) -> DataFrame:
     base = V.axis(poles(t))
     d = V.project(t.embeddings.select("vec_id", "embedding"), "embedding", base, "primary")
     each = d.crossJoin(F.broadcast(variants)).withColumn("score", V.dot(F.col("embedding"), F.col("axis"))).select("left_out", "primary", "score")
-    ranks = each.select("left_out", R.average_rank(F.col("primary"), ["left_out"]).alias("a"), R.average_rank(F.col("score"), ["left_out"]).alias("b"))
+    ranks = R.average_ranks(R.average_ranks(each, "primary", "a", ["left_out"]).drop("total"), "score", "b", ["left_out"])
     rho = ranks.groupBy("left_out").agg(F.corr("a", "b").alias("rho"))
     return rho.select("left_out", r6("rho").alias("rho"), V.stability_band(F.col("rho")).alias("band"))
 

@@ -189,5 +189,4 @@ def label_title_case(t: Tables) -> DataFrame:
 def keyword_communities(t: Tables) -> DataFrame:
     from ..operators.graph import communities
 
-    edges = B.pairs(t.keywords(), F.col("kws"), 4)
-    return communities(edges.orderBy(F.desc("weight"), "source", "target").limit(200))
+    return communities(B.pairs(t.keywords(), F.col("kws"), 4))

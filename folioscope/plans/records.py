@@ -47,12 +47,12 @@ def manual_vs_corpus_dedup(t: Tables) -> DataFrame:
     return D.in_pool(new, pool, "doi", "k").select("id", "in_pool")
 
 
-@query("""WITH p AS (SELECT c_custkey AS k, CASE WHEN c_acctbal > 0 THEN CAST(floor(c_acctbal) AS BIGINT) ELSE 0 END AS cit, c_mktsegment AS seg FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH p AS (SELECT c_custkey AS k, CASE WHEN c_acctbal > 0 THEN CAST(floor(c_acctbal) AS BIGINT) ELSE 0 END AS cit, c_mktsegment AS seg FROM customer)
     SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 AND coalesce(cit, 0) > 0 THEN cit WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey % 3 END AS cit,
-           CASE WHEN o_orderkey % 5 = 0 THEN coalesce(seg, '') ELSE o_orderstatus END AS seg FROM orders LEFT JOIN p ON o_custkey = k""")
+           CASE WHEN o_orderkey % 5 = 0 THEN coalesce(seg, '') ELSE o_orderstatus END AS seg FROM orders LEFT JOIN p ON o_orderkey = k""")
 def lookup_patch(t: Tables) -> DataFrame:
-    table = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal")).otherwise(0).alias("cit"), F.col("c_mktsegment").alias("seg"))
-    d = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("k"), F.when(F.col("o_orderkey") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("o_orderkey") % 3).alias("cit"), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.col("o_orderstatus")).alias("seg"))
+    table = t.customer.select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal")).otherwise(0).alias("cit"), F.col("c_mktsegment").alias("seg"))
+    d = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("o_orderkey") % 3).alias("cit"), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.col("o_orderstatus")).alias("seg"))
     return D.patch(d, table, "k", ["cit"], ["seg"]).select("id", "cit", "seg")
 
 
@@ -94,12 +94,14 @@ def title_key_lookup(t: Tables) -> DataFrame:
     return d.join(d.groupBy("k").agg(F.min("id").alias("pmid")), "k", "left").select("id", "pmid")
 
 
-@query("""SELECT doc_id, CASE WHEN source = 'src0' AND n_chars >= 150 THEN '' WHEN regexp_matches(text, '(?i)(^| )(that|les)( |$)') AND lang <> 'en' THEN 'offtopic_title' WHEN n_chars < 150 THEN 'no_abstract' WHEN lang <> 'en' THEN 'weak_domain_alignment' ELSE '' END AS reason
-    FROM documents WHERE n_chars BETWEEN 10 AND 5000""")
+@query("""SELECT doc_id, CASE WHEN source = 'src0' AND n_chars >= 150 THEN '' WHEN regexp_matches(text, '(?i)(^| )(that|les)( |$)') AND lang <> 'en' THEN 'offtopic_title' WHEN n_chars < 150 THEN 'no_abstract' WHEN lang <> 'en' THEN 'weak_domain_alignment' WHEN n_chars NOT BETWEEN 10 AND 5000 THEN 'out_of_range' ELSE '' END AS reason
+    FROM documents""")
 def exclusion_cascade(t: Tables) -> DataFrame:
     off = T.any_match(F.col("text"), r"(?i)(^| )(that|les)( |$)") & (F.col("lang") != "en")
-    d = t.documents.where(F.col("n_chars").between(10, 5000))
-    return d.select("doc_id", rules.exclusion_reason(F.col("source") == "src0", F.col("n_chars") >= 150, off, F.col("lang") == "en").alias("reason"))
+    manual = F.col("source") == "src0"
+    reason = rules.exclusion_reason(manual, F.col("n_chars") >= 150, off, F.col("lang") == "en")
+    outside = (reason == "") & ~manual & ~F.col("n_chars").between(10, 5000)
+    return t.documents.select("doc_id", F.when(outside, "out_of_range").otherwise(reason).alias("reason"))
 
 
 @query("""SELECT event_id, coalesce(TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE), 0) AS number, CAST(coalesce(floor(TRY_CAST(substr(props, 6, 3) AS DOUBLE)), 0) AS BIGINT) AS lenient,

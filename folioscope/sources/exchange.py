@@ -49,9 +49,11 @@ def summary(tables: dict[str, DataFrame], most: int = 1000) -> DataFrame:
 
 
 def markdown(df: DataFrame, *order: str, most: int = 200) -> DataFrame:
-    """One row, the table as Markdown text, its first `most` rows in order."""
+    """One row, the table as Markdown text, its first `most` rows in order; a last line counts the others."""
     cell = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, df.columns)), F.lit(" |"))
     top = df.orderBy(*order).limit(most).select(F.struct(*order).alias("o"), line.alias("l"))
     head = f"| {' | '.join(df.columns)} |\n|{'-|' * len(df.columns)}\n"
-    return top.agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "l"))), lambda x: x["l"]), "\n")).alias("text"))
+    n = df.agg(F.count("*").alias("n"))
+    rest = F.when(F.col("n") > most, F.concat(F.lit("\n\n… and "), F.col("n") - most, F.lit(" more rows"))).otherwise("")
+    return top.agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "l"))), lambda x: x["l"]), "\n")).alias("text")).crossJoin(F.broadcast(n)).select(F.concat("text", rest).alias("text"))

@@ -5,6 +5,8 @@ Each function takes a batch or a streaming DataFrame.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +35,28 @@ def first_seen(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     return timed(events, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
-def append_new(stream: DataFrame, path: str, key: str, checkpoint: str):
-    """A query that appends to the Parquet table at `path` the rows whose key it lacks, batch by batch; a key that has failed once stays known."""
+def append_new(stream: DataFrame, path: str, key: str, checkpoint: str, buckets: int = 256):
+    """A query that appends to the Parquet table at `path` the rows whose key it lacks, batch by batch; a key that has failed once stays known.
+
+    Keys are kept apart, in `path` with `.keys` appended, by bucket of their hash: a batch reads
+    those of its own keys' buckets only.  A batch that is tried again writes over what it wrote
+    before, so nothing is doubled; the table's column `batch` tells where a row came from.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:8]
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+    def write(rows: DataFrame, number: int) -> None:
+        spark, mark = rows.sparkSession, f"{run}-{number}"
+        bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+        fresh = rows.dropDuplicates([key])
+        met = [r[0] for r in fresh.select(bucket).distinct().collect()]  # `buckets` at most
         try:
-            known = spark.read.parquet(path).select(key).distinct()
+            known = spark.read.parquet(f"{path}.keys").where(F.col("_bucket").isin(met) & (F.col("batch") != mark)).select(key).distinct()
+            fresh = fresh.join(known, key, "left_anti")
         except Exception as e:  # the table begins with the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            known = None
-        fresh = batch.dropDuplicates([key])
-        (fresh.join(known, key, "left_anti") if known is not None else fresh).write.mode("append").parquet(path)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={mark}")
+        done = spark.read.parquet(f"{path}/batch={mark}").select(key, bucket.alias("_bucket"))
+        done.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}.keys/batch={mark}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

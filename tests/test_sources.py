@@ -256,6 +256,12 @@ def test_stream(spark, sf_dir, tmp_path):
         q = events.append_new(stream().dropDuplicates(["event_type"]), f"{tmp_path}/out", "event_type", f"{tmp_path}/c{_}")
         q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == source.limit(300).select("event_type").distinct().count()
+    table = spark.read.parquet(f"{tmp_path}/out")
+    assert table.select("batch").distinct().count() == 1  # the second run found every key known
+    source.limit(400).exceptAll(source.limit(300)).withColumn("event_type", F.lit("new kind")).select(*source.columns).write.mode("append").parquet(f"{tmp_path}/in")
+    events.append_new(stream().dropDuplicates(["event_type"]), f"{tmp_path}/out", "event_type", f"{tmp_path}/c0").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == table.count() + 1
+    source.limit(300).write.mode("overwrite").parquet(f"{tmp_path}/in")
     q = events.tumbling(stream(), "1 hour").writeStream.format("memory").queryName("tumbling").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("tumbling").agg(F.sum("n")).first()[0] == 300
@@ -348,6 +354,7 @@ def test_exchange(spark, tmp_path):
     with pytest.raises(ValueError, match="2 rows but 3 vectors"):
         exchange.numbered(d.where("n < 2"), v, "n")
     assert exchange.markdown(d, "n").first()["text"] == "| n | s |\n|-|-|\n| 0 | a |\n| 1 | b\\|c |\n| 2 |  |"
+    assert exchange.markdown(d, "n", most=2).first()["text"].endswith("| 1 | b\\|c |\n\n… and 1 more rows")
     assert json.loads(exchange.summary({"t": d.orderBy("n").limit(1)}).first()["t"]) == [{"n": 0, "s": "a"}]
     exchange.to_csv(joined, f"{tmp_path}/csv", "n")
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 3
