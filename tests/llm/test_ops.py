@@ -4,6 +4,7 @@ import dataclasses
 import gzip
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
@@ -15,6 +16,7 @@ from folioscope.llm import bpe, hnsw, langid, licenses, mixing, near_texts, quer
 from folioscope.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+DOCS_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LONG = "word " * 30_000
 
 #: Nulls in every column, an empty text, white space, repeated rows and ids, and a very long text.
@@ -308,6 +310,64 @@ def test_mix_bounds(spark, shard_words):
     assert sum(len(r["text"].split()) for r in texts.collect()) == got.agg(F.sum("taken")).first()[0]
 
 
+def highest_quotients(votes, seats):
+    won = [0] * len(votes)
+    for _ in range(seats if any(votes) else 0):
+        k = max((i for i, v in enumerate(votes) if v), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))
+        won[k] += 1
+    return won
+
+
+def brute_mix(rows, block=64, shard_words=1 << 18):
+    """The texts of the mix of (doc_id, text, source), from its definition."""
+    md5 = lambda *parts: hashlib.md5(":".join(str(p) for p in parts if p is not None).encode()).hexdigest()
+    words = [re.findall(r"[^\x20\x09-\x0D]+", text or "") for _, text, _ in rows]
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(len(w) for w, r in zip(words, rows, strict=True) if r[2] == s) for s in sources]
+    weights, targets, free = [(3, 1, 2)[k % 3] for k in range(len(sources))], [0.0] * len(sources), set(range(len(sources)))
+    left = 1.5 * sum(sizes)
+    while free:
+        level = left / sum(weights[k] for k in free)
+        full = {k for k in free if 2 * sizes[k] <= level * weights[k]}
+        if not full:
+            for k in free:
+                targets[k] = level * weights[k]
+            break
+        for k in full:
+            targets[k] = 2.0 * sizes[k]
+        left -= sum(targets[k] for k in full)
+        free -= full
+    quotas, out = highest_quotients(targets, int(sum(targets) / block + 0.5)), []
+    for number, (source, size, quota) in enumerate(zip(sources, sizes, quotas, strict=True), 1):
+        n_shards = max(1, -(-size // shard_words))
+        placed = sorted((md5("mix", doc), doc is not None, doc or 0, len(w), md5(text or ""), k) for k, ((doc, text, s), w) in enumerate(zip(rows, words, strict=True)) if s == source)
+        shards = [[p for p in placed if int(p[0][:7], 16) % n_shards == x] for x in range(n_shards)]
+        shard_sizes = [sum(p[3] for p in shard) for shard in shards]
+        for x, (shard, length, won) in enumerate(zip(shards, shard_sizes, highest_quotients(shard_sizes, quota), strict=True)):
+            blocks = -(-length // block)
+            if not blocks:
+                continue
+            won = min(won, 2 * blocks)
+            drawn = set(sorted(range(blocks), key=lambda b: (md5("mix", number, x, b), b))[: won % blocks])
+            start = 0
+            for *_, n, _, k in shard:
+                for turn in (1, 2):
+                    kept = [w for i, w in enumerate(words[k]) if won // blocks + ((start + i) // block in drawn) >= turn]
+                    if kept:
+                        out.append(rows[k][1] if len(kept) == n else " ".join(kept))
+                start += n
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block", "shard_words"), [(64, 1 << 18), (8, 300)])
+def test_mixed_texts_equal_brute_force(spark, block, shard_words):
+    rng = random.Random(7)
+    rows = [(i if i % 9 else None, " ".join(f"w{rng.randint(0, 50)}" for _ in range(rng.choice([0, 1, 7, 40, 200]))), rng.choice([None, "a", "a", "a", "b", "é"])) for i in range(120)]
+    rows += rows[:6] + [(500, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r["text"] for r in mixing.mix_texts(docs, block, shard_words).collect()) == brute_mix(rows, block, shard_words)
+
+
 def test_mix_awkward(awkward, empty):
     rows = mixing.mix(awkward).collect()
     assert len(rows) == len(AWKWARD)
@@ -462,12 +522,12 @@ def test_forest_on_findings_by_hand(spark, forest):
 
 
 def brute_candidates(text):
-    """Every span that a rule matches, tried from each place of the text."""
+    """Every span that a rule matches, and the first such rule by name."""
     spans = {}
-    for order, (name, needles, pattern) in enumerate(secrets.RULES):
+    for name, _, pattern in sorted(secrets.RULES, key=lambda r: r[0]):
         at = 0
         while m := pattern.search(text, at):
-            spans.setdefault((m.start(m.lastindex), m.end(m.lastindex)), (order, name))
+            spans.setdefault((m.start(m.lastindex), m.end(m.lastindex)), name)
             at = max(m.end(), m.start() + 1)
     return spans
 
@@ -911,6 +971,52 @@ def test_queries_and_pipeline(spark, sf_dir):
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
 
 
+def test_pipeline_equals_brute_force(spark, vocabulary, tmp_path):
+    """Every stage anew: probabilities by subword, all pairs of texts, all matches of all rules, the mix from its definition, another encoder."""
+    tiktoken = pytest.importorskip("tiktoken")
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars < 4000 and doc_id < 250")
+    words = docs.where("n_chars > 800").orderBy("doc_id").first()
+    key = "AKIA" + "Q7ZK2M9XW4TB8RNV"
+    text = words["text"].split()
+    extra = [(9001, " ".join(text[:50] + ["changed"] + text[51:]), words["lang"], "src1", 1), (9002, f"{' '.join(text[20:90])} token = {key} {' '.join(text[:15])}", words["lang"], "src2", 1), (9003, "zqxj wvkk " * 60, "en", "src1", 1), (9004, None, None, None, None)]
+    docs = docs.select(*DOCS_COLUMNS).union(spark.createDataFrame(extra, DOCS))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    model = langid.train(docs)
+
+    def kept_language(text):
+        if not text or not re.search(r"[^\W\d_]", text):
+            return False
+        n = len(text.split())
+        return brute_scores(model, text).max() >= model.thresholds[(n >= 8) + (n >= 40)]
+
+    rows = [r for r in rows if kept_language(r[1])]
+    assert {9001, 9002} <= {r[0] for r in rows} and not {9003, 9004} & {r[0] for r in rows}
+    rows.sort(key=lambda r: r[0])
+    rows = [rows[k] for k in sorted(set(brute_groups([r[1] for r in rows])))]
+    assert 9001 not in {r[0] for r in rows}
+    second = spark.createDataFrame(rows, DOCS)
+    forest, clean = secrets.trained_on(second), []
+    for doc, text, _, source, _ in rows:
+        parts, last, done = [], 0, 0
+        for a, b in sorted(brute_candidates(text), key=lambda s: (s[0], -s[1])):
+            if b <= done:
+                continue
+            near = " ".join(text[:a].split()[-secrets.NEAR :]), " ".join(text[b:].split()[: secrets.NEAR])
+            if forest.scores(np.array([secrets.features(text[a:b], source or "", *near, forest.dictionary)]))[0] >= forest.threshold:
+                parts += [text[last:a], f"[REDACTED:{brute_candidates(text)[a, b]}]"] if a >= last else []
+                last = done = b
+        clean.append((doc, "".join([*parts, text[last:]]) if parts else text, source))
+    assert not any(key in text for _, text, _ in clean) and any("[REDACTED:" in text for _, text, _ in clean)
+    codec = bpe.Codec.from_bytes(bpe.read_vocabulary(vocabulary[0]), vocabulary[1])
+    other = tiktoken.Encoding("other", pat_str=vocabulary[1], mergeable_ranks=codec.ranks, special_tokens={})
+    want = sorted((len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for text in brute_mix(clean) for ids in [other.encode_ordinary(text)])
+    got = sorted((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want
+
+
 def test_pipeline_on_awkward_rows(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     spark.createDataFrame(AWKWARD, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
