@@ -30,9 +30,27 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Paths given out in this process, for clear().
+_given: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path for a written table below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _given.append(f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that operators of this process have written to the shared folder; how many there were.
+
+    Results are read from them, so this is for after the results are used or written elsewhere.
+    """
+    sc, n = spark.sparkContext, 0
+    for path in _given:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        n += bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True))
+    _given.clear()
+    return n
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stored
 
 #: name, substrings of the lower-case text of which one must be there, pattern; its last group is the candidate.
 RULES = [
@@ -95,9 +95,20 @@ class Dictionary:
 
 
 def corpus_words(docs: DataFrame, most: int = DICTIONARY_WORDS) -> list[str]:
-    """The commonest words (runs of letters, lower case) of all whole texts; the driver gets `most` of them."""
+    """The commonest words (runs of letters, lower case) of all whole texts; the driver gets `most` of them.
+
+    Words are counted by the size of their count first, in sixteenths of a power of two, so that
+    only those that may be among the commonest are sent to be ordered, however many tasks there are.
+    """
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(rf"\p{{L}}{{{WORD_LETTERS},}}"), F.lit(0))).alias("word"))
-    return [r["word"] for r in words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = stored(words.groupBy("word").agg(F.count("*").alias("n")), "words")
+    size = F.floor(F.log2("n") * 16).cast("int")
+    level, held = 0, 0
+    for r in counts.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():  # some hundred rows
+        level, held = r["size"], held + r["count"]
+        if held >= most:
+            break
+    return [r["word"] for r in counts.where(size >= level).orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def neighbours(text: str, start: int, end: int) -> tuple[str, str]:

@@ -6,13 +6,14 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, hnsw, langid, licenses, mixing, near_texts, queries, secrets, simhash, substrings, tiff, warc
+from folioscope.llm import bpe, common, hnsw, langid, licenses, mixing, near_texts, queries, secrets, simhash, substrings, tiff, warc
 from folioscope.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -521,6 +522,14 @@ def test_forest_on_findings_by_hand(spark, forest):
     assert len(wrong) <= 1, [BY_HAND[k] for k in wrong]
 
 
+def test_commonest_words_of_all_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counts = Counter(w for r in docs.collect() for w in re.findall(r"[^\W\d_]{4,}", r["text"].lower()))
+    brute = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+    assert secrets.corpus_words(docs.repartition(9), 500) == brute[:500]
+    assert secrets.corpus_words(docs) == brute[:20_000]
+
+
 def brute_candidates(text):
     """Every span that a rule matches, and the first such rule by name."""
     spans = {}
@@ -954,6 +963,17 @@ def test_substrings_awkward(awkward, empty):
     assert substrings.dedup(empty).count() == 0
 
 
+# shared tables
+
+
+def test_clear_deletes_what_operators_wrote(spark, tmp_path):
+    common.clear(spark)
+    d = common.stored(spark.range(5), "a")
+    assert d.count() == 5 and common.clear(spark) == 1 and common.clear(spark) == 0
+    path = common._given[0] if common._given else common.shared_dir(spark, "b")
+    assert common.clear(spark) == 0 and path not in common._given
+
+
 # all together
 
 
