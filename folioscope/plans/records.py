@@ -263,6 +263,19 @@ def corpus_fingerprint_unordered(t: Tables) -> DataFrame:
     return t.documents.agg(F.bit_xor(digest).alias("fingerprint"), F.count("*").alias("n"))
 
 
+@query("""WITH l AS (SELECT doc_id, doc_id || chr(9) || source || chr(9) || sha256(text) AS line FROM documents), a AS (SELECT doc_id // 1000 AS b, sha256(string_agg(line, chr(10) ORDER BY doc_id, line)) AS h, count(*) AS n FROM l GROUP BY 1),
+    c AS (SELECT b // 1000 AS b, sha256(string_agg(h, chr(10) ORDER BY b)) AS h, sum(n) AS n FROM a GROUP BY 1), d AS (SELECT b // 1000 AS b, sha256(string_agg(h, chr(10) ORDER BY b)) AS h, sum(n) AS n FROM c GROUP BY 1)
+    SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM d""")
+def corpus_fingerprint_ranges(t: Tables) -> DataFrame:
+    """The ordered form for large corpora: ranges of a thousand ids are digested, then ranges of a thousand digests, and so on; no row gathers more."""
+    d = t.documents.select(F.col("doc_id").alias("b"), F.concat_ws("\t", "doc_id", "source", F.sha2("text", 256)).alias("h"), F.lit(1).cast("long").alias("n"))
+    for _ in range(3):
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])
+        d = d.groupBy(F.floor(F.col("b") / 1000).alias("c")).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("h"), F.sum("n").alias("n")).withColumnRenamed("c", "b")
+    last = F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])
+    return d.agg(F.sha2(F.array_join(last, "\n"), 256).alias("fingerprint"), F.sum("n").alias("n"))
+
+
 @query("SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def json_extract(t: Tables) -> DataFrame:
     return t.events.select("event_id", "event_type", F.from_json("props", "k int")["k"].alias("k"))
@@ -321,3 +334,25 @@ def event_tumbling_counts(t: Tables) -> DataFrame:
     from ..streaming.events import tumbling
 
     return tumbling(t.events, "1 hour").select("hour", "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("""WITH w AS (SELECT event_type, date_trunc('hour', ts) AS s FROM events UNION ALL SELECT event_type, date_trunc('hour', ts) - INTERVAL 1 HOUR FROM events) SELECT s AS start, s + INTERVAL 2 HOUR AS "end", event_type, count(*) AS n FROM w GROUP BY 1, 2, 3""")
+def event_sliding_counts(t: Tables) -> DataFrame:
+    from ..streaming.events import sliding
+
+    return sliding(t.events, "2 hours", "1 hour")
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(t: Tables) -> DataFrame:
+    from ..streaming.events import sessions
+
+    return sessions(t.events, "1 hour")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def event_first_seen(t: Tables) -> DataFrame:
+    from ..streaming.events import first_seen
+
+    return first_seen(t.events, "user_id").select("user_id")
