@@ -21,6 +21,7 @@ distinct word is scored once for the texts that hold it.
 from __future__ import annotations
 
 import dataclasses
+import pickle
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -301,16 +302,15 @@ def crc_mod(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def train(docs: DataFrame, rows: int = ROWS, sample: int = SAMPLE) -> Model:
-    """Fit on at most `rows` rows for each language, and at most `sample` in all but one for each.
-
-    Every language of the labelled rows is learnt.  Only rows with text and lang whose
-    crc32(doc_id) mod 4 is not 2 are used.  The rows are those of the smallest digests of doc_id
-    and text, equal rows once, so the bound holds for ids that repeat or are missing.  An
-    approximate count of each language's digests first gives a level of the digest below which
-    about twice `rows` lie; only such digests leave the executors, and so no task gathers a
-    language.  The texts stay there: passages of bounded length, drawn from anywhere in the whole
-    texts of the chosen rows, are sent.
+def sampled_passages(docs: DataFrame, rows: int = ROWS, sample: int = SAMPLE) -> DataFrame | None:
+    """h, lang and passage of at most `rows` rows for each language, and `sample` in all but one for each; None without a labelled row.
+
+    Only rows with text and lang whose crc32(doc_id) mod 4 is not 2 are used.  The rows are those
+    of the smallest digests of doc_id and text, equal rows once, so the bound holds for ids that
+    repeat or are missing.  An approximate count of each language's digests first gives a level of
+    the digest below which about twice `rows` lie; only such digests leave the executors, and so
+    no task gathers a language.  The texts stay there: passages of bounded length, drawn from
+    anywhere in the whole texts of the chosen rows, are all that is sent.
     """
     spark = docs.sparkSession
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
@@ -318,7 +318,7 @@ def train(docs: DataFrame, rows: int = ROWS, sample: int = SAMPLE) -> Model:
     labelled = labelled.select("text", "lang", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text").alias("h"))
     counts = dict(labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect())  # a row for each language
     if not counts:
-        return fit([], [], np.zeros(0, dtype=bool))
+        return None
     rows = max(1, min(rows, sample // len(counts)))
     whole = 1 << 64
     levels = [(lang, min(whole, whole * (2 * rows + 64) // max(1, n)) - (1 << 63) - 1) for lang, n in counts.items()]
@@ -337,10 +337,25 @@ def train(docs: DataFrame, rows: int = ROWS, sample: int = SAMPLE) -> Model:
                 out += [(h, lang, s) for s in snippets(text, np.random.default_rng(h & 0x7FFFFFFF))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.string(), pa.string()), strict=True)], ["h", "lang", "passage"])
 
-    passages = labelled.join(F.broadcast(wanted), ["lang", "h"]).select("h", "text", "lang").mapInArrow(cut, "h long, lang string, passage string").distinct()
-    found = sorted((r["h"], r["lang"], r["passage"]) for r in passages.collect())  # 11 passages for each row at most
-    held = np.array([(h & 0xFFFF) % 5 == 0 for h, _, _ in found], dtype=bool)
-    return fit([p for _, _, p in found], [lang for _, lang, _ in found], held)
+    return labelled.join(F.broadcast(wanted), ["lang", "h"]).select("h", "text", "lang").mapInArrow(cut, "h long, lang string, passage string").distinct()
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    model = fit([p for _, _, p in found], [lang for _, lang, _ in found], np.array([(h & 0xFFFF) % 5 == 0 for h, _, _ in found], dtype=bool))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+
+def train(docs: DataFrame, rows: int = ROWS, sample: int = SAMPLE) -> Model:
+    """Fit on the passages of at most `rows` rows for each language, and at most `sample` in all but one for each.
+
+    Every language of the labelled rows is learnt.  A task fits the model, 11 passages for each
+    row at most, and the driver only passes it on.
+    """
+    passages = sampled_passages(docs, rows, sample)
+    if passages is None:
+        return fit([], [], np.zeros(0, dtype=bool))
+    return pickle.loads(passages.coalesce(1).mapInArrow(_fitted, "model binary").first()["model"])
 
 
 def predicted(docs: DataFrame, model: Model, text: Column) -> Column:

@@ -421,16 +421,12 @@ def test_sample_is_bounded(spark):
     rows = [(None if i % 2 else 7, f"w{i} common words of one language {i * i}", "hot", "s", 1) for i in range(3000)]
     rows += [(None, f"word{k} other{k} rare{k}", f"l{k:03}", "s", 1) for k in range(300)] * 3
     docs = spark.createDataFrame(rows, DOCS)
-    got: list[int] = []
-    fit = langid.fit
-    try:
-        langid.fit = lambda texts, labels, held, **_: got.append((len(texts), len(set(labels)))) or fit(texts[:50], labels[:50], held[:50])
-        langid.train(docs, rows=10)
-        langid.train(docs, sample=301)
-    finally:
-        langid.fit = fit
-    assert got[0][1] == got[1][1] == 301
-    assert got[0][0] <= 11 * (10 + 300) and got[1][0] <= 11 * 301
+    for rows, sample, most in ((10, 40_000, 10), (400, 301, 1)):
+        got = langid.sampled_passages(docs, rows, sample).groupBy("lang").agg(F.count_distinct("h").alias("rows"), F.count("*").alias("passages")).collect()
+        assert len(got) == 301
+        assert all(r["rows"] <= most and r["passages"] <= 11 * r["rows"] for r in got)
+        assert next(r["rows"] for r in got if r["lang"] == "hot") == most
+    assert len(langid.train(docs, sample=301).languages) == 301
 
 
 def test_unlearnt_languages_are_rejected(spark):
