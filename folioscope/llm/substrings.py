@@ -36,7 +36,7 @@ WINDOW, PHRASE = 20, 8
 #: Bits of a position that count words within a text, of which no string has more; the rest number the texts.
 START_BITS = 30
 #: Bytes of texts in a shard, and of passages in an automaton.
-TEXT_BYTES, SHARD_BYTES = 2 << 20, 4 << 20
+TEXT_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 #: Passages and shards that may meet by one seed, the fewer of them; windows of a passage at most.
 HEAVY, LONGEST = 64, 1 << 15
 EMPTY = hashlib.sha256(b"").hexdigest()
