@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 LETTER = regex.compile(r"\p{L}")
 ORDERS = (1, 2, 3, 4)
@@ -189,7 +189,7 @@ def scrambled(text: str, rng: np.random.Generator) -> str:
 class Bags:
     """The distinct buckets of each of many passages and how often it has them, in three flat arrays."""
 
-    def __init__(self, texts: list[str], buckets: int, part: int = 256) -> None:
+    def __init__(self, texts: list[str], buckets: int, part: int = 64) -> None:
         ids, counts, sizes = [], [], []
         for start in range(0, len(texts), part):
             words = [t.lower().split() for t in texts[start : start + part]]
@@ -210,7 +210,7 @@ class Bags:
 
 def _descend(bags: Bags, y: np.ndarray, rows: np.ndarray, classes: int, buckets: int, size: int, epochs: int, rate: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Scores (buckets x classes) and biases after gradient descent over the rows."""
-    embeddings, weights, bias = rng.uniform(-1 / size, 1 / size, (buckets, size)).astype(np.float32), np.zeros((classes, size), np.float32), np.zeros(classes, np.float32)
+    embeddings, weights, bias = (rng.random((buckets, size), dtype=np.float32) - np.float32(0.5)) * np.float32(2 / size), np.zeros((classes, size), np.float32), np.zeros(classes, np.float32)
     steps, done = max(1, epochs * len(rows)), 0
     for _ in range(epochs):
         for k in rng.permutation(rows):
@@ -343,7 +343,10 @@ def sampled_passages(docs: DataFrame, rows: int = ROWS, sample: int = SAMPLE) ->
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
     model = fit([p for _, _, p in found], [lang for _, lang, _ in found], np.array([(h & 0xFFFF) % 5 == 0 for h, _, _ in found], dtype=bool))
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+    out = pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+    del found, model
+    give_back()
+    yield out
 
 
 def train(docs: DataFrame, rows: int = ROWS, sample: int = SAMPLE) -> Model:
