@@ -81,8 +81,7 @@ def small_batches(spark: SparkSession, size: int = 8 << 20, rows: int = 2_000) -
 
 def numbered(df: DataFrame, order: list[Column], name: str, most: int = 1 << 62) -> DataFrame:
     """Add a column of dense numbers from 0 in the order given: ranges are sorted apart, and their sizes come to the driver."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = durable(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
+    rows = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
     part = F.shiftright(name, 33)
     counts = dict(rows.groupBy(part.cast("int").alias("p")).count().collect())  # a row for each partition
     offsets, total = [0], 0
