@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hnsw, langid, licenses, mixing, secrets, simhash, substrings, tiff, warc
+from . import ball_kmeans, bpe, changepoints, hnsw, langid, licenses, mixing, quality, secrets, simhash, substrings, tiff, warc
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -51,6 +51,18 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_hnsw_neighbours, op2_warc_salvage, op3_secret_scans, op4_tiff_media, op5_simhash_near_dedup, op6_language_id, op7_sainte_lague_mixing, op8_substring_dedup, op9_license_scans, op10_byte_level_bpe)}
+def op11_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changepoints.vendor_segments(table(spark, sf_dir, "sale_lines"))
 
-ORACLE_SQL = {"op2_warc_salvage": warc.SQL, "op8_substring_dedup": substrings.SQL, "op7_sainte_lague_mixing": mixing.SQL, "op9_license_scans": licenses.sql()}
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hnsw_neighbours, op2_warc_salvage, op3_secret_scans, op4_tiff_media, op5_simhash_near_dedup, op6_language_id, op7_sainte_lague_mixing, op8_substring_dedup, op9_license_scans, op10_byte_level_bpe, op11_change_points, op12_ball_kmeans, op13_quality_rules)}
+
+ORACLE_SQL = {"op2_warc_salvage": warc.SQL, "op8_substring_dedup": substrings.SQL, "op7_sainte_lague_mixing": mixing.SQL, "op9_license_scans": licenses.sql(), "op11_change_points": changepoints.SQL, "op12_ball_kmeans": ball_kmeans.sql(), "op13_quality_rules": quality.sql()}
