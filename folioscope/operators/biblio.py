@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ranges import by_value
 
 
 def yearly_production(papers: DataFrame) -> DataFrame:
@@ -87,8 +88,7 @@ def zipf(frequency: DataFrame, least: int = 5, step: int = 10_000) -> DataFrame:
     Terms of one frequency have ranks that follow each other, so only the distinct frequencies are
     ordered, and ranks are counted out from them, `step` at a time.
     """
-    by = frequency.groupBy("freq").agg(F.count("*").alias("n"))
-    ordered = by.withColumn("_last", F.sum("n").over(Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_first", F.col("_last") - F.col("n") + 1)
+    ordered = by_value(frequency.select("freq"), "freq", descending=True).select("freq", "n", (F.col("before") + F.col("n")).alias("_last"), (F.col("before") + 1).alias("_first"))
     core = ordered.where("freq >= 2").select("freq", "_last", F.explode(F.sequence("_first", "_last", F.lit(step).cast("long"))).alias("_a"))
     ranks = core.select("freq", F.explode(F.sequence("_a", F.least("_last", F.col("_a") + (step - 1)))).alias("rank"))
     x, y = F.ln("rank"), F.ln("freq")

@@ -7,37 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import alike, by_value, grouped_quantiles, quantiles
+
 
 def quantile_bins(df: DataFrame, value: str, q: int, out: str, within: Sequence[str] = ()) -> DataFrame:
     """Add out: 1 to q by interpolated quantile edges, right-closed with the least included; null where the value is.
 
-    Edges that coincide leave bins empty rather than failing.
+    Edges that coincide leave bins empty rather than failing.  Over all rows the edges are numbers,
+    found by counts at once; within groups they are joined.
     """
-    edges = df.groupBy(*within).agg(F.expr(f"percentile({value}, array({', '.join(str(k / q) + 'D' for k in range(1, q))}))").alias("_edges"))
-    joined = df.join(edges, list(within), "left") if within else df.crossJoin(F.broadcast(edges))
+    names = {f"_e{k}": k / q for k in range(1, q)}
+    if within:
+        edges = grouped_quantiles(df, value, names, within).select(*(F.col(c).alias(f"_w_{c}") for c in within), *names)
+        joined = df.join(edges, alike(within, [f"_w_{c}" for c in within]), "left")
+        edge = F.col
+    else:
+        found = dict(zip(names, quantiles(df, value, list(names.values())), strict=True))
+        joined, edge = df, lambda name: F.lit(found[name])
     bins = F.lit(q)
     for k in range(q - 1, 0, -1):
-        bins = F.when(F.col(value) <= F.element_at("_edges", k), k).otherwise(bins)
-    return joined.withColumn(out, F.when(F.col(value).isNotNull(), bins)).drop("_edges")
-
-
-def by_value(df: DataFrame, value: str, within: Sequence[str], descending: bool = False) -> DataFrame:
-    """within, value, n (rows with it), before (rows ahead of them), total (rows) and, for sums, sum_before and sum_all.
-
-    Rows are counted by distinct value before anything is ordered, so windows over few groups hold
-    a row for each value, not the rows.
-    """
-    counts = df.groupBy(*within, value).agg(F.count("*").alias("n"), F.sum(value).alias("_s"))
-    part = Window.partitionBy(*within)
-    order = part.orderBy(F.desc_nulls_last(value) if descending else F.asc_nulls_first(value)).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("total", F.sum("n").over(part))
-    some = F.coalesce("_s", F.lit(0))
-    return counts.withColumn("sum_before", F.sum(some).over(order) - some).withColumn("sum_all", F.sum(some).over(part)).drop("_s")
+        bins = F.when(F.col(value) <= edge(f"_e{k}"), k).otherwise(bins)
+    return joined.withColumn(out, F.when(F.col(value).isNotNull(), bins)).drop(*names, *(f"_w_{c}" for c in within))
 
 
 def positions(df: DataFrame, value: str, tie: Sequence[Column], within: Sequence[str] = ()) -> DataFrame:
-    """Add _rn, the place from 1 in rising order of value and then of tie, and total, sum_before and sum_all as by_value has them."""
-    by = by_value(df, value, within).select(*(F.col(c).alias(f"_w_{c}") for c in within), F.col(value).alias("_v"), "before", "total", "sum_before", "sum_all")
+    """Add _rn, the place from 1 in rising order of value and then of tie, _constant (one value has all rows of the group), and total, sum_before and sum_all as by_value has them."""
+    by = by_value(df, value, within).select(*(F.col(c).alias(f"_w_{c}") for c in within), F.col(value).alias("_v"), "before", (F.col("n") == F.col("total")).alias("_constant"), "total", "sum_before", "sum_all")
     same = F.col(value).eqNullSafe(F.col("_v"))
     for c in within:
         same &= F.col(c).eqNullSafe(F.col(f"_w_{c}"))
@@ -61,9 +56,9 @@ def percentile_ranks(df: DataFrame, value: str, out: str, within: Sequence[str]
 
 
 def position_bins(df: DataFrame, value: str, tie: Sequence[Column], q: int, out: str, within: Sequence[str] = ()) -> DataFrame:
-    """Add out: 1 to q of equal sizes by position in rising order of value and then of tie."""
+    """Add out: 1 to q of equal sizes by position in rising order of value and then of tie; all 1 where the group has one value."""
     d = positions(df, value, tie, within)
-    return d.withColumn(out, F.when(F.col("total") == 1, 1).otherwise(F.greatest(F.lit(1), F.ceil((F.col("_rn") - 1) * q / (F.col("total") - 1)).cast("int")))).select(*df.columns, out)
+    return d.withColumn(out, F.when(F.col("_constant"), 1).otherwise(F.greatest(F.lit(1), F.ceil((F.col("_rn") - 1) * q / (F.col("total") - 1)).cast("int")))).select(*df.columns, out)
 
 
 def rescaled(df: DataFrame, value: str, out: str, within: Sequence[str], low: float = 1.0, high: float = 5.0) -> DataFrame:
@@ -109,18 +104,6 @@ def lorenz(df: DataFrame, value: str, order: Sequence[Column], within: Sequence[
     return d.withColumn("x", x).withColumn("y", y).select(*df.columns, "x", "y")
 
 
-def zscore(value: Column, within: Sequence[str] = ()) -> Column:
-    part = Window.partitionBy(*within)
-    return (value - F.avg(value).over(part)) / F.stddev_pop(value).over(part)
-
-
-def rescale(value: Column, low: float = 1.0, high: float = 5.0, within: Sequence[str] = ()) -> Column:
-    """From low to high by the extremes; the middle where all are equal."""
-    part = Window.partitionBy(*within)
-    least, most = F.min(value).over(part), F.max(value).over(part)
-    return F.when(most == least, F.lit((low + high) / 2)).otherwise(low + (high - low) * (value - least) / (most - least))
-
-
 def keep_ranked(df: DataFrame, score: str, order: Sequence[Column], threshold: float, floor: int, cap: int) -> DataFrame:
     """Add rank and keep: scores over the threshold, but at least `floor` rows and at most `cap`.
 

@@ -13,14 +13,13 @@ def draw_order(key: str, seed: str) -> Column:
 
 
 def hamilton(strata: DataFrame, weight: str, n: int, *order: str) -> DataFrame:
-    """Add quota: largest remainders of n by weight, ties by order; zero where nothing weighs."""
+    """Add quota: largest remainders of n by weight, ties by order; equal parts where nothing weighs, the first ones larger by one."""
     every = Window.partitionBy()
-    total = F.sum(weight).over(every)
-    exact = F.when(total > 0, F.lit(float(n)) * F.col(weight) / total).otherwise(0.0)
-    d = strata.withColumn("_q", exact).withColumn("_f", F.floor("_q"))
-    left = F.when(total > 0, F.lit(n)).otherwise(0) - F.sum("_f").over(every)
-    rank = F.row_number().over(Window.orderBy(F.desc(F.col("_q") - F.col("_f")), *order))
-    return d.withColumn("quota", (F.col("_f") + F.when(rank <= left, 1).otherwise(0)).cast("long")).drop("_q", "_f")
+    total, groups = F.sum(weight).over(every), F.count("*").over(every)
+    exact = F.when(total > 0, F.lit(float(n)) * F.col(weight) / total).otherwise(F.lit(float(n)) / groups)
+    d = strata.withColumn("_q", exact).withColumn("_f", F.floor("_q")).withColumn("_r", F.when(total > 0, F.col("_q") - F.col("_f")).otherwise(0.0))
+    rank = F.row_number().over(Window.orderBy(F.desc("_r"), *order))
+    return d.withColumn("quota", (F.col("_f") + F.when(rank <= F.lit(n) - F.sum("_f").over(every), 1).otherwise(0)).cast("long")).drop("_q", "_f", "_r")
 
 
 def stratified(df: DataFrame, strata: Sequence[str], key: str, n: int, seed: str = "42") -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import by_value
 
 
 def normal_tail(z: float) -> float:
@@ -55,19 +56,11 @@ def pearson(df: DataFrame, x: str, y: str) -> tuple[float, float, int]:
 
 
 def ranked(df: DataFrame, *columns: str) -> DataFrame:
-    """Rows that have all the columns, with those as average ranks.
-
-    Ranks come from counts of distinct values, so the one ordered window has a row for each
-    distinct value rather than for each row.
-    """
-    from pyspark.sql import Window
-
-    df = df.dropna(subset=list(columns))
+    """Rows that have all the columns, with those as average ranks, which come from distinct values by ranges."""
+    df = rows = df.dropna(subset=list(columns))
     for c in columns:
-        counts = df.groupBy(c).agg(F.count("*").alias("_m"))
-        upto = F.sum("_m").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        ranks = counts.select(F.col(c), (upto - (F.col("_m") - 1) / 2).alias("_r"))
-        df = df.join(ranks, c).drop(c).withColumnRenamed("_r", c)
+        ranks = by_value(rows.select(c), c).select(F.col(c).alias("_v"), (F.col("before") + (F.col("n") + 1) / 2).alias("_r"))
+        df = df.join(ranks, F.col(c) == F.col("_v")).drop(c, "_v").withColumnRenamed("_r", c)
     return df
 
 

@@ -227,8 +227,9 @@ def loo_stability(t: Tables) -> DataFrame:
     variants = V.leave_one_out(poles(t)).withColumn("center", F.lit(0.0))
     base = V.axis(poles(t))
     d = V.project(t.embeddings.select("vec_id", "embedding"), "embedding", base, "primary")
-    each = d.crossJoin(F.broadcast(variants)).withColumn("score", V.dot(F.col("embedding"), F.col("axis"))).select("left_out", "primary", "score")
-    ranks = R.average_ranks(R.average_ranks(each, "primary", "a", ["left_out"]).drop("total"), "score", "b", ["left_out"])
+    whole = R.average_ranks(d.select("vec_id", "primary"), "primary", "a").select("vec_id", "a")  # the same whichever is left out
+    each = d.crossJoin(F.broadcast(variants)).select("left_out", "vec_id", V.dot(F.col("embedding"), F.col("axis")).alias("score"))
+    ranks = R.average_ranks(each, "score", "b", ["left_out"]).join(whole, "vec_id")
     rho = ranks.groupBy("left_out").agg(F.corr("a", "b").alias("rho"))
     return rho.select("left_out", r6("rho").alias("rho"), V.stability_band(F.col("rho")).alias("band"))
 

@@ -200,15 +200,16 @@ def quartiles_qcut(t: Tables) -> DataFrame:
 
 @query(f"WITH {PAPERS}, {EDGES} SELECT q, count(*) AS n, median(year) AS median_year, round(avg(cit), 6) AS mean_cit FROM q GROUP BY 1")
 def quartile_citation_table(t: Tables) -> DataFrame:
-    return R.quantile_bins(t.papers(), "cit", 4, "q").groupBy("q").agg(F.count("*").alias("n"), F.median("year").alias("median_year"), r6(F.avg("cit")).alias("mean_cit"))
+    d = R.quantile_bins(t.papers(), "cit", 4, "q")
+    return d.groupBy("q").agg(F.count("*").alias("n"), r6(F.avg("cit")).alias("mean_cit")).join(R.grouped_quantiles(d, "year", {"median_year": 0.5}, ["q"]), "q")
 
 
 @query(f"""WITH {PAPERS}, {EDGES} SELECT q, count(*) AS n, min(cit) AS low, quantile_cont(cit, 0.25) AS q1, quantile_cont(cit, 0.5) AS med, quantile_cont(cit, 0.75) AS q3, max(cit) AS high,
     quantile_cont(cit, 0.75) + 1.5 * (quantile_cont(cit, 0.75) - quantile_cont(cit, 0.25)) AS fence FROM q GROUP BY 1""")
 def box_summaries(t: Tables) -> DataFrame:
-    d = R.quantile_bins(t.papers(), "cit", 4, "q").groupBy("q").agg(F.count("*").alias("n"), F.min("cit").alias("low"), F.expr("percentile(cit, array(0.25D, 0.5D, 0.75D))").alias("p"), F.max("cit").alias("high"))
-    p = F.col("p")
-    return d.select("q", "n", "low", p[0].alias("q1"), p[1].alias("med"), p[2].alias("q3"), "high", (p[2] + 1.5 * (p[2] - p[0])).alias("fence"))
+    d = R.quantile_bins(t.papers(), "cit", 4, "q")
+    box = R.grouped_quantiles(d, "cit", {"q1": 0.25, "med": 0.5, "q3": 0.75}, ["q"]).withColumn("fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
+    return d.groupBy("q").agg(F.count("*").alias("n"), F.min("cit").alias("low"), F.max("cit").alias("high")).join(box, "q")
 
 
 @query(f"""WITH {PAPERS}, r AS (SELECT id, year, row_number() OVER (PARTITION BY year ORDER BY cit, id) AS rn, count(*) OVER (PARTITION BY year) AS n FROM papers)
@@ -232,10 +233,13 @@ def bands_and_zones(t: Tables) -> DataFrame:
 @query(f"""WITH {PAPERS}, d AS (SELECT {BAND_SQL} AS band, cit, id FROM papers), e AS (SELECT quantile_cont(cit, 0.25) AS a, quantile_cont(cit, 0.75) AS b FROM papers)
     SELECT band, count(*) AS n, round(avg(cit) FILTER (cit >= b), 6) AS mean_q4, round(avg(cit) FILTER (cit <= a), 6) AS mean_q1, median(cit) AS median_cit, CAST(grouping(band) AS BIGINT) AS overall FROM d, e GROUP BY GROUPING SETS ((band), ())""")
 def band_diagnostics(t: Tables) -> DataFrame:
-    p = t.papers().select(R.bands(F.col("year"), BANDS).alias("band"), "cit")
-    e = p.agg(F.percentile("cit", 0.25).alias("a"), F.percentile("cit", 0.75).alias("b"))
-    d = p.crossJoin(F.broadcast(e))
-    return d.groupingSets([[F.col("band")], []], F.col("band")).agg(F.count("*").alias("n"), r6(F.avg(F.when(F.col("cit") >= F.col("b"), F.col("cit")))).alias("mean_q4"), r6(F.avg(F.when(F.col("cit") <= F.col("a"), F.col("cit")))).alias("mean_q1"), F.median("cit").alias("median_cit"), F.grouping("band").cast("long").alias("overall"))
+    d = t.papers().select(R.bands(F.col("year"), BANDS).alias("band"), "cit")
+    low, high = R.quantiles(d, "cit", [0.25, 0.75])
+    sets = d.groupingSets([[F.col("band")], []], F.col("band")).agg(F.count("*").alias("n"), r6(F.avg(F.when(F.col("cit") >= high, F.col("cit")))).alias("mean_q4"), r6(F.avg(F.when(F.col("cit") <= low, F.col("cit")))).alias("mean_q1"), F.grouping("band").cast("long").alias("overall"))
+    each = R.grouped_quantiles(d, "cit", {"median_cit": 0.5}, ["band"]).withColumn("overall", F.lit(0).cast("long"))
+    medians = each.union(R.grouped_quantiles(d, "cit", {"median_cit": 0.5}, []).select(F.lit(None).cast("string"), "median_cit", F.lit(1).cast("long")))
+    medians = medians.select(F.col("band").alias("_b"), F.col("overall").alias("_o"), "median_cit")
+    return sets.join(medians, F.col("band").eqNullSafe(F.col("_b")) & (F.col("overall") == F.col("_o"))).drop("_b", "_o")
 
 
 @query(f"""WITH {PAPERS}, y AS (SELECT year, count(*) AS n, sum(cit) AS c, round(100.0 * count(*) FILTER (cit > 200) / count(*), 6) AS cited FROM papers GROUP BY 1),

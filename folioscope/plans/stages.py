@@ -192,8 +192,8 @@ def statistics(tables: Frames) -> Frames:
     """
     d = tables["axis_scores_enriched"]
     names = [c for c in d.columns if c.startswith("axis_")]
-    cuts = d.agg(*(F.expr(f"percentile({n}, array(0.25, 0.75))").alias(n) for n in names)).first()
-    if not names or cuts[names[0]] is None:
+    cuts = {n: R.quantiles(d, n, [0.25, 0.75]) for n in names}
+    if not names or cuts[names[0]][0] is None:
         raise ValueError("no axis scores to test")
     rows, quartiles = [], None
     for n in names:

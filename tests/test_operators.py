@@ -109,7 +109,7 @@ def test_quantile_bins_and_shares(spark):
     assert share([1.0, 1, 1, 1, 6], 0.1) == 60.0
     assert share([10.0, 5] + [0.0] * 22 + [5], 0.1) == 75.0  # 2.5 rounds to 2
     assert share([0.0, 0], 0.1) == 0.0
-    assert spark.createDataFrame([(2.0,), (2.0,)], "x double").select(rank.rescale(F.col("x")).alias("r")).first()["r"] == 3.0
+    assert rank.rescaled(spark.createDataFrame([(2.0,), (2.0,)], "x double"), "x", "r", []).first()["r"] == 3.0
 
 
 def test_statistics(spark):
