@@ -1,7 +1,8 @@
 """Readers for manually exported records: CSV, TSV, BibTeX, RIS, MEDLINE and PDF names.
 
-Files are read whole and cut into records by expressions, so parsing is distributed over files and
-stays in the JVM.  Each reader returns the columns of EXPORT.
+Files of tagged records are read by byte ranges that end where a record does, and cut into records by
+expressions, so parsing is distributed within files too and stays in the JVM.  Each reader returns
+the columns of EXPORT.
 """
 
 from __future__ import annotations
@@ -27,11 +28,61 @@ def _finish(df: DataFrame, source: str) -> DataFrame:
     return df.where(have("title") != "").select(*(out[c].alias(c) for c in EXPORT))
 
 
-def _texts(spark: SparkSession, path: str) -> DataFrame:
-    """source_file and text of each file, line ends as \\n, without a byte-order mark."""
+Paths = str | list[str]
+
+
+def _file(url: Column) -> Column:
+    return F.element_at(F.split(F.url_decode(F.regexp_replace(url, r"%(?![0-9A-Fa-f]{2})", "%25")), "/"), -1)
+
+
+def _unix(text: Column) -> Column:
+    """Line ends as \\n, without a byte-order mark."""
+    return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), r"\r\n?", "\n")
+
+
+def _texts(spark: SparkSession, path: Paths) -> DataFrame:
+    """source_file, block (0) and text of each file, as a whole."""
     d = spark.read.text(path, wholetext=True)
-    name = F.element_at(F.split(F.url_decode(F.regexp_replace(F.input_file_name(), r"%(?![0-9A-Fa-f]{2})", "%25")), "/"), -1)
-    return d.select(name.alias("source_file"), F.regexp_replace(F.regexp_replace("value", "^﻿", ""), r"\r\n?", "\n").alias("text"))
+    return d.select(_file(F.input_file_name()).alias("source_file"), F.lit(0).cast("long").alias("block"), _unix(F.col("value")).alias("text"))
+
+
+def _ranges(spark: SparkSession, path: Paths, end: str, again: str, begun: str) -> DataFrame:
+    """source_file, block and text of runs of whole records: files are cut at `end`, by as many tasks as their bytes make.
+
+    `block` is the byte at which the task's part of the file starts; within it rows are in order.
+    What `end` takes from the next run, `again`, is put back where a run doesn't begin like a file, with `begun`.
+    """
+    d = spark.read.option("lineSep", end).text(path).select(_file(F.input_file_name()).alias("source_file"), F.col("_metadata.file_block_start").alias("block"), _unix(F.col("value")).alias("text"))
+    return d.withColumn("text", F.when(F.col("text").rlike(begun), F.col("text")).otherwise(F.concat(F.lit(again), "text"))) if again else d
+
+
+def _apart(lines: DataFrame, odd: Column) -> tuple[list[str], list[str]]:
+    """Paths of the files of which `odd`, an aggregate, holds and of the others."""
+    some = {r[0] for r in lines.groupBy("file").agg(odd.alias("odd")).where("odd").select("file").collect()}  # names of files
+    plain = lambda urls: [unquote(u) for u in sorted(urls)]
+    return plain(some), plain(set(lines.inputFiles()) - some)
+
+
+def record_texts(spark: SparkSession, path: Paths, kind: str) -> DataFrame:
+    """source_file, block and text of files of tagged records, in parts that hold whole records.
+
+    RIS is cut before what ends a record, BibTeX before an @ that begins a line, MEDLINE before a
+    PMID that begins one.  Files in which such a place is no border (the @ begins no entry, no
+    blank line goes before the PMID) are read whole, as are compressed ones of any kind.  No cut
+    overlaps itself, so ranges that end within one agree on it.
+    """
+    lines = lambda end: spark.read.option("lineSep", end).text(path).select(F.input_file_name().alias("file"), "value", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("place"))
+    if kind == "ris":
+        return _ranges(spark, path, "\nER  -", "ER  -", r"^\s*[A-Z][A-Z0-9] +-")
+    if kind == "bibtex":
+        whole, cut = _apart(lines("\n"), F.bool_or(F.col("value").rlike("^@[^A-Za-z]")))
+        ranges = (cut, "\n@", "@", r"^\s*[^A-Za-z\s]")
+    else:
+        joined = ~F.col("value").rlike(r"\n[ \t\r]*$")  # no blank line goes before the next PMID, if there is one
+        whole, cut = _apart(lines("\nPMID-"), F.count_if(joined) > F.max_by(joined, "place").cast("int"))
+        ranges = (cut, "\nPMID-", "PMID-", r"^(?! *\d)")
+    parts = [_texts(spark, whole)] * bool(whole) + ([_ranges(spark, *ranges)] if cut else [])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _decoded(spark: SparkSession, path: str, encodings: Sequence[str]) -> list[tuple[str | list[str], str]]:
@@ -115,7 +166,8 @@ def ris_records(texts: DataFrame) -> DataFrame:
 
 def _medline(texts: DataFrame) -> DataFrame:
     whole = F.regexp_replace("text", r"\n {6,}(?=\S)", " ")
-    return texts.select("source_file", F.explode(F.split(whole, r"\n[ \t]*\n+")).alias("r"))
+    place = F.struct("source_file", F.col("block") if "block" in texts.columns else F.lit(0).alias("block"), F.monotonically_increasing_id().alias("row"))
+    return texts.select("source_file", place.alias("place"), F.posexplode(F.split(whole, r"\n[ \t]*\n+")).alias("part", "r"))
 
 
 def medline_records(texts: DataFrame) -> DataFrame:
@@ -128,9 +180,9 @@ def medline_records(texts: DataFrame) -> DataFrame:
 
 
 def medline_ids(texts: DataFrame) -> DataFrame:
-    """key (normalised title) and pmid, the last record's for each title."""
+    """key (normalised title) and pmid, that of the last record of the last file by name for each title."""
     r = F.col("r")
-    d = _medline(texts).select(T.plain_title(_joined(r, "TI")).alias("key"), _joined(r, "PMID").alias("pmid"), F.monotonically_increasing_id().alias("_n")).where("key <> '' and pmid <> ''")
+    d = _medline(texts).select(T.plain_title(_joined(r, "TI")).alias("key"), _joined(r, "PMID").alias("pmid"), F.struct("place", "part").alias("_n")).where("key <> '' and pmid <> ''")
     return d.groupBy("key").agg(F.max_by("pmid", "_n").alias("pmid"))
 
 
@@ -158,7 +210,29 @@ def detect(path: str, head: str) -> str | None:
     return None
 
 
-def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def heads(spark: SparkSession, path: Paths) -> DataFrame:
+    """file (its URL) and head of each file: its first line, and behind it the tag of a MEDLINE title if its first block has one."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.input_file_name().alias("file"), "value", F.monotonically_increasing_id().alias("n"), F.col("_metadata.file_block_start").alias("block")).where("block = 0")
+    first = lines.where(F.length(F.trim(F.regexp_replace("value", "^﻿", ""))) > 0).groupBy("file").agg(F.min_by("value", "n").alias("first"), F.max(F.col("value").startswith("TI  -")).alias("title"))
+    return first.select("file", F.concat("first", F.when(F.col("title"), "\nTI  -").otherwise("")).alias("head"))
+
+
+def read(spark: SparkSession, path: Paths, kind: str) -> DataFrame:
     if kind in ("bibtex", "ris", "medline"):
-        return {"bibtex": bibtex_records, "ris": ris_records, "medline": medline_records}[kind](_texts(spark, path))
+        return {"bibtex": bibtex_records, "ris": ris_records, "medline": medline_records}[kind](record_texts(spark, path, kind))
     return {"scopus": scopus_csv, "pubmed": pubmed_csv, "wos": wos_tsv, "pdf": pdf_names}[kind](spark, path)
+
+
+def read_all(spark: SparkSession, path: str) -> DataFrame:
+    """Records of all exports below a folder, each file by the reader that its name and head ask for; files that nothing reads are left out.
+
+    The driver sees names and first lines of files, never records.
+    """
+    plans: dict[str, list[str]] = {}
+    for url, head in heads(spark, path).collect():
+        if kind := detect(url, head):
+            plans.setdefault(kind, []).append(unquote(url))
+    pdfs = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(path).inputFiles()
+    plans.pop("pdf", None)
+    parts = [read(spark, sorted(files), kind) for kind, files in sorted(plans.items())] + ([pdf_names(spark, [unquote(u) for u in sorted(pdfs)])] if pdfs else [])
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], ", ".join(f"{c} {'int' if c == 'year' else 'string'}" for c in EXPORT))
