@@ -179,8 +179,9 @@ def test_offset_pages():
 
     for n, offsets in ((0, [0]), (99, [0]), (100, [0, 100]), (250, [0, 100, 200]), (900, [0, 100, 200, 300, 400])):
         asked = []
-        assert len(all_pages(paging.offset_pages(service(n, asked), "title", (2020, 2026)))) == min(n, 500)
+        assert len(all_pages(paging.offset_pages(service(n, asked), "title", (2020, 2026), most=500))) == min(n, 500)
         assert asked == offsets
+    assert len(all_pages(paging.offset_pages(service(900, []), "title", (2020, 2026)))) == 900
 
 
 def test_numbered_pages():
@@ -194,8 +195,9 @@ def test_numbered_pages():
 
     for n, pages in ((0, [1]), (1, [1]), (100, [1]), (101, [1, 2]), (140, [1, 2]), (900, [1, 2])):
         asked = []
-        assert len(all_pages(paging.numbered_pages(service(n, asked)))) == min(n, 150)
+        assert len(all_pages(paging.numbered_pages(service(n, asked), most=150))) == min(n, 150)
         assert asked == pages
+    assert len(all_pages(paging.numbered_pages(service(901, [])))) == 901
 
 
 def test_sized_pages():
@@ -214,7 +216,8 @@ def test_sized_pages():
     assert len(all_pages(paging.sized_pages(service(60, 25, asked), "eid"))) == 60
     assert asked == [(0, 200), (0, 25), (25, 25), (50, 25)]
     asked = []
-    assert len(all_pages(paging.sized_pages(service(900, 25, asked), "eid"))) == 150
+    assert len(all_pages(paging.sized_pages(service(900, 25, asked), "eid", most=150))) == 150
+    assert len(all_pages(paging.sized_pages(service(900, 25, []), "eid"))) == 900
     for status, error in ((400, paging.Refused), (401, paging.Refused), (403, paging.Refused), (429, paging.Refused), (503, paging.Busy)):
         with pytest.raises(error):
             paging.sized_pages(lambda p, s=status: (s, {}), "eid")("q", None)
