@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator, Mapping
+import time
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .paging import Busy, answer
+
 
 def cache_key(parameters: Mapping) -> str:
     return hashlib.sha256(json.dumps(parameters, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
@@ -48,11 +51,21 @@ def seed(spark: SparkSession, candidates: list[str], source: str) -> DataFrame |
     return spark.read.parquet(path).where(F.col("data_source") == source) if path else None
 
 
-def look_up(keys: DataFrame, key: str, known: DataFrame, fetch: Callable[[list[str]], Mapping[str, object]], batch: int = 50, tasks: int = 4) -> DataFrame:
+def patiently(fetch: Callable[[list[str]], Mapping[str, object]], keys: list[str], pauses: Sequence[float]) -> Mapping[str, object]:
+    for pause in pauses:
+        try:
+            return fetch(keys)
+        except Busy:
+            time.sleep(pause)
+    return fetch(keys)
+
+
+def look_up(keys: DataFrame, key: str, known: DataFrame, fetch: Callable[[list[str]], Mapping[str, object]], batch: int = 50, tasks: int = 4, pauses: Sequence[float] = (10, 20, 40, 60)) -> DataFrame:
     """known (key and what is known of it) with the rest of the keys fetched in batches by at most `tasks` tasks.
 
     `fetch` gives a value, or a tuple of them, for each key that it finds; others are remembered
-    with zeros and empty texts, so that no key is asked for twice.
+    with zeros and empty texts, so that no key is asked for twice.  A busy service is asked again
+    after each pause; any other failure is raised (keyed.remembered goes on without the keys at fault).
     """
     wanted = keys.select(F.col(key).cast("string").alias("key")).where("key <> ''").distinct().join(known, "key", "left_anti")
     fields = [f for f in known.schema if f.name != "key"]
@@ -62,7 +75,7 @@ def look_up(keys: DataFrame, key: str, known: DataFrame, fetch: Callable[[list[s
         for b in batches:
             for s in range(0, len(b), batch):
                 part = b["key"].iloc[s : s + batch].tolist()
-                found = fetch(part)
+                found = patiently(fetch, part, pauses)
                 rows = [found.get(k, empty) for k in part]
                 rows = [r if isinstance(r, tuple) else (r,) for r in rows]
                 yield pd.DataFrame({"key": part} | {f.name: [r[i] for r in rows] for i, f in enumerate(fields)})
@@ -76,8 +89,7 @@ def works_by_doi(get: Callable[[dict], tuple[int, Mapping]]) -> Callable[[list[s
 
     def fetch(dois: list[str]) -> Mapping[str, object]:
         status, payload = get({"filter": "doi:" + "|".join(dois), "select": "doi,cited_by_count,authorships", "per-page": min(len(dois), 200)})
-        if status >= 400:
-            raise RuntimeError(f"status {status} for a batch of {len(dois)} DOIs")
+        payload = answer(status, payload)
         out = {}
         for r in payload.get("results", []):
             doi = (r.get("doi") or "").strip().lower().removeprefix("https://doi.org/")
@@ -95,8 +107,7 @@ def citations_by_pmid(get: Callable[[dict], tuple[int, Mapping]]) -> Callable[[l
     def fetch(pmids: list[str]) -> Mapping[str, object]:
         query = "(" + " OR ".join(f"EXT_ID:{p}" for p in pmids) + ") AND SRC:MED"
         status, payload = get({"query": query, "format": "json", "resultType": "lite", "pageSize": len(pmids)})
-        if status >= 400:
-            raise RuntimeError(f"status {status} for a batch of {len(pmids)} ids")
+        payload = answer(status, payload)
         found = (payload.get("resultList") or {}).get("result", [])
         return {str(r.get("pmid", "")).strip(): int(r.get("citedByCount") or 0) for r in (found if isinstance(found, list) else [found]) if str(r.get("pmid", "")).strip()}
 

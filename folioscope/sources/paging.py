@@ -20,15 +20,15 @@ Cursor = str | int | tuple | None
 Fetch = Callable[[str, Cursor], tuple[list[Mapping], Cursor]]
 
 
-class Busy(Exception):
+class Busy(RuntimeError):
     """The service asks to come back later."""
 
 
-class Refused(Exception):
+class Refused(RuntimeError):
     """The service won't answer this request, however often it is asked."""
 
 
-def _answer(status: int, payload: Mapping) -> Mapping:
+def answer(status: int, payload: Mapping) -> Mapping:
     if status == 429 or status >= 500:
         raise Busy(f"status {status}")
     if status >= 400:
@@ -47,7 +47,7 @@ def cursor_pages(get: Get, fields: str, criteria: str = "", size: int = 200) ->
 
     def fetch(term: str, cursor: Cursor) -> tuple[list[Mapping], Cursor]:
         asked = {"filter": criteria, "select": fields, "cursor": cursor or "*", "per-page": size}
-        payload = _answer(*get(asked | ({"search": term} if term else {})))
+        payload = answer(*get(asked | ({"search": term} if term else {})))
         found = payload.get("results", [])
         return found, (payload.get("meta") or {}).get("next_cursor") if found else None
 
@@ -59,7 +59,7 @@ def offset_pages(get: Get, fields: str, years: tuple[int, int], kinds: str = "Jo
 
     def fetch(term: str, cursor: Cursor) -> tuple[list[Mapping], Cursor]:
         offset = cursor or 0
-        payload = _answer(*get({"query": term, "fields": fields, "limit": size, "offset": offset, "publicationTypes": kinds, "year": f"{years[0]}-{years[1]}"}))
+        payload = answer(*get({"query": term, "fields": fields, "limit": size, "offset": offset, "publicationTypes": kinds, "year": f"{years[0]}-{years[1]}"}))
         found = payload.get("data", [])
         after = offset + len(found)
         return found, after if len(found) >= size and (most is None or after < most) else None
@@ -72,7 +72,7 @@ def numbered_pages(get: Get, size: int = 100, most: int | None = None) -> Fetch:
 
     def fetch(term: str, cursor: Cursor) -> tuple[list[Mapping], Cursor]:
         page = cursor or 1
-        payload = _answer(*get({"query": term, "format": "json", "resultType": "core", "pageSize": size, "page": page}))
+        payload = answer(*get({"query": term, "format": "json", "resultType": "core", "pageSize": size, "page": page}))
         found = (payload.get("resultList") or {}).get("result", [])
         found = [found] if isinstance(found, dict) else list(found)
         hits = str(payload.get("hitCount", 0))
@@ -100,7 +100,7 @@ def sized_pages(get: Get, fields: str, sizes: tuple[int, int] = (200, 25), most:
             if status == 429:
                 raise Refused("the quota is used up")
             break
-        results = _answer(status, payload).get("search-results", {})
+        results = answer(status, payload).get("search-results", {})
         found, total = results.get("entry", []), str(results.get("opensearch:totalResults", "0"))
         if found and "error" in found[0]:
             raise Refused(str(found[0]["error"]))
