@@ -6,10 +6,11 @@ Functions that return a DataFrame stay lazy; those that return numbers run one a
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +96,39 @@ def ols(df: DataFrame, y: str, xs: Sequence[str]) -> dict[str, float]:
     return {"n": n, "intercept": float(mean[-1] - beta @ mean[:-1]), **dict(zip(xs, map(float, beta), strict=True)), "r2": r2}
 
 
+def ols_inference(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
+    """term (intercept first), coefficient, standard error, t and two-sided p of each, and r2, f2, n and degrees of freedom of the fit.
+
+    All come from one aggregate of centred sums: the inverse of the normal matrix has the variances.
+    Rows with a null take no part.  With too few rows for an error everything but n is NaN; a
+    predictor that others make up has no inverse and raises.
+    """
+    names = [*xs, y]
+    clean = df.select(*(F.col(c).cast("double").alias(c) for c in names)).dropna()
+    row = clean.agg(F.count("*"), *(F.avg(c) for c in names), *(F.covar_pop(a, b) for a in names for b in names)).first()
+    n, k = row[0], len(names)
+    free, nan = n - k, float("nan")
+    schema = "term string, coefficient double, se double, t double, p double, r2 double, f2 double, n long, df long"
+    terms = ["intercept", *xs]
+    if free < 1:
+        return df.sparkSession.createDataFrame([(t, nan, nan, nan, nan, nan, nan, n, free) for t in terms], schema)
+    mean, c = np.array(row[1 : 1 + k], dtype=float), np.array(row[1 + k :], dtype=float).reshape(k, k)
+    scale = np.sqrt(np.diag(c)[:-1])
+    within = c[:-1, :-1] / np.outer(scale, scale) if (scale > 0).all() else None
+    if within is None or np.linalg.cond(within) > 1e12:
+        raise ValueError("predictors that are constant or made up of others")
+    inverse = np.linalg.inv(within) / np.outer(scale, scale)
+    beta = inverse @ c[:-1, -1]
+    left = max(0.0, float(c[-1, -1] - beta @ c[:-1, -1]))
+    r2 = 1 - left / float(c[-1, -1]) if c[-1, -1] > 0 else 0.0
+    var = left * n / free
+    coefficients = [float(mean[-1] - beta @ mean[:-1]), *map(float, beta)]
+    errors = [math.sqrt(var * (1 + mean[:-1] @ inverse @ mean[:-1]) / n), *(math.sqrt(var * inverse[i, i] / n) for i in range(len(xs)))]
+    ts = [b / e if e > 0 else math.copysign(float("inf"), b) for b, e in zip(coefficients, errors, strict=True)]
+    rows = [(t, b, e, x, t_tail(x, free) if math.isfinite(x) else 0.0, r2, cohens_f2(r2), n, free) for t, b, e, x in zip(terms, coefficients, errors, ts, strict=True)]
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def cohens_f2(r2: float) -> float:
     return r2 / (1 - r2) if r2 < 1 else float("inf")
 
@@ -179,3 +213,44 @@ def bootstrap(df: DataFrame, columns: Sequence[str], statistic: Callable[[pd.Dat
 
     values = spark.range(rounds).mapInPandas(run, "value double").where(~F.isnan("value"))
     return values.agg(F.avg("value").alias("mean"), F.expr("percentile(value, 0.025)").alias("low"), F.expr("percentile(value, 0.975)").alias("high"))
+
+
+#: The distribution function of Poisson(1); what lies above its last step has a chance of 1e-17.
+POISSON_STEPS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
+def poisson_weights(tags: np.ndarray, rounds: int) -> np.ndarray:
+    """How often each row, by its 64-bit tag, is drawn in each round: Poisson(1) from a mix of tag and round."""
+    with np.errstate(over="ignore"):
+        x = tags.astype(np.uint64)[:, None] + np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(POISSON_STEPS, (x >> np.uint64(11)) * 2.0**-53, side="right").astype(np.float64)
+
+
+def poisson_bootstrap(df: DataFrame, key: Sequence[str], sums: dict[str, Column], statistic: Column, rounds: int = 500, seed: int = 42) -> DataFrame:
+    """mean, low and high (2.5 and 97.5 per cent) of a statistic of weighted sums over resamples of any number of rows, and rounds.
+
+    Each row is drawn Poisson(1) times in each round, by a hash of its key, so a resample needs no
+    row but its own and is the same however the rows are dealt.  `statistic` is an expression over
+    the names of `sums` and n, the weighted number of rows.  One pass: a task returns its sums for
+    each round.  Rows with a null among the sums take no part; rows of one key are drawn together;
+    without rows there is one row of nulls.
+    """
+    names = ["n", *sums]
+    rows = df.select(F.xxhash64(F.lit(seed), *(F.col(k) for k in key)).alias("_tag"), *(c.cast("double").alias(n) for n, c in sums.items())).dropna(subset=list(sums))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((rounds, len(names)))
+        for b in batches:
+            tags = b.column(0).to_numpy()
+            x = np.column_stack([np.ones(b.num_rows), *(b.column(i).to_numpy() for i in range(1, b.num_columns))])
+            for s in range(0, len(tags), 2048):
+                total += poisson_weights(tags[s : s + 2048], rounds).T @ x[s : s + 2048]
+        if total[:, 0].any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds, dtype=np.int32)), *(pa.array(total[:, i]) for i in range(len(names)))], names=["round", *names])
+
+    parts = rows.mapInArrow(run, ", ".join(["round int", *(f"{n} double" for n in names)]))
+    values = parts.groupBy("round").agg(*(F.sum(n).alias(n) for n in names)).select(statistic.alias("value")).where("value IS NOT NULL AND NOT isnan(value)")
+    return values.agg(F.avg("value").alias("mean"), F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"), F.count("*").alias("rounds"))

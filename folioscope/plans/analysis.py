@@ -47,9 +47,22 @@ def partial_corr(t: Tables) -> DataFrame:
     return c.select(r6(stats.partial_correlation(F.col("ab"), F.col("ac"), F.col("bc"))).alias("partial"))
 
 
-@query("SELECT round(corr(l_quantity, l_discount), 6) AS r, count(*) AS n FROM lineitem")
+def t_tail_sql(t: str, df: str) -> str:
+    """Two-sided p of Student's t, by Simpson's rule over the angle whose tangent is t / sqrt(df), up to where the density is nothing."""
+    low, high = f"atan(abs({t}) / sqrt({df}))", f"least(pi() / 2, atan(abs({t}) / sqrt({df})) + 45 / sqrt({df}))"
+    y = f"pow(cos({low} + ({high} - {low}) * i / 4000), {df} - 1)"
+    return f"(SELECT 2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) * ({high} - {low}) / 12000 * sum({y} * CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) FROM range(4001) s(i))"
+
+
+def normal_tail_sql(z: str) -> str:
+    """The upper tail of the normal distribution by Simpson's rule over 14 deviations from z."""
+    return f"(SELECT 14.0 / 12000 * sum(exp(-({z} + 14.0 * i / 4000) * ({z} + 14.0 * i / 4000) / 2) * CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) / sqrt(2 * pi()) FROM range(4001) s(i))"
+
+
+@query(f"WITH c AS (SELECT corr(l_quantity, l_discount) AS r, count(*) AS n FROM lineitem), t AS (SELECT *, CAST(n - 2 AS DOUBLE) AS df, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c) SELECT round(r, 6) AS r, n, round({t_tail_sql('t', 'df')}, 6) AS p FROM t")
 def pearson_p(t: Tables) -> DataFrame:
-    return t.lineitem.agg(r6(F.corr("l_quantity", "l_discount")).alias("r"), F.count("*").alias("n"))
+    r, p, n = stats.pearson(t.lineitem, "l_quantity", "l_discount")
+    return t.spark.createDataFrame([(r, n, p)], "r double, n long, p double").select(r6("r").alias("r"), "n", r6("p").alias("p"))
 
 
 @query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")
@@ -57,6 +70,18 @@ def ols_one(t: Tables) -> DataFrame:
     return t.lineitem.agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 4).alias("intercept"), r6(F.regr_r2("l_extendedprice", "l_quantity")).alias("r2"))
 
 
+NORMAL = "c AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(y) AS my, avg(a) AS m1, avg(b) AS m2, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(b, b) AS bb, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, var_pop(y) AS yy FROM x)"
+
+
+@query(f"""WITH x AS (SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS a, CAST(l_tax AS DOUBLE) AS b FROM lineitem), {NORMAL}, s AS (SELECT *, aa * bb - ab * ab AS det FROM c),
+    f AS (SELECT *, (ay * bb - by_ * ab) / det AS b1, (by_ * aa - ay * ab) / det AS b2, n - 3 AS df FROM s), g AS (SELECT *, (b1 * ay + b2 * by_) / yy AS r2, n * (yy - b1 * ay - b2 * by_) / df AS v FROM f),
+    e AS (SELECT 'intercept' AS term, my - b1 * m1 - b2 * m2 AS k, sqrt(v * (1 + (m1 * m1 * bb - 2 * m1 * m2 * ab + m2 * m2 * aa) / det) / n) AS se, * FROM g UNION ALL SELECT 'l_quantity', b1, sqrt(v * bb / det / n), * FROM g UNION ALL SELECT 'l_tax', b2, sqrt(v * aa / det / n), * FROM g), t AS (SELECT *, k / se AS t FROM e)
+    SELECT term, round(k, 3) AS coefficient, round(se, 5) AS se, round(t, 3) AS t, round({t_tail_sql('t', 'df')}, 6) AS p, round(r2, 6) AS r2, CAST(n AS BIGINT) AS n, CAST(df AS BIGINT) AS df FROM t""")
+def ols_coefficients(t: Tables) -> DataFrame:
+    d = stats.ols_inference(t.lineitem, "l_extendedprice", ["l_quantity", "l_tax"])
+    return d.select("term", F.round("coefficient", 3).alias("coefficient"), F.round("se", 5).alias("se"), F.round("t", 3).alias("t"), r6("p").alias("p"), r6("r2").alias("r2"), "n", "df")
+
+
 @query("""WITH c AS (SELECT avg(l_extendedprice) AS my, avg(l_quantity) AS m1, avg(l_tax) AS m2, covar_pop(l_quantity, l_quantity) AS a, covar_pop(l_quantity, l_tax) AS b, covar_pop(l_tax, l_tax) AS d, covar_pop(l_quantity, l_extendedprice) AS e, covar_pop(l_tax, l_extendedprice) AS f, var_pop(l_extendedprice) AS v FROM lineitem),
     s AS (SELECT *, (e * d - f * b) / (a * d - b * b) AS b1, (f * a - e * b) / (a * d - b * b) AS b2 FROM c) SELECT round(my - b1 * m1 - b2 * m2, 3) AS intercept, round(b1, 3) AS b1, round(b2, 3) AS b2, round((b1 * e + b2 * f) / v, 6) AS r2 FROM s""")
 def ols_two(t: Tables) -> DataFrame:
@@ -78,24 +103,29 @@ def log_ols(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {PAPERS}, s AS (SELECT avg(cit) FILTER (year < 1998) AS ma, var_samp(cit) FILTER (year < 1998) AS va, count(*) FILTER (year < 1998) AS na, avg(cit) FILTER (year >= 1998) AS mb, var_samp(cit) FILTER (year >= 1998) AS vb, count(*) FILTER (year >= 1998) AS nb FROM papers)
-    SELECT round((ma - mb) / sqrt(va / na + vb / nb), 6) AS t, round((ma - mb) / sqrt((va + vb) / 2), 6) AS d FROM s""")
+    SELECT round(t, 6) AS t, round(df, 3) AS df, round({t_tail_sql('t', 'df')}, 6) AS p, round(d, 6) AS d
+    FROM (SELECT (ma - mb) / sqrt(va / na + vb / nb) AS t, (ma - mb) / sqrt((va + vb) / 2) AS d, (va / na + vb / nb) * (va / na + vb / nb) / (va / na * va / na / (na - 1) + vb / nb * vb / nb / (nb - 1)) AS df FROM s)""")
 def welch_cohens_d(t: Tables) -> DataFrame:
     early = F.when(F.col("year") < 1998, F.col("cit"))
     late = F.when(F.col("year") >= 1998, F.col("cit"))
-    s = t.papers().agg(F.avg(early).alias("ma"), F.var_samp(early).alias("va"), F.count(early).alias("na"), F.avg(late).alias("mb"), F.var_samp(late).alias("vb"), F.count(late).alias("nb"))
-    gap = F.col("ma") - F.col("mb")
-    return s.select(r6(gap / F.sqrt(F.col("va") / F.col("na") + F.col("vb") / F.col("nb"))).alias("t"), r6(gap / F.sqrt((F.col("va") + F.col("vb")) / 2)).alias("d"))
+    a, va, na, b, vb, nb = t.papers().agg(F.avg(early), F.var_samp(early), F.count(early), F.avg(late), F.var_samp(late), F.count(late)).first()
+    x, free, p = stats.welch(a, va, na, b, vb, nb)
+    row = t.spark.createDataFrame([(x, free, p, (a - b) / ((va + vb) / 2) ** 0.5)], "t double, df double, p double, d double")
+    return row.select(r6("t").alias("t"), F.round("df", 3).alias("df"), r6("p").alias("p"), r6("d").alias("d"))
 
 
 RANKS = "r AS (SELECT year >= 1998 AS g, rank() OVER (ORDER BY cit) + (count(*) OVER (PARTITION BY cit) - 1) / 2.0 AS v FROM papers)"
 
 
-@query(f"WITH {PAPERS}, {RANKS}, s AS (SELECT CAST(sum(v) FILTER (g) AS DOUBLE) AS rs, CAST(count(*) FILTER (g) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT g) AS DOUBLE) AS n0 FROM r) SELECT rs - n1 * (n1 + 1) / 2 AS u, round((rs - n1 * (n1 + 1) / 2) / (n1 * n0), 6) AS auc FROM s")
+@query(f"""WITH {PAPERS}, {RANKS}, s AS (SELECT CAST(sum(v) FILTER (g) AS DOUBLE) AS rs, CAST(count(*) FILTER (g) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT g) AS DOUBLE) AS n0 FROM r), ties AS (SELECT CAST(sum(c * c * c - c) AS DOUBLE) AS ties FROM (SELECT CAST(count(*) AS HUGEINT) AS c FROM papers GROUP BY cit)),
+    u AS (SELECT rs - n1 * (n1 + 1) / 2 AS u, n1 * n0 AS pairs, sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS sd FROM s, ties), z AS (SELECT *, (u - pairs / 2 - 0.5) / sd AS z FROM u)
+    SELECT u, round(u / pairs, 6) AS auc, round({normal_tail_sql('z')}, 6) AS p FROM z""")
 def mann_whitney_u(t: Tables) -> DataFrame:
-    p = t.papers().select(F.col("cit").cast("double").alias("v"), (F.col("year") >= 1998).alias("g"))
-    s = stats.ranked(p, "v").agg(F.sum(F.when(F.col("g"), F.col("v"))).alias("rs"), F.count_if("g").cast("double").alias("n1"), F.count_if(~F.col("g")).cast("double").alias("n0"))
-    u = F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2
-    return s.select(u.alias("u"), r6(u / (F.col("n1") * F.col("n0"))).alias("auc"))
+    late = F.col("year") >= 1998
+    p = t.papers().select(F.col("cit").cast("double").alias("cit"), "year")
+    u, tail = stats.mann_whitney(p, "cit", late)
+    sizes = p.agg(F.count_if(late).cast("double").alias("n1"), F.count_if(~late).cast("double").alias("n0"))
+    return sizes.select(F.lit(float(u)).alias("u"), r6(F.lit(float(u)) / (F.col("n1") * F.col("n0"))).alias("auc"), r6(F.lit(tail)).alias("p"))
 
 
 @query("WITH x AS (SELECT quality AS g, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS v FROM documents JOIN labels USING (doc_id)), s AS (SELECT CAST(sum(v) FILTER (g = 1) AS DOUBLE) AS rs, CAST(count(*) FILTER (g = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (g = 0) AS DOUBLE) AS n0 FROM x) SELECT round((rs - n1 * (n1 + 1) / 2) / (n1 * n0), 6) AS auc FROM s")
@@ -164,6 +194,22 @@ def bootstrap_ols(t: Tables) -> DataFrame:
     return stats.bootstrap(months, ["x", "y"], lambda d: float(((d.x - d.x.mean()) * (d.y - d.y.mean())).sum() / max(((d.x - d.x.mean()) ** 2).sum(), 1e-12)), rounds=500)
 
 
+@query()
+def bootstrap_mean_of_rows(t: Tables) -> DataFrame:
+    """The mean price of all line items, resampled row by row."""
+    d = stats.poisson_bootstrap(t.lineitem, ["l_orderkey", "l_linenumber"], {"x": F.col("l_extendedprice")}, F.col("x") / F.col("n"), rounds=400)
+    return d.select(*(F.round(c, 3).alias(c) for c in ("mean", "low", "high")), "rounds")
+
+
+@query()
+def bootstrap_slope_of_rows(t: Tables) -> DataFrame:
+    """The slope of price on quantity over all line items, resampled row by row."""
+    x, y = F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")
+    slope = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("xx") - F.col("x") * F.col("x") / F.col("n"))
+    d = stats.poisson_bootstrap(t.lineitem, ["l_orderkey", "l_linenumber"], {"x": x, "y": y, "xx": x * x, "xy": x * y}, slope, rounds=400)
+    return d.select(*(F.round(c, 3).alias(c) for c in ("mean", "low", "high")), "rounds")
+
+
 def poles(t: Tables, low: int = 0, high: int = 1, each: int = 5) -> DataFrame:
     """The first vectors of two labels as the poles' prototypes."""
     rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import rules
-from ..sources import cache, exports, works
+from ..session import shared_folder
+from ..sources import cache, exports, keyed, works
 from .registry import Tables, query
 
 
@@ -94,6 +95,18 @@ def _key_year() -> tuple[Column, Column]:
     return F.col("s_suppkey"), (2000 + F.col("s_suppkey") % 25).cast("string")
 
 
+_LATEST = "l AS (SELECT * FROM client_changes WHERE client_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY seq DESC NULLS LAST, change_id DESC NULLS LAST) = 1)"
+
+
+@query(f"WITH {_LATEST} SELECT coalesce(c.client_id, l.client_id) AS client_id, name, coalesce(l.segment, c.segment) AS segment, coalesce(l.city, c.city) AS city, coalesce(l.balance, c.balance) AS balance FROM clients c FULL JOIN l ON c.client_id = l.client_id WHERE l.op IS DISTINCT FROM 'D'")
+def clients_patched(t: Tables) -> DataFrame:
+    """The table of clients, written by bucket, after a patch of the latest change of each."""
+    path = shared_folder(t.spark, "clients")
+    keyed.patch(t.clients, path, "client_id", ["updated_at"], buckets=32)
+    keyed.patch(t.client_changes.select("client_id", "segment", "city", "balance", "op", "seq", "change_id"), path, "client_id", ["seq", "change_id"], gone=F.col("op") == "D", fill=True, buckets=32)
+    return keyed.read(t.spark, path).select("client_id", "name", "segment", "city", "balance")
+
+
 _RECORD = "s_name AS title, '10.5/' || s_suppkey AS doi, CAST(2000 + s_suppkey % 25 AS INTEGER) AS year"
 
 

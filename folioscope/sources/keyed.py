@@ -41,8 +41,8 @@ def patch(rows: DataFrame, path: str, key: str, order: Sequence[str] = (), gone:
     """Put rows in place of the table's rows of the same keys, which `gone` marks are deleted; the buckets that were rewritten.
 
     Of several rows of a key the one of the greatest `order` counts, and of equal ones the greatest
-    row; null keys are left out.  With `fill`, nulls of a row take the value that the table has.
-    New columns are null in old rows.  The table is made by the first patch; a patch that is
+    row; null keys are left out.  With `fill`, nulls of a row and columns that the patch lacks take the
+    value that the table has.  New columns are null in old rows.  The table is made by the first patch; a patch that is
     repeated changes nothing.  Rows are read twice, so they should be cheap or written.
     """
     spark = rows.sparkSession
@@ -55,8 +55,9 @@ def patch(rows: DataFrame, path: str, key: str, order: Sequence[str] = (), gone:
     if old is not None:
         if fill:
             shared = [c for c in columns if c in old.columns and c != key]
-            before = old.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_old_{c}") for c in shared))
-            last = last.join(before, F.col(key) == F.col("_k"), "left").select(*(F.coalesce(c, f"_old_{c}").alias(c) if c in shared else F.col(c) for c in columns))
+            more = [c for c in old.columns if c not in columns]
+            before = old.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_old_{c}") for c in shared + more))
+            last = last.join(before, F.col(key) == F.col("_k"), "left").select(*(F.coalesce(c, f"_old_{c}").alias(c) if c in shared else F.col(c) for c in columns), *(F.col(f"_old_{c}").alias(c) for c in more))
         stay = old.join(rows.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_anti")
         new = last.where(~F.coalesce(gone, F.lit(False))) if gone is not None else last
         last = stay.unionByName(new, allowMissingColumns=True)

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from folioscope.operators import rank, ranges, sampling, stats
 from folioscope.plans import catalogue
 
@@ -116,3 +118,46 @@ def test_shares_without_weights_are_equal(spark):
     d = spark.createDataFrame([("a", 0), ("b", 0), ("c", 0)], "k string, w long")
     assert [(r["k"], r["quota"]) for r in sampling.hamilton(d, "w", 8, "k").orderBy("k").collect()] == [("a", 3), ("b", 3), ("c", 2)]
     assert [r["quota"] for r in sampling.hamilton(d, "w", 0, "k").collect()] == [0, 0, 0]
+
+
+def test_coefficients_as_by_least_squares(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 2)) * [1, 30] + [0, 500]
+    y = 3 + 2 * x[:, 0] - 0.01 * x[:, 1] + rng.normal(size=60)
+    d = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)] + [(None, 1.0, 2.0)], "a double, b double, y double")
+    got = {r["term"]: r for r in stats.ols_inference(d, "y", ["a", "b"]).collect()}
+    m = np.column_stack([np.ones(60), x])
+    beta = np.linalg.solve(m.T @ m, m.T @ y)
+    left = y - m @ beta
+    errors = np.sqrt(left @ left / 57 * np.diag(np.linalg.inv(m.T @ m)))
+    for i, term in enumerate(("intercept", "a", "b")):
+        assert got[term]["coefficient"] == pytest.approx(beta[i]) and got[term]["se"] == pytest.approx(errors[i], rel=1e-6)
+        assert got[term]["p"] == pytest.approx(stats.t_tail(beta[i] / errors[i], 57), rel=1e-5, abs=1e-12)
+        assert got[term]["n"] == 60 and got[term]["df"] == 57
+    assert got["a"]["r2"] == pytest.approx(1 - left @ left / ((y - y.mean()) ** 2).sum())
+    assert all(math.isnan(r["t"]) for r in stats.ols_inference(d.limit(3), "y", ["a", "b"]).collect())
+    with pytest.raises(ValueError, match="made up"):
+        stats.ols_inference(d.withColumn("c", d["a"] * 2), "y", ["a", "c"])
+
+
+def test_poisson_weights():
+    w = stats.poisson_weights(np.random.default_rng(1).integers(-(2**63), 2**63, 4000), 50)
+    assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.03)
+    assert (w == 0).mean() == pytest.approx(math.exp(-1), abs=0.01)
+    assert abs(np.corrcoef(w.T)[np.triu_indices(50, 1)]).max() < 0.09  # rounds are not alike
+    assert abs(np.corrcoef(w[:300])[np.triu_indices(300, 1)]).max() < 0.75  # nor rows
+
+
+def test_bootstrap_of_rows(spark):
+    rng = np.random.default_rng(5)
+    v = rng.exponential(10, 20_000)
+    d = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)] + [(-1, None)], "id long, v double").repartition(3)
+    run = lambda d: stats.poisson_bootstrap(d, ["id"], {"x": d["v"]}, F.col("x") / F.col("n"), rounds=400).first()
+    r = run(d)
+    half = 1.96 * v.std() / math.sqrt(len(v))
+    assert r["mean"] == pytest.approx(v.mean(), abs=half / 5) and r["rounds"] == 400
+    assert (v.mean() - r["low"], r["high"] - v.mean()) == pytest.approx((half, half), rel=0.15)
+    assert run(d.repartition(7, "v"))[:] == pytest.approx(r[:])  # however rows are dealt
+    old = stats.bootstrap(d, ["v"], lambda b: b["v"].mean(), rounds=300).first()
+    assert (r["low"], r["high"]) == pytest.approx(old[1:], abs=half / 4)
+    assert tuple(run(d.where("false"))) == (None, None, None, 0)
