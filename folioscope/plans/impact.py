@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import biblio as B
+from ..operators import funnel
 from ..operators import rank as R
+from ..session import shared_folder
 from .registry import PAPERS, Tables, query, r6
 
 #: The order years run from 1995 to 2001; cohorts part before 1998.
@@ -155,6 +158,21 @@ def prisma_funnel(t: Tables) -> DataFrame:
     return row.select(F.explode(F.array(*(F.struct(F.lit(k).alias("step"), F.lit(name).alias("label"), F.col(name).alias("n")) for k, (name, _) in enumerate(FUNNEL, 1)))).alias("s")).select("s.*")
 
 
+REMOVALS = {"no_text": "coalesce(trim(text), '') = ''", "short": "n_chars < 150", "other_language": "lang <> 'en'", "source": "source = 'src0'"}
+
+
+@query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1 AS again FROM documents), r AS (SELECT CASE WHEN again THEN 1 """ + " ".join(f"WHEN {test} THEN {k}" for k, test in enumerate(REMOVALS.values(), 2)) + """ ELSE 99 END AS s FROM f),
+    l AS (SELECT * FROM (VALUES (0, 'identified'), (1, 'repeated'), """ + ", ".join(f"({k}, '{name}')" for k, name in enumerate(REMOVALS, 2)) + """) v(step, label))
+    SELECT CAST(step AS INTEGER) AS step, label, (SELECT count(*) FROM r WHERE s = step) AS n_removed, (SELECT count(*) FROM r WHERE s > step) AS n_left FROM l""")
+def observed_funnel(t: Tables) -> DataFrame:
+    """Removal steps over all documents, counted while the rest is written, and held against what was written."""
+    d = funnel.repeated(t.documents, "repeated", F.md5("text"), [F.col("doc_id")])
+    kept, counts = funnel.observed(funnel.removed(d, {name: F.expr(test) for name, test in REMOVALS.items()}), ["repeated", *REMOVALS], f"funnel-{uuid.uuid4().hex}")
+    path = shared_folder(t.spark, "funnel")
+    kept.select("doc_id").write.parquet(path)
+    return funnel.reconciled(funnel.as_table(t.spark, counts.get), t.spark.read.parquet(path), 0)
+
+
 @query(f"""WITH {PAPERS}, y AS (SELECT year, count(*) AS n FROM papers GROUP BY 1) SELECT count(*) AS n, min(year) AS first_year, max(year) AS last_year, count(DISTINCT o_custkey) AS authors, max(cit) AS max_cit,
     (SELECT year FROM y ORDER BY n DESC, year LIMIT 1) AS top_year, round(100.0 * (SELECT max(n) FROM y) / count(*), 6) AS top_pct, round(100.0 * count(*) FILTER (cit <= 50) / count(*), 6) AS pct_low FROM papers""")
 def kpi_row(t: Tables) -> DataFrame:

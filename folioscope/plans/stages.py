@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import biblio as B
 from ..operators import dedup as D
 from ..operators import rank as R
-from ..operators import rules, sampling, stats, topics
+from ..operators import funnel, rules, sampling, stats, topics
 from ..operators import vectors as V
 from ..sources import cache, exchange
 
@@ -53,13 +54,27 @@ def fetch(tables: Frames) -> Frames:
     return {"corpus": corpus.drop("core_alignment", "title_offtopic", "offtopic_topic", "abstract_ok"), "fetch_exclusions": excluded}
 
 
-def clean(tables: Frames) -> Frames:
-    """corpus to corpus_clean: one record of each DOI and title, years in range, no retractions, off-topic topics vetoed."""
+#: What removes records from the corpus, in order.
+CLEANING = ("doi_repeated", "title_repeated", "year", "retracted", "offtopic")
+
+
+def clean_observed(tables: Frames) -> tuple[DataFrame, Observation]:
+    """corpus_clean and the counts of its steps, which come with the job that writes it."""
     d = tables["corpus"].withColumn("title", T.clean_html(F.col("title"))).withColumn("abstract", T.clean_html(F.col("abstract")))
-    d = D.dedup_records(D.with_optional(d, {"scope_positive_title_hits": "string", "relevance_index": "double", "primary_topic": "string"}), T.blank_to_null(F.col("doi")), T.title_key(F.col("title")), "ingest_order")
-    d = d.where(F.col("publication_year").between(*rules.YEARS)).where(~T.any_match(F.col("title"), rules.RETRACTED))
+    d = D.with_optional(d, {"scope_positive_title_hits": "string", "relevance_index": "double", "primary_topic": "string"})
+    doi = T.blank_to_null(F.col("doi"))
+    known = F.coalesce(doi, F.lit("")) != ""
+    d = funnel.repeated(d, "doi_repeated", doi, [F.col("ingest_order")], known)
+    d = funnel.repeated(d, "title_repeated", T.title_key(F.col("title")), [F.when(known, 0).otherwise(1), F.col("ingest_order")])
     off = T.any_match(F.col("primary_topic"), rules.OFFTOPIC_TOPIC)
-    return {"corpus_clean": d.where(~rules.veto(off, F.col("scope_positive_title_hits"), F.col("relevance_index")))}
+    outside = ~F.coalesce(F.col("publication_year").between(*rules.YEARS), F.lit(False))
+    d = funnel.removed(d, {"year": outside, "retracted": F.coalesce(T.any_match(F.col("title"), rules.RETRACTED), F.lit(True)), "offtopic": F.coalesce(rules.veto(off, F.col("scope_positive_title_hits"), F.col("relevance_index")), F.lit(True))})
+    return funnel.observed(d, CLEANING, f"clean-{uuid.uuid4().hex}")
+
+
+def clean(tables: Frames) -> Frames:
+    """corpus to corpus_clean: one record of each DOI and title, years in range, no retractions, off-topic topics vetoed.  A run that writes its tables adds clean_funnel, the steps' counts."""
+    return {"corpus_clean": clean_observed(tables)[0]}
 
 
 def enrich(tables: Frames) -> Frames:
@@ -255,11 +270,18 @@ def resolve(names: Sequence[str] | None = None, start: str | None = None, exclud
 def run(spark: SparkSession, tables: Frames, names: Sequence[str] | None = None, root: str | None = None, **which) -> Frames:
     """Run stages over tables; with a root each result is written below it, a folder for each stage, and read again."""
     for name in resolve(names, **which):
-        made = STAGES[name](tables)
+        counts = None
+        if root and name == "clean":
+            corpus, counts = clean_observed(tables)
+            made = {"corpus_clean": corpus}
+        else:
+            made = STAGES[name](tables)
         if root:
             for table, df in made.items():
                 df.write.mode("overwrite").parquet(f"{root}/{name}/{table}")
-            made = {table: spark.read.parquet(f"{root}/{name}/{table}") for table in made}
+            if counts:  # the job that wrote the table has left them
+                funnel.reconciled(funnel.as_table(spark, counts.get), spark.read.parquet(f"{root}/clean/corpus_clean")).write.mode("overwrite").parquet(f"{root}/clean/clean_funnel")
+            made = {table: spark.read.parquet(f"{root}/{name}/{table}") for table in [*made, *(["clean_funnel"] if counts else [])]}
         tables = {**tables, **made}
     return tables
 
@@ -268,7 +290,7 @@ def run(spark: SparkSession, tables: Frames, names: Sequence[str] | None = None,
 INPUTS = ["sources", "embeddings", "poles", "doi_lookups", "pmid_lookups", "pmid_map"]
 #: Tables that each stage makes.
 MAKES = {
-    "fetch": ["corpus", "fetch_exclusions"], "clean": ["corpus_clean"], "enrich": ["corpus_clean", "corpus_clustered"], "indicators": ["top20_cited", "yearly_production", "geo_countries", "journals", "lotka", "top_authors", "keyword_freq", "keyword_cooc", "collab_countries"],
+    "fetch": ["corpus", "fetch_exclusions"], "clean": ["corpus_clean", "clean_funnel"], "enrich": ["corpus_clean", "corpus_clustered"], "indicators": ["top20_cited", "yearly_production", "geo_countries", "journals", "lotka", "top_authors", "keyword_freq", "keyword_cooc", "collab_countries"],
     "embed": ["corpus_clustered", "embedding_exclusions"], "axes": ["axis_scores"], "analyses": ["axis_scores_enriched", "temporal_profile", "cluster_share_by_year", "zipf_stats", "zipf_analysis", "cluster_focus_papers", "cluster_focus_journals", "cluster_focus_keywords"],
     "statistics": ["axis_tests", "axis_correlations", "axis_quartiles"], "validation": ["validation_sample"], "summary": ["report_summary"], "screening": ["screening_decisions", "corpus_paper"],
 }

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import biblio, claims, dedup, graph, rank, rules, sampling, stats, vectors
+from folioscope.functions import text
+from folioscope.operators import biblio, claims, dedup, funnel, graph, rank, rules, sampling, stats, vectors
+from folioscope.plans import stages
 
 LONG = "This abstract says enough about the study and about its results to count as one. "
 
@@ -191,3 +193,48 @@ def test_communities(spark):
     got = {r["node"]: r["community"] for r in graph.communities(spark.createDataFrame(edges, "source string, target string, weight long")).collect()}
     assert got == {"a": 0, "b": 0, "c": 0, "x": 1, "y": 1, "z": 1}
     assert graph.communities(spark.createDataFrame([], "source string, target string, weight long")).count() == 0
+
+
+def test_observed_steps(spark, tmp_path):
+    rows = [(i, None if i % 5 == 0 else f"d{i % 7}", f"t{i % 11}", 1990 + i) for i in range(40)]
+    d = spark.createDataFrame(rows, "i int, doi string, title string, year int").repartition(4)
+    d = funnel.repeated(d, "doi", F.col("doi"), [F.col("i")], F.col("doi").isNotNull())
+    d = funnel.repeated(d, "title", F.col("title"), [F.when(F.col("doi").isNotNull(), 0).otherwise(1), F.col("i")])
+    kept, seen = funnel.observed(funnel.removed(d, {"year": F.col("year") > 2000, "none": F.lit(None).cast("boolean")}), ["doi", "title", "year", "none"], "test-steps")
+    kept.write.parquet(f"{tmp_path}/kept")
+    left, dois, titles, want = [], set(), set(), {"total": 40, "doi": 0, "title": 0, "year": 0, "none": 0}
+    for r in rows:
+        if r[1] and r[1] in dois:
+            want["doi"] += 1
+        else:
+            left.append(r)
+        dois.add(r[1])
+    for r in sorted(left, key=lambda r: (r[1] is None, r[0])):
+        if r[2] in titles:
+            want["title"] += 1
+        elif r[3] > 2000:
+            want["year"] += 1
+        titles.add(r[2])
+    want["left"] = 40 - sum(v for k, v in want.items() if k != "total")
+    assert seen.get == want and spark.read.parquet(f"{tmp_path}/kept").count() == want["left"] > 0
+    steps = funnel.as_table(spark, seen.get)
+    assert funnel.reconciled(steps, kept.limit(10**6)).count() == 5
+    with pytest.raises(Exception, match="the steps leave"):
+        funnel.reconciled(steps, kept.union(kept).union(kept), 2).count()
+    assert funnel.reconciled(steps, kept.union(kept.limit(2))).count() == 5  # within the tolerance
+    assert (d.columns, kept.columns) == (["i", "doi", "title", "year", "_removed"], ["i", "doi", "title", "year"])
+    none, seen = funnel.observed(d.where("false"), ["doi"], "test-none")
+    assert none.count() == 0 and seen.get == {"total": 0, "doi": 0, "left": 0}
+
+
+def test_cleaning_by_steps_keeps_what_cleaning_in_turn_keeps(spark, tmp_path):
+    rows = [(f"p{i}", f"10.1/{i % 9}" if i % 4 else " ", f"Title {i % 13}", 2018 + i % 11, i, ["", "Poetry", None][i % 3]) for i in range(60)] + [("x", "10.1/x", "RETRACTED: a study", 2022, 99, "")]
+    corpus = spark.createDataFrame(rows, "id string, doi string, title string, publication_year int, ingest_order int, primary_topic string").withColumn("abstract", F.lit("text"))
+    doi, key = text.blank_to_null(F.col("doi")), text.title_key(F.col("title"))
+    once = dedup.dedup_records(corpus, doi, key, "ingest_order").where(F.col("publication_year").between(*rules.YEARS)).where(~text.any_match(F.col("title"), rules.RETRACTED))
+    want = {r["id"] for r in once.collect()}
+    got = stages.run(spark, {"corpus": corpus}, ["clean"], root=str(tmp_path))
+    assert {r["id"] for r in got["corpus_clean"].collect()} == want
+    steps = {r["label"]: (r["n_removed"], r["n_left"]) for r in got["clean_funnel"].collect()}
+    assert list(steps) == ["identified", *stages.CLEANING] or set(steps) == {"identified", *stages.CLEANING}
+    assert steps["identified"] == (0, 61) and steps["offtopic"][1] == len(want) and steps["doi_repeated"][0] > 0 and steps["title_repeated"][0] > 0
