@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rank import bands, quantile_bins
+
 
 def draw_order(key: str, seed: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256)
@@ -58,6 +60,29 @@ def cell_sample(df: DataFrame, cells: Sequence[str], key: str, per_cell: int, ca
     return d.orderBy("_o", key).limit(cap).drop("_o", "_rn")
 
 
+def cohort_sample(df: DataFrame, cohorts: Sequence[tuple[float, float, str, int]], year: str, scores: tuple[str, str], key: str, cap: int, seed: str = "42") -> DataFrame:
+    """Add cohort to a sample of each cohort (above low, up to high; label, n): all of a small one, else equally many of each pair of terciles of two scores, topped up to n, and cap in all.
+
+    Terciles are those of the cohort; rows without a year in a cohort take no part, nor those
+    without a score where terciles are needed, but for the top-up.  Draws go by a digest of the key.
+    No cell gives more than n rows to what is ordered by cohort, so a large cohort is no large task.
+    """
+    size = F.lit(None).cast("int")
+    for low, high, label, n in cohorts:
+        size = F.when((F.col(year) > low) & (F.col(year) <= high), n).otherwise(size)
+    d = df.withColumn("cohort", bands(F.col(year), [c[:3] for c in cohorts])).where("cohort IS NOT NULL").withColumns({"_n": size, "_o": draw_order(key, seed)})
+    counts = d.groupBy(F.col("cohort").alias("_c")).agg(F.count("*").alias("_size"))
+    for k, score in enumerate(scores):
+        d = quantile_bins(d, score, 3, f"_t{k}", ["cohort"])
+    d = d.join(F.broadcast(counts), F.col("cohort") == F.col("_c")).drop("_c")
+    known = F.col("_t0").isNotNull() & F.col("_t1").isNotNull()
+    d = d.withColumn("_rn", F.row_number().over(Window.partitionBy("cohort", "_t0", "_t1").orderBy("_o", key))).where(F.col("_rn") <= max(n for *_, n in cohorts))
+    first = (F.col("_size") <= F.col("_n")) | known & (F.col("_rn") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 9)))
+    d = d.withColumn("_in", F.when(first, 0).otherwise(1))
+    d = d.withColumn("_rank", F.row_number().over(Window.partitionBy("cohort").orderBy("_in", "_o", key))).where((F.col("_in") == 0) | (F.col("_rank") <= F.col("_n")))
+    return d.orderBy("_o", key).limit(cap).select(*df.columns, "cohort")
+
+
 def merge_small(sizes: list[tuple[str, int]], least: int) -> dict[str, str]:
     """Each stratum's name after merging those below `least` into the smaller neighbour, again and again; for a few strata in order."""
     groups = [([name], n) for name, n in sizes]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import rank as R
+from ..operators import report
 from ..operators import sampling as S
 from ..operators import stats
 from ..operators import topics as TP
@@ -210,6 +211,52 @@ def bootstrap_slope_of_rows(t: Tables) -> DataFrame:
     return d.select(*(F.round(c, 3).alias(c) for c in ("mean", "low", "high")), "rounds")
 
 
+H = "h AS (SELECT CAST(year(o_orderdate) AS DOUBLE) AS year, CAST(o_totalprice AS DOUBLE) / 100000 AS t, CAST(o_custkey % 1000 AS DOUBLE) / 100 + CAST(o_totalprice AS DOUBLE) / 300000 AS g, CAST(floor(o_totalprice / 1000) AS BIGINT) AS cit FROM orders)"
+
+
+def _trend_sql(name: str, axis: str) -> str:
+    return f"""SELECT '{name}' AS hypothesis, unnest(['n', 'pearson_r', 'pearson_p', 'intercept', 'slope', 'slope_se', 'r2', 'f2', 'n_before', 'n_after', 'mean_before', 'mean_after', 'welch_t', 'welch_p', 'cohens_d']) AS measure,
+        unnest([n, r, {t_tail_sql('tr', 'df')}, i, k, se, r2, r2 / (1 - r2), na, nb, ma, mb, tw, {t_tail_sql('tw', 'dw')}, d]) AS value
+        FROM (SELECT *, n - 2 AS df, r * sqrt((n - 2) / (1 - r * r)) AS tr, sqrt((1 - r2) * vy / vx / (n - 2)) AS se, (mb - ma) / sqrt(va / na + vb / nb) AS tw, (va / na + vb / nb) * (va / na + vb / nb) / (va / na * va / na / (na - 1) + vb / nb * vb / nb / (nb - 1)) AS dw, (mb - ma) / sqrt((va + vb) / 2) AS d
+        FROM (SELECT CAST(count(*) AS DOUBLE) AS n, corr(year, {axis}) AS r, regr_intercept({axis}, year) AS i, regr_slope({axis}, year) AS k, regr_r2({axis}, year) AS r2, var_pop({axis}) AS vy, var_pop(year) AS vx,
+        CAST(count(*) FILTER (year < 1998) AS DOUBLE) AS na, CAST(count(*) FILTER (year >= 1998) AS DOUBLE) AS nb, avg({axis}) FILTER (year < 1998) AS ma, avg({axis}) FILTER (year >= 1998) AS mb, var_samp({axis}) FILTER (year < 1998) AS va, var_samp({axis}) FILTER (year >= 1998) AS vb FROM h))"""
+
+
+@query(f"""WITH {H}, x AS (SELECT g AS y, t AS a, year AS b FROM h), {NORMAL}, s AS (SELECT *, aa * bb - ab * ab AS det FROM c), f AS (SELECT *, (ay * bb - by_ * ab) / det AS b1, (by_ * aa - ay * ab) / det AS b2, ay / sqrt(aa * yy) AS r1, by_ / sqrt(bb * yy) AS r2_, ab / sqrt(aa * bb) AS r3, n - 3 AS df FROM s),
+    e AS (SELECT *, (b1 * ay + b2 * by_) / yy AS r2, (r1 - r2_ * r3) / sqrt((1 - r2_ * r2_) * (1 - r3 * r3)) AS partial FROM f), v AS (SELECT *, sqrt((1 - r2) * yy / df * bb / det) AS se, b1 / sqrt((1 - r2) * yy / df * bb / det) AS tb, n - 2 AS dp, partial * sqrt((n - 2) / (1 - partial * partial)) AS tp FROM e),
+    h3 AS (SELECT 'H3' AS hypothesis, unnest(['n', 'r2', 'r2_year_only', 'intercept', 'beta_other', 'beta_year', 'se_other', 'p_other', 'partial_r', 'partial_p', 'f2_other']) AS measure, unnest([n, r2, r2_ * r2_, my - b1 * m1 - b2 * m2, b1, b2, se, {t_tail_sql('tb', 'df')}, partial, {t_tail_sql('tp', 'dp')}, (r2 - r2_ * r2_) / (1 - r2)]) AS value FROM v)
+    SELECT hypothesis, measure, round(value, 5) AS value FROM ({_trend_sql('H1', 't')} UNION ALL {_trend_sql('H2', 'g')} UNION ALL SELECT * FROM h3)""")
+def hypotheses(t: Tables) -> DataFrame:
+    """Trends and association of two axes over orders as papers; years from 1998 on against those before."""
+    price = F.col("o_totalprice").cast("double")
+    d = t.orders.select(F.year("o_orderdate").alias("year"), (price / 100000).alias("a"), ((F.col("o_custkey") % 1000).cast("double") / 100 + price / 300000).alias("b"))
+    return report.hypotheses(d, "a", "b", "year", None, 1998).withColumn("value", F.round("value", 5))
+
+
+@query(f"""WITH x AS (SELECT CAST(n_chars AS DOUBLE) AS auto, CAST(1 + quality * 2 + doc_id % 3 AS DOUBLE) AS a, CAST(1 + quality * 2 + doc_id % 2 + toxic AS DOUBLE) AS b FROM documents JOIN labels USING (doc_id)), y AS (SELECT *, (a + b) / 2 AS human FROM x),
+    o AS (SELECT avg((a - b) * (a - b)) AS o, CAST(count(*) AS DOUBLE) AS n FROM y), e AS (SELECT avg((p.a - q.b) * (p.a - q.b)) AS e FROM y p, y q),
+    k AS (SELECT CAST(rank() OVER (ORDER BY auto) + (count(*) OVER (PARTITION BY auto) - 1) / 2.0 AS DOUBLE) AS u, CAST(rank() OVER (ORDER BY human) + (count(*) OVER (PARTITION BY human) - 1) / 2.0 AS DOUBLE) AS v FROM y), c AS (SELECT corr(u, v) AS rho FROM k),
+    m AS (SELECT avg(abs(1 + 4 * (auto - lo) / (hi - lo) - human)) AS mae FROM (SELECT *, min(auto) OVER () AS lo, max(auto) OVER () AS hi FROM y)),
+    b AS (SELECT human >= 4 AS g, rank() OVER (ORDER BY auto) + (count(*) OVER (PARTITION BY auto) - 1) / 2.0 AS v FROM y WHERE human <= 2 OR human >= 4), s AS (SELECT CAST(sum(v) FILTER (g) AS DOUBLE) AS rs, CAST(count(*) FILTER (g) AS DOUBLE) AS n1, CAST(count(*) FILTER (NOT g) AS DOUBLE) AS n0 FROM b),
+    z AS (SELECT *, n - 2 AS df, rho * sqrt((n - 2) / (1 - rho * rho)) AS t FROM o, e, c, m, s)
+    SELECT 'length' AS axis, unnest(['n', 'weighted_kappa', 'alpha', 'spearman_r', 'spearman_p', 'mae', 'auc', 'decision']) AS measure, unnest([n, round(1 - o / e, 6), round(1 - o / e, 6), round(rho, 6), round({t_tail_sql('t', 'df')}, 6), round(mae, 6), round((rs - n1 * (n1 + 1) / 2) / (n1 * n0), 6), CAST(CAST(rho >= 0.5 AS INTEGER) + CAST(1 - o / e >= 0.6 AS INTEGER) AS DOUBLE)]) AS value FROM z""")
+def validation_metrics(t: Tables) -> DataFrame:
+    """The lengths of documents as scores of an axis, against two ratings of each labelled document."""
+    form = t.documents.select("doc_id", "n_chars").join(raters(t), "doc_id")
+    return report.ratings(form, "length", "n_chars", ("a", "b")).withColumn("value", r6("value"))
+
+
+COHORTS = [(1994.0, 1995.0, "1995", 10), (1995.0, 1996.0, "1996", 25), (1996.0, 1998.0, "1997-98", 40), (1998.0, 2001.0, "1999-01", 55)]
+
+
+@query(f"""WITH {PAPERS}, d AS (SELECT id, year, cit, o_custkey AS w, sha256('42:' || id) AS o, CASE WHEN year <= 1995 THEN '1995' WHEN year <= 1996 THEN '1996' WHEN year <= 1998 THEN '1997-98' ELSE '1999-01' END AS cohort, CASE WHEN year <= 1995 THEN 10 WHEN year <= 1996 THEN 25 WHEN year <= 1998 THEN 40 ELSE 55 END AS n FROM papers WHERE year > 1994 AND year <= 2001),
+    e AS (SELECT cohort, quantile_cont(cit, [1.0 / 3, 2.0 / 3]) AS a, quantile_cont(w, [1.0 / 3, 2.0 / 3]) AS b, count(*) AS size FROM d GROUP BY 1), c AS (SELECT d.*, size, CASE WHEN cit <= a[1] THEN 1 WHEN cit <= a[2] THEN 2 ELSE 3 END AS x, CASE WHEN w <= b[1] THEN 1 WHEN w <= b[2] THEN 2 ELSE 3 END AS y FROM d JOIN e USING (cohort)),
+    r AS (SELECT *, CASE WHEN size <= n OR row_number() OVER (PARTITION BY cohort, x, y ORDER BY o, id) <= greatest(1, n // 9) THEN 0 ELSE 1 END AS i FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY i, o, id) AS rank FROM r)
+    SELECT id, cohort FROM k WHERE i = 0 OR rank <= n ORDER BY o, id LIMIT 130""")
+def cohort_sample(t: Tables) -> DataFrame:
+    return S.cohort_sample(t.papers(), COHORTS, "year", ("cit", "o_custkey"), "id", 130).select("id", "cohort")
+
+
 def poles(t: Tables, low: int = 0, high: int = 1, each: int = 5) -> DataFrame:
     """The first vectors of two labels as the poles' prototypes."""
     rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions import text as T
 from ..operators import biblio as B
 from ..operators import dedup as D
 from ..operators import rank as R
-from ..operators import funnel, rules, sampling, stats, topics
+from ..operators import funnel, report, rules, sampling, stats, topics
 from ..operators import vectors as V
 from ..sources import cache, exchange
 
@@ -203,7 +204,8 @@ def statistics(tables: Frames) -> Frames:
 
     axis_tests: for each axis its mean and deviation, Spearman's rho with citations over all and
     over cited papers, and whether the top quarter is cited more than the bottom one (Mann-Whitney);
-    axis_correlations: Pearson's r of each pair; axis_quartiles: citations by quartile of each axis.
+    axis_correlations: Pearson's r of each pair; axis_quartiles: citations by quartile of each axis;
+    hypotheses, where there are two axes or more: trends of the first two, their association and their citations.
     """
     d = tables["axis_scores_enriched"]
     names = [c for c in d.columns if c.startswith("axis_")]
@@ -222,15 +224,32 @@ def statistics(tables: Frames) -> Frames:
         part = part.where("quartile is not null").select(F.lit(n.removeprefix("axis_")).alias("axis"), "*")
         quartiles = part if quartiles is None else quartiles.union(part)
     tests = d.sparkSession.createDataFrame(rows, "axis string, mean double, std double, rho_all double, p_all double, rho_cited double, p_cited double, u double, p double, med_top double, med_bottom double, confirmed boolean")
-    return {"axis_tests": tests, "axis_correlations": stats.correlation_matrix(d, names), "axis_quartiles": quartiles}
+    made = {"axis_tests": tests, "axis_correlations": stats.correlation_matrix(d, names), "axis_quartiles": quartiles}
+    if len(names) > 1 and d.where("publication_year IS NOT NULL").select("publication_year").distinct().limit(2).count() == 2:
+        made["hypotheses"] = report.hypotheses(d, names[0], names[1], "publication_year", "cited_by_count")
+    return made
 
 
 def validation(tables: Frames) -> Frames:
-    """axis_scores_enriched to validation_sample, two papers of each cluster and third of the first axis, with ids for a form."""
+    """axis_scores_enriched to validation_sample, two papers of each cluster and third of the first axis, with ids for a form.
+
+    Where a filled form is there (validation_form: id, sample_type and for each axis rater1_<axis>,
+    rater2_<axis> and, if a rater had too little information, rater1_<axis>_insufficient and
+    rater2_<axis>_insufficient), validation_metrics holds its confirmatory items against the scores.
+    """
     d = tables["axis_scores_enriched"]
     first = next(c for c in d.columns if c.startswith("axis_"))
     thirds = R.quantile_bins(d, first, 3, "third").where("third is not null")
-    return {"validation_sample": sampling.row_ids(sampling.cell_sample(thirds, ["cluster", "third"], "id", 2, 60), "id")}
+    made = {"validation_sample": sampling.row_ids(sampling.cell_sample(thirds, ["cluster", "third"], "id", 2, 60), "id")}
+    if "validation_form" in tables:
+        axes_ = [c for c in d.columns if c.startswith("axis_")]
+        form = tables["validation_form"].where("sample_type = 'confirmatory'").join(d.select("id", *axes_), "id")
+        rated = [(c, c.removeprefix("axis_")) for c in axes_ if f"rater1_{c.removeprefix('axis_')}" in form.columns]
+        unsure = lambda a: (f"rater1_{a}_insufficient", f"rater2_{a}_insufficient") if f"rater1_{a}_insufficient" in form.columns else None
+        parts = [report.ratings(form, a, c, (f"rater1_{a}", f"rater2_{a}"), unsure(a)) for c, a in rated]
+        if parts:
+            made["validation_metrics"] = reduce(DataFrame.unionByName, parts)
+    return made
 
 
 def summary(tables: Frames) -> Frames:
@@ -287,12 +306,12 @@ def run(spark: SparkSession, tables: Frames, names: Sequence[str] | None = None,
 
 
 #: Tables that a run begins with, below its folder's `input`.
-INPUTS = ["sources", "embeddings", "poles", "doi_lookups", "pmid_lookups", "pmid_map"]
+INPUTS = ["sources", "embeddings", "poles", "doi_lookups", "pmid_lookups", "pmid_map", "validation_form"]
 #: Tables that each stage makes.
 MAKES = {
     "fetch": ["corpus", "fetch_exclusions"], "clean": ["corpus_clean", "clean_funnel"], "enrich": ["corpus_clean", "corpus_clustered"], "indicators": ["top20_cited", "yearly_production", "geo_countries", "journals", "lotka", "top_authors", "keyword_freq", "keyword_cooc", "collab_countries"],
     "embed": ["corpus_clustered", "embedding_exclusions"], "axes": ["axis_scores"], "analyses": ["axis_scores_enriched", "temporal_profile", "cluster_share_by_year", "zipf_stats", "zipf_analysis", "cluster_focus_papers", "cluster_focus_journals", "cluster_focus_keywords"],
-    "statistics": ["axis_tests", "axis_correlations", "axis_quartiles"], "validation": ["validation_sample"], "summary": ["report_summary"], "screening": ["screening_decisions", "corpus_paper"],
+    "statistics": ["axis_tests", "axis_correlations", "axis_quartiles", "hypotheses"], "validation": ["validation_sample", "validation_metrics"], "summary": ["report_summary"], "screening": ["screening_decisions", "corpus_paper"],
 }
 
 
