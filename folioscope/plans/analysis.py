@@ -395,7 +395,8 @@ def token_counts(t: Tables) -> DataFrame:
     return TP.token_counts(d, "text", "lang").withColumnRenamed("group", "grp")
 
 
-@query()
+@query(f"""WITH d AS (SELECT lang AS grp, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{4,}}') AND NOT list_contains([{", ".join(f"'{w}'" for w in TP.STOPWORDS)}], w)) AS w FROM documents),
+    c AS (SELECT grp, token, count(*) AS n FROM (SELECT grp, unnest(w) AS token FROM d) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, token) AS rank FROM c) SELECT grp, token, n, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 15""")
 def token_counts_all(t: Tables) -> DataFrame:
     """As token_counts, over all documents; word ends are Unicode's, so that no token is cut at an accent."""
     return TP.token_counts(t.documents, "text", "lang", pattern=r"(?U)\b[a-z]{4,}\b").withColumnRenamed("group", "grp")

@@ -159,9 +159,9 @@ def norm_title(t: Tables) -> DataFrame:
     return d.select("id", T.title_key(F.col("title")).alias("key"), T.norm_title(F.col("title")).alias("spaced"), T.plain_title(F.col("title")).alias("plain"))
 
 
-@query()
+@query(f"WITH {RECORDS} SELECT id, {KEY} AS key, trim(regexp_replace(lower(title), '[\\s\\x0B\\p{{Z}}]+', ' ', 'g')) AS spaced, trim(regexp_replace(regexp_replace(lower(title), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s\\x0B\\p{{Z}}]', ' ', 'g'), '[\\s\\x0B\\p{{Z}}]+', ' ', 'g')) AS plain FROM records")
 def norm_title_all(t: Tables) -> DataFrame:
-    """As norm_title, over the titles of all documents; DuckDB's classes of characters differ."""
+    """As norm_title, over the titles of all documents."""
     return t.records().select("id", T.title_key(F.col("title")).alias("key"), T.norm_title(F.col("title")).alias("spaced"), T.plain_title(F.col("title")).alias("plain"))
 
 
@@ -290,7 +290,7 @@ def inverted_index_rebuild(t: Tables) -> DataFrame:
     return index.select("doc_id", rebuild_abstract(F.col("inverted")).alias("rebuilt"))
 
 
-@query()
+@query("SELECT doc_id, text AS rebuilt FROM documents")
 def inverted_index_rebuild_whole(t: Tables) -> DataFrame:
     """As inverted_index_rebuild, over all words of each text."""
     from ..sources.works import rebuild_abstract
