@@ -150,7 +150,7 @@ def test_bootstrap_repeats(spark):
 def test_hamilton(spark):
     q = lambda weights, n: [r["quota"] for r in sampling.hamilton(spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "i int, w double"), "w", n, "i").orderBy("i").collect()]
     assert q([1.0, 1, 1], 2) == [1, 1, 0]
-    assert q([0.0, 0], 3) == [0, 0]
+    assert q([0.0, 0], 3) == [2, 1]  # equal parts where nothing weighs
     assert q([2.0, 1], 0) == [0, 0]
     assert sum(q([7.0, 5, 3, 1], 11)) == 11
 
