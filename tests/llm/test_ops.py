@@ -244,6 +244,53 @@ def test_near_groups_brute(spark, bucket):
         assert {r["doc_id"] for r in near_texts.keep_one(docs).collect()} == set(brute)
 
 
+def family(count: int, seed: int = 3) -> list[str]:
+    """Texts with one origin, of which most pairs have a similarity just under 0.8."""
+    rng = random.Random(seed)
+    texts = []
+    for d in range(count):
+        words = [f"w{i}" for i in range(200)]
+        for k in rng.sample(range(200), 3 if d % 2 else 4):
+            words[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_pairs_of_a_large_group_grow_with_it(spark, monkeypatch):
+    texts, met = family(500), spark.sparkContext.accumulator(0)
+    plain = near_texts._verified
+
+    def counted(shingle):
+        def run(batches):
+            def count():
+                for batch in batches:
+                    met.add(batch.num_rows)
+                    yield batch
+
+            yield from plain(shingle)(count())
+
+        return run
+
+    monkeypatch.setattr(near_texts, "_verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {r["doc_id"]: r["component_id"] for r in near_texts.near_groups(docs).collect()}
+    assert [groups[i] for i in range(len(texts))] == brute_groups(texts)
+    assert met.value < 10 * len(texts)  # of 124,750
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_links_to_a_hub_in_blocks(spark, block):
+    texts = family(60)
+    sets = [near_texts.shingle_set(t.encode()) for t in texts]
+    hub = sets[0]
+    rows = [(0, i, i, len(s), [int(x) for x in np.setxor1d(s, hub)]) for i, s in enumerate(sets)]
+    near = spark.createDataFrame(rows, "hub long, sid long, root long, n int, differ array<long>")
+    found = {tuple(sorted((r["src"], r["dst"]))) for r in near_texts.near_hub_links(near, block).collect()}
+    brute = {(i, j) for i in range(60) for j in range(i + 1, 60) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert found == brute and brute
+    assert near_texts.near_hub_links(near.where("sid < 0"), block).isEmpty()
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (7, 7)], "src long, dst long")
     roots = {r["node"]: r["root"] for r in components(edges).collect()}
