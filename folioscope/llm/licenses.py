@@ -60,8 +60,7 @@ RULES = [
     ("CC0-1.0", "C0"), ("MPL-2.0", "MP"), ("ISC", "IS W1?"), ("MIT", "M0"), ("Proprietary", "UN"),
 ]
 
-#: Sentences end at . ! ? ; before white space or the end; read by line also at each line's end, by paragraph at blank lines.
-BY_LINE = r"[\r\n]+|[.!?;]+(?:[ \t\r\n]+|\z)"
+#: Sentences end at . ! ? ; before white space or the end, and at blank lines.
 BY_PARAGRAPH = r"\r?\n[ \t]*\r?\n|[.!?;]+(?:[ \t\r\n]+|\z)"
 OTHER, DOTS = r"[^a-z0-9.]+", r"\.+( |\z)|(^| )\.+"
 
@@ -150,23 +149,20 @@ def _joined(docs: DataFrame, known: dict[str, str], shortest: int) -> DataFrame:
 
 
 def sql() -> str:
-    """The scan of documents for DuckDB, which takes the reading (by line or paragraph) with more known sentences.
-
-    It gives the same rows where no text has sentences that only the other reading knows.
-    """
+    """The scan of documents for DuckDB: by paragraph, and by line what is no known sentence so."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     known = sentence_map(SENTENCES)
     names = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in sorted(known.items())) + "}"
-    lower = "translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    normal = f"trim(regexp_replace(regexp_replace({lower}, '{OTHER}', ' ', 'g'), '{DOTS}', ' ', 'g'))"
-    reading = lambda cut: f"list_filter(list_transform(string_split_regex(coalesce(text, ''), '{cut}'), lambda s: n.names[{normal}]), lambda x: x IS NOT NULL)"
+    lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    known_as = lambda x: f"n.names[trim(regexp_replace(regexp_replace({lower(x)}, '{OTHER}', ' ', 'g'), '{DOTS}', ' ', 'g'))]"
+    lines = f"list_filter(list_transform(string_split_regex(p, '[\\r\\n]+'), lambda s: {known_as('s')}), lambda x: x IS NOT NULL)"
+    parts = f"list_transform(string_split_regex(coalesce(text, ''), '{BY_PARAGRAPH}'), lambda p: CASE WHEN {known_as('p')} IS NOT NULL THEN [{known_as('p')}] ELSE {lines} END)"
     claimed = "list_aggregate(list_transform(ids, lambda x: '<' || x || '>'), 'string_agg', '')"
     for name, rule in RULES:
         claimed = f"regexp_replace({claimed}, '{_pattern(rule)}', '[{name}]', 'g')"
     return rf"""
         WITH n AS (SELECT {names} AS names),
-        r AS (SELECT doc_id, {reading(BY_LINE)} AS a, {reading(BY_PARAGRAPH)} AS b FROM documents, n),
-        i AS (SELECT doc_id, CASE WHEN len(a) >= len(b) THEN a ELSE b END AS ids FROM r),
+        i AS (SELECT doc_id, flatten({parts}) AS ids FROM documents, n),
         c AS (SELECT doc_id, ids, coalesce({claimed}, '') AS claimed FROM i)
         SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(list_aggregate(ids, 'string_agg', ' '), '') AS sentence_ids,
                coalesce(list_aggregate(list_sort(list_distinct(regexp_extract_all(claimed, '\[([^\]]+)\]', 1))), 'string_agg', '|'), '') AS licenses

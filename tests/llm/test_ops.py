@@ -687,6 +687,9 @@ def test_licenses_in_both_layouts(spark):
     docs = spark.createDataFrame([(1, mixed), (2, box), (3, f"x\n{box}\ny"), (4, wrapped), (5, "MIT License\n\nAll rights reserved")], "doc_id long, text string")
     got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in licenses.scan(docs).collect()}
     assert got == {1: ("GP GW GS CN", "CC-BY-NC-4.0|GPL-3.0"), 2: ("C0", "CC0-1.0"), 3: ("C0", "CC0-1.0"), 4: ("GP GW GS", "GPL-3.0"), 5: ("M0 UN", "MIT|Proprietary")}
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas())
+    assert {r[0]: r[2:] for r in c.execute(licenses.sql()).fetchall()} == got
 
 
 def test_license_rules(spark, awkward, empty):
