@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 
@@ -32,17 +35,47 @@ def ngrams(words, sizes: Sequence[int] = (2, 3)):
     return F.concat(*out)
 
 
+def phrase_counts(tokens: DataFrame, sizes: Sequence[int] = (2, 3), most: int = 400_000) -> DataFrame:
+    """group, phrase and n of tokens (group, words): runs of words, counted in each task as far as `most` different ones go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = {}, 0
+        for batch in batches:
+            for group, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = line.split("\n") if line else []
+                counts = found.setdefault(group, Counter())
+                held -= len(counts)
+                for n in sizes:
+                    counts.update(map(" ".join, zip(*(words[i:] for i in range(n)), strict=False)))
+                held += len(counts)
+                if held >= most:
+                    yield from rows(found)
+                    found, held = {}, 0
+        yield from rows(found)
+
+    def rows(found: dict) -> Iterator[pa.RecordBatch]:
+        for group, counts in found.items():
+            phrases, n = list(counts), list(counts.values())
+            for k in range(0, len(n), 20_000):
+                part = n[k : k + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([group] * len(part), kind), pa.array(phrases[k : k + 20_000], pa.string()), pa.array(part, pa.int64())], ["group", "phrase", "n"])
+
+    kind = to_arrow_type(tokens.schema["group"].dataType)
+    # One string of a text goes to Python much faster than a list; no token holds a line's end.
+    return tokens.select("group", F.array_join("words", "\n")).mapInArrow(run, f"group {tokens.schema['group'].dataType.simpleString()}, phrase string, n long")
+
+
 def class_tfidf(docs: DataFrame, text: str, group: str, max_share: float = 0.8, sizes: Sequence[int] = (2, 3)) -> DataFrame:
     """group, phrase, tf, df and score: each group is one document; phrases in over max_share of the groups go; idf = ln((1 + n) / (1 + df)) + 1.
 
-    The texts are read and cut once: a phrase's groups, of which there are few, meet in a list whose size is df.
+    The texts are read and cut once, and phrases travel once: counts of a task are dealt out by phrase, so that
+    tf and df are both found where they arrive.
     """
-    t = tokens(docs.where(F.col(group).isNotNull()), text, group)
-    tf = t.select("group", F.explode(ngrams(F.col("words"), sizes)).alias("phrase")).groupBy("group", "phrase").agg(F.count("*").alias("tf"))
-    n = docs.where(F.col(group).isNotNull()).agg(F.count_distinct(group).alias("_n"))
-    lists = tf.groupBy("phrase").agg(F.collect_list(F.struct("group", "tf")).alias("g")).crossJoin(F.broadcast(n)).where(F.size("g") <= F.col("_n") * max_share)
-    d = lists.select("phrase", F.size("g").cast("long").alias("df"), "_n", F.explode("g").alias("g")).select("g.group", "phrase", "g.tf", "df", "_n")
-    return d.withColumn("score", F.col("tf") * (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1)).drop("_n")
+    known = docs.where(F.col(group).isNotNull())
+    tf = phrase_counts(tokens(known, text, group), sizes).repartition("phrase").groupBy("group", "phrase").agg(F.sum("n").alias("tf"))
+    n = known.agg(F.count_distinct(group).alias("_n"))
+    d = tf.withColumn("df", F.count("*").over(Window.partitionBy("phrase"))).crossJoin(F.broadcast(n)).where(F.col("df") <= F.col("_n") * max_share)
+    return d.withColumn("score", F.col("tf") * (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1)).select("group", "phrase", "tf", "df", "score")
 
 
 def topics(docs: DataFrame, text: str, group: str, candidates: int = 30, n: int = 5, stoplist: Sequence[str] = (), bad: Sequence[str] = ()) -> DataFrame:
