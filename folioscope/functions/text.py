@@ -282,9 +282,9 @@ def cluster_phrase(phrase: Column) -> Column:
     return F.coalesce(lookup(key, PHRASES), text)
 
 
-def phrase_is_valid(phrase: Column, stoplist: Sequence[str] = (), bad: Sequence[str] = ()) -> Column:
-    """At least four characters and none of the given fragments, tokens or filler words."""
-    key = F.trim(F.regexp_replace(F.lower(phrase), r"\s+", " "))
+def phrase_is_valid(phrase: Column, stoplist: Sequence[str] = (), bad: Sequence[str] = (), tidy: bool = False) -> Column:
+    """At least four characters and none of the given fragments, tokens or filler words; tidy phrases are in lower case with single spaces."""
+    key = phrase if tidy else F.trim(F.regexp_replace(F.lower(phrase), r"\s+", " "))
     valid = F.length(key) >= 4
     for fragment in (*stoplist, " using ", " based on ", " et al", "this "):
         valid &= F.instr(key, fragment) == 0

@@ -80,7 +80,7 @@ def class_tfidf(docs: DataFrame, text: str, group: str, max_share: float = 0.8,
 
 def topics(docs: DataFrame, text: str, group: str, candidates: int = 30, n: int = 5, stoplist: Sequence[str] = (), bad: Sequence[str] = ()) -> DataFrame:
     """group and phrases: the best-scored valid phrases, chosen greedily so that they share few tokens."""
-    scored = class_tfidf(docs, text, group).where(T.phrase_is_valid(F.col("phrase"), stoplist, bad))
+    scored = class_tfidf(docs, text, group).where(T.phrase_is_valid(F.col("phrase"), stoplist, bad, tidy=True))
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("score"), "phrase"))).where(F.col("r") <= candidates)
     ordered = best.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "phrase"))), lambda s: s["phrase"]).alias("p"))
     return ordered.select("group", F.transform(T.select_phrases(F.col("p"), n), T.cluster_phrase).alias("phrases"))
