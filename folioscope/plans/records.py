@@ -283,19 +283,18 @@ def json_extract(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, array_to_string(list_slice(string_split(text, ' '), 1, 40), ' ') AS rebuilt FROM documents")
 def inverted_index_rebuild(t: Tables) -> DataFrame:
-    from ..sources.works import rebuild_abstract
+    from ..sources.works import inverted_index, rebuild_abstract
 
-    words = F.slice(F.split("text", " "), 1, 40)
-    index = t.documents.select("doc_id", F.posexplode(words).alias("p", "w")).groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("inverted"))
+    index = t.documents.select("doc_id", inverted_index(F.slice(F.split("text", " "), 1, 40)).alias("inverted"))
     return index.select("doc_id", rebuild_abstract(F.col("inverted")).alias("rebuilt"))
 
 
 @query("SELECT doc_id, text AS rebuilt FROM documents")
 def inverted_index_rebuild_whole(t: Tables) -> DataFrame:
     """As inverted_index_rebuild, over all words of each text."""
-    from ..sources.works import rebuild_abstract
+    from ..sources.works import inverted_index, rebuild_abstract
 
-    index = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "w")).groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("inverted"))
+    index = t.documents.select("doc_id", inverted_index(F.split("text", " ")).alias("inverted"))
     return index.select("doc_id", rebuild_abstract(F.col("inverted")).alias("rebuilt"))
 
 

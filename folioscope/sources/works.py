@@ -56,11 +56,26 @@ def canonical(df: DataFrame, source: str) -> DataFrame:
     return df.select(*out)
 
 
+def inverted_index(words: Column) -> Column:
+    """The map from word to its positions in an array of words; a row's own work, in the time of a sort."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(F.get(s, i - 1)["w"] != x["w"], F.lit(True)), i)), lambda i: i.isNotNull())
+        return F.transform(F.array(starts), lambda at: entries(s, at))[0]
+
+    def entries(s: Column, at: Column) -> Column:
+        ends = F.slice(F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(s))), 1, F.size(at))
+        return F.map_from_entries(F.zip_with(at, ends, lambda a, b: F.struct(F.get(s, a)["w"], F.transform(F.slice(s, a + 1, b - a), lambda x: x["p"]))))
+
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+    return F.transform(F.array(placed), runs)[0]  # as a variable, the order is made once
+
+
 def rebuild_abstract(inverted: Column) -> Column:
     """Text of a map from word to positions; of words at one position, the last by name stays."""
     pairs = F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     last = lambda o: F.filter(o, lambda x, i: (i == F.size(o) - 1) | (F.try_element_at(o, i + 2)["p"] != x["p"]))
-    keep = F.transform(F.array(F.array_sort(pairs)), last)[0]  # as a variable, the order is made once and not for each word
+    keep = F.transform(F.array(F.sort_array(pairs)), last)[0]  # as a variable, the order is made once and not for each word
     return F.array_join(F.transform(keep, lambda x: x["w"]), " ")
 
 

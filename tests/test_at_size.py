@@ -34,3 +34,17 @@ def test_phrases_travel_once(spark, sf_dir):
     for name in ("ctfidf_topics", "topic_phrases"):
         text = plan(catalogue.QUERIES[name](spark, sf_dir))
         assert len(re.findall(r"Exchange hashpartitioning\((?:group#\d+, )?phrase#", text)) == 1
+
+
+def test_index_of_words_stays_in_its_row(spark, tmp_path):
+    texts = ["a b a  c b a", "", " ", "one", None, "x " * 300 + "y", "a b a  c b a"]
+    docs = spark.createDataFrame([(k % 6, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    index = docs.select("text", works.inverted_index(F.split("text", " ")).alias("m"))
+    for r in index.collect():
+        assert r["m"] == (None if r["text"] is None else {w: [i for i, x in enumerate(r["text"].split(" ")) if x == w] for w in r["text"].split(" ")})
+    for name, most in (("inverted_index_rebuild_whole", 1 << 30), ("inverted_index_rebuild", 40)):
+        got = catalogue.QUERIES[name](spark, str(tmp_path))
+        assert "Exchange" not in plan(got)
+        assert sorted(map(str, ((r["doc_id"], r["rebuilt"]) for r in got.collect()))) == sorted(map(str, ((k % 6, None if t is None else " ".join(t.split(" ")[:most])) for k, t in enumerate(texts))))
+    assert spark.createDataFrame([([],)], "w array<string>").select(works.inverted_index(F.col("w")).alias("m")).first()["m"] == {}
