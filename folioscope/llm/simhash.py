@@ -36,7 +36,11 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     if len(words) <= shingle:
         return xxh64_intdigest(b" ".join(words), SEED)
     parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-    hashes = np.fromiter((xxh64_intdigest(p, SEED) for p in parts), dtype="<u8", count=len(words) - shingle + 1)
+    return majority(np.fromiter((xxh64_intdigest(p, SEED) for p in parts), dtype="<u8", count=len(words) - shingle + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned number whose bits are those that over half of the unsigned 64-bit hashes have."""
     ones = np.zeros(64, dtype=np.int64)
     for start in range(0, len(hashes), 1 << 16):
         block = hashes[start : start + (1 << 16)]
@@ -82,6 +86,24 @@ def near_pairs(prints: DataFrame, bucket: int = 64) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def nearest(prints: DataFrame, radius: int = 4, bucket: int = 64) -> DataFrame:
+    """Of distinct fingerprints fp, each (src) with its nearest other (dst) of at most `radius` differing bits, ties to the smaller.
+
+    The bits are cut into radius + 2 segments, two of which at least are equal in such a pair; so each pair of
+    segments is a key.  In a bucket of over `bucket` fingerprints only its least one is compared with the others.
+    """
+    cuts = [64 * k // (radius + 2) for k in range(radius + 3)]
+    parts = [F.expr(f"shiftrightunsigned(fp, {a}) & {(1 << (b - a)) - 1}L") for a, b in zip(cuts, cuts[1:], strict=False)]
+    two = [F.struct(F.lit(i * len(parts) + j).alias("k"), (parts[i] * (1 << 16) + parts[j]).alias("v")) for i in range(len(parts)) for j in range(i)]
+    keyed = prints.select("fp", F.explode(F.array(*two)).alias("s")).select("fp", F.expr("s.v * 64 + s.k").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("fp").alias("low")).where("m > 1")
+    few = keyed.join(sizes.where(F.col("m") <= bucket).select("key"), "key")
+    pairs = few.select("key", F.col("fp").alias("src")).join(few.select("key", F.col("fp").alias("dst")), "key").select("src", "dst")
+    stars = keyed.join(sizes.where(F.col("m") > bucket).select("key", "low"), "key").select(F.col("fp").alias("src"), F.col("low").alias("dst"))
+    near = pairs.union(stars).withColumn("bits", F.expr("bit_count(src ^ dst)")).where(F.col("src") != F.col("dst")).where(F.col("bits") <= radius)
+    return near.groupBy("src").agg(F.min(F.struct("bits", "dst")).alias("best")).select("src", "best.dst")
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, bucket: int = 64) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits) and component_id.
 

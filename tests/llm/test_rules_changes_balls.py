@@ -232,3 +232,26 @@ def test_vectors_that_take_no_part(spark):
     assert none.collect() == [] and none.dtypes == found.dtypes
     with pytest.raises(Exception, match="a component beyond"):
         ball_kmeans.cluster(spark.createDataFrame([(1, [1e30] * 64)], "vec_id long, embedding array<double>")).collect()
+
+
+def test_near_dedup_goes_through_simhash(spark, monkeypatch):
+    """Near copies are linked by fingerprints before the index is asked; the rest of the links is the index's."""
+    from folioscope.llm import near_texts, simhash
+
+    rng = random.Random(4)
+    prints = {rng.getrandbits(64) for _ in range(60)}
+    for p in sorted(prints):
+        for bits in (1, 4, 5):
+            prints.add(p ^ sum(1 << k for k in rng.sample(range(64), bits)))
+    signed = sorted(p - (1 << 63) for p in prints)
+    far = lambda a, b: (a + (1 << 63) ^ b + (1 << 63)).bit_count()
+    want = {a: min((far(a, b), b) for b in signed if a != b) for a in signed}
+    found = simhash.nearest(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()
+    assert {r["src"]: r["dst"] for r in found} == {a: b for a, (d, b) in want.items() if d <= 4}
+    asked, plain = [], simhash.nearest
+    monkeypatch.setattr(near_texts, "nearest", lambda d: asked.append(plain(d).count()) or plain(d))
+    words = [f"w{k}" for k in range(1500)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"]), "quite another text that stands alone here"]
+    groups = near_texts.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in groups.collect()} == {0: 0, 1: 0, 2: 2}
+    assert asked == [2] or asked == [0]
