@@ -94,8 +94,8 @@ def screen(docs: DataFrame, positive: Mapping[str, str] = POSITIVE, ai: Mapping[
     verdict = rung("needs_review", review)
     for test, decision, why in reversed(ladder):
         verdict = F.when(test, rung(decision, why)).otherwise(verdict)
-    d = d.withColumn("_verdict", verdict)
-    return d.select(*docs.columns, "_verdict.decision", "_verdict.reason", F.array_join("_pos", ",").alias("positive_rules"), F.array_join("_neg", ",").alias("negative_rules"))
+    # By a generator, as a filter on what it makes stays above it: pushed below, it would hold each rule once for every rung that reads it.
+    return d.select(*docs.columns, F.inline(F.array(verdict)), F.array_join("_pos", ",").alias("positive_rules"), F.array_join("_neg", ",").alias("negative_rules"))
 
 
 def screened_corpus(screened: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import topics
+from folioscope.operators import rules, topics
 from folioscope.plans import catalogue
 from folioscope.sources import works
 
@@ -48,3 +48,12 @@ def test_index_of_words_stays_in_its_row(spark, tmp_path):
         assert "Exchange" not in plan(got)
         assert sorted(map(str, ((r["doc_id"], r["rebuilt"]) for r in got.collect()))) == sorted(map(str, ((k % 6, None if t is None else " ".join(t.split(" ")[:most])) for k, t in enumerate(texts))))
     assert spark.createDataFrame([([],)], "w array<string>").select(works.inverted_index(F.col("w")).alias("m")).first()["m"] == {}
+
+
+def test_a_filter_on_decisions_runs_no_rule_again(spark, sf_dir):
+    rules_run = [plan(catalogue.QUERIES[name](spark, sf_dir)).count("RLIKE") for name in ("screening_decisions", "screened_corpus")]
+    assert rules_run[0] == rules_run[1] > 0
+    docs = spark.createDataFrame([(None, None), ("t", "x" * 60), ("ai literacy", "a large language model " * 4)], "title string, abstract string").withColumn("publication_year", F.lit(2024))
+    decided = rules.screen(docs)
+    assert plan(rules.screened_corpus(decided)).count("RLIKE") == plan(decided).count("RLIKE")
+    assert [r["title"] for r in rules.screened_corpus(decided).collect()] == ["ai literacy"]
