@@ -6,6 +6,7 @@ boundaries and \\w agree with what scholarly text needs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -141,6 +142,98 @@ def matching_labels(text: Column, rules: Mapping[str, str]) -> Column:
     return F.array_compact(F.array(*(F.when(any_match(text, p), F.lit(label)) for label, p in rules.items())))
 
 
+def _tokens(pattern: str) -> list[str]:
+    return re.findall(r"\\.|\[(?:\\.|[^\]])+\]|.", pattern, re.S)
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """A pattern cut at the bars that stand in no group or class."""
+    depth, parts = 0, [""]
+    for token in _tokens(pattern):
+        depth += (token == "(") - (token == ")")
+        if token == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += token
+    return parts
+
+
+def _first_group(pattern: str) -> tuple[str, str]:
+    """What a pattern's first group holds, and what follows it."""
+    depth, inside = 0, ""
+    for token in _tokens(pattern):
+        depth += (token == "(") - (token == ")")
+        inside += token
+        if not depth:
+            break
+    return inside.removeprefix("(?:")[:-1], pattern[len(inside) :]
+
+
+def _openings(pattern: str, most: int) -> list[str] | None:
+    """Letters, blanks and hyphens, up to `most`, with one of which each match of a pattern begins; None if that can't be seen from it."""
+    out: list[str] = []
+    for part in _alternatives(pattern):
+        if part.startswith("(?:"):
+            inside, after = _first_group(part)
+            found = None if after[:1] in ("?", "*", "{") else _openings(inside, most)
+        else:
+            opening = re.match(r"[\w -]*", part)[0]
+            after = part[len(opening) :]
+            if opening and after.startswith("?"):
+                short, whole = (_openings(o + after[1:], most) for o in (opening[:-1], opening))
+                found = short and whole and short + whole
+            else:
+                # The last one need not be there before these.
+                opening = opening[:-1] if after[:1] in ("*", "{") else opening
+                found = [opening[:most]] if opening else None
+        if found is None:
+            return None
+        out += found
+    return out
+
+
+def _tree(openings: set[str]) -> str:
+    """A pattern for the shortest of the openings that a text goes on with, alternatives by their first letter."""
+    by: dict[str, set[str]] = {}
+    for o in sorted(openings):
+        by.setdefault(o[0], set()).add(o[1:])
+    return "(?:" + "|".join(c + ("" if "" in rest else _tree(rest)) for c, rest in by.items()) + ")"
+
+
+class Opened:
+    """Rules that are tried only on texts in which one of their openings stands at a word's edge.
+
+    Most rules are lists of phrases, and most texts hold few of them.  One pattern of all rules' openings reads the text
+    once (`found`); a rule that has openings then reads only what it may match.  It decides alone, so no result
+    depends on the openings.  Rules of another shape read every text.
+    """
+
+    HEAD = r"(?iU)\b"
+
+    def __init__(self, *tables: Mapping[str, str], most: int = 24) -> None:
+        self.most = most
+        self.of: dict[str, set[str]] = {}
+        for pattern in {p for table in tables for p in table.values()}:
+            inner = pattern.removeprefix(self.HEAD)
+            if inner != pattern and len(_alternatives(inner)) == 1 and (openings := _openings(inner, most)):
+                self.of[pattern] = {o if "İ" in o else o.lower() for o in openings}  # two characters in lower case
+        self.all = {o for openings in self.of.values() for o in openings}
+
+    def found(self, text: Column) -> Column:
+        """Where openings stand, what the text goes on with there, a line each and each once; a column to be kept, as every rule reads it."""
+        if not self.all:
+            return F.lit("")
+        return F.array_join(F.array_distinct(F.regexp_extract_all(text, F.lit(f"{self.HEAD}(?=({_tree(self.all)}.{{0,{self.most}}}))"), F.lit(1))), "\n")
+
+    def any_match(self, text: Column, found: Column, pattern: str) -> Column:
+        if pattern not in self.of:
+            return any_match(text, pattern)
+        return F.when(found.rlike(f"(?iUm)^{_tree(self.of[pattern])}"), any_match(text, pattern)).otherwise(False)
+
+    def matching_labels(self, text: Column, found: Column, rules: Mapping[str, str]) -> Column:
+        return F.array_compact(F.array(*(F.when(self.any_match(text, found, p), F.lit(label)) for label, p in rules.items())))
+
+
 def first_label(text: Column, rules: Mapping[str, str], default: str) -> Column:
     return F.coalesce(*(F.when(any_match(text, p), F.lit(label)) for label, p in rules.items()), F.lit(default))
 

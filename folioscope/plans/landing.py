@@ -174,7 +174,8 @@ TITLES = [
 def rules_matched(t: Tables) -> DataFrame:
     """The rules of the corpus itself, over the whole texts of documents, each behind a title that they speak of."""
     title = F.concat(F.element_at(F.array(*map(F.lit, TITLES)), (F.col("doc_id") % len(TITLES) + 1).cast("int")), F.lit(" "), "text")
-    d = t.documents.select("doc_id", title.alias("title"))
-    named = lambda table: F.array_join(T.matching_labels(F.col("title"), table), "|")
-    match = lambda p: T.any_match(F.col("title"), p)
-    return d.select("doc_id", named(rules.POSITIVE).alias("positive"), named(rules.AI_SIGNALS).alias("ai"), named(rules.NEGATIVE).alias("negative"), match(rules.OFFTOPIC_TITLE).alias("offtopic_title"), match(rules.OFFTOPIC_TOPIC).alias("offtopic_topic"), match(rules.RETRACTED).alias("retracted"), match(rules.LOW_QUALITY).alias("low_quality"))
+    more = {"offtopic_title": rules.OFFTOPIC_TITLE, "offtopic_topic": rules.OFFTOPIC_TOPIC, "retracted": rules.RETRACTED, "low_quality": rules.LOW_QUALITY}
+    opened = T.Opened(rules.POSITIVE, rules.AI_SIGNALS, rules.NEGATIVE, more)
+    d = t.documents.select("doc_id", title.alias("title")).withColumn("found", opened.found(F.col("title")))
+    named = lambda table: F.array_join(opened.matching_labels(F.col("title"), F.col("found"), table), "|")
+    return d.select("doc_id", named(rules.POSITIVE).alias("positive"), named(rules.AI_SIGNALS).alias("ai"), named(rules.NEGATIVE).alias("negative"), *(opened.any_match(F.col("title"), F.col("found"), p).alias(name) for name, p in more.items()))

@@ -8,6 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from folioscope.functions import text as T
 from folioscope.operators import rules, topics
 from folioscope.plans import catalogue
 from folioscope.sources import works
@@ -57,3 +58,24 @@ def test_a_filter_on_decisions_runs_no_rule_again(spark, sf_dir):
     decided = rules.screen(docs)
     assert plan(rules.screened_corpus(decided)).count("RLIKE") == plan(decided).count("RLIKE")
     assert [r["title"] for r in rules.screened_corpus(decided).collect()] == ["ai literacy"]
+
+
+def test_rules_read_only_texts_that_hold_an_opening(spark, sf_dir):
+    tables = [rules.POSITIVE, rules.AI_SIGNALS, rules.NEGATIVE, {"title": rules.OFFTOPIC_TITLE, "topic": rules.OFFTOPIC_TOPIC, "retracted": rules.RETRACTED, "quality": rules.LOW_QUALITY}]
+    odd = {"optional": r"(?iU)\b(?:ab?c|x-?y|(?:no|)ne|f{2}|[gh]i)\b", "before": r"(?iU)\b(?:(?:da)?de|Q*r)", "dotted": r"(?iU)\b(?:İi|kiss?|q(?:a|b(?:c|d))+e)\b"}
+    opened = T.Opened(*tables, odd)
+    assert {p for t in tables for p in t.values()} - set(opened.of) == {rules.RETRACTED, rules.LOW_QUALITY} and set(odd.values()) & set(opened.of) == {odd["dotted"]}
+    rng = random.Random(6)
+    pieces = [w for t in tables for p in t.values() for w in re.findall(r"[\w -]{2,}", p) if not w.startswith("b ")]
+    pieces += ["ai", "AI", "K12", "k-12", "\u212a12", "cla\u017f\u017fifier", "L\u0130brary", "ÉTICA de publicação", "chatgpt", "GPT-4o", "GPT5", "İi", "ii", "KISS", "kis", "qbde", "qaae", "abc", "ac", "xy", "one", "ne", "de", "dade", "\n", "\u00a0", "-", "e\u0301", "é", "\u2028", "tumour", "tumors"]
+    texts = [None, "", "\n", *("".join(rng.choice([w, w.upper(), w.title()]) + rng.choice([" ", " ", "", "\n", ", "]) for w in rng.choices(pieces, k=rng.randint(1, 12))) for _ in range(1500))]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("found", opened.found(F.col("text")))
+    text, found = F.col("text"), F.col("found")
+    both = d.select("text", *(c for t in [*tables, odd] for c in (opened.matching_labels(text, found, t), T.matching_labels(text, t)))).collect()
+    for r in both:
+        assert r[1::2] == r[2::2], r
+    assert all(any(label in cell for r in both for cell in r[1::2]) for t in [*tables[:3], odd] for label in t)
+    none = T.Opened({"a": "b"})
+    assert d.select(none.any_match(text, none.found(text), "b").alias("x")).where("x").count() == d.where(text.contains("b")).count()
+    lines = plan(catalogue.QUERIES["rules_matched"](spark, sf_dir))
+    assert "regexp_extract_all" in lines and "RLIKE(found#" in lines
