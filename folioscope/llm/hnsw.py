@@ -19,6 +19,7 @@ and each other.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, parallelism
+from .common import durable, give_back, parallelism
 
 LINKS, BUILD_BEAM, BEAM = 16, 96, 192
 #: Points of a shard, and bytes of their vectors, at most in the mean: beams are tested at this size.
@@ -252,14 +253,16 @@ class Cells:
         if want > 1:
             own = self._nearest(points, centres)
             asked = rng.choice(len(points), min(512, len(points)), replace=False)
-            q = directions(vectors[asked])
-            score = q @ points.T
-            score[np.arange(len(asked)), asked] = -np.inf
-            best = np.argpartition(-score, min(k, len(points) - 1) - 1, axis=1)[:, :k]
-            order = np.argsort((centres**2).sum(axis=1)[None] - 2 * q @ centres.T, axis=1, kind="stable")
-            place = np.empty_like(order)
-            np.put_along_axis(place, order, np.arange(want)[None].repeat(len(asked), 0), axis=1)
-            ranks = np.take_along_axis(place, own[best], axis=1).ravel()
+            q, ranks = directions(vectors[asked]), []
+            for s in range(0, len(asked), step := max(1, (1 << 21) // len(points))):
+                score = -(q[s : s + step] @ points.T)
+                score[np.arange(len(score)), asked[s : s + step]] = np.inf
+                best = np.argpartition(score, min(k, len(points) - 1) - 1, axis=1)[:, :k]
+                order = np.argsort((centres**2).sum(axis=1)[None] - 2 * q[s : s + step] @ centres.T, axis=1, kind="stable")
+                place = np.empty_like(order)
+                np.put_along_axis(place, order, np.arange(want)[None].repeat(len(order), 0), axis=1)
+                ranks.append(np.take_along_axis(place, own[best], axis=1).ravel())
+            ranks = np.concatenate(ranks)
             visits = int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(cover * len(ranks))))]) + 1
         self.parts[part] = (centres, (centres**2).sum(axis=1), visits, self.n)
         self.n += want
@@ -322,7 +325,7 @@ def _ranged(points: DataFrame) -> DataFrame:
 
 
 def fit_cells(points: DataFrame, k: int, shard_points: int, cover: float = COVER) -> Cells:
-    """Cells for points (embedding, range); the driver gets a bounded sample and a count for each length and range."""
+    """Cells for points (embedding, range), fitted on a bounded sample in a task; the driver gets them and a count for each length and range."""
     counts = {(r["size"], r["range"]): r["count"] for r in points.groupBy(F.size("embedding").alias("size"), "range").count().collect()}
     n, cells = sum(counts.values()), Cells()
     if not n:
@@ -331,23 +334,30 @@ def fit_cells(points: DataFrame, k: int, shard_points: int, cover: float = COVER
     sample = min(SAMPLE, max(1024, SAMPLE_BYTES // (8 * longest)))
     # A part that the sample has nothing of is one cell.
     level = min((1 << 63) - 1, (1 << 64) * sample // n - (1 << 63))
-    some = points.where(F.xxhash64("point") <= level).select("embedding", "range").limit(2 * sample).toArrow().combine_chunks()
-    held: dict[tuple[int, int], np.ndarray] = {}
-    if some.num_rows:
-        ranges = some.column("range").to_numpy()
-        for at, vectors in _by_length(some.column("embedding").combine_chunks()):
-            for r in np.unique(ranges[at]):
-                held[vectors.shape[1], int(r)] = vectors[ranges[at] == r]
     most = min(CELLS, max(1, CELL_BYTES // (4 * longest)))
     fine = min(2 * parallelism(points.sparkSession), -(-n // LEAST_POINTS))
-    for (size, r), count in sorted(counts.items()):
-        want = min(max(-(-2 * count // shard_points), fine * count // n), -(-most * count // n))
-        vectors = held.get((size, r))
-        if vectors is None:
-            cells.add((size, r), np.ldexp(np.full((1, size), max(1, size) ** -0.5), 2 * r), 1, k, cover)
-        else:
-            cells.add((size, r), vectors, want, k, cover)
-    return cells
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[tuple[int, int], list[np.ndarray]] = {}
+        for batch in batches:
+            ranges = batch.column(1).to_numpy()
+            for at, vectors in _by_length(batch.column(0)):
+                for r in np.unique(ranges[at]):
+                    parts.setdefault((vectors.shape[1], int(r)), []).append(vectors[ranges[at] == r])
+        for (size, r), count in sorted(counts.items()):
+            want = min(max(-(-2 * count // shard_points), fine * count // n), -(-most * count // n))
+            held = parts.pop((size, r), None)
+            if held is None:
+                cells.add((size, r), np.ldexp(np.full((1, size), max(1, size) ** -0.5), 2 * r), 1, k, cover)
+            else:
+                cells.add((size, r), np.concatenate(held), want, k, cover)
+        del held
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(cells)], pa.binary())], ["cells"])
+        give_back()
+
+    # A range of the hash holds `sample` points or very nearly so.
+    some = points.where(F.xxhash64("point") <= level).select("embedding", "range").coalesce(1)
+    return pickle.loads(some.mapInArrow(fit, "cells binary").first()[0])
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, links: int = LINKS, build_beam: int = BUILD_BEAM, beam: int = BEAM, shard_points: int = SHARD_POINTS, cover: float = COVER) -> DataFrame:

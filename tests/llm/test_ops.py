@@ -885,6 +885,18 @@ def test_tiff_rows(spark, awkward, empty):
 # neighbours
 
 
+def test_cells_are_fitted_outside_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    vectors = np.concatenate([rng.normal(size=(5000, 16)), 100 * rng.normal(size=(300, 16))])
+    points = spark.createDataFrame([(str(i), v.tolist(), int(r)) for i, (v, r) in enumerate(zip(vectors, hnsw.norm_ranges(vectors), strict=True))], "point string, embedding array<double>, range long")
+    monkeypatch.setattr(type(points), "toArrow", lambda *_: pytest.fail("vectors have come to the driver"))
+    cells = hnsw.fit_cells(points, 20, 256)
+    assert cells.n == sum(len(c) for c, *_ in cells.parts.values()) > 30
+    placed = cells.of_points(vectors, hnsw.norm_ranges(vectors))
+    assert placed.min() >= 0 and placed.max() < cells.n and len(np.unique(placed)) > 0.9 * cells.n
+    assert hnsw.fit_cells(points.where("range > 1000"), 20, 256).n == 0
+
+
 def test_search_finds_nearly_all(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((1500, 16)) * rng.uniform(0.5, 2, (1500, 1))
