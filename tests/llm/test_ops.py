@@ -291,6 +291,46 @@ def test_links_to_a_hub_in_blocks(spark, block):
     assert near_texts.near_hub_links(near.where("sid < 0"), block).isEmpty()
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_marks_leave_links_and_little_else(spark, block):
+    texts = family(80) + [f"{t} {' '.join(f'y{i}' for i in range(k))}" for k, t in enumerate(family(70, 4))] + ["w1", ""]
+    sets = [near_texts.shingle_set(t.encode()) for t in texts]
+    rows = [(0, i, i % 140, len(s), i % 3 == 0, bytearray(near_texts.marks(s))) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "hub long, sid long, root long, n int, near boolean, marks binary")
+    common = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i) if i % 140 != j % 140 and (i % 3 or j % 3)}
+    links = {(i, j) for (i, j), c in common.items() if 9 * c >= 4 * (len(sets[i]) + len(sets[j]))}
+    found = {(r["src"], r["dst"]) for r in near_texts.hub_pairs(frame, False, block).collect()}
+    assert links <= found <= {(i, j) for (i, j), c in common.items() if 7 * c >= 2.8 * (len(sets[i]) + len(sets[j]))}
+    nearest = {(r["src"], r["dst"]) for r in near_texts.hub_pairs(frame, True, block).collect()}
+    assert nearest <= found and 0 < len(nearest) < len(found)
+    assert near_texts.hub_pairs(frame.where("sid < 0"), True, block).isEmpty()
+
+
+def test_members_far_from_their_hub_are_not_joined_in_pairs(spark):
+    rng, texts = random.Random(9), []
+    for _ in range(200):
+        words = [f"w{i}" for i in range(200)]
+        for k in rng.sample(range(200), 8):
+            words[k] = f"x{rng.randrange(10**6)}"
+        texts += [" ".join(words)]
+    texts += [f"{t} more" for t in texts[::20]]
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {r["doc_id"]: r["component_id"] for r in near_texts.near_groups(docs).collect()}
+    assert [groups[i] for i in range(len(texts))] == brute_groups(texts)
+    most, runs = 0, store.executionsList()
+    for e in range(before, runs.size()):
+        k = runs.apply(e).executionId()
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name():
+                metrics = node.metrics()
+                ids = [metrics.apply(i).accumulatorId() for i in range(metrics.size()) if metrics.apply(i).name() == "number of output rows"]
+                most = max([most, *(int(values.apply(a).replace(",", "")) for a in ids if values.contains(a))])
+    assert 0 < most < 10_000 + len(texts) * 50
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (7, 7)], "src long, dst long")
     roots = {r["node"]: r["root"] for r in components(edges).collect()}
