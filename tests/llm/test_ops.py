@@ -306,6 +306,48 @@ def test_marks_leave_links_and_little_else(spark, block):
     assert near_texts.hub_pairs(frame.where("sid < 0"), True, block).isEmpty()
 
 
+def test_heads_of_links_share_what_is_asked_of_them():
+    """Of any two sets of similarity 0.8 or more, the heads share as many as shared_keys asks of the larger one, which asks most."""
+    rng, shared = random.Random(8), lambda n: min((4 * n + 4) // 5, 2 + n // 40)
+    for _ in range(3000):
+        n = rng.choice([1, 2, 3, 4, 5, 9, 20, 45, 100, 200, 400])
+        both = rng.sample(range(10**6), n)
+        more = rng.randint(0, n // 4)
+        own = rng.randint(0, more)
+        a, b = sorted(both + [-1 - k for k in range(own)]), sorted(both + [10**6 + k for k in range(more - own)])
+        assert 5 * n >= 4 * (n + more)
+        common = set(a[: near_texts.head_size(len(a))]) & set(b[: near_texts.head_size(len(b))])
+        assert len(common) >= max(shared((4 * len(x) + 4) // 5) for x in (a, b))
+
+
+def shuffled(store, before: int) -> int:
+    """Rows that executions from the number `before` on have written to exchanges."""
+    rows, runs = 0, store.executionsList()
+    for e in range(before, runs.size()):
+        k = runs.apply(e).executionId()
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = node.metrics()
+            ids = [metrics.apply(i).accumulatorId() for i in range(metrics.size()) if metrics.apply(i).name() == "shuffle records written"]
+            rows += sum(int(values.apply(a).replace(",", "")) for a in ids if values.contains(a))
+    return rows
+
+
+def test_texts_that_share_a_line_do_not_travel(spark, monkeypatch):
+    rng, lines = random.Random(10), [[f"l{k}x{i}" for i in range(8)] for k in range(3)]
+    texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(300)] + lines[k % 3]) for k in range(300)]
+    texts += [f"{t} more" for t in texts[::30]]
+    wanted, plain = [], near_texts.candidate_texts
+    monkeypatch.setattr(near_texts, "candidate_texts", lambda docs, sets, *a: wanted.append(sets.count()) or plain(docs, sets, *a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = near_texts.keep_one(docs)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_groups(texts))) == list(range(300))
+    assert wanted == [20]
+    assert shuffled(store, before) < 60  # the ten that go, and few others
+
+
 def test_members_far_from_their_hub_are_not_joined_in_pairs(spark):
     rng, texts = random.Random(9), []
     for _ in range(200):
